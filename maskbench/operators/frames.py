@@ -77,10 +77,10 @@ def iqa_panel(rgb: pd.Series, clean: pd.Series, h: pd.Series, w: pd.Series) -> p
     return pd.DataFrame(rows, columns=list(IQA_METRICS), dtype=float)
 
 
-def degraded_sequences(frames: DataFrame, conditions: DataFrame, stride: int = 1,
+def degraded_sequences(frames: DataFrame, conditions: Sequence[tuple[str, float]], stride: int = 1,
                        max_frames: int = 0, seed: int = 0, amp: float = 0.30,
                        temporal_variation: bool = True) -> DataFrame:
-    """Subsampled clips under every condition row (degradation, level) of a constant grid.
+    """Subsampled clips under every (degradation, level) of a constant grid.
 
     ``t`` is the position in the subsampled clip, ``frame`` the original index that seeds the
     pixels. A clean condition copies the frames at severity 1.
@@ -90,10 +90,8 @@ def degraded_sequences(frames: DataFrame, conditions: DataFrame, stride: int = 1
     if max_frames:
         f = f.where(F.col("frame") < max_frames * stride)
     n = f.groupBy("seq").agg(F.count("*").alias("n_frames"))
-    grid = [(r["degradation"], float(r["level"])) for r in conditions.select(
-        "degradation", "level").distinct().limit(10_000).collect()]
-    cond = F.array(*[F.struct(F.lit(d).alias("degradation"), F.lit(v).alias("level"))
-                     for d, v in grid])
+    cond = F.array(*[F.struct(F.lit(d).alias("degradation"), F.lit(float(v)).alias("level"))
+                     for d, v in conditions])
     d = f.join(n, "seq").withColumn("t", (F.col("frame") / stride).cast("int")).select(
         "*", F.inline(cond))
     d = d.withColumn("seq_seed", sequence_seed("seq", seed))
