@@ -11,6 +11,7 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, Str
 
 from ..functions.ordered import median
 from ..kernels import flow as K, mask as M
+from ..schemas import row_type
 from .masks import area, iou
 
 
@@ -56,7 +57,7 @@ def cycle_error(fwd: pd.Series, bwd: pd.Series, h: pd.Series, w: pd.Series) -> p
                       for a, b, x, y in zip(fwd, bwd, h, w)], dtype=float)
 
 
-@F.pandas_udf("move double, p95 double")
+@F.pandas_udf(row_type("move:d p95:d"))
 def displacement(a: pd.Series, b: pd.Series, flow: pd.Series, h: pd.Series, w: pd.Series
                  ) -> pd.DataFrame:
     """Centroid shift between two masks and the 95th percentile flow inside the first."""

@@ -16,10 +16,10 @@ from pyspark.sql.types import BinaryType, DoubleType
 from ..functions.keys import c, hash32, sequence_seed
 from ..kernels import degrade as D, quality as Q, restore as R
 from ..kernels.image import as_bytes
-from ..schemas import IQA_METRICS
+from ..schemas import IQA_METRICS, row_type
 from .grid import ORACLE_MODE
 
-_IQA_TYPE = ", ".join(f"{m} double" for m in IQA_METRICS)
+_IQA_TYPE = row_type(" ".join(f"{m}:d" for m in IQA_METRICS))
 
 
 def _image(px: bytes, h: int, w: int) -> np.ndarray:

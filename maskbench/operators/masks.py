@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
 from ..kernels import mask as K
+from ..schemas import row_type
 
 
 def _stacks(fn: Callable, cols: Sequence[pd.Series], h: pd.Series, w: pd.Series, n_out: int
@@ -44,7 +45,7 @@ def area(a: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series(_stacks(K.count, (a,), h, w, 1)[0].astype(np.int64))
 
 
-@F.pandas_udf("j double, f double, pred_area long, gt_area long")
+@F.pandas_udf(row_type("j:d f:d pred_area:l gt_area:l"))
 def region_and_boundary(p: pd.Series, g: pd.Series, h: pd.Series, w: pd.Series, tol: pd.Series
                         ) -> pd.DataFrame:
     t = int(tol.iloc[0]) if len(tol) else 2
@@ -54,14 +55,14 @@ def region_and_boundary(p: pd.Series, g: pd.Series, h: pd.Series, w: pd.Series,
                          "pred_area": pa.astype(np.int64), "gt_area": ga.astype(np.int64)})
 
 
-@F.pandas_udf("j double, f double")
+@F.pandas_udf(row_type("j:d f:d"))
 def released_region_and_boundary(p: pd.Series, g: pd.Series, h: pd.Series, w: pd.Series
                                  ) -> pd.DataFrame:
     j, f = _stacks(K.released_scores, (p, g), h, w, 2)
     return pd.DataFrame({"j": j.astype(float), "f": f.astype(float)})
 
 
-@F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
+@F.pandas_udf(row_type("x0:d y0:d x1:d y1:d"))
 def bounding_box(a: pd.Series, h: pd.Series, w: pd.Series, pad: pd.Series) -> pd.DataFrame:
     p = float(pad.iloc[0]) if len(pad) else 0.0
     b = _stacks(lambda m: K.boxes(m, p), (a,), h, w, 1)[0]
@@ -75,7 +76,7 @@ def fill_holes(a: pd.Series, h: pd.Series, w: pd.Series, max_area: pd.Series) ->
                       for b, x, y in zip(a, h, w)], dtype=object)
 
 
-@F.pandas_udf("n_components long, largest long, smallest long")
+@F.pandas_udf(row_type("n_components:l largest:l smallest:l"))
 def component_stats(a: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
     rows = []
     for b, x, y in zip(a, h, w):

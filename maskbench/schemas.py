@@ -25,6 +25,11 @@ def _fields(spec: str) -> list[StructField]:
     return [StructField(n, kinds[k]) for n, k in (item.split(":") for item in spec.split())]
 
 
+def row_type(spec: str) -> StructType:
+    """Struct type from ``name:kind`` items, usable before a session exists."""
+    return StructType(_fields(spec))
+
+
 RESULTS_CELL = StructType(_fields(
     "seq:s obj_id:i mode:s degradation:s is_compound:i level:d severity_mean:d severity_max:d "
     "frame_stride:i n_frames:i J:d F:d J&F:d n_decisions:i n_reanchors:i tau_score:d "

@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions.ordered import ordinal
 from ..functions.text import text_chunk
+from ..schemas import row_type
 
 # Where the frame folders of the known layouts lie below a dataset root.
 LAYOUTS = {
@@ -156,7 +157,7 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
     return np.frombuffer(bytes(cur), np.uint8)
 
 
-@F.pandas_udf("h int, w int, ids binary")
+@F.pandas_udf(row_type("h:i w:i ids:b"))
 def decode_label(content: pd.Series) -> pd.DataFrame:
     rows = []
     for raw in content:

@@ -54,7 +54,7 @@ def scan_results(spark: SparkSession, paths: str | Sequence[str],
     for header in {tuple(h) for h in headers.values() if h}:
         mine = [p for p in paths if tuple(headers[p]) == header]
         text = StructType([StructField(x, StringType()) for x in header])
-        df = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option(
+        df = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option("escape", "\"").option(
             "enforceSchema", True).csv(mine)
         df = df.select(*[F.col(f"`{x}`") for x in header], F.input_file_name().alias("_src"))
         for f in schema.fields:
