@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import study  # noqa: F401  (registers on import)
+from . import association, integrity, pixels, study  # noqa: F401  (they register on import)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -50,7 +50,7 @@ SELECT l_suppkey AS seq, CAST(1 + l_linenumber % 2 AS INTEGER) AS obj_id,
   CAST(1 + l_partkey % 3 AS DOUBLE) AS level, '' AS arm,
   l_quantity / 50 AS jf_frame, l_extendedprice AS iqa_a, l_discount AS iqa_b,
   CAST(l_partkey % 101 AS DOUBLE) AS iqa_c, (l_partkey % 97) / 97.0::DOUBLE AS vacuity,
-  l_extendedprice / 20000 AS area_ratio, CAST(l_partkey % 13 AS INTEGER) AS selected_op,
+  l_extendedprice / 30000 AS area_ratio, CAST(l_partkey % 13 AS INTEGER) AS selected_op,
   l_linenumber, l_discount, l_orderkey, l_partkey, l_extendedprice, l_shipdate
 FROM lineitem"""
 
@@ -93,7 +93,7 @@ def rows_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_discount").alias("iqa_b"),
         (F.col("l_partkey") % 101).cast("double").alias("iqa_c"),
         ((F.col("l_partkey") % 97) / 97.0).alias("vacuity"),
-        (F.col("l_extendedprice") / 20000).alias("area_ratio"),
+        (F.col("l_extendedprice") / 30000).alias("area_ratio"),
         (F.col("l_partkey") % 13).cast("int").alias("selected_op"),
         "l_linenumber", "l_discount", "l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate",
     )
