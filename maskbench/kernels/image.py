@@ -87,9 +87,9 @@ def local_min(x: np.ndarray, radius: int) -> np.ndarray:
 
 
 def luminance(img: np.ndarray) -> np.ndarray:
-    """8-bit luminance of an 8-bit RGB frame."""
-    w = np.array([0.299, 0.587, 0.114])
-    return np.floor(img.astype(np.float64) @ w + 0.5)
+    """8-bit luminance of an 8-bit RGB frame, in exact integer arithmetic."""
+    r, g, b = (img[..., k].astype(np.int64) for k in range(3))
+    return ((299 * r + 587 * g + 114 * b + 500) // 1000).astype(np.float64)
 
 
 def stretch(x: np.ndarray, lo: float = 1.0, hi: float = 99.0) -> np.ndarray:

@@ -342,13 +342,13 @@ def _(spark, sf):
 
 @query("iqa_panel")
 def _(spark, sf):
-    d = V.text_frames(spark, sf).withColumnRenamed("rgb", "clean")
-    d = d.withColumn("rgb", F.col("clean")).transform(lambda x: fr.degrade_frames(x, "sensor_noise", 3.0))
+    d = V.text_frames(spark, sf).withColumn("clean", F.col("rgb"))
+    d = fr.degrade_frames(d, "sensor_noise", 3.0)
     q = fr.with_iqa(d, "clean")
     return q.groupBy("seq").agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in IQA_METRICS])
 
 
-_GRAY = """gy AS (SELECT fid, y, x, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) AS v, r, g, b FROM (SELECT fid, y, x, max(u) FILTER (ch = 0) AS r,
+_GRAY = """gy AS (SELECT fid, y, x, (299 * r + 587 * g + 114 * b + 500) // 1000 AS v, r, g, b FROM (SELECT fid, y, x, max(u) FILTER (ch = 0) AS r,
   max(u) FILTER (ch = 1) AS g, max(u) FILTER (ch = 2) AS b FROM fpx GROUP BY ALL))"""
 
 
