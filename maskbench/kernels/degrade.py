@@ -44,9 +44,16 @@ def lowlight(x, s, rng):
     return dark + rng.normal(0.0, 0.02 + 0.06 * s, x.shape)
 
 
-def _stamp(layer: np.ndarray, ys: np.ndarray, xs: np.ndarray, value: float) -> None:
+def _stamp(layer: np.ndarray, ys: np.ndarray, xs: np.ndarray, values: np.ndarray) -> None:
+    """Write values in order, later ones over earlier ones; points outside are dropped."""
     ok = (ys >= 0) & (ys < layer.shape[0]) & (xs >= 0) & (xs < layer.shape[1])
-    layer[ys[ok], xs[ok]] = value
+    layer[ys[ok], xs[ok]] = values[ok]
+
+
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and position of every element when the i-th owner has ``lengths[i]`` elements."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
 def rain(x, s, rng):
@@ -54,16 +61,17 @@ def rain(x, s, rng):
     veil = fog(x, s / 2.0, rng) if s > 0.2 else x
     layer = np.zeros((h, w))
     length, thick = int(8 + 26 * s), max(1, int(1 + 2 * s))
-    side = np.arange(thick) - thick // 2
-    for _ in range(int(20 + 320 * s)):
-        px, py = int(rng.integers(0, w)), int(rng.integers(0, h))
-        angle = math.radians(-25.0 + 50.0 * rng.random())
-        value = 0.5 + 0.5 * rng.random()
-        dx, dy = int(length * math.sin(angle)), int(length * math.cos(angle))
-        t = np.linspace(0.0, 1.0, max(abs(dx), abs(dy), 1) + 1)
-        ys = np.rint(py + t * dy).astype(int)
-        xs = np.rint(px + t * dx).astype(int)
-        _stamp(layer, np.repeat(ys, thick), (xs[:, None] + side).ravel(), value)
+    drawn = np.array([(rng.integers(0, w), rng.integers(0, h), rng.random(), rng.random())
+                      for _ in range(int(20 + 320 * s))])
+    px, py, value = drawn[:, 0], drawn[:, 1], 0.5 + 0.5 * drawn[:, 3]
+    angle = np.radians(-25.0 + 50.0 * drawn[:, 2])
+    dx, dy = np.trunc(length * np.sin(angle)), np.trunc(length * np.cos(angle))
+    steps = np.maximum(np.maximum(np.abs(dx), np.abs(dy)), 1).astype(int)
+    k, at = _runs(steps + 1)
+    t = at / steps[k]
+    ys, xs = np.rint(py[k] + t * dy[k]).astype(int), np.rint(px[k] + t * dx[k]).astype(int)
+    across = (xs[:, None] + np.arange(thick) - thick // 2).ravel()
+    _stamp(layer, np.repeat(ys, thick), across, np.repeat(value[k], thick))
     drops = np.clip(box_blur(layer, 3), 0.0, 1.0)[..., None]
     return 1.0 - (1.0 - veil) * (1.0 - 0.7 * drops)
 
@@ -73,15 +81,14 @@ def snow(x, s, rng):
     veil = fog(x, 0.375 * s, rng)
     layer = np.zeros((h, w))
     largest = max(1, int(1 + 3 * s))
-    discs = {}
-    for r in range(1, largest + 1):
-        gy, gx = np.mgrid[-r:r + 1, -r:r + 1]
-        inside = gy * gy + gx * gx <= r * r + r // 2
-        discs[r] = gy[inside], gx[inside]
-    for _ in range(int(60 + 600 * s)):
-        px, py = int(rng.integers(0, w)), int(rng.integers(0, h))
-        gy, gx = discs[int(rng.integers(1, largest + 1))]
-        _stamp(layer, py + gy, px + gx, 0.6 + 0.4 * rng.random())
+    drawn = np.array([(rng.integers(0, w), rng.integers(0, h), rng.integers(1, largest + 1),
+                       rng.random()) for _ in range(int(60 + 600 * s))])
+    px, py, r = drawn[:, :3].astype(int).T
+    gy, gx = np.mgrid[-largest:largest + 1, -largest:largest + 1]
+    gy, gx = gy.ravel(), gx.ravel()
+    inside = gy * gy + gx * gx <= (r * r + r // 2)[:, None]
+    k, j = np.nonzero(inside)
+    _stamp(layer, py[k] + gy[j], px[k] + gx[j], 0.6 + 0.4 * drawn[k, 3])
     flakes = np.clip(box_blur(layer, 3), 0.0, 1.0)[..., None]
     return veil * (1.0 - 0.35 * flakes) + flakes
 
