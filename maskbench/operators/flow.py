@@ -94,7 +94,8 @@ def flow_direction_audit(masks: DataFrame, flows: DataFrame, keys: Sequence[str]
         F.count("*").alias("pairs"), F.avg("stay").alias("iou_stay"),
         F.avg("plus").alias("iou_plus"), F.avg("minus").alias("iou_minus"),
         F.count_if(gap > 1e-9).alias("wins"), F.count_if(F.abs(gap) <= 1e-9).alias("ties"))
-    return out.join(median(s, ["k"], "ratio", "median_ratio"), "k").drop("k")
+    mid = median(s, ["k"], "ratio", "median_ratio").select("median_ratio").scalar()
+    return out.drop("k").withColumn("median_ratio", mid)
 
 
 def propagate(masks: DataFrame, flows: DataFrame, keys: Sequence[str], segment: int = 64,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.keys import c, hash32
 from ..functions.ordered import (average_rank, hash_chunk, median, ordinal, rank_table, running,
@@ -207,11 +207,16 @@ def between_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str],
     null = rank_correlation(
         placed.select(*keys, "perm", "pos", "x").join(um.select(*keys, "pos", "y"),
                                                       [*keys, "pos"]),
-        [*keys, "perm"], "x", "y").withColumnRenamed("rho", "_null").drop("n")
-    j = obs.join(null, list(keys))
-    return j.groupBy(*keys, F.col("n").alias("n_units"), "rho").agg(
-        ((F.count_if(F.abs("_null") >= F.abs("rho") - F.lit(1e-12)) + 1)
-         / (F.count("*") + 1)).alias("perm_p"))
+        [*keys, "perm"], "x", "y")
+    # the observed rho joins its permutations as number -1: n_perm + 1 rows per key
+    both = null.unionByName(obs.select(*keys, F.lit(-1).alias("perm"), "n", "rho"))
+    seen = F.max(F.when(F.col("perm") == -1, F.struct("n", "rho"))).over(W.partitionBy(*keys))
+    j = both.withColumn("_o", seen)
+    drawn = F.col("perm") >= 0
+    extreme = drawn & (F.abs("rho") >= F.abs(F.col("_o.rho")) - F.lit(1e-12))
+    return j.groupBy(*keys, F.col("_o.n").alias("n_units"), F.col("_o.rho").alias("_r")).agg(
+        ((F.count_if(extreme) + 1) / (F.count_if(drawn) + 1)).alias("perm_p")).withColumnRenamed(
+        "_r", "rho")
 
 
 def within_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,

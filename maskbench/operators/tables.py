@@ -134,8 +134,8 @@ def activity_correlation(pairs: DataFrame, counter: str, delta: str = "d") -> Da
     """Product-moment and rank correlation of the firing count with the paired difference."""
     d = pairs.withColumn("_all", F.lit("all"))
     r = stats.product_moment(d, ["_all"], counter, delta)
-    rho = stats.rank_correlation(d, ["_all"], counter, delta).select("_all", "rho")
-    return r.join(rho, "_all").drop("_all")
+    rho = stats.rank_correlation(d, ["_all"], counter, delta).select("rho").scalar()
+    return r.select("n", "r", rho.alias("rho"))
 
 
 def probe_summary(pairs: DataFrame, keys: Sequence[str], delta: str = "d",
@@ -172,7 +172,10 @@ def vacuity_summary(frames: DataFrame, score: str, taus: Sequence[float]) -> Dat
     share = d.groupBy("_all").agg(F.count("*").alias("n"), *[
         F.avg((F.col(score) >= t).cast("double")).alias(f"share_{int(round(t * 100)):03d}")
         for t in taus])
-    return share.join(q, "_all").drop("_all")
+    names = [c for c in q.columns if c != "_all"]
+    row = q.select(F.struct(*names)).scalar()
+    return share.drop("_all").withColumn("_q", row).select(
+        *[c for c in share.columns if c != "_all"], *[F.col(f"_q.{c}").alias(c) for c in names])
 
 
 def policy_summary(cells: DataFrame, policy: str, value: str, runaway: str, failures: str

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def local_session(cores: int | str = 8, app: str = "maskbench", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the benchmark use."""
     b = (
@@ -35,11 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not str(spark.sparkContext.master).startswith("local"):
+    sc = spark.sparkContext
+    if not str(sc.master).startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="maskbench-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if sc.applicationId not in _FALLBACK:
+        _FALLBACK[sc.applicationId] = tempfile.mkdtemp(prefix="maskbench-")
+    return _FALLBACK[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
