@@ -34,6 +34,17 @@ def hash_chunk(h: Column | str) -> Column:
     return F.shiftright(c(h), 20)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Deal rows evenly over the shuffle partitions before each of them turns into much work.
+
+    For rows that are few but expand (one draw per replicate) or cost a pixel kernel. The
+    fixed partition count keeps adaptive coalescing from packing them into one task; ``keys``
+    must be unique or nearly so, so no partition is hot.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,12 +7,22 @@ key that owns most of the units is spread like any other.
 
 from __future__ import annotations
 
-from typing import Sequence
+from functools import lru_cache
+from hashlib import md5
+from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import draw_index, hash32
-from ..functions.ordered import hash_chunk, ordinal, rank_table
+from ..functions.ordered import hash_chunk, ordinal, rank_table, spread
+from ..schemas import row_type
+from ..session import materialise
+
+# Largest key whose values are held as one array; larger keys take the join, with equal draws.
+SMALL_UNITS = 2048
+SMALL_ROWS = 32768
 
 
 def number_units(df: DataFrame, keys: Sequence[str], unit: Sequence[str]) -> DataFrame:
@@ -23,11 +33,38 @@ def number_units(df: DataFrame, keys: Sequence[str], unit: Sequence[str]) -> Dat
 
 def draws(units: DataFrame, keys: Sequence[str], n_boot: int, seed: int = 0) -> DataFrame:
     """One row per (key, replicate, drawn position); each unit yields one draw a replicate."""
-    d = units.select(*keys, "pos", "n_units",
-                     F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    few = spread(units.select(*keys, "pos", "n_units"), [*keys, "pos"])
+    d = few.select(*keys, "pos", "n_units",
+                   F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     return d.select(*keys, "b", draw_index(seed, "b", "pos", "n_units").alias("pos"))
 
 
+@lru_cache(maxsize=4)
+def _hashes(seed: int, n_boot: int, n: int) -> np.ndarray:
+    """The 32-bit draw hashes of positions below n: the same for every key, so made once."""
+    return np.array([[int(md5(f"{seed}|{b}|{i}".encode()).hexdigest()[:8], 16)
+                      for i in range(n)] for b in range(n_boot)], dtype=np.int64)
+
+
+def draw_matrix(seed: int, n_boot: int, n: int) -> np.ndarray:
+    """Drawn positions of n units, one row per replicate: ``draw_index`` in numpy."""
+    size = 1 << max(5, (n - 1).bit_length())
+    return _hashes(seed, n_boot, size)[:, :n] % n
+
+
+def _mean_bounds(n_boot: int, alpha: float, seed: int) -> Callable[..., Column]:
+    @F.pandas_udf(row_type("ci_lo:d ci_hi:d"))
+    def bounds(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            v = np.asarray(v, float)
+            means = v[draw_matrix(seed, n_boot, len(v))].mean(axis=1)
+            out.append(np.percentile(means, [50 * alpha, 100 - 50 * alpha]))
+        return pd.DataFrame(out, columns=["ci_lo", "ci_hi"])
+
+    return bounds
+
+
 def percentile_bounds(df: DataFrame, keys: Sequence[str], value: str, alpha: float,
                       lo: str = "ci_lo", hi: str = "ci_hi") -> DataFrame:
     """Percentiles over the replicates of a key: at most ``n_boot`` values each."""
@@ -42,12 +79,20 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: Sequence[str], value:
 
     A single unit gives the interval (v, v); keys without values give no row.
     """
-    units = number_units(df.where(F.col(value).isNotNull()), keys, unit)
-    picked = draws(units, keys, n_boot, seed).join(
-        units.select(*keys, "pos", F.col(value).alias("_v")), [*keys, "pos"])
+    units = number_units(df.where(F.col(value).isNotNull()).select(*keys, *unit, value), keys, unit)
+    units = materialise(units.select(*keys, "pos", "n_units", F.col(value).cast("double").alias("_v")))
+    big = units.where(F.col("n_units") > SMALL_UNITS)
+    picked = draws(big, keys, n_boot, seed).join(big.select(*keys, "pos", "_v"), [*keys, "pos"])
     boots = picked.groupBy(*keys, "b").agg(F.avg("_v").alias("_m"))
-    point = units.groupBy(*keys).agg(F.avg(value).alias("point"), F.count("*").alias("n"))
-    return point.join(percentile_bounds(boots, keys, "_m", alpha), list(keys))
+    # at most SMALL_UNITS values per key
+    arrays = units.where(F.col("n_units") <= SMALL_UNITS).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "_v"))).alias("_a"))
+    small = spread(arrays, keys).select(
+        *keys, _mean_bounds(n_boot, alpha, seed)(F.col("_a._v")).alias("_c"))
+    ci = small.select(*keys, "_c.ci_lo", "_c.ci_hi").unionByName(
+        percentile_bounds(boots, keys, "_m", alpha))
+    point = units.groupBy(*keys).agg(F.avg("_v").alias("point"), F.count("*").alias("n"))
+    return point.join(ci, list(keys))
 
 
 def weighted_rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str,
@@ -80,35 +125,87 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
                                      "_one")
 
 
-def resampled(df: DataFrame, keys: Sequence[str], unit: Sequence[str], n_boot: int, seed: int,
-              strata: Sequence[str] = ()) -> DataFrame:
-    """Rows of each replicate with their multiplicity ``w``; whole units are drawn.
-
-    With ``strata`` the same draw of units serves every stratum of the key.
-    """
-    units = number_units(df.select(*keys, *unit).distinct(), keys, unit)
-    times = draws(units, keys, n_boot, seed).groupBy(*keys, "b", "pos").agg(
-        F.count("*").alias("w"))
-    named = times.join(units.select(*keys, "pos", *unit), [*keys, "pos"]).drop("pos")
-    return df.join(named, [*keys, *unit])
+def _weighted_rho(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int) -> float:
+    """Rho of rows repeated w times, from the rank codes of x and y."""
+    n = w.sum()
+    if n < max(4, least):
+        return np.nan
+    ranks = []
+    for code in (x, y):
+        per = np.bincount(code, weights=w)
+        ranks.append((np.cumsum(per) - per + (per - n) / 2.0)[code])
+    rx, ry = ranks
+    d = np.sqrt((w * rx * rx).sum() * (w * ry * ry).sum())
+    return float((w * rx * ry).sum() / d) if d > 0 else np.nan
+
+
+def _rho_bounds(n_boot: int, alpha: float, seed: int, min_rows: int) -> Callable[..., Column]:
+    @F.pandas_udf(row_type("ci_lo:d ci_hi:d"))
+    def bounds(rows: pd.Series, n_units: pd.Series) -> pd.DataFrame:
+        out = []
+        for r, n in zip(rows, n_units):
+            pos, strat, x, y = (np.array([t[c] for t in r]) for c in ("pos", "_s", "_x", "_y"))
+            groups = []
+            for s in np.unique(strat):
+                at = strat == s
+                if at.sum() >= min_rows:
+                    groups.append((pos[at], np.unique(x[at], return_inverse=True)[1],
+                                   np.unique(y[at], return_inverse=True)[1]))
+            stats = []
+            for drawn in draw_matrix(seed, n_boot, int(n)):
+                times = np.bincount(drawn, minlength=int(n)).astype(float)
+                rho = [_weighted_rho(cx, cy, times[p], min_rows) for p, cx, cy in groups]
+                rho = [v for v in rho if v == v]
+                if rho:
+                    stats.append(np.mean(rho))
+            out.append(np.percentile(stats, [50 * alpha, 100 - 50 * alpha]) if stats
+                       else (np.nan, np.nan))
+        return pd.DataFrame(out, columns=["ci_lo", "ci_hi"])
+
+    return bounds
+
+
+def _clustered_rho(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,
+                   n_boot: int, alpha: float, seed: int, stratum: str | None, min_rows: int
+                   ) -> DataFrame:
+    keys, strat = list(keys), [stratum] if stratum else []
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = materialise(d.select(*keys, *strat, *unit, F.col(x).cast("double").alias("_x"),
+                             F.col(y).cast("double").alias("_y")))
+    if stratum:
+        sizes = d.groupBy(*keys, stratum).agg(F.count("*").alias("_n"))
+        d = d.join(sizes.where(F.col("_n") >= min_rows).drop("_n"), [*keys, stratum])
+    units = number_units(d.select(*keys, *unit).distinct(), keys, unit)
+    rows = d.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    d = materialise(d.join(units, [*keys, *unit]).join(rows, keys))
+    fits = (F.col("_rows") <= SMALL_ROWS) & (F.col("n_units") <= SMALL_ROWS)
+    # at most SMALL_ROWS rows per key
+    part = F.col(stratum).cast("string") if stratum else F.lit("")
+    arrays = d.where(fits).groupBy(*keys, "n_units").agg(
+        F.collect_list(F.struct("pos", part.alias("_s"), "_x", "_y")).alias("_a"))
+    small = spread(arrays, keys).select(*keys, _rho_bounds(
+        n_boot, alpha, seed, min_rows if stratum else 0)(F.col("_a"), F.col("n_units")).alias("_c"))
+    small = small.select(*keys, *[F.nanvl(f"_c.{c}", F.lit(None)).alias(c) for c in ("ci_lo", "ci_hi")])
+
+    big = d.where(~fits)
+    spots = big.select(*keys, "pos", "n_units").distinct()
+    times = draws(spots, keys, n_boot, seed).groupBy(*keys, "b", "pos").agg(F.count("*").alias("w"))
+    drawn = big.join(times, [*keys, "pos"])
+    rho = weighted_rank_correlation(drawn, [*keys, *strat, "b"], "_x", "_y", "w")
+    if stratum:
+        rho = rho.where(F.col("n") >= min_rows).groupBy(*keys, "b").agg(F.avg("rho").alias("rho"))
+    out = percentile_bounds(rho, keys, "rho", alpha)
+    return small.unionByName(out).where(F.col("ci_lo").isNotNull())
 
 
 def unit_bootstrap_rho(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,
                        n_boot: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Interval of the pooled rho when whole units (rows, instances, clips) are resampled."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    boots = weighted_rank_correlation(resampled(d, keys, unit, n_boot, seed), [*keys, "b"], x, y)
-    return percentile_bounds(boots, keys, "rho", alpha)
+    return _clustered_rho(df, keys, unit, x, y, n_boot, alpha, seed, None, 0)
 
 
 def stratified_bootstrap_rho(df: DataFrame, keys: Sequence[str], stratum: str,
                              unit: Sequence[str], x: str, y: str, n_boot: int,
                              min_rows: int = 8, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Interval of the mean of per-stratum rhos, drawing the same units in every stratum."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sizes = d.groupBy(*keys, stratum).agg(F.count("*").alias("_n"))
-    d = d.join(sizes.where(F.col("_n") >= min_rows).drop("_n"), [*keys, stratum])
-    rows = resampled(d, keys, unit, n_boot, seed)
-    rho = weighted_rank_correlation(rows, [*keys, stratum, "b"], x, y)
-    mean = rho.where(F.col("n") >= min_rows).groupBy(*keys, "b").agg(F.avg("rho").alias("_m"))
-    return percentile_bounds(mean, keys, "_m", alpha)
+    return _clustered_rho(df, keys, unit, x, y, n_boot, alpha, seed, stratum, min_rows)

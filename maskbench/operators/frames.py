@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
 from ..functions.keys import c, hash32, sequence_seed
+from ..functions.ordered import spread
 from ..kernels import degrade as D, quality as Q, restore as R
 from ..kernels.image import as_bytes
 from ..schemas import IQA_METRICS, row_type
 from .grid import ORACLE_MODE
 
+FRAME_KEY = ("seq", "frame")
 _IQA_TYPE = row_type(" ".join(f"{m}:d" for m in IQA_METRICS))
 
 
@@ -77,17 +79,6 @@ def iqa_panel(rgb: pd.Series, clean: pd.Series, h: pd.Series, w: pd.Series) -> p
     return pd.DataFrame(rows, columns=list(IQA_METRICS), dtype=float)
 
 
-def spread(frames: DataFrame, keys: Sequence[str] = ("seq", "frame")) -> DataFrame:
-    """Deal frames evenly over the shuffle partitions before a pixel kernel.
-
-    A kernel costs tens of milliseconds a frame, far more than moving the frame, and input
-    files rarely split into equal work. The key is unique, so no partition is hot; the fixed
-    partition count keeps small inputs from being coalesced into one task.
-    """
-    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frames.repartition(n, *keys)
-
-
 def degraded_sequences(frames: DataFrame, conditions: Sequence[tuple[str, float]], stride: int = 1,
                        max_frames: int = 0, seed: int = 0, amp: float = 0.30,
                        temporal_variation: bool = True) -> DataFrame:
@@ -111,14 +102,14 @@ def degraded_sequences(frames: DataFrame, conditions: Sequence[tuple[str, float]
         sev = severity_schedule("level", "t", "n_frames", "seq_seed", amp)
     d = d.withColumn("severity", F.when(F.col("degradation") == "clean", 1.0).otherwise(
         sev.cast("float").cast("double")))
-    d = spread(d, ["seq", "frame", "degradation", "level"])
+    d = spread(d, [*FRAME_KEY, "degradation", "level"])
     return d.withColumnRenamed("rgb", "clean_rgb").withColumn(
         "rgb", _degrade("clean_rgb", "h", "w", "degradation", "severity", "seq_seed", "frame"))
 
 
 def degrade_frames(frames: DataFrame, name: str, level: float, seed: int = 0) -> DataFrame:
     """Every frame under one condition at constant severity."""
-    return spread(frames).withColumn("rgb", _degrade(
+    return spread(frames, FRAME_KEY).withColumn("rgb", _degrade(
         "rgb", "h", "w", F.lit(name), F.lit(float(level)), sequence_seed("seq", seed), "frame"))
 
 
@@ -129,7 +120,7 @@ def restore_frames(frames: DataFrame, names: Sequence[str] = R.NAMES) -> DataFra
         raise KeyError(f"unknown filter(s) {unknown}")
     ops = F.array(*[F.struct(F.lit(R.NAMES.index(n)).alias("op"), F.lit(n).alias("op_name"))
                     for n in names])
-    return spread(frames.select("*", F.inline(ops)), ["seq", "frame", "op"]).withColumn(
+    return spread(frames.select("*", F.inline(ops)), [*FRAME_KEY, "op"]).withColumn(
         "rgb", _restore("rgb", "h", "w", "op_name"))
 
 

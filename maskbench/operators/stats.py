@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.keys import c, hash32
 from ..functions.ordered import (average_rank, hash_chunk, median, ordinal, rank_table, running,
-                                 value_chunk)
+                                 spread, value_chunk)
 from ..functions.tails import EXACT_MAX_N, rank_correlation_p_udf, signed_rank_p_udf
+from ..session import materialise
 from .bootstrap import bootstrap_ci, rank_correlation, unit_bootstrap_rho
 
 USABLE_RHO = 0.6  # fixed value: |rho| from which a metric could drive a choice
@@ -122,6 +123,7 @@ def paired_report(pairs: DataFrame, keys: Sequence[str], unit: Sequence[str],
                   n_boot: int = 10000, seed: int = 0, p_value: bool = True) -> DataFrame:
     """One row per comparison: size, location, interval, signed-rank test, effect size."""
     keys = list(keys)
+    pairs = materialise(pairs.select(*keys, *unit, "a", "b", "d"))
     ci = bootstrap_ci(pairs, keys, unit, "d", n_boot=n_boot, seed=seed)
     w = signed_rank(pairs, keys)
     if p_value:
@@ -200,7 +202,7 @@ def between_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str],
     um = unit_means(df, keys, unit, x, y).withColumn("_h", hash32(*unit))
     um = ordinal(um, keys, ["_h", *unit], hash_chunk("_h"), "pos", "n_units")
     obs = rank_correlation(um, keys, "x", "y")
-    shuffled = um.select(*keys, *unit, "x", F.explode(
+    shuffled = spread(um, [*keys, *unit]).select(*keys, *unit, "x", F.explode(
         F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     shuffled = shuffled.withColumn("_g", hash32(F.lit(seed), "perm", *unit))
     placed = ordinal(shuffled, [*keys, "perm"], ["_g", *unit], hash_chunk("_g"), "pos")
@@ -286,7 +288,7 @@ def sign_flip_test(df: DataFrame, keys: Sequence[str], unit: Sequence[str], diff
     permutation sum and the sums combine map-side.
     """
     d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0))
-    e = d.select(*keys, F.col(diff).alias("_d"), hash32(*unit).alias("_u"),
+    e = spread(d, [*keys, *unit]).select(*keys, F.col(diff).alias("_d"), hash32(*unit).alias("_u"),
                  F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     sign = F.when(hash32(F.lit(seed), "perm", "_u") % 2 == 0, 1.0).otherwise(-1.0)
     sums = e.groupBy(*keys, "perm").agg(F.abs(F.sum(sign * F.col("_d"))).alias("_null"),
@@ -308,7 +310,7 @@ def null_calibration(df: DataFrame, unit: Sequence[str], y: str, row_id: Sequenc
     """
     d = df.where(F.col(y).isNotNull()).select(*unit, *row_id, F.col(y).alias("_y"))
     mu = d.groupBy(*unit).agg(F.avg("_y").alias("_mu"))
-    e = d.join(mu, list(unit)).withColumn(
+    e = spread(d.join(mu, list(unit)), [*unit, *row_id]).withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u01 = hash32(F.lit(seed), "rep", *unit, *row_id) / F.lit(float(1 << 32))
     jitter = hash32(F.lit(seed + 1), "rep", *unit) / F.lit(float(1 << 32))

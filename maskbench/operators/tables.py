@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import is_main
 from ..functions.ordered import median, quantiles
+from ..session import materialise
 from . import stats
 from .bootstrap import bootstrap_ci
 from .collapse import group_mean
@@ -16,6 +17,7 @@ from .collapse import group_mean
 def main_table(clips: DataFrame, n_boot: int = 5000, seed: int = 0) -> DataFrame:
     """Mean by condition and arm with the percentile interval over clips."""
     keys = ["degradation", "level", "mode"]
+    clips = materialise(clips.select(*keys, "seq", "jf"))
     ci = bootstrap_ci(clips, keys, ["seq"], "jf", n_boot=n_boot, seed=seed)
     return group_mean(clips, keys).join(ci.select(*keys, "ci_lo", "ci_hi"), keys)
 
@@ -43,7 +45,7 @@ def arm_order(arm: str = "arm"):
 
 
 def ablation_table(clips: DataFrame, reference: str = "A0") -> DataFrame:
-    """Arm means and differences from the reference arm, in natural arm order."""
+    """Arm means and differences from the reference arm, with the natural arm order."""
     arms = group_mean(clips.where(~is_main("arm")), ["arm"])
     ref = clips.where(F.col("arm") == reference).agg(F.avg("jf")).scalar()
     return arms.select("arm", "jf_mean", "jf_std", "n",
@@ -55,6 +57,7 @@ def ablation_report(clips: DataFrame, arms: Sequence[str], phase: Sequence[str],
                     reference: str = "A0", n_boot: int = 10000, seed: int = 0,
                     p_value: bool = True) -> DataFrame:
     """Each arm against the reference within a phase, read by effect size before p."""
+    clips = materialise(clips.select(*phase, "seq", "arm", "jf", "n_encoder_calls"))
     pairs = stats.paired_values(clips, [*phase, "seq"], "arm", "jf", reference, list(arms))
     pairs = pairs.withColumnRenamed("method", "arm")
     rep = stats.paired_report(pairs, [*phase, "arm"], ["seq"], n_boot, seed, p_value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[sc.applicationId]
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For a small result that several branches of a plan use, such as paired scores: the large
+    input behind it is scanned once, and a lost executor costs only the step at hand. The
+    tables stay until the shared folder is cleared.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so that lost executors cost nothing."""
     spark = df.sparkSession
