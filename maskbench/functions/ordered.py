@@ -59,10 +59,8 @@ def running(
     ``chunk`` must not decrease along ``order``.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    keys = list(keys)
-    d = df.withColumn("_chunk", chunk)
-    for n, e in {**sums, **maxes}.items():
-        d = d.withColumn(f"_in_{n}", e)
+    keys, new = list(keys), {**sums, **maxes}
+    d = df.withColumns({"_chunk": chunk, **{f"_in_{n}": e for n, e in new.items()}})
     per_chunk = d.groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max(f"_in_{n}").alias(f"_t_{n}") for n in maxes],
@@ -77,16 +75,15 @@ def running(
         *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in totals],
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(*[c(o) for o in order]).rowsBetween(UNB, 0)
-    for n in sums:
-        d = d.withColumn(n, F.sum(f"_in_{n}").over(inside))
-    for n in maxes:
-        d = d.withColumn(n, F.max(f"_in_{n}").over(inside))
-    out = d.join(offsets, [*keys, "_chunk"])
-    for n in sums:
-        out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-    for n in maxes:
-        out = out.withColumn(n, F.greatest(F.col(n), F.col(f"_o_{n}")))
-    return out.drop("_chunk", *[f"{p}{n}" for n in {**sums, **maxes} for p in ("_in_", "_o_")])
+    d = d.withColumns({**{f"_in_{n}": F.sum(f"_in_{n}").over(inside) for n in sums},
+                       **{f"_in_{n}": F.max(f"_in_{n}").over(inside) for n in maxes}})
+    kept = [x for x in df.columns if x not in new]
+    return d.join(offsets, [*keys, "_chunk"]).select(
+        *[F.col(f"`{x}`") for x in kept],
+        *[(F.col(f"_in_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums],
+        *[F.greatest(F.col(f"_in_{n}"), F.col(f"_o_{n}")).alias(n) for n in maxes],
+        *[f"{n}_total" for n in totals],
+    )
 
 
 def ordinal(

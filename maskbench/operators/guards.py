@@ -108,24 +108,27 @@ def collapse_disagreement(a: DataFrame, b: DataFrame, keys: Sequence[str],
 
 
 def series_digest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk: Column,
-                  value: str, block: int = 4096) -> DataFrame:
+                  value: str, block: int = 4096, levels: int = 4) -> DataFrame:
     """SHA-1 of a numeric series printed as ``%.9g`` lines in the given order.
 
     Up to ``block`` values the digest is that of the lines themselves. A longer series is
-    digested by blocks, then over the block digests in order, so no task needs it whole.
+    digested by blocks, the block digests by blocks again, and so on, so a task never needs
+    more than ``block`` entries; ``levels`` of 4096 reach beyond 10^14 values.
     """
-    d = ordinal(df, keys, order, chunk, "_pos", "n")
-    d = d.withColumn("_line", format_9g(F.col(value)))
-    blocks = d.groupBy(*keys, "n", F.floor(F.col("_pos") / block).alias("_block")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_line"))),
-                                 lambda x: F.concat(x["_line"], F.lit("\n"))), "").alias("_text"))
-    blocks = blocks.withColumn("_sha", F.sha1(F.col("_text").cast("binary")))
-    # one row per block; the list below grows by one 40-byte digest per ``block`` values
-    g = blocks.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("_block", "_sha")))
-                                       .alias("_s"))
-    joined = F.array_join(F.transform("_s", lambda x: x["_sha"]), "")
-    return g.select(*keys, "n", F.when(F.size("_s") == 1, F.col("_s")[0]["_sha"]).otherwise(
-        F.sha1(joined.cast("binary"))).alias("digest"))
+    d = ordinal(df, keys, order, chunk, "_i", "n")
+    d = d.select(*keys, "n", "_i", F.concat(format_9g(F.col(value)), F.lit("\n")).alias("_text"))
+
+    def joined(entries: Column) -> Column:
+        return F.array_join(F.transform(F.sort_array(entries), lambda x: x["_text"]), "")
+
+    for level in range(levels):
+        d = d.groupBy(*keys, "n", F.floor(F.col("_i") / block).alias("_b")).agg(
+            F.collect_list(F.struct("_i", "_text")).alias("_e"))
+        text = F.sha1(joined(F.col("_e")).cast("binary"))
+        if level:  # a lone digest passes through
+            text = F.when(F.size("_e") == 1, F.col("_e")[0]["_text"]).otherwise(text)
+        d = d.select(*keys, "n", F.col("_b").alias("_i"), text.alias("_text"))
+    return d.select(*keys, "n", F.col("_text").alias("digest"))
 
 
 def format_9g(v: Column) -> Column:

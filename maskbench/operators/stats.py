@@ -167,6 +167,20 @@ def correlation_table(df: DataFrame, keys: Sequence[str], x: str, y: str, unit:
     return out
 
 
+def metric_kind(metric: Column | str, full_reference: Sequence[str]) -> Column:
+    return F.when(c(metric).isin(list(full_reference)), "full-reference").otherwise("no-reference")
+
+
+def interval_comparison(naive: DataFrame, clustered: DataFrame, keys: Sequence[str], n: str = "n"
+                        ) -> DataFrame:
+    """Width of the naive interval over the clustered one and the effective sample size."""
+    b = clustered.select(*keys, (F.col("ci_hi") - F.col("ci_lo")).alias("width_clustered"))
+    a = naive.select(*keys, n, (F.col("ci_hi") - F.col("ci_lo")).alias("width_naive"))
+    r = F.col("width_naive") / F.nullif(F.col("width_clustered"), F.lit(0.0))
+    return a.join(b, list(keys)).withColumn("width_ratio", r).withColumn(
+        "n_eff", F.round(F.col(n) * F.col("width_ratio") * F.col("width_ratio")).cast("bigint"))
+
+
 def across_within(df: DataFrame, keys: Sequence[str], stratum: str, x: str, y: str,
                   min_rows: int = 8) -> DataFrame:
     """Pooled rho next to the mean, least and greatest rho of the strata."""

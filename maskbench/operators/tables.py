@@ -253,6 +253,17 @@ def correlation_verdict(table: DataFrame, threshold: float = stats.USABLE_RHO) -
         F.max((F.abs("rho") >= threshold).cast("int")).alias("any_usable"))
 
 
+def intervals_reaching(table: DataFrame, threshold: float = stats.USABLE_RHO) -> DataFrame:
+    """Rows whose interval reaches the threshold: not usable, yet not excluded either."""
+    return table.where(F.greatest(F.abs("ci_lo"), F.abs("ci_hi")) >= threshold)
+
+
+def silent_cells(cells: DataFrame, counter: str, by: Sequence[str]) -> DataFrame:
+    """Cells in which a mechanism never fired, out of all cells."""
+    return cells.groupBy(*by).agg(F.count_if(F.coalesce(F.col(counter), F.lit(0)) == 0)
+                                  .alias("silent"), F.count("*").alias("cells"))
+
+
 def series(clips: DataFrame, by: Sequence[str]) -> DataFrame:
     """Points of a curve or bar chart: mean, population std and count."""
     return group_mean(clips, by)

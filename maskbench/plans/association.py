@@ -176,6 +176,28 @@ def _(spark, sf):
     return bootstrap.unit_bootstrap_rho(decisions(spark, sf), ["k"], ["inst", "frame"], "vacuity", "err", 20)
 
 
+@query("interval_comparison", "SELECT k, n, width_naive, width_clustered, width_naive / width_clustered AS width_ratio, "
+       "CAST(round(n * pow(width_naive / width_clustered, 2)) AS BIGINT) AS n_eff FROM (SELECT k, ci_hi - ci_lo AS width_naive FROM (WITH "
+       + _unit_boot_sql(_DEC, ["k"], ["inst", "frame"], "vacuity", "err", 20) + ")) JOIN (SELECT k, ci_hi - ci_lo AS width_clustered FROM (WITH "
+       + _unit_boot_sql(_DEC, ["k"], ["inst"], "vacuity", "err", 20) + ")) USING (k) JOIN (SELECT k, count(*) AS n FROM " + _DEC + " GROUP BY k) USING (k)",
+       ["gf"], "width_naive width_clustered width_ratio")
+def _(spark, sf):
+    d = decisions(spark, sf)
+    n = d.groupBy("k").agg(F.count("*").alias("n"))
+    frame = bootstrap.unit_bootstrap_rho(d, ["k"], ["inst", "frame"], "vacuity", "err", 20).join(n, "k")
+    inst = bootstrap.unit_bootstrap_rho(d, ["k"], ["inst"], "vacuity", "err", 20)
+    return stats.interval_comparison(frame, inst, ["k"])
+
+
+@query("intervals_reaching", "SELECT * FROM (WITH " + _CELL_METRICS + ", ci AS (SELECT * FROM (WITH " + _unit_boot_sql(
+    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", 20) + ")) SELECT *, CASE WHEN metric = 'iqa_a' THEN 'full-reference' ELSE 'no-reference' END AS kind "
+    "FROM ci WHERE greatest(abs(ci_lo), abs(ci_hi)) >= 0.02)", ["rows_raw", "cl"], "ci_lo ci_hi")
+def _(spark, sf):
+    d = cell_metric_rows(spark, sf).where(F.col("mode") == "base")
+    t = bootstrap.unit_bootstrap_rho(d, ["metric"], ["seq"], "x", "jf", 20)
+    return tables.intervals_reaching(t, 0.02).withColumn("kind", stats.metric_kind("metric", ["iqa_a"]))
+
+
 # ---- tests --------------------------------------------------------------------------------
 
 _PAIR_CTE = ("p AS (SELECT x.degradation, seq, level, x.jf AS a, y.jf AS b, round(y.jf - x.jf, 12) AS d FROM (SELECT * FROM cl WHERE mode = 'base') x "

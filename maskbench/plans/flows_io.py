@@ -115,7 +115,7 @@ def _(spark, sf):
     src = _landed(spark, d.unionByName(d), "in", 2)
     out = scratch(spark, "out")
     rs.ingest_results(rs.result_stream(spark, src, d.schema, files_per_trigger=1), f"{out}/rows",
-                      f"{out}/conflicts", keys, ["jf", "n_frames"], f"{out}/ck")
+                      f"{out}/conflicts", keys, ["jf", "n_frames"], f"{out}/ck", ["degradation", "level"])
     return spark.read.parquet(f"{out}/rows").groupBy("mode").agg(
         F.count("*").alias("n"), F.avg("jf").alias("jf"))
 

@@ -489,6 +489,19 @@ def _(spark, sf):
                           "memory", "base")
 
 
+@query("gap_shift_report", "SELECT * FROM (WITH " + _GAP_CTE + """, p AS (SELECT 'fog_noise' AS compound, m.degradation AS member, seq, m.gap AS a, c.gap AS b,
+  round(c.gap - m.gap, 12) AS d FROM g m JOIN g c USING (seq) WHERE c.degradation = 'fog_noise' AND m.degradation IN ('fog', 'noise')), """
+       + sql_paired("rep", "p", ["compound", "member"], ["seq"], 100) + " SELECT * FROM rep)", ["cl"], PAIRED_FLOATS)
+def _(spark, sf):
+    p = gaps.gap_shift_pairs(V.clip_rows(spark, sf), gaps.member_table(spark, V.COMPOUND_MAP), "memory", "base")
+    return stats.paired_report(p, ["compound", "member"], ["seq"], n_boot=100, p_value=False)
+
+
+@query("silent_cells", "SELECT mode, count(*) FILTER (n_reanchors = 0) AS silent, count(*) AS cells FROM rc GROUP BY mode", ["rc"])
+def _(spark, sf):
+    return tables.silent_cells(V.cell_rows(spark, sf), "n_reanchors", ["mode"])
+
+
 @query("severity_gaps", """
 SELECT degradation, level, s AS subtrahend, avg(jf) FILTER (mode = 'memory') - avg(jf) FILTER (mode = s) AS gap
 FROM cl, (VALUES ('base'), ('method')) t(s) GROUP BY ALL""", ["cl"], "gap")

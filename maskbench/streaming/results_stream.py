@@ -38,28 +38,38 @@ def run_available(writer, checkpoint: str) -> None:
         raise q.exception()
 
 
-def _landed(spark: SparkSession, path: str, schema: StructType, epoch: int) -> DataFrame:
-    """Rows of earlier epochs; a repeated epoch must not meet its own output."""
+MAX_PRUNED = 10_000  # conditions of one batch above which earlier rows are not pruned
+
+
+def _landed(batch: DataFrame, path: str, schema: StructType, epoch: int,
+            partition: Sequence[str]) -> DataFrame:
+    """Earlier rows of the conditions in the batch; a repeated epoch must not meet itself."""
+    spark = batch.sparkSession
     full = StructType([*schema.fields, StructField("epoch", LongType())])
     try:
-        return spark.read.schema(full).parquet(path).where(F.col("epoch") < epoch)
+        old = spark.read.schema(full).parquet(path).where(F.col("epoch") < epoch)
+        for col in partition:
+            seen = batch.select(col).distinct().limit(MAX_PRUNED + 1).collect()
+            if len(seen) <= MAX_PRUNED:
+                old = old.where(F.col(col).isin([r[0] for r in seen]))
+        return old
     except AnalysisException:  # the folder appears with the first epoch
         return spark.createDataFrame([], full)
 
 
 def ingest_results(stream: DataFrame, path: str, conflict_path: str, keys: Sequence[str],
-                   values: Sequence[str], checkpoint: str) -> None:
+                   values: Sequence[str], checkpoint: str, partition: Sequence[str] = ()) -> None:
     """Append each key once. Disagreeing repeats go to a side table instead of the results.
 
     Every epoch writes its own partition and overwrites it when repeated, so a restart after
-    a lost executor or driver leaves neither gaps nor doubles.
+    a lost executor or driver leaves neither gaps nor doubles. ``partition`` names condition
+    columns by which the rows are laid out; only the conditions of a batch are compared.
     """
     schema = stream.schema
     keys = list(keys)
 
     def land(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = _landed(spark, path, schema, epoch)
+        old = _landed(batch, path, schema, epoch, partition)
         g = duplicate_groups(batch, keys, values)
         bad_keys = g.where(F.col("conflict") == 1).select(*keys)
         one = batch.join(bad_keys, keys, "left_anti").dropDuplicates(keys)
@@ -71,7 +81,7 @@ def ingest_results(stream: DataFrame, path: str, conflict_path: str, keys: Seque
         fresh = j.where(F.col("_seen").isNull()).select(*schema.names)
         clash = j.where(F.col("_seen").isNotNull() & differs).select(*schema.names)
         bad = batch.join(bad_keys, keys, "left_semi").unionByName(clash)
-        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        fresh.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/epoch={epoch}")
         bad.write.mode("overwrite").parquet(f"{conflict_path}/epoch={epoch}")
 
     run_available(stream.writeStream.foreachBatch(land), checkpoint)

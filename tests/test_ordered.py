@@ -137,6 +137,23 @@ def test_numeric_coercion(spark):
     assert [x.l for x in r[:3]] == ["3", "3", "3.5"]
 
 
+def test_large_keys_take_the_join_and_give_the_same_draws(df, monkeypatch):
+    d = df.withColumn("c", F.col("u") % 60)
+
+    def run():
+        a = bootstrap.bootstrap_ci(d, ["k"], ["u"], "y", 25).toPandas().sort_values("k")
+        b = bootstrap.unit_bootstrap_rho(d.where("k < 3"), ["k"], ["c"], "x", "y", 12).toPandas().sort_values("k")
+        e = bootstrap.stratified_bootstrap_rho(d.where("k = 0").withColumn("s", F.col("u") % 3), ["k"], "s", ["c"],
+                                               "x", "y", 8).toPandas()
+        return a, b, e
+    small = run()
+    monkeypatch.setattr(bootstrap, "SMALL_UNITS", 3)
+    monkeypatch.setattr(bootstrap, "SMALL_ROWS", 3)
+    for x, y in zip(small, run()):
+        assert len(x) == len(y) > 0
+        np.testing.assert_allclose(x.values, y.values, atol=1e-9)
+
+
 def test_hash_matches_hashlib(spark):
     import hashlib
 
