@@ -27,15 +27,18 @@ def border_index(i: np.ndarray, n: int, rule: str) -> np.ndarray:
     return np.where(j < n, j, period - j - (1 if rule == "mirror" else 0))
 
 
-@lru_cache(maxsize=128)
+@lru_cache(maxsize=512)
 def axis_filter(n: int, taps: tuple[float, ...], rule: str) -> np.ndarray:
     """Matrix that correlates an axis of length n with centred taps under a border rule."""
-    m = np.zeros((n, n), np.float64)
-    half = len(taps) // 2
-    rows = np.arange(n)
-    for k, v in enumerate(taps):
-        np.add.at(m, (rows, border_index(rows + k - half, n, rule)), v)
-    return m
+    shift, weight = np.arange(len(taps)) - len(taps) // 2, np.array(taps)
+    period = 0 if rule == "edge" or n == 1 else 2 * n if rule == "mirror" else 2 * n - 2
+    if period and len(taps) > period:  # mirrored positions repeat, so long kernels fold
+        weight = np.bincount(shift % period, weights=weight, minlength=period)
+        shift = np.arange(period)
+    rows = np.arange(n)[:, None]
+    cells = rows * n + border_index(rows + shift, n, rule)
+    w = np.broadcast_to(weight, cells.shape)
+    return np.bincount(cells.ravel(), weights=w.ravel(), minlength=n * n).reshape(n, n)
 
 
 @lru_cache(maxsize=64)

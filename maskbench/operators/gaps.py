@@ -86,7 +86,7 @@ def gap_shift_pairs(clips: DataFrame, members: DataFrame, hi: str, lo: str) -> D
     comp = g.select(F.col("degradation").alias("compound"), "seq", F.col("gap").alias("b"))
     mem = g.select(F.col("degradation").alias("member"), "seq", F.col("gap").alias("a"))
     j = comp.join(members.select("compound", "member"), "compound").join(mem, ["member", "seq"])
-    return j.withColumn("d", F.round(F.col("b") - F.col("a"), stats.GAP_DIGITS))
+    return stats.with_difference(j)
 
 
 def gap_shift(clips: DataFrame, members: DataFrame, hi: str, lo: str) -> DataFrame:
@@ -131,8 +131,7 @@ def endpoint_pairs(clips: DataFrame, memory: str, subtrahends: Sequence[str]) ->
     e = long.groupBy("degradation", "subtrahend", "seq").agg(
         F.min_by("gap", "level").alias("a"), F.max_by("gap", "level").alias("b"),
         F.countDistinct("level").alias("n_levels"))
-    return e.where(F.col("n_levels") > 1).withColumn(
-        "d", F.round(F.col("b") - F.col("a"), stats.GAP_DIGITS))
+    return stats.with_difference(e.where(F.col("n_levels") > 1))
 
 
 def extra_over_clean(clips: DataFrame, hi: str, lo: str, n_boot: int = 10000, seed: int = 0

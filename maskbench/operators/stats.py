@@ -33,8 +33,13 @@ def paired_values(df: DataFrame, unit: Sequence[str], arm: str, value: str, base
     pairs = F.array(*[F.struct(F.lit(o).alias("method"), F.col(f"_b{i}").alias("b"))
                       for i, o in enumerate(others)])
     long = wide.where(F.col("a").isNotNull()).select(*unit, "a", F.inline(pairs))
-    return long.where(F.col("b").isNotNull()).withColumn(
-        "d", F.round(F.col("b") - F.col("a"), GAP_DIGITS))
+    return with_difference(long.where(F.col("b").isNotNull()))
+
+
+def with_difference(pairs: DataFrame) -> DataFrame:
+    """Round ``a`` and ``b`` and add ``d = b - a``, so that ties are ties in any order."""
+    return pairs.withColumns({"a": F.round("a", GAP_DIGITS), "b": F.round("b", GAP_DIGITS),
+                              "d": F.round(F.col("b") - F.col("a"), GAP_DIGITS)})
 
 
 def signed_rank(pairs: DataFrame, keys: Sequence[str], diff: str = "d") -> DataFrame:
@@ -243,7 +248,7 @@ def within_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str],
         "d", F.round("rho", GAP_DIGITS))
     out = rho.groupBy(*keys).agg(
         F.count("*").alias("n_units"), F.avg("rho").alias("within_rho"),
-        F.avg((F.col("rho") > 0).cast("double")).alias("share_positive"))
+        F.avg((F.col("d") > 0).cast("double")).alias("share_positive"))
     w = signed_rank(rho, keys)
     if p_value:
         w = with_signed_rank_p(w)

@@ -220,8 +220,7 @@ def sweep_report(clips: DataFrame, defaults: dict[str, int], n_boot: int = 10000
     d = d.withColumn("_is_ref", F.col("variant") == default[F.col("sweep")])
     ref = d.where("_is_ref").select("sweep", "seq", F.col("jf").alias("a"))
     pairs = d.where(~F.col("_is_ref")).select("sweep", "variant", "seq", F.col("jf").alias("b"))
-    pairs = pairs.join(ref, ["sweep", "seq"]).withColumn(
-        "d", F.round(F.col("b") - F.col("a"), stats.GAP_DIGITS))
+    pairs = stats.with_difference(pairs.join(ref, ["sweep", "seq"]))
     rep = stats.paired_report(pairs, ["sweep", "variant"], ["seq"], n_boot, seed, p_value)
     if not p_value:
         return rep

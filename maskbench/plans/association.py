@@ -277,7 +277,7 @@ def _(spark, sf):
     return stats.between_association(d, ["k"], ["inst"], "vacuity", "err", n_perm=40, seed=3).drop("k")
 
 
-@query("within_association", "SELECT count(*) AS n_units, avg(rho) AS within_rho, avg((rho > 0)::INTEGER::DOUBLE) AS share_positive FROM ("
+@query("within_association", "SELECT count(*) AS n_units, avg(rho) AS within_rho, avg((round(rho, 12) > 0)::INTEGER::DOUBLE) AS share_positive FROM ("
        + sql_rho(_DEC, ["inst"], "vacuity", "err") + ") WHERE n >= 10 AND rho IS NOT NULL", ["gf"], "within_rho share_positive")
 def _(spark, sf):
     d = decisions(spark, sf)

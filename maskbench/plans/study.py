@@ -465,7 +465,7 @@ def _(spark, sf):
     return gaps.widening_verdict(g, gaps.member_table(spark, _VERDICT_MAP))
 
 
-@query("pooled_sequence_test", "SELECT * FROM (WITH ps AS (SELECT seq, mode, avg(jf) AS jf FROM cl WHERE degradation <> 'clean' GROUP BY ALL), "
+@query("pooled_sequence_test", "SELECT * FROM (WITH ps AS (SELECT seq, mode, round(avg(jf), 12) AS jf FROM cl WHERE degradation <> 'clean' GROUP BY ALL), "
        "p AS (" + _pair_sql("ps", "seq") + "), " + sql_paired("rep", "p", ["method"], ["seq"], 200) + " SELECT * FROM rep)",
        ["cl"], PAIRED_FLOATS)
 def _(spark, sf):
@@ -489,7 +489,7 @@ def _(spark, sf):
                           "memory", "base")
 
 
-@query("gap_shift_report", "SELECT * FROM (WITH " + _GAP_CTE + """, p AS (SELECT 'fog_noise' AS compound, m.degradation AS member, seq, m.gap AS a, c.gap AS b,
+@query("gap_shift_report", "SELECT * FROM (WITH " + _GAP_CTE + """, p AS (SELECT 'fog_noise' AS compound, m.degradation AS member, seq, round(m.gap, 12) AS a, round(c.gap, 12) AS b,
   round(c.gap - m.gap, 12) AS d FROM g m JOIN g c USING (seq) WHERE c.degradation = 'fog_noise' AND m.degradation IN ('fog', 'noise')), """
        + sql_paired("rep", "p", ["compound", "member"], ["seq"], 100) + " SELECT * FROM rep)", ["cl"], PAIRED_FLOATS)
 def _(spark, sf):
@@ -511,7 +511,7 @@ def _(spark, sf):
 
 @query("severity_endpoint_test", """SELECT * FROM (WITH g AS (SELECT degradation, level, seq, s AS subtrahend,
     avg(jf) FILTER (mode = 'memory') - avg(jf) FILTER (mode = s) AS gap FROM cl, (VALUES ('base'), ('method')) t(s) GROUP BY ALL),
-  p AS (SELECT degradation, subtrahend, seq, arg_min(gap, level) AS a, arg_max(gap, level) AS b,
+  p AS (SELECT degradation, subtrahend, seq, round(arg_min(gap, level), 12) AS a, round(arg_max(gap, level), 12) AS b,
     round(arg_max(gap, level) - arg_min(gap, level), 12) AS d FROM g WHERE gap IS NOT NULL GROUP BY ALL HAVING count(DISTINCT level) > 1), """
        + sql_paired("rep", "p", ["degradation", "subtrahend"], ["seq"], 50) + " SELECT * FROM rep)", ["cl"], PAIRED_FLOATS)
 def _(spark, sf):

@@ -6,7 +6,7 @@ more data means more clips of the same length. Each Spark view has its SQL text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ordered import number_chunk, ordinal
 from ..operators.gate import decision_frame
@@ -48,7 +48,7 @@ SELECT l_suppkey AS seq, CAST(1 + l_linenumber % 2 AS INTEGER) AS obj_id,
   CASE CAST(round(l_tax * 100) AS INTEGER) % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'fog'
     WHEN 2 THEN 'noise' WHEN 3 THEN 'fog_noise' ELSE 'blur' END AS degradation,
   CAST(1 + l_partkey % 3 AS DOUBLE) AS level, '' AS arm,
-  l_quantity / 50 AS jf_frame, l_extendedprice AS iqa_a, l_discount AS iqa_b,
+  l_quantity / 50 AS jf_frame, l_extendedprice / 700 AS iqa_a, l_discount AS iqa_b,
   CAST(l_partkey % 101 AS DOUBLE) AS iqa_c, (l_partkey % 97) / 97.0::DOUBLE AS vacuity,
   l_extendedprice / 30000 AS area_ratio, CAST(l_partkey % 13 AS INTEGER) AS selected_op,
   l_linenumber, l_discount, l_orderkey, l_partkey, l_extendedprice, l_shipdate
@@ -61,7 +61,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY seq, obj_id, mode, degradation,
   FROM rows_raw)"""
 
 SQL["rc"] = """
-SELECT seq, obj_id, mode, degradation, level, arm, avg(jf_frame) AS jf, stddev_pop(jf_frame) AS jf_std,
+SELECT seq, obj_id, mode, degradation, level, arm, round(avg(jf_frame), 12) AS jf, avg(jf_frame) AS jf_exact, stddev_pop(jf_frame) AS jf_std,
   count(*) AS n_frames, count(*) FILTER (l_discount >= 0.09) AS n_reanchors,
   count(*) FILTER (l_discount >= 0.07) AS n_rejected,
   CAST(sum(1 + l_linenumber % 3) AS BIGINT) AS n_encoder_calls,
@@ -71,11 +71,20 @@ SELECT seq, obj_id, mode, degradation, level, arm, avg(jf_frame) AS jf, stddev_p
 FROM rows_raw GROUP BY seq, obj_id, mode, degradation, level, arm"""
 
 SQL["cl"] = """
-SELECT seq, mode, degradation, level, arm, avg(jf) AS jf, stddev_pop(jf) AS jf_std,
+SELECT seq, mode, degradation, level, arm, round(avg(jf_exact), 12) AS jf, stddev_pop(jf) AS jf_std,
   count(*) AS n_objects, avg(n_encoder_calls) AS n_encoder_calls, avg(n_reanchors) AS n_reanchors
 FROM rc GROUP BY seq, mode, degradation, level, arm"""
 
 
+def score(x) -> Column:
+    """Mean score to twelve decimals: equal scores then tie however they were summed.
+
+    Further means start from the unrounded ``jf_exact``, since halving a rounded score would
+    put it on the edge of the next rounding.
+    """
+    return F.round(F.avg(x), 12).alias("jf")
+
+
 def rows_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored frames without frame numbers: a projection of lineitem, no shuffle."""
     d = table(spark, sf_dir, "lineitem")
@@ -89,7 +98,7 @@ def rows_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.col("l_partkey") % 3).cast("double").alias("level"),
         F.lit("").alias("arm"),
         (F.col("l_quantity") / 50).alias("jf_frame"),
-        F.col("l_extendedprice").alias("iqa_a"),
+        (F.col("l_extendedprice") / 700).alias("iqa_a"),
         F.col("l_discount").alias("iqa_b"),
         (F.col("l_partkey") % 101).cast("double").alias("iqa_c"),
         ((F.col("l_partkey") % 97) / 97.0).alias("vacuity"),
@@ -113,7 +122,7 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sev = 1 + 40 * F.col("l_discount")
     return rows_raw(spark, sf_dir).groupBy(
         "seq", "obj_id", "mode", "degradation", "level", "arm").agg(
-        F.avg("jf_frame").alias("jf"), F.stddev_pop("jf_frame").alias("jf_std"),
+        score("jf_frame"), F.avg("jf_frame").alias("jf_exact"), F.stddev_pop("jf_frame").alias("jf_std"),
         F.count("*").alias("n_frames"),
         F.count_if(F.col("l_discount") >= 0.09).alias("n_reanchors"),
         F.count_if(F.col("l_discount") >= 0.07).alias("n_rejected"),
@@ -127,7 +136,7 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per clip, arm and condition."""
     return cell_rows(spark, sf_dir).groupBy("seq", "mode", "degradation", "level", "arm").agg(
-        F.avg("jf").alias("jf"), F.stddev_pop("jf").alias("jf_std"), F.count("*").alias("n_objects"),
+        score("jf_exact"), F.stddev_pop("jf").alias("jf_std"), F.count("*").alias("n_objects"),
         F.avg("n_encoder_calls").alias("n_encoder_calls"), F.avg("n_reanchors").alias("n_reanchors"))
 
 
@@ -136,16 +145,16 @@ def clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["abl_cells"] = """
 SELECT l_suppkey AS seq, CAST(1 + l_partkey % 2 AS INTEGER) AS obj_id, 'method' AS mode,
   CASE WHEN l_returnflag = 'A' THEN 'fog' ELSE 'fog_noise' END AS degradation,
-  3.0::DOUBLE AS level, 'A' || (l_linenumber - 1) AS arm, avg(l_quantity / 50) AS jf,
+  3.0::DOUBLE AS level, 'A' || (l_linenumber - 1) AS arm, round(avg(l_quantity / 50), 12) AS jf, avg(l_quantity / 50) AS jf_exact,
   CAST(sum(1 + l_linenumber % 3) AS BIGINT) AS n_encoder_calls
 FROM lineitem GROUP BY ALL"""
 
 SQL["abl"] = """
-SELECT seq, mode, degradation, level, arm, avg(jf) AS jf, avg(n_encoder_calls) AS n_encoder_calls
+SELECT seq, mode, degradation, level, arm, round(avg(jf_exact), 12) AS jf, avg(n_encoder_calls) AS n_encoder_calls
 FROM abl_cells GROUP BY ALL"""
 
 SQL["swp"] = """
-SELECT seq, arm, avg(jf) AS jf FROM (
+SELECT seq, arm, round(avg(jf), 12) AS jf FROM (
   SELECT l_suppkey AS seq, l_linenumber % 2 AS obj_id,
     CASE l_linenumber % 3 WHEN 0 THEN 'A8' WHEN 1 THEN 'A9' ELSE 'A10' END || '=' || (3 + 2 * (l_partkey % 3)) AS arm,
     avg(l_quantity / 50) AS jf
@@ -160,13 +169,13 @@ def ablation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "fog").otherwise("fog_noise").alias("degradation"),
         F.lit(3.0).alias("level"),
         F.concat(F.lit("A"), (F.col("l_linenumber") - 1).cast("string")).alias("arm"),
-    ).agg(F.avg(F.col("l_quantity") / 50).alias("jf"),
+    ).agg(score(F.col("l_quantity") / 50), F.avg(F.col("l_quantity") / 50).alias("jf_exact"),
           F.sum(1 + F.col("l_linenumber") % 3).alias("n_encoder_calls"))
 
 
 def ablation_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation_cells(spark, sf_dir).groupBy("seq", "mode", "degradation", "level", "arm").agg(
-        F.avg("jf").alias("jf"), F.avg("n_encoder_calls").alias("n_encoder_calls"))
+        score("jf_exact"), F.avg("n_encoder_calls").alias("n_encoder_calls"))
 
 
 def sweep_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +185,7 @@ def sweep_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
                    (3 + 2 * (F.col("l_partkey") % 3)).cast("string"))
     return d.groupBy(F.col("l_suppkey").alias("seq"), (F.col("l_linenumber") % 2).alias("obj_id"),
                      arm.alias("arm")).agg(F.avg(F.col("l_quantity") / 50).alias("jf")
-                                           ).groupBy("seq", "arm").agg(F.avg("jf").alias("jf"))
+                                           ).groupBy("seq", "arm").agg(score("jf"))
 
 
 # ---- decision frames from events ----------------------------------------------------------

@@ -36,11 +36,11 @@ def test_independent_and_monotone_relations(spark):
 def test_oracle_and_other_arms_do_not_enter(spark):
     d = frame_rows(spark)
     oracle = frame_rows(spark, 200, seed=1, score=lambda p, r: np.ones(200), mode="oracle_clean")
-    other = frame_rows(spark, 200, seed=2, mode="dagrs")
+    other = frame_rows(spark, 200, seed=2, mode="method")
     clean = frame_rows(spark, 50, seed=3).withColumn("degradation", F.lit("clean"))
     both = d.unionByName(oracle).unionByName(other).unionByName(clean)
     assert grid.iqa_subset(both, "greedy").count() == d.count()
-    assert grid.iqa_subset(both, "dagrs").count() == 200
+    assert grid.iqa_subset(both, "method").count() == 200
     with pytest.raises(ValueError):
         grid.iqa_subset(both, "oracle_clean")
 
@@ -63,8 +63,8 @@ def test_significant_is_not_usable(spark):
 def arms(spark):
     rows = []
     for s in range(6):
-        rows += [(f"s{s}", 1, "dagrs", "fog", 3.0, "", 0.50), (f"s{s}", 1, "greedy", "fog", 3.0, "", 0.30),
-                 (f"s{s}", 1, "dagrs", "fog", 3.0, "A0", 0.50), (f"s{s}", 1, "dagrs", "fog", 3.0, "A1", 0.10)]
+        rows += [(f"s{s}", 1, "method", "fog", 3.0, "", 0.50), (f"s{s}", 1, "greedy", "fog", 3.0, "", 0.30),
+                 (f"s{s}", 1, "method", "fog", 3.0, "A0", 0.50), (f"s{s}", 1, "method", "fog", 3.0, "A1", 0.10)]
     return spark.createDataFrame(rows, "seq string, obj_id int, mode string, degradation string, level double, arm string, jf_frame double")
 
 
@@ -72,8 +72,8 @@ def test_arms_are_not_pooled(spark):
     from maskbench.functions.keys import is_main
 
     c = collapse.clip_scores(arms(spark))
-    main = tables.pivot_with_deltas(c.where(is_main("arm")), ["greedy", "dagrs"], "greedy").first()
-    assert main.dagrs == pytest.approx(0.5) and main.d_dagrs == pytest.approx(0.2)
+    main = tables.pivot_with_deltas(c.where(is_main("arm")), ["greedy", "method"], "greedy").first()
+    assert main.method == pytest.approx(0.5) and main.d_method == pytest.approx(0.2)
     abl = {r.arm: r for r in tables.ablation_table(c).collect()}
     assert set(abl) == {"A0", "A1"} and abl["A1"].delta_vs_ref == pytest.approx(-0.4)
 
