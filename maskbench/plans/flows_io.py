@@ -12,7 +12,7 @@ from ..session import shared_dir
 from ..sources import files, results
 from ..streaming import results_stream as rs
 from . import views as V
-from .association import _gate_sql
+from .association import _PROFILE, _gate_sql
 from .registry import query
 
 
@@ -64,13 +64,14 @@ def _(spark, sf):
     return results.read_results(spark, path).groupBy("degradation", "level").agg(F.count("*").alias("n"))
 
 
-@query("degraded_frames_sink")
+@query("degraded_frames_sink", """SELECT degradation, level, count(*) AS n, CAST(sum(96 * greatest(1, ceil(strlen(text) / 96))) AS BIGINT) AS bytes
+FROM documents, (VALUES ('clean', 1.0::DOUBLE), ('fog', 3.0::DOUBLE)) t(degradation, level) GROUP BY ALL""")
 def _(spark, sf):
     path = scratch(spark, "frames")
     d = fr.degraded_sequences(V.text_frames(spark, sf), [("clean", 1.0), ("fog", 3.0)])
     fr_cols = ["seq", "frame", "h", "w", "rgb", "severity", "degradation", "level"]
     results.write_degraded(d.select(*fr_cols), path)
-    return spark.read.parquet(path).groupBy("degradation", "level").agg(
+    return results.read_results(spark, path).groupBy("degradation", "level").agg(
         F.count("*").alias("n"), F.sum(F.length("rgb")).alias("bytes"))
 
 
@@ -177,7 +178,7 @@ def _(spark, sf):
     return rs.latest(spark, f"{out}/rows", ["inst"])
 
 
-@query("stream_profile")
+@query("stream_profile", "SELECT * FROM (WITH " + _PROFILE + " SELECT inst, op, n_updates, w FROM w)", ["gf"], "w")
 def _(spark, sf):
     """Operator profiles as live state over decisions that arrive out of order."""
     from ..functions.ordered import number_chunk, ordinal
