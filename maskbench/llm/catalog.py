@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality
+from . import jaccard, mixing, packing, quality
 from .base import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the group that its links reach."""
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from every document."""
