@@ -10,13 +10,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import WordCodes, components, parts_for, shingles, staged
+from .base import WordCodes, components, parts_for, shingles, split_by_ids, staged
 
 WIDTH = 5
 NEEDED = (75, 100)                # intersection : union
 COUNTERS = 1 << 18
 SEGMENT = 1 << 12
-FILTER_BITS = 1 << 24
 TILE = 2048
 
 
@@ -189,24 +188,16 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
 def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(node, n, codes, bits) of the given nodes, from one document of each.
 
-    A Bloom filter of fixed size over the ids of those documents spares the others' texts; the join that
-    follows is exact.
+    A filter of fixed size over the ids of those documents spares the others' texts; the join that follows
+    is exact.
     """
-    spots = (members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-             .select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")))
-    words = spots.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    mask[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+    ids = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, bits, seen = WordCodes(), shared.value, set()
+        codes, seen = WordCodes(), set()
         for b in batches:
-            at = b.column(1).to_numpy()
-            hit = np.flatnonzero(bits[at >> 6] >> (at & 63) & 1)
             out = []
-            for t in b.column(0).take(pa.array(hit)):
+            for t in b.column(0):
                 s = shingles(t.as_py() or "", codes, WIDTH)
                 k = set_code(s)
                 if k is not None and k not in seen:
@@ -216,8 +207,8 @@ def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["node", "n", "codes", "bits"])
 
-    found = docs.select(F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("at")).mapInArrow(
-        run, "node long, n int, codes binary, bits binary")
+    few = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids).where("possible")
+    found = few.select("text").mapInArrow(run, "node long, n int, codes binary, bits binary")
     return staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
