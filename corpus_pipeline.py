@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskbench.llm import jaccard, mixing, packing, quality
-from maskbench.llm.base import staged, table
+from maskbench.llm.base import split_by_ids, staged, table
 from maskbench.llm.catalog import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,17 +22,16 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies; documents without words all stay.
 
-    Rows that repeat the id and the text of the kept one are copies of it: one of them stays. The groups
-    are ids, so texts are compared with one list of ids only.
+    Rows that repeat the id and the text of the kept one are copies of it: one of them stays. Only rows
+    whose id may be gone or repeated are compared and shuffled; the rest keeps its place.
     """
     d = docs.select(*COLUMNS)
-    groups = jaccard.near_groups(d)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = d.join(gone, "doc_id", "left_anti")
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-    more = staged(twice.select("doc_id"))
-    again = kept.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(more, "doc_id", "left_anti").unionByName(again)
+    groups = staged(jaccard.near_groups(d))
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    marked = split_by_ids(d, gone.union(twice))
+    left = (marked.where("possible").join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]))
+    return marked.where("not possible").select(*COLUMNS).unionByName(left.select(*COLUMNS))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
