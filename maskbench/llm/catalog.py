@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, mixing, packing, quality
+from . import jaccard, lm_scoring, mixing, packing, quality
 from .base import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the byte model and by the word model."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed into sequences of 1024 tokens."""
