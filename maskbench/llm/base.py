@@ -96,7 +96,7 @@ def split_by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, limit: int = 40) -> DataFrame:
-    """(a, b) links to (node, component): the smallest node that links reach.
+    """(a, b) links to (node, component): the smallest node that links reach, for all nodes but that one itself.
 
     Every round hangs all neighbours of a node and the node itself under the smallest of them,
     first seen from the larger, then from the smaller ends, until nothing moves. A node's list is
