@@ -15,7 +15,7 @@ RADII = (1.0, 0.5, 0.25, 0.125)   # of the levels below the root, each half of t
 BLOCK = 4096                      # vectors of one tree
 CELLS = 1024                      # children of the root, at most
 ROWS = 512                        # rows of a distance matrix that are held at once
-SLACK = 1e-9                      # bounds are only trusted beyond this; the rest is compared exactly
+SLACK = 1e-6                      # bounds are only trusted beyond this; the rest is compared exactly
 
 
 def valid(v: Column) -> Column:

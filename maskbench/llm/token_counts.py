@@ -77,7 +77,7 @@ class Counter:
         """Pieces of a text whose spaces become marks, with a mark before it."""
         if not text:
             return 0
-        if not self.cut or MARK in text or "  " in text:
+        if not self.cut or MARK in text or "  " in text or text[0] == " ":
             return self._runs(MARK + text.replace(" ", MARK))
         known, total = self.known, 0
         for w in text.split(" "):
