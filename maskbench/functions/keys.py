@@ -49,11 +49,6 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
-def draw_index(seed: int, b: Column | str, i: Column | str, n: Column | str) -> Column:
-    """Index in [0, n) of draw ``i`` in replicate ``b``."""
-    return hash32(F.lit(seed), b, i) % c(n)
-
-
 def sequence_seed(seq: Column | str, seed: int = 0) -> Column:
     """Seed of one clip: the study seed plus the clip-name hash modulo 100000."""
     return F.lit(seed).cast("bigint") + md5_bits(c(seq).cast("string")) % 100000

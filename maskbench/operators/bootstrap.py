@@ -1,68 +1,64 @@
-"""Percentile bootstraps whose draws are a hash of (seed, replicate, position).
+"""Percentile bootstraps whose multiplicities are a hash of (seed, replicate, unit).
 
-Units are numbered per key in hash order, every unit contributes one draw to each replicate,
-and the drawn position is joined back to its unit. Both sides hash on (key, position), so a
-key that owns most of the units is spread like any other.
+In each replicate a unit counts as often as a Poisson draw of mean 1 says, the limit of drawing as many
+units as there are with replacement. A unit's draw needs no other unit, so there is one path for keys of
+any size: every task adds up its own rows, and one row per key and replicate is shuffled.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-from hashlib import md5
-from typing import Callable, Sequence
+from typing import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.keys import draw_index, hash32
-from ..functions.ordered import hash_chunk, ordinal, rank_table, spread
-from ..schemas import row_type
-from ..session import materialise
+from ..functions.keys import c
+from ..functions.ordered import rank_table
 
-# Largest key whose values are held as one array; larger keys take the join, with equal draws.
-SMALL_UNITS = 2048
-SMALL_ROWS = 32768
+# Four hex digits from which on a unit counts once, twice, ... more (Poisson of mean 1).
+STEPS = ("5e2d", "bc5a", "eb71", "fb23", "ff10", "ffd9", "fffa", "ffff")
+PER_HASH = 8  # replicates that share one md5 of 32 hex digits
+MIN_CLUSTERS = 8
 
 
-def number_units(df: DataFrame, keys: Sequence[str], unit: Sequence[str]) -> DataFrame:
-    """Positions 0..n-1 of the units of each key, in the order of their hash."""
-    d = df.withColumn("_h", hash32(*unit))
-    return ordinal(d, keys, ["_h", *unit], hash_chunk("_h"), name="pos", count="n_units").drop("_h")
+def finite(*values: str) -> Column:
+    """True where no value is NULL or NaN."""
+    out = F.lit(True)
+    for v in values:
+        out = out & F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
+    return out
 
 
-def draws(units: DataFrame, keys: Sequence[str], n_boot: int, seed: int = 0) -> DataFrame:
-    """One row per (key, replicate, drawn position); each unit yields one draw a replicate."""
-    few = spread(units.select(*keys, "pos", "n_units"), [*keys, "pos"])
-    d = few.select(*keys, "pos", "n_units",
-                   F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    return d.select(*keys, "b", draw_index(seed, "b", "pos", "n_units").alias("pos"))
+def _hashed(df: DataFrame, unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Each row once for every PER_HASH replicates, with the md5 ``_h`` that their weights come from."""
+    key = F.concat_ws("|", F.lit(seed).cast("string"), F.col("_k").cast("string"),
+                      *[c(u).cast("string") for u in unit])
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // PER_HASH)))
+    return df.withColumn("_k", blocks).withColumn("_h", F.md5(key.cast("binary")))
 
 
-@lru_cache(maxsize=4)
-def _hashes(seed: int, n_boot: int, n: int) -> np.ndarray:
-    """The 32-bit draw hashes of positions below n: the same for every key, so made once."""
-    return np.array([[int(md5(f"{seed}|{b}|{i}".encode()).hexdigest()[:8], 16)
-                      for i in range(n)] for b in range(n_boot)], dtype=np.int64)
+def _weight(j: Column) -> Column:
+    digits = F.substring(F.col("_h"), j * 4 + 1, F.lit(4))
+    return sum([(digits >= F.lit(t)).cast("int") for t in STEPS], F.lit(0))
 
 
-def draw_matrix(seed: int, n_boot: int, n: int) -> np.ndarray:
-    """Drawn positions of n units, one row per replicate: ``draw_index`` in numpy."""
-    size = 1 << max(5, (n - 1).bit_length())
-    return _hashes(seed, n_boot, size)[:, :n] % n
+def multiplicities(df: DataFrame, unit: Sequence[str], n_boot: int, seed: int = 0) -> DataFrame:
+    """Each row once per replicate ``b`` in which its unit counts, with its weight ``w``."""
+    d = _hashed(df, unit, n_boot, seed)
+    d = d.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(PER_HASH - 1))))
+    d = d.withColumn("b", F.col("_k") * PER_HASH + F.col("_j")).withColumn("w", _weight(F.col("_j")))
+    return d.where((F.col("w") > 0) & (F.col("b") < n_boot)).drop("_k", "_h", "_j")
 
 
-def _mean_bounds(n_boot: int, alpha: float, seed: int) -> Callable[..., Column]:
-    @F.pandas_udf(row_type("ci_lo:d ci_hi:d"))
-    def bounds(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in values:
-            v = np.asarray(v, float)
-            means = v[draw_matrix(seed, n_boot, len(v))].mean(axis=1)
-            out.append(np.percentile(means, [50 * alpha, 100 - 50 * alpha]))
-        return pd.DataFrame(out, columns=["ci_lo", "ci_hi"])
-
-    return bounds
+def _replicate_means(df: DataFrame, keys: Sequence[str], unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """(keys, b, _m): the means of ``_v``, PER_HASH replicates added up in one row."""
+    d = _hashed(df, unit, n_boot, seed)
+    d = d.select(*keys, "_k", "_v", *[_weight(F.lit(j)).alias(f"_w{j}") for j in range(PER_HASH)])
+    means = d.groupBy(*keys, "_k").agg(*[
+        F.when(F.sum(f"_w{j}") > 0, F.sum(F.col(f"_w{j}") * F.col("_v")) / F.sum(f"_w{j}")).alias(f"_m{j}")
+        for j in range(PER_HASH)])
+    each = means.select(*keys, "_k", F.posexplode(F.array(*[f"_m{j}" for j in range(PER_HASH)])).alias("_j", "_m"))
+    return each.select(*keys, (F.col("_k") * PER_HASH + F.col("_j")).alias("b"), "_m").where(
+        (F.col("b") < n_boot) & F.col("_m").isNotNull())
 
 
 def percentile_bounds(df: DataFrame, keys: Sequence[str], value: str, alpha: float,
@@ -74,25 +70,24 @@ def percentile_bounds(df: DataFrame, keys: Sequence[str], value: str, alpha: flo
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: Sequence[str], value: str,
-                 n_boot: int = 10000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Mean of ``value`` per key with its percentile interval; one row per unit expected.
+                 n_boot: int = 10000, alpha: float = 0.05, seed: int = 0,
+                 statistic: str = "mean") -> DataFrame:
+    """Mean (or median) of ``value`` per key with its percentile interval; one row per unit expected.
 
-    A single unit gives the interval (v, v); keys without values give no row.
+    NULL and NaN values are left out and not counted in ``n``; a single unit gives the interval
+    (v, v); keys without values give no row.
     """
-    units = number_units(df.where(F.col(value).isNotNull()).select(*keys, *unit, value), keys, unit)
-    units = materialise(units.select(*keys, "pos", "n_units", F.col(value).cast("double").alias("_v")))
-    big = units.where(F.col("n_units") > SMALL_UNITS)
-    picked = draws(big, keys, n_boot, seed).join(big.select(*keys, "pos", "_v"), [*keys, "pos"])
-    boots = picked.groupBy(*keys, "b").agg(F.avg("_v").alias("_m"))
-    # at most SMALL_UNITS values per key
-    arrays = units.where(F.col("n_units") <= SMALL_UNITS).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "_v"))).alias("_a"))
-    small = spread(arrays, keys).select(
-        *keys, _mean_bounds(n_boot, alpha, seed)(F.col("_a._v")).alias("_c"))
-    ci = small.select(*keys, "_c.ci_lo", "_c.ci_hi").unionByName(
-        percentile_bounds(boots, keys, "_m", alpha))
-    point = units.groupBy(*keys).agg(F.avg("_v").alias("point"), F.count("*").alias("n"))
-    return point.join(ci, list(keys))
+    d = df.where(finite(value)).select(*keys, *unit, F.col(value).cast("double").alias("_v"))
+    if statistic == "mean":
+        point, boots = F.avg("_v"), _replicate_means(d, keys, unit, n_boot, seed)
+    elif statistic == "median":
+        point = F.percentile("_v", 0.5)
+        boots = multiplicities(d, unit, n_boot, seed).groupBy(*keys, "b").agg(
+            F.percentile("_v", 0.5, F.col("w")).alias("_m"))
+    else:
+        raise ValueError(f"no statistic {statistic}")
+    points = d.groupBy(*keys).agg(point.alias("point"), F.count("*").alias("n"))
+    return points.join(percentile_bounds(boots, keys, "_m", alpha), list(keys))
 
 
 def weighted_rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str,
@@ -125,87 +120,36 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
                                      "_one")
 
 
-def _weighted_rho(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int) -> float:
-    """Rho of rows repeated w times, from the rank codes of x and y."""
-    n = w.sum()
-    if n < max(4, least):
-        return np.nan
-    ranks = []
-    for code in (x, y):
-        per = np.bincount(code, weights=w)
-        ranks.append((np.cumsum(per) - per + (per - n) / 2.0)[code])
-    rx, ry = ranks
-    d = np.sqrt((w * rx * rx).sum() * (w * ry * ry).sum())
-    return float((w * rx * ry).sum() / d) if d > 0 else np.nan
-
-
-def _rho_bounds(n_boot: int, alpha: float, seed: int, min_rows: int) -> Callable[..., Column]:
-    @F.pandas_udf(row_type("ci_lo:d ci_hi:d"))
-    def bounds(rows: pd.Series, n_units: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, n in zip(rows, n_units):
-            pos, strat, x, y = (np.array([t[c] for t in r]) for c in ("pos", "_s", "_x", "_y"))
-            groups = []
-            for s in np.unique(strat):
-                at = strat == s
-                if at.sum() >= min_rows:
-                    groups.append((pos[at], np.unique(x[at], return_inverse=True)[1],
-                                   np.unique(y[at], return_inverse=True)[1]))
-            stats = []
-            for drawn in draw_matrix(seed, n_boot, int(n)):
-                times = np.bincount(drawn, minlength=int(n)).astype(float)
-                rho = [_weighted_rho(cx, cy, times[p], min_rows) for p, cx, cy in groups]
-                rho = [v for v in rho if v == v]
-                if rho:
-                    stats.append(np.mean(rho))
-            out.append(np.percentile(stats, [50 * alpha, 100 - 50 * alpha]) if stats
-                       else (np.nan, np.nan))
-        return pd.DataFrame(out, columns=["ci_lo", "ci_hi"])
-
-    return bounds
-
-
 def _clustered_rho(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,
-                   n_boot: int, alpha: float, seed: int, stratum: str | None, min_rows: int
-                   ) -> DataFrame:
+                   n_boot: int, alpha: float, seed: int, stratum: str | None, min_rows: int,
+                   min_units: int) -> DataFrame:
     keys, strat = list(keys), [stratum] if stratum else []
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = materialise(d.select(*keys, *strat, *unit, F.col(x).cast("double").alias("_x"),
-                             F.col(y).cast("double").alias("_y")))
+    d = df.where(finite(x, y)).select(*keys, *strat, *unit, F.col(x).cast("double").alias("_x"),
+                                      F.col(y).cast("double").alias("_y"))
+    units = d.groupBy(*keys).agg(F.count_distinct(*unit).alias("_n"))
+    d = d.join(units.where(F.col("_n") >= min_units).drop("_n"), keys)
     if stratum:
         sizes = d.groupBy(*keys, stratum).agg(F.count("*").alias("_n"))
         d = d.join(sizes.where(F.col("_n") >= min_rows).drop("_n"), [*keys, stratum])
-    units = number_units(d.select(*keys, *unit).distinct(), keys, unit)
-    rows = d.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    d = materialise(d.join(units, [*keys, *unit]).join(rows, keys))
-    fits = (F.col("_rows") <= SMALL_ROWS) & (F.col("n_units") <= SMALL_ROWS)
-    # at most SMALL_ROWS rows per key
-    part = F.col(stratum).cast("string") if stratum else F.lit("")
-    arrays = d.where(fits).groupBy(*keys, "n_units").agg(
-        F.collect_list(F.struct("pos", part.alias("_s"), "_x", "_y")).alias("_a"))
-    small = spread(arrays, keys).select(*keys, _rho_bounds(
-        n_boot, alpha, seed, min_rows if stratum else 0)(F.col("_a"), F.col("n_units")).alias("_c"))
-    small = small.select(*keys, *[F.nanvl(f"_c.{c}", F.lit(None)).alias(c) for c in ("ci_lo", "ci_hi")])
-
-    big = d.where(~fits)
-    spots = big.select(*keys, "pos", "n_units").distinct()
-    times = draws(spots, keys, n_boot, seed).groupBy(*keys, "b", "pos").agg(F.count("*").alias("w"))
-    drawn = big.join(times, [*keys, "pos"])
-    rho = weighted_rank_correlation(drawn, [*keys, *strat, "b"], "_x", "_y", "w")
+    rho = weighted_rank_correlation(multiplicities(d, unit, n_boot, seed), [*keys, *strat, "b"],
+                                    "_x", "_y", "w")
     if stratum:
         rho = rho.where(F.col("n") >= min_rows).groupBy(*keys, "b").agg(F.avg("rho").alias("rho"))
-    out = percentile_bounds(rho, keys, "rho", alpha)
-    return small.unionByName(out).where(F.col("ci_lo").isNotNull())
+    return percentile_bounds(rho, keys, "rho", alpha).where(F.col("ci_lo").isNotNull())
 
 
 def unit_bootstrap_rho(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,
-                       n_boot: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Interval of the pooled rho when whole units (rows, instances, clips) are resampled."""
-    return _clustered_rho(df, keys, unit, x, y, n_boot, alpha, seed, None, 0)
+                       n_boot: int, alpha: float = 0.05, seed: int = 0,
+                       min_units: int = MIN_CLUSTERS) -> DataFrame:
+    """Interval of the pooled rho when whole units (rows, instances, clips) are resampled.
+
+    Keys with fewer than ``min_units`` units are refused: they give no row.
+    """
+    return _clustered_rho(df, keys, unit, x, y, n_boot, alpha, seed, None, 0, min_units)
 
 
 def stratified_bootstrap_rho(df: DataFrame, keys: Sequence[str], stratum: str,
                              unit: Sequence[str], x: str, y: str, n_boot: int,
                              min_rows: int = 8, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Interval of the mean of per-stratum rhos, drawing the same units in every stratum."""
-    return _clustered_rho(df, keys, unit, x, y, n_boot, alpha, seed, stratum, min_rows)
+    return _clustered_rho(df, keys, unit, x, y, n_boot, alpha, seed, stratum, min_rows, 0)

@@ -90,17 +90,21 @@ def gap_shift_pairs(clips: DataFrame, members: DataFrame, hi: str, lo: str) -> D
 
 
 def gap_shift(clips: DataFrame, members: DataFrame, hi: str, lo: str) -> DataFrame:
-    """Mean shift with its identity guard: the mean of paired shifts equals the shift of means.
+    """Mean shift of paired clips beside the shift of the independent group gaps.
 
-    ``consistent`` compares both views over the clips that have both gaps.
+    The two agree if every condition has the same clips in both arms; ``consistent`` is 0 where they do not.
     """
     p = gap_shift_pairs(clips, members, hi, lo)
-    return p.groupBy("compound", "member").agg(
+    paired = p.groupBy("compound", "member").agg(
         F.count("*").alias("n"), F.avg("d").alias("mean_shift"),
-        (F.avg("b") - F.avg("a")).alias("group_shift"),
-        F.count_if(F.col("d") > 0).alias("n_widen"), F.count_if(F.col("d") < 0).alias("n_narrow"),
-    ).withColumn("consistent", (F.abs(F.col("mean_shift") - F.col("group_shift")) < 1e-9)
-                 .cast("int"))
+        F.count_if(F.col("d") > 0).alias("n_widen"), F.count_if(F.col("d") < 0).alias("n_narrow"))
+    gap = group_gap(clips, hi, lo)
+    for side in ("compound", "member"):
+        paired = paired.join(gap.select(F.col("degradation").alias(side), F.col("gap").alias(f"_{side}")), side)
+    shift = F.col("_compound") - F.col("_member")
+    return paired.select("compound", "member", "n", "mean_shift", shift.alias("group_shift"), "n_widen", "n_narrow",
+                         (F.abs(F.col("mean_shift") - shift) < 1e-9).cast("int").alias("consistent"))
+
 
 
 def severity_gaps(clips: DataFrame, memory: str, subtrahends: Sequence[str]) -> DataFrame:

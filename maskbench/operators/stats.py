@@ -22,14 +22,18 @@ def paired_values(df: DataFrame, unit: Sequence[str], arm: str, value: str, base
                   other: str | Sequence[str]) -> DataFrame:
     """Inner pairing of arms on ``unit`` by one aggregation instead of a self join.
 
-    One row per (unit, other arm) with ``a`` (base), ``b`` (other) and ``d = b - a``.
+    One row per (unit, other arm) with ``a`` (base), ``b`` (other) and ``d = b - a``. A unit that has
+    an arm twice fails the job.
     """
     others = [other] if isinstance(other, str) else list(other)
+
+    def single(m: str):
+        of = F.when(F.col(arm) == m, F.col(value))
+        twice = F.raise_error(F.lit(f"arm {m!r} has a unit twice")).cast("double")
+        return F.when(F.count(of) > 1, twice).otherwise(F.max(of))
+
     wide = df.where(F.col(arm).isin([base, *others])).groupBy(*unit).agg(
-        F.max(F.when(F.col(arm) == base, F.col(value))).alias("a"),
-        *[F.max(F.when(F.col(arm) == o, F.col(value))).alias(f"_b{i}")
-          for i, o in enumerate(others)],
-    )
+        single(base).alias("a"), *[single(o).alias(f"_b{i}") for i, o in enumerate(others)])
     pairs = F.array(*[F.struct(F.lit(o).alias("method"), F.col(f"_b{i}").alias("b"))
                       for i, o in enumerate(others)])
     long = wide.where(F.col("a").isNotNull()).select(*unit, "a", F.inline(pairs))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.ordered import average_rank, quantiles, rank_table
 from ..operators import bootstrap, collapse, gate, grid, stats, tables
 from . import views as V
-from .registry import (query, sql_boot, sql_draws, sql_hash, sql_rank, sql_rho, sql_units)
+from .registry import (query, sql_boot, sql_hash, sql_rank, sql_rho, sql_weights)
+
+N_BOOT = 2000  # replicates of bootstrapped means
+N_RHO = 200  # replicates of bootstrapped rank correlations
 
 METRIC_SQL = ("SELECT {cols}, 'iqa_a' AS metric, iqa_a AS x FROM {src} UNION ALL "
               "SELECT {cols}, 'iqa_b', iqa_b FROM {src} UNION ALL SELECT {cols}, 'iqa_c', iqa_c FROM {src}")
@@ -125,37 +128,37 @@ def _(spark, sf):
 # ---- bootstraps ---------------------------------------------------------------------------
 
 
-@query("bootstrap_ci", "SELECT mode, n, point, ci_lo, ci_hi FROM (WITH " + sql_boot("ci", "cl", ["mode"], ["seq", "degradation", "level"], "jf", 100, 7)
+@query("bootstrap_ci", "SELECT mode, n, point, ci_lo, ci_hi FROM (WITH " + sql_boot("ci", "cl", ["mode"], ["seq", "degradation", "level"], "jf", N_BOOT, 7)
        + " SELECT * FROM ci JOIN (SELECT mode, count(*) AS n, avg(jf) AS point FROM cl GROUP BY mode) USING (mode))", ["cl"], "point ci_lo ci_hi")
 def _(spark, sf):
     return bootstrap.bootstrap_ci(V.clip_rows(spark, sf), ["mode"], ["seq", "degradation", "level"],
-                                  "jf", n_boot=100, seed=7)
+                                  "jf", n_boot=N_BOOT, seed=7)
 
 
 def _unit_boot_sql(src: str, keys: list[str], unit: list[str], x: str, y: str, n_boot: int, stratum: str = "") -> str:
     k, kk = ", ".join(keys), ", ".join([*keys, "b"])
-    ku = ", ".join([*keys, *unit])
     strat = [stratum] if stratum else []
     inner = sql_rho("bx", [*keys, *strat, "b"], x, y)
     mean = f"SELECT {kk}, avg(rho) AS rho FROM br WHERE n >= 8 GROUP BY {kk}" if stratum else "SELECT * FROM br"
-    return (f"bs AS (SELECT * FROM {src}), bu AS ({sql_units(f'(SELECT DISTINCT {ku} FROM bs)', keys, unit)}), "
-            f"bd AS ({sql_draws('bu', keys, n_boot)}), bt AS (SELECT {kk}, {', '.join('bu.' + u for u in unit)} FROM bd JOIN bu USING ({', '.join([*keys, 'pos'])})), "
-            f"bx AS (SELECT * FROM bs JOIN bt USING ({ku})), br AS ({inner}), bm AS ({mean}) "
+    least = 0 if stratum else 8
+    return (f"bs AS (SELECT * FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL), bu AS (SELECT {k} FROM bs GROUP BY {k} HAVING count(DISTINCT ({', '.join(unit)})) >= {least}), "
+            f"bw AS ({sql_weights('bs', [*keys, *strat, *unit, x, y], unit, n_boot)}), "
+            f"bx AS (SELECT * FROM bw JOIN bu USING ({k}) JOIN range(1, 9) r(i) ON r.i <= w), br AS ({inner}), bm AS ({mean}) "
             f"SELECT {k}, quantile_cont(rho, 0.025) AS ci_lo, quantile_cont(rho, 0.975) AS ci_hi FROM bm WHERE rho IS NOT NULL GROUP BY {k}")
 
 
 @query("cluster_bootstrap_pooled", "SELECT * FROM (WITH " + _CELL_METRICS + ", " + _unit_boot_sql(
-    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", 20) + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
+    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", N_RHO) + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
 def _(spark, sf):
     d = cell_metric_rows(spark, sf).where(F.col("mode") == "base")
-    return bootstrap.unit_bootstrap_rho(d, ["metric"], ["seq"], "x", "jf", 20)
+    return bootstrap.unit_bootstrap_rho(d, ["metric"], ["seq"], "x", "jf", N_RHO)
 
 
 @query("cluster_bootstrap_within", "SELECT * FROM (WITH " + _CELL_METRICS + ", " + _unit_boot_sql(
-    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", 20, "degradation") + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
+    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", N_RHO, "degradation") + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
 def _(spark, sf):
     d = cell_metric_rows(spark, sf).where(F.col("mode") == "base")
-    return bootstrap.stratified_bootstrap_rho(d, ["metric"], "degradation", ["seq"], "x", "jf", 20)
+    return bootstrap.stratified_bootstrap_rho(d, ["metric"], "degradation", ["seq"], "x", "jf", N_RHO)
 
 
 _DEC = "(SELECT 1 AS k, inst, frame, vacuity, 1 - jf AS err FROM gf WHERE is_keyframe = 1)"
@@ -166,35 +169,35 @@ def decisions(spark, sf):
         F.lit(1).alias("k"), "inst", "frame", "vacuity", (1 - F.col("jf")).alias("err"))
 
 
-@query("unit_bootstrap_instance", "SELECT * FROM (WITH " + _unit_boot_sql(_DEC, ["k"], ["inst"], "vacuity", "err", 20) + ")", ["gf"], "ci_lo ci_hi")
+@query("unit_bootstrap_instance", "SELECT * FROM (WITH " + _unit_boot_sql(_DEC, ["k"], ["inst"], "vacuity", "err", N_RHO) + ")", ["gf"], "ci_lo ci_hi")
 def _(spark, sf):
-    return bootstrap.unit_bootstrap_rho(decisions(spark, sf), ["k"], ["inst"], "vacuity", "err", 20)
+    return bootstrap.unit_bootstrap_rho(decisions(spark, sf), ["k"], ["inst"], "vacuity", "err", N_RHO)
 
 
-@query("unit_bootstrap_frame", "SELECT * FROM (WITH " + _unit_boot_sql(_DEC, ["k"], ["inst", "frame"], "vacuity", "err", 20) + ")", ["gf"], "ci_lo ci_hi")
+@query("unit_bootstrap_frame", "SELECT * FROM (WITH " + _unit_boot_sql(_DEC, ["k"], ["inst", "frame"], "vacuity", "err", N_RHO) + ")", ["gf"], "ci_lo ci_hi")
 def _(spark, sf):
-    return bootstrap.unit_bootstrap_rho(decisions(spark, sf), ["k"], ["inst", "frame"], "vacuity", "err", 20)
+    return bootstrap.unit_bootstrap_rho(decisions(spark, sf), ["k"], ["inst", "frame"], "vacuity", "err", N_RHO)
 
 
 @query("interval_comparison", "SELECT k, n, width_naive, width_clustered, width_naive / width_clustered AS width_ratio, "
        "CAST(round(n * pow(width_naive / width_clustered, 2)) AS BIGINT) AS n_eff FROM (SELECT k, ci_hi - ci_lo AS width_naive FROM (WITH "
-       + _unit_boot_sql(_DEC, ["k"], ["inst", "frame"], "vacuity", "err", 20) + ")) JOIN (SELECT k, ci_hi - ci_lo AS width_clustered FROM (WITH "
-       + _unit_boot_sql(_DEC, ["k"], ["inst"], "vacuity", "err", 20) + ")) USING (k) JOIN (SELECT k, count(*) AS n FROM " + _DEC + " GROUP BY k) USING (k)",
+       + _unit_boot_sql(_DEC, ["k"], ["inst", "frame"], "vacuity", "err", N_RHO) + ")) JOIN (SELECT k, ci_hi - ci_lo AS width_clustered FROM (WITH "
+       + _unit_boot_sql(_DEC, ["k"], ["inst"], "vacuity", "err", N_RHO) + ")) USING (k) JOIN (SELECT k, count(*) AS n FROM " + _DEC + " GROUP BY k) USING (k)",
        ["gf"], "width_naive width_clustered width_ratio")
 def _(spark, sf):
     d = decisions(spark, sf)
     n = d.groupBy("k").agg(F.count("*").alias("n"))
-    frame = bootstrap.unit_bootstrap_rho(d, ["k"], ["inst", "frame"], "vacuity", "err", 20).join(n, "k")
-    inst = bootstrap.unit_bootstrap_rho(d, ["k"], ["inst"], "vacuity", "err", 20)
+    frame = bootstrap.unit_bootstrap_rho(d, ["k"], ["inst", "frame"], "vacuity", "err", N_RHO).join(n, "k")
+    inst = bootstrap.unit_bootstrap_rho(d, ["k"], ["inst"], "vacuity", "err", N_RHO)
     return stats.interval_comparison(frame, inst, ["k"])
 
 
 @query("intervals_reaching", "SELECT * FROM (WITH " + _CELL_METRICS + ", ci AS (SELECT * FROM (WITH " + _unit_boot_sql(
-    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", 20) + ")) SELECT *, CASE WHEN metric = 'iqa_a' THEN 'full-reference' ELSE 'no-reference' END AS kind "
+    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", N_RHO) + ")) SELECT *, CASE WHEN metric = 'iqa_a' THEN 'full-reference' ELSE 'no-reference' END AS kind "
     "FROM ci WHERE greatest(abs(ci_lo), abs(ci_hi)) >= 0.02)", ["rows_raw", "cl"], "ci_lo ci_hi")
 def _(spark, sf):
     d = cell_metric_rows(spark, sf).where(F.col("mode") == "base")
-    t = bootstrap.unit_bootstrap_rho(d, ["metric"], ["seq"], "x", "jf", 20)
+    t = bootstrap.unit_bootstrap_rho(d, ["metric"], ["seq"], "x", "jf", N_RHO)
     return tables.intervals_reaching(t, 0.02).withColumn("kind", stats.metric_kind("metric", ["iqa_a"]))
 
 

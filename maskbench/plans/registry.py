@@ -7,6 +7,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.bootstrap import STEPS
 from .views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,32 +69,23 @@ def sql_rho(src: str, keys: Sequence[str], x: str, y: str) -> str:
             f"WHERE {x} IS NOT NULL AND {y} IS NOT NULL)" + (f" GROUP BY {k}" if k else ""))
 
 
-def sql_units(src: str, keys: Sequence[str], unit: Sequence[str], cols: Sequence[str] = ()) -> str:
-    """Units numbered per key in hash order."""
-    k = ", ".join(keys)
-    out = ", ".join([*keys, *unit, *cols])
-    part = f"PARTITION BY {k}" if k else ""
-    return (f"SELECT {out}, row_number() OVER ({part} ORDER BY {sql_hash(*unit)}, "
-            f"{', '.join(unit)}) - 1 AS pos, count(*) OVER ({part}) AS n_units FROM {src}")
-
-
-def sql_draws(units: str, keys: Sequence[str], n_boot: int, seed: int = 0) -> str:
-    k = ", ".join([*keys, "t.b"])
-    return (f"SELECT {k}, {sql_hash(str(seed), 't.b', 'pos')} % n_units AS pos "
-            f"FROM {units}, range({n_boot}) t(b)")
+def sql_weights(src: str, cols: Sequence[str], unit: Sequence[str], n_boot: int, seed: int = 0) -> str:
+    """Rows of ``src`` once per replicate ``b`` in which their unit counts, with its weight ``w``."""
+    text = f"concat_ws('|', {seed}, t.rep // 8, {', '.join(unit)})"
+    digits = f"substr(md5({text}), CAST(t.rep % 8 * 4 + 1 AS BIGINT), 4)"
+    weight = " + ".join(f"CAST(h >= '{t}' AS INT)" for t in STEPS)
+    return (f"SELECT * FROM (SELECT * EXCLUDE (h), {weight} AS w FROM (SELECT {', '.join(cols)}, t.rep AS b, {digits} AS h "
+            f"FROM {src}, range({n_boot}) t(rep))) WHERE w > 0")
 
 
 def sql_boot(name: str, src: str, keys: Sequence[str], unit: Sequence[str], value: str,
              n_boot: int, seed: int = 0) -> str:
     """CTEs ending in ``<name>``: keys, point, n, ci_lo, ci_hi of the bootstrapped mean."""
     k = ", ".join(keys)
-    on = ", ".join([*keys, "pos"])
     return (
         f"{name}_s AS (SELECT * FROM {src} WHERE {value} IS NOT NULL), "
-        f"{name}_u AS ({sql_units(f'{name}_s', keys, unit, [value])}), "
-        f"{name}_d AS ({sql_draws(f'{name}_u', keys, n_boot, seed)}), "
-        f"{name}_m AS (SELECT {k}, b, avg({value}) AS m FROM {name}_d JOIN {name}_u USING ({on}) "
-        f"GROUP BY {k}, b), "
+        f"{name}_d AS ({sql_weights(f'{name}_s', [*keys, *[u for u in unit if u not in keys], value], unit, n_boot, seed)}), "
+        f"{name}_m AS (SELECT {k}, b, sum(w * {value}) / sum(w) AS m FROM {name}_d GROUP BY {k}, b), "
         f"{name} AS (SELECT {k}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi "
         f"FROM {name}_m GROUP BY {k})")
 

@@ -9,6 +9,8 @@ from ..operators import collapse, gaps, grid, merge, stats, tables
 from . import views as V
 from .registry import PAIRED_FLOATS, query, sql_boot, sql_paired
 
+N_BOOT = 2000  # replicates of every bootstrapped mean
+
 KEYS5 = "seq, mode, degradation, level"
 
 
@@ -218,20 +220,20 @@ def _(spark, sf):
 
 
 @query("main_table", "SELECT degradation, level, mode, jf_mean, jf_std, n, ci_lo, ci_hi FROM (WITH "
-       + sql_boot("ci", "cl", ["degradation", "level", "mode"], ["seq"], "jf", 100)
+       + sql_boot("ci", "cl", ["degradation", "level", "mode"], ["seq"], "jf", N_BOOT)
        + " SELECT * FROM (SELECT degradation, level, mode, avg(jf) AS jf_mean, stddev_pop(jf) AS jf_std, count(*) AS n "
          "FROM cl GROUP BY ALL) JOIN ci USING (degradation, level, mode))", ["cl"], "jf_mean jf_std ci_lo ci_hi")
 def _(spark, sf):
-    return tables.main_table(V.clip_rows(spark, sf), n_boot=100)
+    return tables.main_table(V.clip_rows(spark, sf), n_boot=N_BOOT)
 
 
 @query("severity_grid", "SELECT degradation, level, mode, n AS n_seq, jf_mean, ci_lo, ci_hi FROM (WITH "
-       + sql_boot("ci", "(SELECT * FROM cl WHERE degradation <> 'clean')", ["degradation", "level", "mode"], ["seq"], "jf", 50, 3)
+       + sql_boot("ci", "(SELECT * FROM cl WHERE degradation <> 'clean')", ["degradation", "level", "mode"], ["seq"], "jf", N_BOOT, 3)
        + " SELECT * FROM (SELECT degradation, level, mode, avg(jf) AS jf_mean, count(*) AS n FROM cl GROUP BY ALL) "
          "JOIN ci USING (degradation, level, mode))", ["cl"], "jf_mean ci_lo ci_hi")
 def _(spark, sf):
     d = V.clip_rows(spark, sf).where(F.col("degradation") != "clean")
-    return tables.severity_grid(d, n_boot=50, seed=3)
+    return tables.severity_grid(d, n_boot=N_BOOT, seed=3)
 
 
 @query("pivot_with_deltas", """
@@ -265,18 +267,18 @@ ABL_ARMS = [f"A{i}" for i in range(1, 7)]
 
 
 @query("ablation_report", "SELECT * FROM (WITH " + _ABL_PAIRS + ", "
-       + sql_paired("rep", "p", ["degradation", "arm"], ["seq"], 100)
+       + sql_paired("rep", "p", ["degradation", "arm"], ["seq"], N_BOOT)
        + " SELECT *, CAST(abs(cliffs_delta) >= 0.147 AS INTEGER) AS material FROM rep JOIN (SELECT degradation, arm, "
          "avg(n_encoder_calls) AS n_encoder_calls FROM abl GROUP BY ALL) USING (degradation, arm))",
        ["abl"], PAIRED_FLOATS + " n_encoder_calls")
 def _(spark, sf):
     return tables.ablation_report(V.ablation_clips(spark, sf), ABL_ARMS, ["degradation"],
-                                  n_boot=100, p_value=False)
+                                  n_boot=N_BOOT, p_value=False)
 
 
 @query("ablation_report_p")
 def _(spark, sf):
-    r = tables.ablation_report(V.ablation_clips(spark, sf), ABL_ARMS, ["degradation"], n_boot=20)
+    r = tables.ablation_report(V.ablation_clips(spark, sf), ABL_ARMS, ["degradation"], n_boot=N_BOOT)
     return r.select("degradation", "arm", "mean_delta", "wilcoxon_p", "holm_p", "reading")
 
 
@@ -385,14 +387,14 @@ SWEEP_DEFAULTS = {"A8": 5, "A9": 5, "A10": 5}
 
 
 @query("sweep_report", "SELECT * FROM (WITH " + _SWEEP_PAIRS + ", "
-       + sql_paired("rep", "p", ["sweep", "variant"], ["seq"], 100) + " SELECT * FROM rep)", ["swp"], PAIRED_FLOATS)
+       + sql_paired("rep", "p", ["sweep", "variant"], ["seq"], N_BOOT) + " SELECT * FROM rep)", ["swp"], PAIRED_FLOATS)
 def _(spark, sf):
-    return tables.sweep_report(V.sweep_clips(spark, sf), SWEEP_DEFAULTS, n_boot=100, p_value=False)
+    return tables.sweep_report(V.sweep_clips(spark, sf), SWEEP_DEFAULTS, n_boot=N_BOOT, p_value=False)
 
 
 @query("sweep_report_p")
 def _(spark, sf):
-    r = tables.sweep_report(V.sweep_clips(spark, sf), SWEEP_DEFAULTS, n_boot=20)
+    r = tables.sweep_report(V.sweep_clips(spark, sf), SWEEP_DEFAULTS, n_boot=N_BOOT)
     return r.select("sweep", "variant", "mean_delta", "holm_p", "decidable")
 
 
@@ -466,23 +468,24 @@ def _(spark, sf):
 
 
 @query("pooled_sequence_test", "SELECT * FROM (WITH ps AS (SELECT seq, mode, round(avg(jf), 12) AS jf FROM cl WHERE degradation <> 'clean' GROUP BY ALL), "
-       "p AS (" + _pair_sql("ps", "seq") + "), " + sql_paired("rep", "p", ["method"], ["seq"], 200) + " SELECT * FROM rep)",
+       "p AS (" + _pair_sql("ps", "seq") + "), " + sql_paired("rep", "p", ["method"], ["seq"], N_BOOT) + " SELECT * FROM rep)",
        ["cl"], PAIRED_FLOATS)
 def _(spark, sf):
     p = gaps.pooled_pairs(V.clip_rows(spark, sf), [d for d in V.DEGRADATIONS if d != "clean"],
                           "base", ["method", "memory"])
-    return stats.paired_report(p, ["method"], ["seq"], n_boot=200, p_value=False)
+    return stats.paired_report(p, ["method"], ["seq"], n_boot=N_BOOT, p_value=False)
 
 
 _GAP_CTE = """g AS (SELECT degradation, seq, avg(jf) FILTER (mode = 'memory') - avg(jf) FILTER (mode = 'base') AS gap FROM cl
   GROUP BY ALL HAVING count(*) FILTER (mode = 'memory') > 0 AND count(*) FILTER (mode = 'base') > 0)"""
 
 
-@query("gap_shift", "SELECT * FROM (WITH " + _GAP_CTE + """ SELECT 'fog_noise' AS compound, member, count(*) AS n, avg(d) AS mean_shift,
-  avg(b) - avg(a) AS group_shift, count(*) FILTER (d > 0) AS n_widen, count(*) FILTER (d < 0) AS n_narrow,
-  CAST(abs(avg(d) - (avg(b) - avg(a))) < 1e-9 AS INTEGER) AS consistent
-FROM (SELECT m.degradation AS member, seq, m.gap AS a, c.gap AS b, round(c.gap - m.gap, 12) AS d FROM g m JOIN g c USING (seq)
-  WHERE c.degradation = 'fog_noise' AND m.degradation IN ('fog', 'noise')) GROUP BY member)""",
+@query("gap_shift", "SELECT * FROM (WITH " + _GAP_CTE + """, gg AS (SELECT degradation, avg(jf) FILTER (mode = 'memory') - avg(jf) FILTER (mode = 'base') AS gap FROM cl GROUP BY ALL)
+ SELECT 'fog_noise' AS compound, member, count(*) AS n, avg(d) AS mean_shift, max(w.gap) - max(v.gap) AS group_shift,
+  count(*) FILTER (d > 0) AS n_widen, count(*) FILTER (d < 0) AS n_narrow, CAST(abs(avg(d) - (max(w.gap) - max(v.gap))) < 1e-9 AS INTEGER) AS consistent
+FROM (SELECT m.degradation AS member, seq, round(round(c.gap, 12) - round(m.gap, 12), 12) AS d FROM g m JOIN g c USING (seq)
+  WHERE c.degradation = 'fog_noise' AND m.degradation IN ('fog', 'noise')) p
+  JOIN gg v ON v.degradation = member JOIN gg w ON w.degradation = 'fog_noise' GROUP BY member)""",
        ["cl"], "mean_shift group_shift")
 def _(spark, sf):
     return gaps.gap_shift(V.clip_rows(spark, sf), gaps.member_table(spark, V.COMPOUND_MAP),
@@ -491,10 +494,10 @@ def _(spark, sf):
 
 @query("gap_shift_report", "SELECT * FROM (WITH " + _GAP_CTE + """, p AS (SELECT 'fog_noise' AS compound, m.degradation AS member, seq, round(m.gap, 12) AS a, round(c.gap, 12) AS b,
   round(c.gap - m.gap, 12) AS d FROM g m JOIN g c USING (seq) WHERE c.degradation = 'fog_noise' AND m.degradation IN ('fog', 'noise')), """
-       + sql_paired("rep", "p", ["compound", "member"], ["seq"], 100) + " SELECT * FROM rep)", ["cl"], PAIRED_FLOATS)
+       + sql_paired("rep", "p", ["compound", "member"], ["seq"], N_BOOT) + " SELECT * FROM rep)", ["cl"], PAIRED_FLOATS)
 def _(spark, sf):
     p = gaps.gap_shift_pairs(V.clip_rows(spark, sf), gaps.member_table(spark, V.COMPOUND_MAP), "memory", "base")
-    return stats.paired_report(p, ["compound", "member"], ["seq"], n_boot=100, p_value=False)
+    return stats.paired_report(p, ["compound", "member"], ["seq"], n_boot=N_BOOT, p_value=False)
 
 
 @query("silent_cells", "SELECT mode, count(*) FILTER (n_reanchors = 0) AS silent, count(*) AS cells FROM rc GROUP BY mode", ["rc"])
@@ -513,10 +516,10 @@ def _(spark, sf):
     avg(jf) FILTER (mode = 'memory') - avg(jf) FILTER (mode = s) AS gap FROM cl, (VALUES ('base'), ('method')) t(s) GROUP BY ALL),
   p AS (SELECT degradation, subtrahend, seq, round(arg_min(gap, level), 12) AS a, round(arg_max(gap, level), 12) AS b,
     round(arg_max(gap, level) - arg_min(gap, level), 12) AS d FROM g WHERE gap IS NOT NULL GROUP BY ALL HAVING count(DISTINCT level) > 1), """
-       + sql_paired("rep", "p", ["degradation", "subtrahend"], ["seq"], 50) + " SELECT * FROM rep)", ["cl"], PAIRED_FLOATS)
+       + sql_paired("rep", "p", ["degradation", "subtrahend"], ["seq"], N_BOOT) + " SELECT * FROM rep)", ["cl"], PAIRED_FLOATS)
 def _(spark, sf):
     p = gaps.endpoint_pairs(V.clip_rows(spark, sf), "memory", ["base", "method"])
-    return stats.paired_report(p, ["degradation", "subtrahend"], ["seq"], n_boot=50, p_value=False)
+    return stats.paired_report(p, ["degradation", "subtrahend"], ["seq"], n_boot=N_BOOT, p_value=False)
 
 
 @query("extra_over_clean", """SELECT degradation, level, n, gap, gap_clean, extra, ci_lo, ci_hi,
@@ -524,11 +527,11 @@ def _(spark, sf):
     avg(jf) FILTER (mode = 'memory') - avg(jf) FILTER (mode = 'base') AS gap FROM cl GROUP BY ALL),
   c AS (SELECT seq, avg(gap) AS gc FROM g WHERE degradation = 'clean' AND gap IS NOT NULL GROUP BY seq),
   e AS (SELECT degradation, level, seq, gap, gc, gap - gc AS extra FROM g JOIN c USING (seq) WHERE degradation <> 'clean' AND gap IS NOT NULL), """
-       + sql_boot("ci", "e", ["degradation", "level"], ["seq"], "extra", 100)
+       + sql_boot("ci", "e", ["degradation", "level"], ["seq"], "extra", N_BOOT)
        + " SELECT degradation, level, count(*) AS n, avg(gap) AS gap, avg(gc) AS gap_clean, avg(extra) AS extra, any_value(ci_lo) AS ci_lo, "
          "any_value(ci_hi) AS ci_hi FROM e JOIN ci USING (degradation, level) GROUP BY ALL)", ["cl"], "gap gap_clean extra ci_lo ci_hi")
 def _(spark, sf):
-    return gaps.extra_over_clean(V.clip_rows(spark, sf), "memory", "base", n_boot=100)
+    return gaps.extra_over_clean(V.clip_rows(spark, sf), "memory", "base", n_boot=N_BOOT)
 
 
 @query("paired_arms", "SELECT * FROM (" + _pair_sql("cl", "seq, degradation, level") + ")", ["cl"], "a b d")

@@ -137,21 +137,30 @@ def test_numeric_coercion(spark):
     assert [x.l for x in r[:3]] == ["3", "3", "3.5"]
 
 
-def test_large_keys_take_the_join_and_give_the_same_draws(df, monkeypatch):
-    d = df.withColumn("c", F.col("u") % 60)
-
-    def run():
-        a = bootstrap.bootstrap_ci(d, ["k"], ["u"], "y", 25).toPandas().sort_values("k")
-        b = bootstrap.unit_bootstrap_rho(d.where("k < 3"), ["k"], ["c"], "x", "y", 12).toPandas().sort_values("k")
-        e = bootstrap.stratified_bootstrap_rho(d.where("k = 0").withColumn("s", F.col("u") % 3), ["k"], "s", ["c"],
-                                               "x", "y", 8).toPandas()
-        return a, b, e
-    small = run()
-    monkeypatch.setattr(bootstrap, "SMALL_UNITS", 3)
-    monkeypatch.setattr(bootstrap, "SMALL_ROWS", 3)
-    for x, y in zip(small, run()):
-        assert len(x) == len(y) > 0
-        np.testing.assert_allclose(x.values, y.values, atol=1e-9)
+def test_missing_values_do_not_count(df):
+    """Rows with NULL or NaN change nothing, whatever the size of the key."""
+    nan = F.lit(float("nan"))
+    for n in (12, 60, 400):
+        d = df.where(F.col("u") < n).withColumn("c", F.col("u") % 20)
+        more = d.unionByName(d.withColumn("y", F.when(F.col("u") % 2 == 0, nan)))
+        for run in (lambda t: bootstrap.bootstrap_ci(t, ["k"], ["u"], "y", 25),
+                    lambda t: bootstrap.bootstrap_ci(t, ["k"], ["u"], "y", 25, statistic="median"),
+                    lambda t: bootstrap.unit_bootstrap_rho(t, ["k"], ["c"], "x", "y", 12)):
+            a, b = (run(t).toPandas().sort_values("k") for t in (d, more))
+            assert len(a) == len(b)
+            np.testing.assert_allclose(a.values, b.values, atol=1e-9)
+
+
+def test_few_clusters_are_refused(df):
+    d = df.where("k = 0").withColumn("c", F.col("u") % 7)
+    assert bootstrap.unit_bootstrap_rho(d, ["k"], ["c"], "x", "y", 12).count() == 0
+    assert bootstrap.unit_bootstrap_rho(d, ["k"], ["c"], "x", "y", 12, min_units=7).count() == 1
+
+
+def test_weights_have_mean_one(spark):
+    w = bootstrap.multiplicities(spark.range(2000), ["id"], 20).agg(F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
+    assert abs(w[0] / 40_000 - 1) < 0.03 and abs(w[1] / 40_000 - 2) < 0.1
+
 
 
 def test_hash_matches_hashlib(spark):
