@@ -90,11 +90,17 @@ def reference_drift(recomputed: DataFrame, authority: DataFrame, keys: Sequence[
 def replay_drift(replayed: DataFrame, landed: DataFrame, keys: Sequence[str],
                  values: Sequence[str] = ("severity_mean", "severity_max"), tol: float = 1e-5
                  ) -> DataFrame:
-    """Cells whose replayed severity does not match what the sweep recorded."""
-    b = landed.select(*keys, *[F.col(v).alias(f"_l_{v}") for v in values])
-    j = replayed.select(*keys, *values).join(b, list(keys))
+    """Cells whose replayed severity does not match what the sweep recorded.
+
+    A cell that only one side has comes out with a NULL difference.
+    """
+    a = replayed.select(*keys, *values, F.lit(1).alias("_a"))
+    b = landed.select(*keys, *[F.col(v).alias(f"_l_{v}") for v in values], F.lit(1).alias("_b"))
+    j = a.join(b, list(keys), "full_outer")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     worst = F.greatest(F.lit(0.0), *[F.abs(F.col(v) - F.col(f"_l_{v}")) for v in values])
-    return j.select(*keys, worst.alias("max_diff")).where(F.col("max_diff") > tol)
+    return j.select(*keys, F.when(both, worst).alias("max_diff")).where(
+        F.col("max_diff").isNull() | (F.col("max_diff") > tol))
 
 
 def collapse_disagreement(a: DataFrame, b: DataFrame, keys: Sequence[str],
@@ -234,8 +240,8 @@ def dataset_violations(manifest: DataFrame, frames: DataFrame, labels: DataFrame
 
 
 def round_trip_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], payload: str,
-                           share: int = 16, seed: int = 0) -> DataFrame:
-    """Keyed hash sample (one in ``share``) of rows whose payload differs between two decodes."""
+                           share: int = 1, seed: int = 0) -> DataFrame:
+    """Rows (a keyed hash sample of one in ``share``) whose payload differs between two decodes."""
     pick = hash32(F.lit(seed), *keys) % share == 0
     x = a.where(pick).select(*keys, F.sha2(payload, 256).alias("ha"))
     y = b.where(pick).select(*keys, F.sha2(payload, 256).alias("hb"))

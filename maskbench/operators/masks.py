@@ -48,11 +48,14 @@ def area(a: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
 @F.pandas_udf(row_type("j:d f:d pred_area:l gt_area:l"))
 def region_and_boundary(p: pd.Series, g: pd.Series, h: pd.Series, w: pd.Series, tol: pd.Series
                         ) -> pd.DataFrame:
-    t = int(tol.iloc[0]) if len(tol) else 2
-    j, f, pa, ga = _stacks(lambda x, y: (K.region(x, y), K.boundary(x, y, t), K.count(x),
-                                         K.count(y)), (p, g), h, w, 4)
-    return pd.DataFrame({"j": j.astype(float), "f": f.astype(float),
-                         "pred_area": pa.astype(np.int64), "gt_area": ga.astype(np.int64)})
+    parts = []
+    for t in tol.unique():
+        at = tol == t
+        j, f, pa, ga = _stacks(lambda x, y: (K.region(x, y), K.boundary(x, y, int(t)), K.count(x), K.count(y)),
+                               (p[at], g[at]), h[at], w[at], 4)
+        parts.append(pd.DataFrame({"j": j.astype(float), "f": f.astype(float), "pred_area": pa.astype(np.int64),
+                                   "gt_area": ga.astype(np.int64)}, index=tol.index[at]))
+    return pd.concat(parts).reindex(tol.index) if parts else pd.DataFrame(columns=["j", "f", "pred_area", "gt_area"])
 
 
 @F.pandas_udf(row_type("j:d f:d"))
@@ -64,16 +67,18 @@ def released_region_and_boundary(p: pd.Series, g: pd.Series, h: pd.Series, w: pd
 
 @F.pandas_udf(row_type("x0:d y0:d x1:d y1:d"))
 def bounding_box(a: pd.Series, h: pd.Series, w: pd.Series, pad: pd.Series) -> pd.DataFrame:
-    p = float(pad.iloc[0]) if len(pad) else 0.0
-    b = _stacks(lambda m: K.boxes(m, p), (a,), h, w, 1)[0]
-    return pd.DataFrame(list(b), columns=["x0", "y0", "x1", "y1"], dtype=float)
+    parts = []
+    for p in pad.unique():
+        at = pad == p
+        b = _stacks(lambda m: K.boxes(m, float(p)), (a[at],), h[at], w[at], 1)[0]
+        parts.append(pd.DataFrame(list(b), columns=["x0", "y0", "x1", "y1"], index=pad.index[at], dtype=float))
+    return pd.concat(parts).reindex(pad.index) if parts else pd.DataFrame(columns=["x0", "y0", "x1", "y1"], dtype=float)
 
 
 @F.pandas_udf(BinaryType())
 def fill_holes(a: pd.Series, h: pd.Series, w: pd.Series, max_area: pd.Series) -> pd.Series:
-    lim = int(max_area.iloc[0]) if len(max_area) else 8
-    return pd.Series([K.pack(K.fill_small_holes(K.unpack([bytes(b)], int(x), int(y))[0], lim)[None])[0]
-                      for b, x, y in zip(a, h, w)], dtype=object)
+    return pd.Series([K.pack(K.fill_small_holes(K.unpack([bytes(b)], int(x), int(y))[0], int(lim))[None])[0]
+                      for b, x, y, lim in zip(a, h, w, max_area)], dtype=object)
 
 
 @F.pandas_udf(row_type("n_components:l largest:l smallest:l"))
