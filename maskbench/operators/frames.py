@@ -94,7 +94,7 @@ def degraded_sequences(frames: DataFrame, conditions: Sequence[tuple[str, float]
     n = f.groupBy("seq").agg(F.count("*").alias("n_frames"))
     cond = F.array(*[F.struct(F.lit(d).alias("degradation"), F.lit(float(v)).alias("level"))
                      for d, v in conditions])
-    d = f.join(n, "seq").withColumn("t", (F.col("frame") / stride).cast("int")).select(
+    d = spread(f.join(n, "seq"), FRAME_KEY).withColumn("t", (F.col("frame") / stride).cast("int")).select(
         "*", F.inline(cond))
     d = d.withColumn("seq_seed", sequence_seed("seq", seed))
     sev = F.col("level")
@@ -102,7 +102,6 @@ def degraded_sequences(frames: DataFrame, conditions: Sequence[tuple[str, float]
         sev = severity_schedule("level", "t", "n_frames", "seq_seed", amp)
     d = d.withColumn("severity", F.when(F.col("degradation") == "clean", 1.0).otherwise(
         sev.cast("float").cast("double")))
-    d = spread(d, [*FRAME_KEY, "degradation", "level"])
     return d.withColumnRenamed("rgb", "clean_rgb").withColumn(
         "rgb", _degrade("clean_rgb", "h", "w", "degradation", "severity", "seq_seed", "frame"))
 
@@ -114,13 +113,16 @@ def degrade_frames(frames: DataFrame, name: str, level: float, seed: int = 0) ->
 
 
 def restore_frames(frames: DataFrame, names: Sequence[str] = R.NAMES) -> DataFrame:
-    """Each frame through each named filter; the names are a constant list."""
+    """Each frame through each named filter; the names are a constant list.
+
+    A frame moves once and is repeated for the filters where it arrives.
+    """
     unknown = sorted(set(names) - set(R.NAMES))
     if unknown:
         raise KeyError(f"unknown filter(s) {unknown}")
     ops = F.array(*[F.struct(F.lit(R.NAMES.index(n)).alias("op"), F.lit(n).alias("op_name"))
                     for n in names])
-    return spread(frames.select("*", F.inline(ops)), [*FRAME_KEY, "op"]).withColumn(
+    return spread(frames, FRAME_KEY).select("*", F.inline(ops)).withColumn(
         "rgb", _restore("rgb", "h", "w", "op_name"))
 
 
