@@ -52,29 +52,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordCodes(dict):
-    """64-bit codes of words, remembered up to a bound."""
+#: Odd multipliers that tell the words of a shingle apart by their place.
+PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word)
-        return code
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """64-bit codes of words."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def shingles(text: str, codes: WordCodes, width: int = 5) -> np.ndarray:
-    """Sorted distinct codes of the word shingles; fewer words make one shingle, none an empty set."""
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct codes of the shingles of five words; fewer words make one shingle, none an empty set."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    h = word_codes(words)
+    width = len(PLACES)
     n = max(1, len(h) - width + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(width, len(h))):
-        out = out * np.uint64(0x100000001B3) + mixed(h[i:i + n] + np.uint64(i + 1))
-    return np.unique(mixed(out + np.uint64(min(width, len(h)))))
+    out = h[:n] * PLACES[0]
+    for i in range(1, min(width, len(h))):
+        out += h[i:i + n] * PLACES[i]
+    out = mixed(out + np.uint64(min(width, len(h))))
+    out.sort()
+    return out[np.flatnonzero(np.concatenate(([True], out[1:] != out[:-1])))]
 
 
 #: Bits of the filter of ids; it is as large for any input.

@@ -10,9 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import WordCodes, components, parts_for, shingles, split_by_ids, staged
+from .base import components, parts_for, shingles, split_by_ids, staged
 
-WIDTH = 5
 NEEDED = (75, 100)                # intersection : union
 COUNTERS = 1 << 18
 SEGMENT = 1 << 12
@@ -64,11 +63,11 @@ def _sets(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         names = ["doc_id", "n", "node", "segment", "salt", "counts"]
-        codes, counts = WordCodes(), np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         for b in batches:
             n, node = [], []
             for t in b.column(1):
-                s = shingles(t.as_py() or "", codes, WIDTH)
+                s = shingles(t.as_py() or "")
                 n.append(len(s))
                 node.append(set_code(s))
                 if len(s):
@@ -113,11 +112,11 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, often, seen = WordCodes(), shared.value, set()
+        often, seen = shared.value, set()
         for b in batches:
             out, node, size, core = [], [], [], []
             for t in b.column(0):
-                s = shingles(t.as_py() or "", codes, WIDTH)
+                s = shingles(t.as_py() or "")
                 k, n = set_code(s), len(s)
                 if k is None or k in seen:
                     continue
@@ -185,57 +184,88 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "shingle long, node long, n int, core boolean, band int, leader long, prior long")
 
 
-def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, n, codes, bits) of the given nodes, from one document of each.
+def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame, bits: bool) -> DataFrame:
+    """Of one document of each of the nodes: (node, n, bits), or (node, text).
 
     A filter of fixed size over the ids of those documents spares the others' texts; the join that follows
     is exact.
     """
+    nodes = staged(nodes)
     ids = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = WordCodes(), set()
+        seen = set()
         for b in batches:
-            out = []
+            node, size, kept = [], [], []
             for t in b.column(0):
-                s = shingles(t.as_py() or "", codes, WIDTH)
+                s = shingles(t.as_py() or "")
                 k = set_code(s)
                 if k is not None and k not in seen:
                     seen.add(k)
-                    out.append((k, len(s), s.tobytes(), bitmap(s).tobytes()))
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["node", "n", "codes", "bits"])
+                    node.append(k)
+                    size.append(len(s))
+                    kept.append(bitmap(s).tobytes() if bits else t.as_py())
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.binary() if bits else pa.string())],
+                                                 ["node", "n", "kept"])
 
     few = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids).where("possible")
-    found = few.select("text").mapInArrow(run, "node long, n int, codes binary, bits binary")
+    found = few.select("text").mapInArrow(run, f"node long, n int, kept {'binary' if bits else 'string'}")
     return staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: first the bitmaps' bound, then the intersection of the sorted codes."""
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def side(k: str) -> DataFrame:
+        return sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("kept").alias(f"kept_{k}"))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "kept_a", "kept_b")
+
+
+def _within_bound(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs that sizes and bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {k: b.column(k) for k in b.schema.names}
-            ok = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(c[k][i].as_py(), np.uint64) for k in ("codes_a", "codes_b"))
-                u, v = (np.frombuffer(c[k][i].as_py(), np.uint64) for k in ("bits_a", "bits_b"))
+            n, m = b.column(2).to_pylist(), b.column(3).to_pylist()
+            ok = []
+            for i, (x, y) in enumerate(zip(b.column(4), b.column(5))):
+                u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 w = min(len(u), len(v))
-                u, v = folded(u, w), folded(v, w)
-                if enough(overlap_bound(u, len(x), v, len(y)), len(x), len(y)):
-                    ok[i] = enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([c["a"].filter(keep), c["b"].filter(keep)], ["a", "b"])
+                ok.append(bool(enough(overlap_bound(folded(u, w), n[i], folded(v, w), m[i]), n[i], m[i])))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    def side(k: str) -> DataFrame:
-        return sets.select(*[F.col(x).alias(y) for x, y in (("node", k), ("codes", f"codes_{k}"), ("bits", f"bits_{k}"))])
+    return _both(pairs, bits).mapInArrow(run, "a long, b long")
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the intersection of their sorted codes; pairs must have passed the bound."""
 
-def _banded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: dict[int, np.ndarray] = {}
+            ok = []
+            for i in range(b.num_rows):
+                xy = []
+                for k in (0, 1):
+                    node = b.column(k)[i].as_py()
+                    if node not in held:
+                        if len(held) > 1000:
+                            held.clear()
+                        held[node] = shingles(b.column(4 + k)[i].as_py())
+                    xy.append(held[node])
+                x, y = xy
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(bool(enough(common, len(x), len(y))))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    pairs = staged(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return staged(_both(pairs, _fetch(docs, nodes, members, bits=False)).mapInArrow(run, "a long, b long"))
+
+
+def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Candidates between sets of different labels that share a shingle, by tiles of a shingle and a size band.
 
     A tile pairs the sets of its band with those of its band and of the next; larger ones are cut into
@@ -245,30 +275,68 @@ def _banded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
                              F.struct(F.lit(False).alias("small"), F.col("band").alias("tile")),
                              F.struct(F.lit(False).alias("small"), (F.col("band") - 1).alias("tile"))))
     r = rows.select("shingle", "node", "n", "core", "label", both.alias("x")).select("*", "x.small", "x.tile").drop("x").where("core or not small")
-    heavy = r.groupBy("shingle", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"),
-                                             F.max("small").alias("has")).where("has")
+    heavy = (r.groupBy("shingle", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"), F.max("small").alias("has"),
+                                              (F.min("label") != F.max("label")).alias("differ")).where("has and differ"))
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     cut = r.join(heavy, ["shingle", "tile"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cut = cut.select("shingle", "tile", "node", "n", "label", "small",
-                     F.when(F.col("small"), own).otherwise(F.col("other")).alias("i"),
-                     F.when(F.col("small"), F.col("other")).otherwise(own).alias("j"))
-    full = cut.join(sets.select("node", "bits"), "node")
-
-    def run(t: pa.Table) -> pa.Table:
-        node, n, label, small = (t.column(k).to_numpy() for k in ("node", "n", "label", "small"))
-        bits = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("bits")]
-        width = min(map(len, bits))
-        bits = np.stack([folded(x, width) for x in bits])
+    keys = ["shingle", "tile", "i", "j"]
+    cut = cut.select("shingle", "tile", F.when(F.col("small"), own).otherwise(F.col("other")).alias("i"),
+                     F.when(F.col("small"), F.col("other")).otherwise(own).alias("j"), "node", "n", "label", "small")
+    full = cut.join(sets.select("node", F.col("kept").alias("bits")), "node").select(*keys, "node", "n", "label", "small", "bits")
+
+    def square(rows: list[tuple]) -> list[tuple[int, int]]:
+        """Pairs of one square that nothing rules out: (node, n, label, small, bits) rows."""
+        width = min(len(r[4]) for r in rows)
+        if len(rows) <= 24:                                   # whole numbers as bitmaps beat arrays on few rows
+            return _few_pairs(rows, width)
+        node, n, label, small = (np.array([r[k] for r in rows]) for k in range(4))
+        bits = np.stack([folded(np.frombuffer(r[4], np.uint64), width // 8) for r in rows])
         big, out = np.flatnonzero(~small), []
         for i in np.flatnonzero(small):
             j = big[(label[big] != label[i]) & ((n[big] > n[i]) | ((n[big] == n[i]) & (node[big] > node[i]))) & (3 * n[big] <= 4 * n[i])]
             if len(j):
                 j = j[enough(overlap_bound(bits[j], n[j], bits[i], int(n[i])), n[j], int(n[i]))]
-                out.append((np.full(len(j), node[i]), node[j]))
-        a, b = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), ())))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                out += [(int(node[i]), int(x)) for x in node[j]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if row[:4] != at:
+                    if len(held) > 1:
+                        out += square(held)
+                    at, held = row[:4], []
+                held.append(row[4:])
+            if out:
+                yield _pair_batch(out)
+        if len(held) > 1:
+            yield _pair_batch(square(held))
+
+    dealt = full.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
 
-    return full.groupBy("shingle", "tile", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def _few_pairs(rows: list[tuple], width: int) -> list[tuple[int, int]]:
+    whole, mask = [], (1 << 8 * width) - 1
+    for _, n, _, _, raw in rows:
+        x, y = int.from_bytes(raw, "little"), 0
+        while x:
+            x, y = x >> 8 * width, y | x & mask
+        whole.append((y, n - y.bit_count()))
+    out = []
+    for (node, n, label, small, _), (u, spare) in zip(rows, whole):
+        if small:
+            for (other, m, other_label, other_small, _), (v, more) in zip(rows, whole):
+                if (not other_small and label != other_label and (m, other) > (n, node) and 3 * m <= 4 * n
+                        and enough((u & v).bit_count() + min(spare, more), n, m)):
+                    out.append((node, other))
+    return out
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -296,12 +364,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
              .groupBy("node", "to").agg(F.count("*").alias("n"))
              .groupBy("node").agg(F.max(F.struct("n", F.col("to").alias("to")))["to"].alias("most"), F.min("to").alias("least")))
     first = votes.select(F.explode(F.array_distinct(F.array(pair("most"), pair("least")))).alias("p")).select("p.a", "p.b").distinct()
-    sets = _fetch(docs, tiles.select("node").distinct(), members.where("node is not null"))
-    links = staged(_verified(first, sets))
+    known = members.where("node is not null")
+    sets = _fetch(docs, tiles.select("node").distinct(), known, bits=True)
+    links = _verified(_within_bound(first, sets), docs, known)
     label = components(links)
     marked = tiles.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
     mixed_tiles = marked.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    more = staged(_verified(_banded_pairs(marked.join(mixed_tiles, "shingle", "left_semi"), sets), sets))
+    more = _verified(_banded_pairs(marked.join(mixed_tiles, "shingle", "left_semi"), sets, parts), docs, known)
     joined = components(links.union(more))
     least = (members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
              .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import WordCodes, parts_for, staged
+from .base import parts_for, staged, word_codes
 
 ORDER = 4
 BLOCK = 24 << 20                 # bytes of text that one task holds
@@ -41,13 +41,13 @@ def _bytes(column: pa.ChunkedArray) -> list[bytes]:
 def _counted(t: pa.Table, order: int) -> pa.Table:
     """Distinct words and grams of a block with their counts in its training texts."""
     block, texts, held = t.column("block")[0].as_py(), _bytes(t.column("text")), t.column("held_out").to_pylist()
-    codes, out = WordCodes(), []
+    out = []
     for kind in (0, 1):
         found: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
         for side in (False, True):
             own = [x for x, h in zip(texts, held) if h == side]
             if kind == 0:
-                lists = (np.fromiter(map(codes.__getitem__, x.lower().split()), np.uint64).view(np.int64) for x in own)
+                lists = (word_codes(x.lower().split()).view(np.int64) for x in own)
                 parts = _chunks(lists)
             else:
                 parts = (c for c, _ in grams(own, order))
@@ -178,12 +178,12 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, block: int = BL
             own = np.flatnonzero(kind == k)
             own = own[np.argsort(key[own])]
             table.append((key[own], value[own]))
-        codes, rows = WordCodes(), []
+        rows = []
         bottom = total + distinct + 1
         end = np.log10((train + 1) / bottom)
         for x in texts:
             w = x.lower().split()
-            c = table[0][1][np.searchsorted(table[0][0], np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)).view(np.int64))] if w else np.empty(0)
+            c = table[0][1][np.searchsorted(table[0][0], word_codes(w).view(np.int64))] if w else np.empty(0)
             rows.append((len(w) + 1, int(np.count_nonzero(c)) + (train > 0), float(np.log10((c + 1) / bottom).sum() + end)))
         score = np.zeros(len(texts))
         for code, of in grams(texts, order):
