@@ -41,9 +41,13 @@ def folded(b: np.ndarray, words: int) -> np.ndarray:
 
 
 def overlap_bound(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
-    """No intersection is larger: common bits, and the elements that share a bit with another one."""
-    pop = np.bitwise_count(a).sum(axis=-1, dtype=np.int64)
-    return np.bitwise_count(a & b).sum(axis=-1, dtype=np.int64) + np.minimum(n - pop, m - int(np.bitwise_count(b).sum()))
+    """No intersection is larger than this.
+
+    A bit that only one side has stands for an element that only it has; and shared elements have common
+    bits, but for those that share a bit with another one.
+    """
+    count = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+    return np.minimum((n + m - count(a ^ b)) // 2, count(a & b) + np.minimum(n - count(a), m - int(np.bitwise_count(b).sum())))
 
 
 def enough(common, n, m):
@@ -271,27 +275,30 @@ def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     A tile pairs the sets of its band with those of its band and of the next; larger ones are cut into
     squares of TILE by TILE sets. Inside, sizes, labels and the bitmaps' bound decide.
     """
-    both = F.explode(F.array(F.struct(F.lit(True).alias("small"), F.col("band").alias("tile")),
-                             F.struct(F.lit(False).alias("small"), F.col("band").alias("tile")),
+    both = F.explode(F.array(F.struct(F.col("core").alias("small"), F.col("band").alias("tile")),
                              F.struct(F.lit(False).alias("small"), (F.col("band") - 1).alias("tile"))))
-    r = rows.select("shingle", "node", "n", "core", "label", both.alias("x")).select("*", "x.small", "x.tile").drop("x").where("core or not small")
+    r = rows.select("shingle", "node", "n", "label", both.alias("x")).select("shingle", "x.tile", "node", "n", "label", "x.small")
     heavy = (r.groupBy("shingle", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"), F.max("small").alias("has"),
                                               (F.min("label") != F.max("label")).alias("differ")).where("has and differ"))
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    cut = r.join(heavy, ["shingle", "tile"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     keys = ["shingle", "tile", "i", "j"]
-    cut = cut.select("shingle", "tile", F.when(F.col("small"), own).otherwise(F.col("other")).alias("i"),
-                     F.when(F.col("small"), F.col("other")).otherwise(own).alias("j"), "node", "n", "label", "small")
-    full = cut.join(sets.select("node", F.col("kept").alias("bits")), "node").select(*keys, "node", "n", "label", "small", "bits")
+    # in square (i, j) the sets dealt to i are the smaller, those dealt to j the larger of a pair
+    places = F.array_union(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.col("own").alias("i"), x.alias("j"))),
+                           F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(x.alias("i"), F.col("own").alias("j"))))
+    cut = (r.join(heavy, ["shingle", "tile"]).withColumn("own", own).withColumn("p", F.explode(places))
+           .where("small or p.j = own").select("shingle", "tile", "p.i", "p.j", "node", "n", "label",
+                                               (F.col("small") & (F.col("p.i") == F.col("own"))).alias("small"),
+                                               (F.col("p.j") == F.col("own")).alias("large")))
+    full = cut.join(sets.select("node", F.col("kept").alias("bits")), "node").select(*keys, "node", "n", "label", "small", "large", "bits")
 
     def square(rows: list[tuple]) -> list[tuple[int, int]]:
-        """Pairs of one square that nothing rules out: (node, n, label, small, bits) rows."""
-        width = min(len(r[4]) for r in rows)
+        """Pairs of one square that nothing rules out: (node, n, label, small, large, bits) rows."""
+        width = min(len(r[5]) for r in rows)
         if len(rows) <= 24:                                   # whole numbers as bitmaps beat arrays on few rows
             return _few_pairs(rows, width)
-        node, n, label, small = (np.array([r[k] for r in rows]) for k in range(4))
-        bits = np.stack([folded(np.frombuffer(r[4], np.uint64), width // 8) for r in rows])
-        big, out = np.flatnonzero(~small), []
+        node, n, label, small, large = (np.array([r[k] for r in rows]) for k in range(5))
+        bits = np.stack([folded(np.frombuffer(r[5], np.uint64), width // 8) for r in rows])
+        big, out = np.flatnonzero(large), []
         for i in np.flatnonzero(small):
             j = big[(label[big] != label[i]) & ((n[big] > n[i]) | ((n[big] == n[i]) & (node[big] > node[i]))) & (3 * n[big] <= 4 * n[i])]
             if len(j):
@@ -324,17 +331,17 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _few_pairs(rows: list[tuple], width: int) -> list[tuple[int, int]]:
     whole, mask = [], (1 << 8 * width) - 1
-    for _, n, _, _, raw in rows:
+    for _, n, _, _, _, raw in rows:
         x, y = int.from_bytes(raw, "little"), 0
         while x:
             x, y = x >> 8 * width, y | x & mask
         whole.append((y, n - y.bit_count()))
     out = []
-    for (node, n, label, small, _), (u, spare) in zip(rows, whole):
+    for (node, n, label, small, _, _), (u, spare) in zip(rows, whole):
         if small:
-            for (other, m, other_label, other_small, _), (v, more) in zip(rows, whole):
-                if (not other_small and label != other_label and (m, other) > (n, node) and 3 * m <= 4 * n
-                        and enough((u & v).bit_count() + min(spare, more), n, m)):
+            for (other, m, other_label, _, large, _), (v, more) in zip(rows, whole):
+                if (large and label != other_label and (m, other) > (n, node) and 3 * m <= 4 * n
+                        and enough(min((n + m - (u ^ v).bit_count()) // 2, (u & v).bit_count() + min(spare, more)), n, m)):
                     out.append((node, other))
     return out
 
@@ -345,8 +352,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Two documents link when the Jaccard similarity of their sets of 5-word shingles is 0.75 or more; a
     component is what links reach, named by its smallest doc_id. Equal sets are one node. Only a shingle
     among a set's rarest can bring it a partner. First each node is compared with two likely partners,
-    which joins most groups; then, for shingles whose sets are not all in one group yet, the tiles of
-    :func:`_banded_pairs` find every other candidate; all are compared exactly.
+    which joins most groups, then with two of other groups in its tiles. For shingles whose sets are not all
+    in one group yet, the tiles of :func:`_banded_pairs` then find every other candidate. All are compared
+    exactly.
 
     Null and empty texts have no shingles and link with nothing; a null id is kept, has a null component
     when alone, and takes its group's otherwise; repeated rows are equal sets; other columns are left out;
@@ -359,18 +367,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(int(load or 0), 1_000_000))
     tiles = staged(_tiles(_prefixes(docs, frequencies), parts))
-    pair = lambda x: F.struct(F.least("node", x).alias("a"), F.greatest("node", x).alias("b"))
-    votes = (tiles.select("node", F.explode(F.array_distinct(F.array("leader", "prior"))).alias("to")).where("node <> to")
-             .groupBy("node", "to").agg(F.count("*").alias("n"))
-             .groupBy("node").agg(F.max(F.struct("n", F.col("to").alias("to")))["to"].alias("most"), F.min("to").alias("least")))
-    first = votes.select(F.explode(F.array_distinct(F.array(pair("most"), pair("least")))).alias("p")).select("p.a", "p.b").distinct()
     known = members.where("node is not null")
     sets = _fetch(docs, tiles.select("node").distinct(), known, bits=True)
+
+    def likely(rows: DataFrame) -> DataFrame:
+        """Of the partners (node, to), for each node the one named most often, and the smallest."""
+        votes = rows.where("node <> to").groupBy("node", "to").agg(F.count("*").alias("n")).groupBy("node").agg(
+            F.max(F.struct("n", "to"))["to"].alias("most"), F.min("to").alias("least"))
+        two = votes.select("node", F.explode(F.array_distinct(F.array("most", "least"))).alias("to"))
+        return two.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+
+    def open_tiles(links: DataFrame) -> DataFrame:
+        """Tile rows, with their labels, of the shingles whose sets are not all in one group yet."""
+        marked = tiles.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        ends = marked.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+        return staged(marked.join(ends, "shingle", "left_semi").select("shingle", "node", "n", "core", "band", "label"))
+
+    first = likely(tiles.select("node", F.explode(F.array_distinct(F.array("leader", "prior"))).alias("to")))
     links = _verified(_within_bound(first, sets), docs, known)
-    label = components(links)
-    marked = tiles.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    mixed_tiles = marked.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    more = _verified(_banded_pairs(marked.join(mixed_tiles, "shingle", "left_semi"), sets, parts), docs, known)
+    # a second time across the groups so far: the first set of another group in the tile
+    left = open_tiles(links)
+    ends = left.groupBy("shingle", "band").agg(F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).where("lo.label <> hi.label")
+    across = left.join(ends, ["shingle", "band"]).select("node", F.when(F.col("label") == F.col("lo.label"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("to"))
+    links = staged(links.union(_verified(_within_bound(likely(across), sets), docs, known)))
+    more = _verified(_banded_pairs(open_tiles(links), sets, parts), docs, known)
     joined = components(links.union(more))
     least = (members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
              .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))

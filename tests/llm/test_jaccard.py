@@ -81,11 +81,11 @@ def test_tiles_find_what_the_first_pairs_miss(spark, monkeypatch):
 
     def verified(pairs, *more):
         calls.append(1)
-        return real(pairs.where("false") if len(calls) == 1 else pairs, *more)
+        return real(pairs.where("false") if len(calls) < 3 else pairs, *more)
 
     monkeypatch.setattr(jaccard, "_verified", verified)
     got = jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(calls) == 2 and sorted(map(tuple, got)) == plain(rows)
+    assert len(calls) == 3 and sorted(map(tuple, got)) == plain(rows)
 
 
 def test_bound_is_never_below_the_overlap():
