@@ -385,10 +385,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     first = likely(tiles.select("node", F.explode(F.array_distinct(F.array("leader", "prior"))).alias("to")))
     links = _verified(_within_bound(first, sets), docs, known)
-    # a second time across the groups so far: the first set of another group in the tile
+    # a second time across the groups so far, which often meet at the edge of a size band: the first set of
+    # another group that has the shingle
     left = open_tiles(links)
-    ends = left.groupBy("shingle", "band").agg(F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).where("lo.label <> hi.label")
-    across = left.join(ends, ["shingle", "band"]).select("node", F.when(F.col("label") == F.col("lo.label"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("to"))
+    ends = left.groupBy("shingle").agg(F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).where("lo.label <> hi.label")
+    across = left.join(ends, "shingle").select("node", F.when(F.col("label") == F.col("lo.label"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("to"))
     links = staged(links.union(_verified(_within_bound(likely(across), sets), docs, known)))
     more = _verified(_banded_pairs(open_tiles(links), sets, parts), docs, known)
     joined = components(links.union(more))
