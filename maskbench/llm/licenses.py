@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
@@ -21,9 +22,59 @@ TEMPLATES = [
     ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa-4.0-notice", "Licensed under CC BY-SA 4.0."),
     ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("rights-reserved", "Copyright. All rights reserved."),
+    ("rights-reserved", "All rights reserved."),
 ]
 
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as
+published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This {0} is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."""
+
+# License texts without title and holder, and the headers that long licenses ask files to carry. Versions of the
+# GNU headers differ in one or two words, so that either version matches.
+TEXTS = [
+    ("mit-text", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc-text", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS"
+AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2-clause-text", _BSD_2 + _BSD_END),
+    ("bsd-3-clause-text", _BSD_2 + _BSD_3 + _BSD_END),
+    ("apache-2.0-header", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES
+OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+under the License."""),
+    ("gpl-header", _GNU.format("program", "", "2")),
+    ("lgpl-header", _GNU.format("library", "Lesser ", "2.1")),
+    ("mpl-2.0-header", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+]
+
+#: A block has up to LINES lines of any length, or any number of lines with at most SLACK times the template's words.
+LINES, SLACK = 4, 2
+
 #: Everything that is not a letter, a digit or a byte above ASCII separates words.
 SPACES = bytes(32 if i < 0x30 or 0x3A <= i <= 0x60 or 0x7B <= i <= 0x7F else i for i in range(256))
 MATCH = "struct<label:string,block:int,first_word:bigint,last_word:bigint,containment:double>"
@@ -63,6 +114,7 @@ class Index:
         self.order = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
         self.labels = [label for label, _ in templates]
         self.sets = [sorted({self.order[w] for w in words_of(t.encode())}) for _, t in templates]
+        self.words = [len(words_of(t.encode())) for _, t in templates]
         self.need = [int(np.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.lists: dict[int, list[tuple[int, int]]] = {}
         for k, s in enumerate(self.sets):
@@ -71,8 +123,8 @@ class Index:
                 self.lists.setdefault(token, []).append((k, at))
         self.prefix = {w for w, i in self.order.items() if i in self.lists}
 
-    def matches(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of every template whose tokens the block holds to the threshold."""
+    def matches(self, words: list[bytes]) -> list[int]:
+        """Every template whose tokens the words hold to the threshold."""
         own = sorted({self.order[w] for w in self.order.keys() & set(words)})
         at_of = {t: i for i, t in enumerate(own)}
         tried, out = set(), []
@@ -85,26 +137,53 @@ class Index:
                 # position: the first shared token, and at most what follows it on either side
                 if 1 + min(len(s) - at - 1, len(own) - at_of[token] - 1) + sum(t in at_of for t in s[:at]) < need:
                     continue
-                common = sum(t in at_of for t in s)
-                if common >= need:
-                    out.append((k, common / len(s)))
+                if sum(t in at_of for t in s) >= need:
+                    out.append(k)
         return out
 
+    def block(self, k: int, lines: list[list[bytes]], starts: list[int]) -> tuple[float, int, int] | None:
+        """(containment, first line, line after the last) of the block that holds most of template k, if that is enough.
+
+        A longer block holds no less, so only the longest block from each line is counted, by adding lines at its
+        end and taking them off at its start. Of equal blocks the first is taken, without lines that it can spare.
+        """
+        own = set(self.sets[k])
+        have = [[t for w in x if (t := self.order.get(w)) in own] for x in lines]
+        limit, held, j, most, at = SLACK * self.words[k], Counter(), 0, 0, 0
+        for i in range(len(lines)):
+            while j < len(lines) and (j < i + LINES or starts[j + 1] - starts[i] <= limit):
+                held.update(have[j])
+                j += 1
+            if len(held) > most:
+                most, at = len(held), i
+            held.subtract(have[i])
+            held = +held if have[i] else held
+        if most < self.need[k]:
+            return None
+        seen, end = set(have[at]), at + 1
+        while len(seen) < most:
+            seen.update(have[end])
+            end += 1
+        while len(set().union(*have[at + 1:end])) == most:
+            at += 1
+        return most / len(own), at, end
+
 
 def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     n, head = len(phrase), phrase[0]
     return [i for i, w in enumerate(words) if w == head and words[i:i + n] == phrase]
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES,
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = [*TEMPLATES, *TEXTS], phrases: list[tuple[str, str]] = PHRASES,
          threshold: float = THRESHOLD) -> DataFrame:
-    """Find license phrases and notices in whole texts.
+    """Find license phrases, notices, texts and headers in whole texts.
 
-    A text block is a run of lines: each line, and each window of up to four lines that follow one another,
-    so that wrapped notices are found. A block matches a template when it holds at least ``threshold`` of the
-    template's distinct tokens. Tokens are ordered by the number of documents that hold them, rarest first;
-    only a block with a token of a template's prefix is looked at, and lengths and positions decide before
-    tokens are counted. The templates are few and travel with the job; documents stay where they are.
+    A text block is a run of lines that follow one another: up to four lines of any length, or any number of
+    lines with at most twice the template's words, so that wrapped templates are found however short the lines.
+    A block matches a template when it holds at least ``threshold`` of the template's distinct tokens. Tokens
+    are ordered by the number of documents that hold them, rarest first; only a document with a token of a
+    template's prefix is looked at, and lengths and positions decide before its blocks are counted. The
+    templates are few and travel with the job; documents stay where they are.
 
     Returns doc_id, n_words, n_base (places of phrases), first_word, last_word (their smallest and largest
     start, else null), base_labels, labels (those and the templates', sorted, joined by commas), score (1 with
@@ -131,13 +210,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
             lines, starts = [words_of(x) for x in raw.split(b"\n")], [0]
             for x in lines:
                 starts.append(starts[-1] + len(x))
-            hot = [not index.prefix.isdisjoint(x) for x in lines]
-            for i in range(len(lines)):
-                for j in range(i + 1, min(i + 4, len(lines)) + 1):
-                    if any(hot[i:j]):
-                        for k, c in index.matches([w for x in lines[i:j] for w in x]):
-                            if k not in best or c > best[k][0]:
-                                best[k] = (c, i, starts[i], max(starts[i], starts[j] - 1))
+            for k in index.matches(words):
+                at = index.block(k, lines, starts)
+                if at:
+                    c, i, j = at
+                    best[k] = (c, i, starts[i], max(starts[i], starts[j] - 1))
         found = sorted((index.labels[k], *v) for k, v in best.items())
         labels = sorted(base | {f[0] for f in found})
         score = 1.0 if base else max([0.0, *(f[1] for f in found)])

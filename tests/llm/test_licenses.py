@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 from maskbench.llm import licenses as lc
 
@@ -57,3 +58,44 @@ def test_spans(spark):
     r = lc.scan(docs).first()
     assert [(x["label"], x["first_word"], x["last_word"], x["containment"]) for x in r["matches"]][0][0] == "mit-notice"
     assert r["matches"][0]["containment"] == 1.0 and r["first_word"] == 5
+
+
+def blocks(t, size):
+    """All blocks of lines for a template of so many words, tried one by one."""
+    lines = [words(x) for x in t.split("\n")]
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            block = [w for x in lines[i:j] for w in x]
+            if j - i <= 4 or len(block) <= 2 * size:
+                yield block
+
+
+def test_wrapped_texts_against_every_block(spark):
+    rng, rows = random.Random(4), []
+    for i in range(24):
+        t = rng.choice(lc.TEXTS + lc.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, len(t) // 8)):
+            t[rng.randrange(len(t))] = "other"
+        width = rng.choice([1, 2, 5, 12, 40])
+        lines = [rng.choice(["", "# ", " * "]) + " ".join(t[k:k + width]) for k in range(0, len(t), width)]
+        if rng.random() < 0.3:
+            lines[1:1] = ["far away"] * rng.choice([1, 40])
+        rows.append((i, "\n".join(["some prose"] * rng.randint(0, 3) + lines + ["the end of it"] * rng.randint(0, 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {(m.label, m.containment) for m in r.matches} for r in lc.scan(docs).collect()}
+    for d, t in rows:
+        want = set()
+        for label, template in lc.TEMPLATES + lc.TEXTS:
+            s = set(words(template))
+            c = max(len(s & set(b)) / len(s) for b in blocks(t, len(words(template))))
+            want |= {(label, c)} if c >= lc.THRESHOLD else set()
+        assert got[d] == want, (d, got[d], want)
+
+
+def test_whole_license_has_its_label(spark):
+    """Each text wrapped at one word a line and at 60 characters gets its own label; so does a reserved right."""
+    rows = [(2 * k + n, "A title\n\n" + "\n".join(textwrap.wrap(t, w, break_long_words=False))) for k, (_, t) in enumerate(lc.TEXTS) for n, w in enumerate((1, 60))]
+    docs = spark.createDataFrame(rows + [(99, "(c) 2020 Someone.\nAll rights reserved.\n")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lc.scan(docs).collect()}
+    assert all(label in got[2 * k + n].labels.split(",") for k, (label, _) in enumerate(lc.TEXTS) for n in (0, 1))
+    assert got[99].labels == "rights-reserved" and [(m.block, m.first_word, m.last_word) for m in got[99].matches] == [(1, 3, 5)]
