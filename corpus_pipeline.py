@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskbench.llm import jaccard, mixing, packing, quality
-from maskbench.llm.base import split_by_ids, staged, table
+from maskbench.llm.base import WORD, split_by_ids, staged, table
 from maskbench.llm.catalog import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,18 +20,24 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies; documents without words all stay.
+    """One row of every group of near copies; documents without words all stay.
 
-    Rows that repeat the id and the text of the kept one are copies of it: one of them stays. Only rows
-    whose id may be gone or repeated are compared and shuffled; the rest keeps its place.
+    The row with the smallest id stays, null ids last and rows of one id in the order of their texts' hashes.
+    Copies of it in id and text go too. Other rows are told apart by id and text, so that of two texts with one
+    id the one that has no copies stays. Only rows whose id may be gone or repeated are compared and shuffled;
+    the rest keeps its place.
     """
     d = docs.select(*COLUMNS)
-    groups = staged(jaccard.near_groups(d))
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    marked = split_by_ids(d, gone.union(twice))
-    left = (marked.where("possible").join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]))
-    return marked.where("not possible").select(*COLUMNS).unionByName(left.select(*COLUMNS))
+    rows = staged(jaccard.grouped(d).select("doc_id", "hash", "n_shingles", (
+        F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("hash") == F.col("kept.hash"))).alias("stays")))
+    gone = rows.where("n_shingles > 0 and not stays").select("doc_id", "hash").distinct()
+    twice = rows.where("n_shingles > 0").groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "hash")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("hash")).alias("key")
+    marked = split_by_ids(d.withColumn("hash", jaccard.text_hash()).select("*", key), gone.union(twice).select(key), "key")
+    g = gone.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    compared = F.col("possible") & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    left = marked.where(compared).join(g, (F.col("hash") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return marked.where(~compared).select(*COLUMNS).unionByName(left.dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,13 +81,13 @@ def shingles(text: str) -> np.ndarray:
 FILTER_BITS = 1 << 24
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Add ``possible``: false only where a row's doc_id is certainly not among ``ids`` (column doc_id).
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add ``possible``: false only where a row's key is certainly not among ``ids`` (column of the same name).
 
     A Bloom filter of FILTER_BITS bits, at most FILTER_BITS / 64 rows of two longs, is broadcast. It spares
     most texts the shuffle of the exact join that follows on the possible rows.
     """
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
     words = (ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("_word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("_bits")))
     marked = docs.withColumn("_at", at).join(F.broadcast(words), F.floor(F.col("_at") / 64) == F.col("_word"), "left")

@@ -60,13 +60,18 @@ def band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
 
 
+def text_hash() -> Column:
+    """Tells texts of one id apart, and orders rows of equal or null ids; null text has a code of its own."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, n, node), and each task's counts of hashed shingles in segments."""
+    """A row per document (doc_id, hash, n, node), and each task's counts of hashed shingles in segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names = ["doc_id", "n", "node", "segment", "salt", "counts"]
+        names = ["doc_id", "hash", "n", "node", "segment", "salt", "counts"]
         counts = np.zeros(COUNTERS, np.int64)
         for b in batches:
             n, node = [], []
@@ -77,17 +82,17 @@ def _sets(docs: DataFrame) -> DataFrame:
                 if len(s):
                     np.add.at(counts, (s >> np.uint64(46)).astype(np.int64), 1)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(k, pa.int32()),
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(k, pa.int32()),
                                               pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         k = COUNTERS // SEGMENT
         if counts.any():
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()),
+                *[pa.nulls(k, pa.int64())] * 4, pa.array(range(k), pa.int32()),
                 pa.array([TaskContext.get().partitionId() // 256] * k, pa.int32()),
                 pa.array([x.tobytes() for x in counts.reshape(k, -1)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, node long, segment int, salt int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("hash")).mapInArrow(
+        run, "doc_id long, hash long, n long, node long, segment int, salt int, counts binary")
 
 
 def _added(key: tuple, t: pa.Table) -> pa.Table:
@@ -347,7 +352,15 @@ def _few_pairs(rows: list[tuple], width: int) -> list[tuple[int, int]]:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document row.
+    """(doc_id, n_shingles, component_id) for every document row; see :func:`grouped`."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, n_shingles, component_id, kept) for every document row.
+
+    ``kept`` is (unnamed, doc_id, hash) of the component's first row by id, null ids last, then by the hash of
+    its text; it is null for a document without shingles.
 
     Two documents link when the Jaccard similarity of their sets of 5-word shingles is 0.75 or more; a
     component is what links reach, named by its smallest doc_id. Equal sets are one node. Only a shingle
@@ -361,7 +374,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result.
     """
     rows = staged(_sets(docs))
-    members = rows.where("segment is null").select("doc_id", "n", "node")
+    members = rows.where("segment is null").select("doc_id", "hash", "n", "node")
     load = members.agg(F.sum(F.col("n") / 4 + 1)).first()[0]
     frequencies = _frequencies(rows)
     spark = docs.sparkSession
@@ -393,9 +406,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = staged(links.union(_verified(_within_bound(likely(across), sets), docs, known)))
     more = _verified(_banded_pairs(open_tiles(links), sets, parts), docs, known)
     joined = components(links.union(more))
-    least = (members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    least = (members.where("node is not null").groupBy("node").agg(F.min(row).alias("least"))
              .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    names = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = staged(least.join(names, "component").select("node", "component_id"))
+    names = least.groupBy("component").agg(F.min("least").alias("kept"))
+    final = staged(least.join(names, "component").select("node", "kept"))
     return members.join(final, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("kept.doc_id", "doc_id").alias("component_id"), "kept")

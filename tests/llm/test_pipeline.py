@@ -88,3 +88,23 @@ def test_stages(spark, folder, tmp_path):
 
     whole = corpus_pipeline.run(spark, folder).toPandas().astype(object)
     assert multiset(whole.drop(columns=["sequence_id", "offset"])) == multiset(p.drop(columns=["sequence_id", "offset"]))
+
+
+def test_one_of_each_group_by_rows(spark, folder):
+    """Groups of null ids, ids with two texts, and rows without words."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = ([(None, f"{a} {x}") for x in "pqrs"] + [(None, f"{a} p")] * 2          # near copies without ids: one stays
+            + [(None, f"{b} {x}") for x in "pq"] + [(7, f"{b} r")]                 # one of them has an id: it stays
+            + [(5, c), (9, f"{c} p"), (9, d)]                                      # 9 is a copy in one of its two texts only
+            + [(4, f"{e} p"), (4, f"{e} q"), (4, f"{e} q")]                        # near copies of one id
+            + [(None, text()), (None, ""), (None, ""), (6, None), (6, None)])
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        left = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs.repartition(parts), folder).collect())
+        assert sum(n for (i, t), n in left.items() if i is None and t.startswith(a)) == 1
+        assert [k for k in left if k[1] and k[1].startswith(b)] == [(7, f"{b} r")]
+        assert [k for k in left if k[1] and k[1].startswith(c)] == [(5, c)] and left[9, d] == 1
+        assert sum(n for (i, t), n in left.items() if i == 4) == 1
+        assert left[None, ""] == 2 and left[6, None] == 2 and left[None, rows[-5][1]] == 1
