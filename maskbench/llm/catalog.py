@@ -38,8 +38,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of every document's shingle set and the group that its links reach."""
-    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+    """Size of every document's shingle set, the group that its links reach, and the number of its links."""
+    return jaccard.near_links(table(spark, sf_dir, "documents"))
 
 
 @query

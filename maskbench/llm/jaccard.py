@@ -351,6 +351,43 @@ def _few_pairs(rows: list[tuple], width: int) -> list[tuple[int, int]]:
     return out
 
 
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows of documents, tile rows, the bitmaps of the tiles' sets, and into how many parts tiles are dealt."""
+    rows = staged(_sets(docs))
+    members = rows.where("segment is null").select("doc_id", "hash", "n", "node")
+    load = members.agg(F.sum(F.col("n") / 4 + 1)).first()[0]
+    frequencies = _frequencies(rows)
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(int(load or 0), 1_000_000))
+    tiles = staged(_tiles(_prefixes(docs, frequencies), parts))
+    sets = _fetch(docs, tiles.select("node").distinct(), members.where("node is not null"), bits=True)
+    return members, tiles, sets, parts
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every document row, from all links.
+
+    ``n_links`` is the number of other rows that the row links with, those of equal sets included. The tiles of
+    all prefix shingles give the candidates, whatever group their sets are in, and all candidates are compared
+    exactly; so the work grows with the number of links, as in a group of near copies with the square of its
+    distinct sets. :func:`near_groups` gives the same components with fewer comparisons, without n_links.
+    Documents without shingles have no links.
+    """
+    members, tiles, sets, parts = _prepared(docs)
+    known = members.where("node is not null")
+    rows = tiles.select("shingle", "node", "n", "core", "band", F.col("node").alias("label"))
+    links = _verified(_banded_pairs(rows, sets, parts), docs, known)
+    nodes = staged(known.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+                   .join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
+    others = ends.join(nodes.select(F.col("node").alias("to"), "copies"), "to").groupBy("node").agg(F.sum("copies").alias("others"))
+    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    final = staged(nodes.join(names, "component").join(others, "node", "left").select(
+        "node", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    return members.join(final, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document row; see :func:`grouped`."""
     return grouped(docs).select("doc_id", "n_shingles", "component_id")
@@ -373,15 +410,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     when alone, and takes its group's otherwise; repeated rows are equal sets; other columns are left out;
     an empty table gives an empty result.
     """
-    rows = staged(_sets(docs))
-    members = rows.where("segment is null").select("doc_id", "hash", "n", "node")
-    load = members.agg(F.sum(F.col("n") / 4 + 1)).first()[0]
-    frequencies = _frequencies(rows)
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(int(load or 0), 1_000_000))
-    tiles = staged(_tiles(_prefixes(docs, frequencies), parts))
+    members, tiles, sets, parts = _prepared(docs)
     known = members.where("node is not null")
-    sets = _fetch(docs, tiles.select("node").distinct(), known, bits=True)
 
     def likely(rows: DataFrame) -> DataFrame:
         """Of the partners (node, to), for each node the one named most often, and the smallest."""

@@ -108,3 +108,30 @@ def test_components_of_chains(spark):
         for a, b in edges:
             p[a] = p[b] = min(p[a], p[b])
     assert all(got.get(x, x) == c for x, c in p.items())
+
+
+def plain_links(rows):
+    """For every row, with how many other rows it links."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    link = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    return [sum(bool(link(a, b)) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+
+
+def test_all_links_of_a_large_group(spark, monkeypatch):
+    """Every link counts, also between sets that a chain has joined already, with copies and small squares."""
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    rng, rows = random.Random(6), corpus(4, 60)
+    base = rows[0][1].split() + ["w%d" % i for i in range(60)]
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = f"x{i}"
+        rows.append((1000 + i, " ".join(t)))
+    rows += [(2000, rows[-1][1]), (2001, rows[-1][1]), (3000, ""), (3001, None)]
+    got = jaccard.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.n_links for r in got} == dict(zip((d for d, _ in rows), plain_links(rows))) and len(got) == len(rows)
+    assert max(r.n_links for r in got) > 40
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows)
