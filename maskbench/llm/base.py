@@ -16,13 +16,13 @@ from ..session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the folder in ``spark.checkpoint.dir`` and read it back.
+def staged(df: DataFrame, *by: str) -> DataFrame:
+    """Write an intermediate table to the folder in ``spark.checkpoint.dir`` and read it back, in folders by ``by`` if given.
 
     Executors that are lost later then cost no recomputation of what lies before.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -123,3 +123,17 @@ def components(edges: DataFrame, limit: int = 40) -> DataFrame:
     else:
         raise RuntimeError("links did not settle")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def term_table(digits: bool) -> bytes:
+    """Byte table for ``bytes.translate``: only A-Z lower-cased; letters, bytes above 127 and, if asked, digits stay; the rest is a space.
+
+    What ``translate(table).split()`` gives are then the maximal runs of such characters in UTF-8 text.
+    """
+    keep = lambda b: b >= 128 or chr(b).isalpha() or (digits and chr(b).isdigit())
+    return bytes((b | 32 if b < 128 and chr(b).isalpha() else b) if keep(b) else 32 for b in range(256))
+
+
+def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """Texts as UTF-8; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
