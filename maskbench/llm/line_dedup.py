@@ -152,7 +152,7 @@ def strip_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40, bat
         return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: F.slice(x["lines"], start(i) + 1, end(i) - start(i)))), "\n")
 
     # a row's array is cut between the dropped places, so its work is linear in its lines
-    part = marked.where("possible").join(drops.withColumnRenamed("row", "_row"), "_row", "left")
+    part = marked.where("possible").join(drops.withColumnRenamed("row", "_row").hint("merge"), "_row", "left")
     kept = F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         let(F.struct(lines_of(F.col("text")).alias("lines"), F.col("_drops").alias("drops")), rest))
     cut = part.select(*keep, n, F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
