@@ -10,7 +10,7 @@ from . import views as V
 from .registry import (query, sql_boot, sql_hash, sql_rank, sql_rho, sql_weights)
 
 N_BOOT = 2000  # replicates of bootstrapped means
-N_RHO = 200  # replicates of bootstrapped rank correlations
+N_RHO = 2000  # replicates of bootstrapped rank correlations
 
 METRIC_SQL = ("SELECT {cols}, 'iqa_a' AS metric, iqa_a AS x FROM {src} UNION ALL "
               "SELECT {cols}, 'iqa_b', iqa_b FROM {src} UNION ALL SELECT {cols}, 'iqa_c', iqa_c FROM {src}")
@@ -67,7 +67,7 @@ def _(spark, sf):
     d = frame_observations(spark, sf)
     rows = stats.metric_rows(d, V.METRICS, ["seq", "degradation", "level", "frame", "jf_frame"])
     return stats.correlation_table(rows, ["metric"], "x", "jf_frame",
-                                   ["seq", "degradation", "level", "frame"], n_boot=10)
+                                   ["seq", "degradation", "level", "frame"], n_boot=N_RHO)
 
 
 @query("iqa_correlation_by_mode", "SELECT mode, metric, n, rho, rho * rho AS r2, CAST(abs(rho) >= 0.6 AS INTEGER) AS usable FROM (WITH o AS ("
@@ -136,29 +136,33 @@ def _(spark, sf):
 
 
 def _unit_boot_sql(src: str, keys: list[str], unit: list[str], x: str, y: str, n_boot: int, stratum: str = "") -> str:
-    k, kk = ", ".join(keys), ", ".join([*keys, "b"])
-    strat = [stratum] if stratum else []
-    inner = sql_rho("bx", [*keys, *strat, "b"], x, y)
-    mean = f"SELECT {kk}, avg(rho) AS rho FROM br WHERE n >= 8 GROUP BY {kk}" if stratum else "SELECT * FROM br"
-    least = 0 if stratum else 8
-    return (f"bs AS (SELECT * FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL), bu AS (SELECT {k} FROM bs GROUP BY {k} HAVING count(DISTINCT ({', '.join(unit)})) >= {least}), "
-            f"bw AS ({sql_weights('bs', [*keys, *strat, *unit, x, y], unit, n_boot)}), "
-            f"bx AS (SELECT * FROM bw JOIN bu USING ({k}) JOIN range(1, 9) r(i) ON r.i <= w), br AS ({inner}), bm AS ({mean}) "
+    """Weights per unit and replicate, weighted average-tie ranks, the product moment, and its percentiles."""
+    k, strat = ", ".join(keys), [stratum] if stratum else []
+    part, u = ", ".join([*keys, *strat, "b"]), ", ".join(unit)
+    centred = lambda v: (f"(2 * sum(w) OVER (PARTITION BY {part} ORDER BY {v}) - sum(w) OVER (PARTITION BY {part}, {v}) "
+                         f"- sum(w) OVER (PARTITION BY {part}))::DOUBLE")
+    mean = f"SELECT {k}, b, avg(rho) AS rho FROM br WHERE n >= 8 GROUP BY {k}, b" if stratum else "SELECT * FROM br"
+    large = f", bz AS (SELECT {k}, {stratum} FROM bs GROUP BY ALL HAVING count(*) >= 8)" if stratum else ""
+    return (f"bs AS (SELECT * FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL), "
+            f"bu AS (SELECT {k} FROM bs GROUP BY {k} HAVING count(DISTINCT ({u})) >= {0 if stratum else 8}){large}, "
+            f"bw AS ({sql_weights(f'(SELECT DISTINCT {u} FROM bs)', unit, unit, n_boot)}), "
+            f"bx AS (SELECT * FROM bs JOIN bu USING ({k}) {f'JOIN bz USING ({k}, {stratum})' if stratum else ''} JOIN bw USING ({u})), "
+            f"bk AS (SELECT {part}, w, {centred(x)} AS rx, {centred(y)} AS ry FROM bx), "
+            f"br AS (SELECT {part}, sum(w) AS n, CASE WHEN sum(w) >= 4 AND sum(w * rx * rx) > 0 AND sum(w * ry * ry) > 0 "
+            f"THEN sum(w * rx * ry) / sqrt(sum(w * rx * rx)) / sqrt(sum(w * ry * ry)) END AS rho FROM bk GROUP BY {part}), bm AS ({mean}) "
             f"SELECT {k}, quantile_cont(rho, 0.025) AS ci_lo, quantile_cont(rho, 0.975) AS ci_hi FROM bm WHERE rho IS NOT NULL GROUP BY {k}")
 
 
 @query("cluster_bootstrap_pooled", "SELECT * FROM (WITH " + _CELL_METRICS + ", " + _unit_boot_sql(
-    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", N_RHO) + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
+    "m", ["mode", "metric"], ["seq"], "x", "jf", N_RHO) + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
 def _(spark, sf):
-    d = cell_metric_rows(spark, sf).where(F.col("mode") == "base")
-    return bootstrap.unit_bootstrap_rho(d, ["metric"], ["seq"], "x", "jf", N_RHO)
+    return bootstrap.unit_bootstrap_rho(cell_metric_rows(spark, sf), ["mode", "metric"], ["seq"], "x", "jf", N_RHO)
 
 
 @query("cluster_bootstrap_within", "SELECT * FROM (WITH " + _CELL_METRICS + ", " + _unit_boot_sql(
-    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", N_RHO, "degradation") + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
+    "m", ["mode", "metric"], ["seq"], "x", "jf", N_RHO, "degradation") + ")", ["rows_raw", "cl"], "ci_lo ci_hi")
 def _(spark, sf):
-    d = cell_metric_rows(spark, sf).where(F.col("mode") == "base")
-    return bootstrap.stratified_bootstrap_rho(d, ["metric"], "degradation", ["seq"], "x", "jf", N_RHO)
+    return bootstrap.stratified_bootstrap_rho(cell_metric_rows(spark, sf), ["mode", "metric"], "degradation", ["seq"], "x", "jf", N_RHO)
 
 
 _DEC = "(SELECT 1 AS k, inst, frame, vacuity, 1 - jf AS err FROM gf WHERE is_keyframe = 1)"
@@ -193,11 +197,10 @@ def _(spark, sf):
 
 
 @query("intervals_reaching", "SELECT * FROM (WITH " + _CELL_METRICS + ", ci AS (SELECT * FROM (WITH " + _unit_boot_sql(
-    "(SELECT * FROM m WHERE mode = 'base')", ["metric"], ["seq"], "x", "jf", N_RHO) + ")) SELECT *, CASE WHEN metric = 'iqa_a' THEN 'full-reference' ELSE 'no-reference' END AS kind "
+    "m", ["mode", "metric"], ["seq"], "x", "jf", N_RHO) + ")) SELECT *, CASE WHEN metric = 'iqa_a' THEN 'full-reference' ELSE 'no-reference' END AS kind "
     "FROM ci WHERE greatest(abs(ci_lo), abs(ci_hi)) >= 0.02)", ["rows_raw", "cl"], "ci_lo ci_hi")
 def _(spark, sf):
-    d = cell_metric_rows(spark, sf).where(F.col("mode") == "base")
-    t = bootstrap.unit_bootstrap_rho(d, ["metric"], ["seq"], "x", "jf", N_RHO)
+    t = bootstrap.unit_bootstrap_rho(cell_metric_rows(spark, sf), ["mode", "metric"], ["seq"], "x", "jf", N_RHO)
     return tables.intervals_reaching(t, 0.02).withColumn("kind", stats.metric_kind("metric", ["iqa_a"]))
 
 
