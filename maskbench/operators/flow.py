@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.ordered import median
 from ..kernels import flow as K, mask as M
@@ -40,6 +41,12 @@ def warp_soft(soft: pd.Series, flow: pd.Series, h: pd.Series, w: pd.Series) -> p
     return pd.Series(out, dtype=object)
 
 
+@F.pandas_udf(DoubleType())
+def soft_mass(soft: pd.Series) -> pd.Series:
+    """Sum of a float32 probability map."""
+    return pd.Series([float(np.frombuffer(bytes(b), np.float32).sum(dtype=float)) for b in soft], dtype=float)
+
+
 @F.pandas_udf(DoubleType())
 def inside_fraction(bits: pd.Series, flow: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """Area after a step that drops what comes from outside, over the area before it."""
@@ -98,54 +105,67 @@ def flow_direction_audit(masks: DataFrame, flows: DataFrame, keys: Sequence[str]
     return out.drop("k").withColumn("median_ratio", mid)
 
 
-def propagate(masks: DataFrame, flows: DataFrame, keys: Sequence[str], segment: int = 64,
-              soft: bool = False) -> DataFrame:
-    """Carry the mask at the start of every segment forward along the flow.
+def propagate(masks: DataFrame, flows: DataFrame, keys: Sequence[str], soft: bool = False) -> DataFrame:
+    """Carry an instance's mask at frame 0 along the flow to the end of its clip: (keys, frame, h, w, mask).
 
-    A chain is sequential by nature, so clips are cut into segments of ``segment`` frames that
-    restart from the supplied mask (the reseeding schedule); a group is one segment of one
-    instance and never a whole unbounded clip.
+    The start mask and the flow fields of a clip are one ordered stream of rows; a task folds it with one mask in
+    memory, whatever the length of the clip. A chain ends where a flow field is missing; instances without a mask at
+    frame 0 give no rows. ``keys`` include ``seq``; the masks' other frames are not read.
     """
     column = "soft" if soft else "bits"
-    seg = F.floor(F.col("frame") / segment).cast("bigint")
-    start = masks.withColumn("_seg", seg).where(F.col("frame") % segment == 0).select(
-        *keys, "_seg", "h", "w", F.col(column).alias("_start"))
-    steps = flows.withColumn("_seg", seg).select("seq", "_seg", "frame", "flow")
-    d = start.join(steps, ["seq", "_seg"])
-    schema = StructType([*[masks.schema[k] for k in keys], StructField("frame", LongType()),
-                         masks.schema["h"], masks.schema["w"],
-                         StructField(column, BinaryType())])
     names = list(keys)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        h, w = int(pdf.h.iloc[0]), int(pdf.w.iloc[0])
-        raw = bytes(pdf._start.iloc[0])
-        cur = (np.frombuffer(raw, np.float32).reshape(h, w).astype(float) if soft
-               else M.unpack([raw], h, w)[0])
-        rows = []
-        for t, f in zip(pdf.frame, pdf.flow):
-            cur = K.warp(cur, _flow(f, h, w), soft=soft)
-            out = cur.astype(np.float32).tobytes() if soft else M.pack(cur[None])[0]
-            rows.append((*[pdf[k].iloc[0] for k in names], int(t) + 1, h, w, out))
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return d.groupBy(*keys, "_seg").applyInPandas(walk, schema)
-
-
-def chain_table(masks: DataFrame, flows: DataFrame, keys: Sequence[str], segment: int = 64
-                ) -> DataFrame:
-    """Area ratio and IoU of propagated masks against the true ones, by step of the chain."""
-    p = propagate(masks, flows, keys, segment).select(
-        *keys, "frame", F.col("bits").alias("_p"))
-    j = p.join(masks.select(*keys, "frame", "h", "w", "bits", "area"), [*keys, "frame"])
-    j = j.select(*keys, "frame", ((F.col("frame") - 1) % segment + 1).alias("step"),
-                 (area("_p", "h", "w") / F.nullif(F.col("area"), F.lit(0))).alias("ratio"),
-                 iou("_p", "bits", "h", "w").alias("iou"))
-    at = lambda c, s: F.avg(F.when(F.col("step") == s, F.col(c)))
-    return j.groupBy(*keys).agg(
+    start = masks.where(F.col("frame") == 0).select(*names, F.lit(-1).cast("bigint").alias("frame"), F.col("h").cast("int"), F.col("w").cast("int"),
+                                                    F.col(column).alias("_data"))
+    none = F.lit(None).cast("int")
+    steps = flows.join(masks.select(*names).distinct(), "seq").where("frame >= 0").select(
+        *names, F.col("frame").cast("bigint"), none.alias("h"), none.alias("w"), F.col("flow").alias("_data"))
+    parts = int(masks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = start.unionByName(steps).repartition(parts, *names).sortWithinPartitions(*names, "frame")
+    schema = StructType([*[masks.schema[k] for k in names], StructField("frame", LongType()), StructField("h", IntegerType()),
+                         StructField("w", IntegerType()), StructField(column, BinaryType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        instance, mask, due, h, w = None, None, 0, 0, 0
+        for b in batches:
+            at, out = [], []
+            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            for i, (*key, frame, rows, width, data) in enumerate(zip(*columns)):
+                if key != instance:
+                    instance, mask, due = key, None, 0
+                if frame < 0:
+                    h, w = rows, width
+                    mask = np.frombuffer(data, np.float32).reshape(h, w).astype(float) if soft else M.unpack([data], h, w)[0]
+                    continue
+                if frame != due:
+                    mask = None
+                if mask is not None:
+                    mask, due = K.warp(mask, _flow(data, h, w), soft=soft), due + 1
+                    at.append(i)
+                    out.append((due, h, w, mask.astype(np.float32).tobytes() if soft else M.pack(mask[None])[0]))
+            made = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(i).take(pa.array(at, pa.int64())) for i in range(len(names))], pa.array(made[0], pa.int64()), pa.array(made[1], pa.int32()),
+                 pa.array(made[2], pa.int32()), pa.array(made[3], pa.binary())], names=schema.fieldNames())
+
+    return stream.mapInArrow(walk, schema)
+
+
+def chain_table(masks: DataFrame, flows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Area ratio and IoU of masks propagated from frame 0 against the true ones, one row per instance.
+
+    Frames without a true mask are not compared; a ratio is NULL where the true mask is empty, an IoU where both are.
+    An instance without a mask at frame 0 keeps its row, with nothing compared and NULL results.
+    """
+    p = propagate(masks, flows, keys).select(*keys, "frame", F.col("bits").alias("_p"))
+    j = p.join(masks.select(*keys, F.col("frame").cast("bigint").alias("frame"), "h", "w", "bits", "area"), [*keys, "frame"])
+    j = j.withColumn("_area", area("_p", "h", "w")).select(
+        *keys, "frame", (F.col("_area") / F.nullif(F.col("area"), F.lit(0))).alias("ratio"),
+        F.when(F.col("_area") + F.col("area") > 0, iou("_p", "bits", "h", "w")).alias("iou"))
+    at = lambda c, s: F.max(F.when(F.col("frame") == s, F.col(c)))
+    found = j.groupBy(*keys).agg(
         F.count("*").alias("n"), at("ratio", 1).alias("ratio_1"), at("ratio", 20).alias("ratio_20"),
         F.max("ratio").alias("ratio_max"), at("iou", 1).alias("iou_1"), at("iou", 10).alias("iou_10"),
         at("iou", 20).alias("iou_20"), F.max_by("iou", "frame").alias("iou_last"),
         F.min("iou").alias("iou_min"), F.count_if(F.col("ratio") > 3).alias("n_inflated"),
         F.count_if(F.col("iou") < 0.5).alias("n_lost"))
+    return masks.select(*keys).distinct().join(found, list(keys), "left").na.fill(0, ["n", "n_inflated", "n_lost"])

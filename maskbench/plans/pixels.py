@@ -415,45 +415,89 @@ def _(spark, sf):
 # ---- supplied flow ------------------------------------------------------------------------
 
 
+CLIP = 24  # frames of a clip here: long enough for the table's step 20
+
+
 def flow_fields(spark, sf, sign: float = 1.0):
-    """A flow per 8x8 frame: one constant step in {-1, 0, 1}^2, chosen by the frame number."""
-    f = V.frames8(spark, sf)
+    """The flow of each 8x8 frame, read from its second and third channel: a step of -1, 0 or 1 in x and y per pixel."""
     word = {1.0: "0000803F", 0.0: "00000000", -1.0: "000080BF"}
 
-    def step(k):
-        return F.when(k == 0, word[0.0]).when(k == 1, word[sign]).otherwise(word[-sign])
-    pair = F.concat(step(F.col("fid") % 3), step(F.floor(F.col("fid") / 3) % 3))
-    return f.select("fid", "seq", "frame", "h", "w", F.unhex(F.repeat(pair, F.lit(64))).alias("flow"))
+    def step(v):
+        v = v.cast("double")
+        return F.when(v > 0.1, word[sign]).when(v < -0.1, word[-sign]).otherwise(word[0.0])
+    pick = lambda k: F.max(F.when(F.col("vec_id") % 3 == k, F.col("embedding"))).alias(f"c{k}")
+    f = V.table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 3).alias("fid")).agg(pick(1), pick(2), F.count("*").alias("k")).where("k = 3")
+    words = F.zip_with("c1", "c2", lambda a, b: F.concat(step(a), step(b)))
+    return f.select("fid", F.floor(F.col("fid") / CLIP).cast("string").alias("seq"), (F.col("fid") % CLIP).alias("frame"), F.lit(8).alias("h"),
+                    F.lit(8).alias("w"), F.unhex(F.array_join(words, "")).alias("flow"))
+
+
+def _tracked_masks(spark, sf):
+    """Masks of the first channel in clips of CLIP frames; small ones count as missing."""
+    m = V.masks8(spark, sf).where("vec_id % 3 = 0 and area >= 30").withColumn("fid", F.floor(F.col("vec_id") / 3))
+    return m.select(F.floor(F.col("fid") / CLIP).cast("string").alias("seq"), (F.col("fid") % CLIP).alias("frame"), F.lit(1).alias("obj_id"),
+                    "h", "w", "bits", "area")
+
+
+# pixels of the masks, the pixel that each pixel's value comes from, and the masks carried from frame 0, pixel by pixel
+_FLOW_SQL = f"""WITH RECURSIVE e AS (SELECT vec_id, vec_id // 3 AS fid, vec_id % 3 AS ch, embedding FROM embeddings),
+v AS (SELECT fid, ch, t.i AS p, embedding[t.i + 1]::DOUBLE AS v FROM e, range(64) t(i)),
+truth AS (SELECT (fid // {CLIP})::VARCHAR AS seq, fid % {CLIP} AS frame, p FROM v WHERE ch = 0 AND v > 0
+          AND fid IN (SELECT fid FROM v WHERE ch = 0 AND v > 0 GROUP BY fid HAVING count(*) >= 30)),
+size AS (SELECT seq, frame, count(*) AS area FROM truth GROUP BY ALL),
+d AS (SELECT x.fid, x.p, CASE WHEN x.v > 0.1::DOUBLE THEN 1 WHEN x.v < -0.1::DOUBLE THEN -1 ELSE 0 END AS dx,
+      CASE WHEN y.v > 0.1::DOUBLE THEN 1 WHEN y.v < -0.1::DOUBLE THEN -1 ELSE 0 END AS dy
+      FROM v x JOIN v y ON x.fid = y.fid AND x.p = y.p AND x.ch = 1 AND y.ch = 2 WHERE x.fid IN (SELECT fid FROM e WHERE ch = 0)),
+src AS (SELECT (fid // {CLIP})::VARCHAR AS seq, fid % {CLIP} AS frame, p,
+        8 * greatest(0, least(7, p // 8 - dy)) + greatest(0, least(7, p % 8 - dx)) AS q,
+        p // 8 - dy BETWEEN 0 AND 7 AND p % 8 - dx BETWEEN 0 AND 7 AS inside FROM d),
+chain AS (SELECT seq, frame, p FROM truth WHERE frame = 0 UNION ALL
+          SELECT s.seq, s.frame + 1, s.p FROM chain c JOIN src s ON s.seq = c.seq AND s.frame = c.frame AND s.q = c.p)"""
 
 
 @query("flow_direction_audit")
 def _(spark, sf):
-    return fl.flow_direction_audit(_bright_masks(spark, sf), flow_fields(spark, sf), ["seq", "obj_id"])
+    return fl.flow_direction_audit(_tracked_masks(spark, sf), flow_fields(spark, sf), ["seq", "obj_id"])
 
 
-@query("flow_chain_table")
+@query("flow_chain_table", _FLOW_SQL + """,
+made AS (SELECT DISTINCT s.seq, s.frame + 1 AS frame FROM src s JOIN size z ON z.seq = s.seq AND z.frame = 0),
+n AS (SELECT m.seq, m.frame, z.area, (SELECT count(*) FROM chain c WHERE c.seq = m.seq AND c.frame = m.frame) AS pred,
+      (SELECT count(*) FROM chain c JOIN truth t USING (seq, frame, p) WHERE c.seq = m.seq AND c.frame = m.frame) AS common
+      FROM made m JOIN size z USING (seq, frame)),
+r AS (SELECT *, pred / area AS ratio, common / (pred + area - common) AS iou FROM n)
+SELECT seq, 1 AS obj_id, count(r.frame) AS n, max(ratio) FILTER (frame = 1) AS ratio_1, max(ratio) FILTER (frame = 20) AS ratio_20,
+  max(ratio) AS ratio_max, max(iou) FILTER (frame = 1) AS iou_1, max(iou) FILTER (frame = 10) AS iou_10, max(iou) FILTER (frame = 20) AS iou_20,
+  arg_max(iou, frame) AS iou_last, min(iou) AS iou_min, count(*) FILTER (ratio > 3) AS n_inflated, count(*) FILTER (iou < 0.5) AS n_lost
+FROM (SELECT DISTINCT seq FROM truth) LEFT JOIN r USING (seq) GROUP BY seq""",
+       floats="ratio_1 ratio_20 ratio_max iou_1 iou_10 iou_20 iou_last iou_min")
 def _(spark, sf):
-    return fl.chain_table(_bright_masks(spark, sf), flow_fields(spark, sf), ["seq", "obj_id"])
+    return fl.chain_table(_tracked_masks(spark, sf), flow_fields(spark, sf), ["seq", "obj_id"])
 
 
-@query("flow_warp")
+@query("flow_warp", _FLOW_SQL + """
+SELECT s.seq, s.frame, any_value(area) AS area, count(t.p) AS area_warped, count(t.p) FILTER (inside) / any_value(area) AS inside
+FROM src s JOIN size z ON z.seq = s.seq AND z.frame = s.frame LEFT JOIN truth t ON t.seq = s.seq AND t.frame = s.frame AND t.p = s.q GROUP BY s.seq, s.frame""",
+       floats="inside")
 def _(spark, sf):
-    j = _bright_masks(spark, sf).join(flow_fields(spark, sf).select("seq", "frame", "flow"), ["seq", "frame"])
+    j = _tracked_masks(spark, sf).join(flow_fields(spark, sf).select("seq", "frame", "flow"), ["seq", "frame"])
     j = j.withColumn("warped", fl.warp_mask("bits", "flow", "h", "w", F.lit(1.0)))
     return j.select("seq", "frame", "area", mk.area("warped", "h", "w").alias("area_warped"),
                     fl.inside_fraction("bits", "flow", "h", "w").alias("inside"))
 
 
-@query("flow_soft_chain")
+@query("flow_soft_chain", _FLOW_SQL + """
+SELECT s.seq, count(DISTINCT s.frame) AS n, max(s.frame) + 1 AS last_frame, sum(CASE WHEN c.p IS NULL THEN 0 ELSE 1 END)::DOUBLE AS mass
+FROM src s JOIN size z ON z.seq = s.seq AND z.frame = 0 LEFT JOIN chain c ON c.seq = s.seq AND c.frame = s.frame + 1 AND c.p = s.p GROUP BY s.seq""",
+       floats="mass")
 def _(spark, sf):
+    word = lambda x: F.when(x.cast("double") > 0, "0000803F").otherwise("00000000")
     soft = V.table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(
-        F.floor(F.col("vec_id") / 3).alias("fid"), F.col("embedding"))
-    word = F.transform("embedding", lambda x: F.when(x > 0, "0000803F").otherwise("00000000"))
-    m = soft.select(F.floor(F.col("fid") / 16).cast("string").alias("seq"), (F.col("fid") % 16).alias("frame"),
-                    F.lit(1).alias("obj_id"), F.lit(8).alias("h"), F.lit(8).alias("w"),
-                    F.unhex(F.array_join(word, "")).alias("soft"))
+        F.floor(F.col("vec_id") / 3).alias("fid"), F.unhex(F.array_join(F.transform("embedding", word), "")).alias("soft"))
+    m = _tracked_masks(spark, sf).drop("bits").join(soft.select(
+        F.floor(F.col("fid") / CLIP).cast("string").alias("seq"), (F.col("fid") % CLIP).alias("frame"), "soft"), ["seq", "frame"])
     p = fl.propagate(m, flow_fields(spark, sf), ["seq", "obj_id"], soft=True)
-    return p.groupBy("seq").agg(F.count("*").alias("n"), F.max("frame").alias("last_frame"))
+    return p.groupBy("seq").agg(F.count("*").alias("n"), F.max("frame").alias("last_frame"), F.sum(fl.soft_mass("soft")).alias("mass"))
 
 
 @query("flow_cycle_error")

@@ -178,7 +178,31 @@ def test_propagation_follows_the_flow(spark):
     assert r.n == 7 and r.iou_min == 1.0 and r.ratio_max == 1.0 and r.n_lost == 0
     a = fl.flow_direction_audit(m, f, ["seq", "obj_id"]).first()
     assert (a.pairs, a.wins, a.iou_plus) == (7, 7, 1.0) and a.iou_minus < a.iou_stay < 1
-    assert fl.chain_table(m, f, ["seq", "obj_id"], segment=3).first().n >= 5
+
+
+def test_a_long_clip_is_one_chain(spark):
+    """200 frames equal a plain loop; a gap in the flow ends a chain; a clip without a start mask keeps its row."""
+    rng = np.random.default_rng(1)
+    flows = rng.integers(-1, 2, (200, 12, 12, 2)).astype(np.float32)
+    masks = rng.random((201, 12, 12)) < 0.4
+    masks[7] = False
+    want, cur = [], masks[0]
+    for t in range(200):
+        cur = FL.warp(cur, flows[t])
+        want.append((cur.sum() / masks[t + 1].sum() if masks[t + 1].any() else None, (cur & masks[t + 1]).sum() / max(1, (cur | masks[t + 1]).sum())))
+    rows = [(s, 1, t, 12, 12, bytearray(M.pack(masks[t][None])[0]), int(masks[t].sum()))
+            for s in ("long", "gap", "late") for t in range(201) if s != "late" or t > 3]
+    m = spark.createDataFrame(rows, "seq string, obj_id int, frame long, h int, w int, bits binary, area long")
+    f = spark.createDataFrame([(s, t, bytearray(flows[t].tobytes())) for s in ("long", "gap", "late", "none") for t in range(200) if s != "gap" or t != 50],
+                              "seq string, frame long, flow binary")
+    got = {r.seq: r for r in fl.chain_table(m, f, ["seq", "obj_id"]).collect()}
+    r = got["long"]
+    assert (r.n, r.n_lost) == (200, sum(i < 0.5 for _, i in want))
+    ratios = [a for a, _ in want if a is not None]
+    assert np.allclose([r.ratio_1, r.ratio_20, r.ratio_max, r.iou_1, r.iou_10, r.iou_20, r.iou_last, r.iou_min],
+                       [want[0][0], want[19][0], max(ratios), want[0][1], want[9][1], want[19][1], want[-1][1], min(i for _, i in want)])
+    assert got["gap"].n == 50 and got["gap"].iou_20 == r.iou_20
+    assert got["late"].n == 0 and got["late"].iou_1 is None and got["late"].iou_min is None and set(got) == {"long", "gap", "late"}
 
 
 def test_empty_frames_are_not_scored(spark):
