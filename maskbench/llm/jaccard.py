@@ -55,9 +55,9 @@ def enough(common, n, m):
     return NEEDED[1] * common >= NEEDED[0] * (n + m - common)
 
 
-def band(n: Column) -> Column:
+def bands(n: np.ndarray) -> np.ndarray:
     """Sizes whose ratio is at least 0.75 lie in one band or in two that follow each other."""
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
+    return np.floor(np.log(n) / math.log(4 / 3) + 1e-9).astype(np.int32)
 
 
 def text_hash() -> Column:
@@ -112,7 +112,7 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """(shingle, node, n, core) for the rarest shingles of each set.
+    """(shingle, node, size) for the rarest shingles of each set; size is 2 n, and 1 more for a ``core`` shingle.
 
     Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of the larger and the first
     n - ceil(6/7 n) + 1 of the smaller (``core``), in any order that is the same for all sets; here the
@@ -123,7 +123,7 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = shared.value, set()
         for b in batches:
-            out, node, size, core = [], [], [], []
+            out, node, size = [], [], []
             for t in b.column(0):
                 s = shingles(t.as_py() or "")
                 k, n = set_code(s), len(s)
@@ -141,13 +141,11 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
                 near = near[np.lexsort((s[near], of[near]))][:first]
                 out.append(s[near].view(np.int64))
                 node.append(np.full(len(near), k, np.int64))
-                size.append(np.full(len(near), n, np.int32))
-                core.append(np.arange(len(near)) < short)
+                size.append((2 * n + (np.arange(len(near)) < short)).astype(np.int32))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, node, size, core)],
-                                                 ["shingle", "node", "n", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, node, size)], ["shingle", "node", "size"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, node long, n int, core boolean")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, node long, size int")
 
 
 def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
@@ -162,7 +160,9 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
         held = None                                           # the last row, not yet known to have company
         lead: tuple | None = None                             # (shingle, band, node) of the current leader
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            s, node, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            n = size >> 1
+            cols = [s, node, n, (size & 1).astype(bool), bands(n)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held[:5], cols)]
             s, node, n, core, bd = cols
@@ -189,7 +189,7 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
         if held is not None and held[5]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*held[:5], np.array([lead[2]]), np.array([held[6]]))], names)
 
-    rows = prefixes.withColumn("band", band(F.col("n"))).repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "node")
+    rows = prefixes.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "node")
     return rows.mapInArrow(run, "shingle long, node long, n int, core boolean, band int, leader long, prior long")
 
 
@@ -274,11 +274,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFram
     return staged(_both(pairs, _fetch(docs, nodes, members, bits=False)).mapInArrow(run, "a long, b long"))
 
 
-def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+class Forests:
+    """``depth`` forests over labels; a pair of labels enters the first one that does not connect them yet.
+
+    What one forest connects the ones before it connect too, so a pair that the last one connects is held back. At most
+    ``depth`` * (labels - 1) pairs enter, and every label that some pair joins to others is joined to them by one that entered.
+    """
+
+    def __init__(self, depth: int) -> None:
+        self.up: list[dict[int, int]] = [{} for _ in range(depth)]
+
+    def root(self, k: int, x: int) -> int:
+        up = self.up[k]
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def add(self, a: int, b: int) -> bool:
+        low, high = 0, len(self.up)
+        while low < high:
+            mid = (low + high) // 2
+            if self.root(mid, a) == self.root(mid, b):
+                low = mid + 1
+            else:
+                high = mid
+        if low == len(self.up):
+            return False
+        self.up[low][self.root(low, a)] = self.root(low, b)
+        return True
+
+
+def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int, depth: int | None = None) -> DataFrame:
     """Candidates between sets of different labels that share a shingle, by tiles of a shingle and a size band.
 
     A tile pairs the sets of its band with those of its band and of the next; larger ones are cut into
-    squares of TILE by TILE sets. Inside, sizes, labels and the bitmaps' bound decide.
+    squares of TILE by TILE sets. Inside, sizes, labels and the bitmaps' bound decide. With ``depth``, a square sends only
+    the pairs that enter so many forests over its labels, and a row of nulls if it held others back.
     """
     both = F.explode(F.array(F.struct(F.col("core").alias("small"), F.col("band").alias("tile")),
                              F.struct(F.lit(False).alias("small"), (F.col("band") - 1).alias("tile"))))
@@ -296,20 +327,34 @@ def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
                                                (F.col("p.j") == F.col("own")).alias("large")))
     full = cut.join(sets.select("node", F.col("kept").alias("bits")), "node").select(*keys, "node", "n", "label", "small", "large", "bits")
 
-    def square(rows: list[tuple]) -> list[tuple[int, int]]:
+    def square(rows: list[tuple]) -> list[tuple]:
         """Pairs of one square that nothing rules out: (node, n, label, small, large, bits) rows."""
         width = min(len(r[5]) for r in rows)
         if len(rows) <= 24:                                   # whole numbers as bitmaps beat arrays on few rows
-            return _few_pairs(rows, width)
+            found = _few_pairs(rows, width)
+            return found if depth is None else thinned({r[0]: r[2] for r in rows}, found)
         node, n, label, small, large = (np.array([r[k] for r in rows]) for k in range(5))
         bits = np.stack([folded(np.frombuffer(r[5], np.uint64), width // 8) for r in rows])
-        big, out = np.flatnonzero(large), []
+        big, out, forests, held = np.flatnonzero(large), [], Forests(depth or 0), False
         for i in np.flatnonzero(small):
             j = big[(label[big] != label[i]) & ((n[big] > n[i]) | ((n[big] == n[i]) & (node[big] > node[i]))) & (3 * n[big] <= 4 * n[i])]
             if len(j):
                 j = j[enough(overlap_bound(bits[j], n[j], bits[i], int(n[i])), n[j], int(n[i]))]
-                out += [(int(node[i]), int(x)) for x in node[j]]
-        return out
+            if depth is not None and len(j):
+                # of a set's partners in one group, no more than the forests can take
+                j = j[np.argsort(label[j], kind="stable")]
+                start = np.flatnonzero(np.r_[True, label[j][1:] != label[j][:-1]])
+                near = np.arange(len(j)) - np.repeat(start, np.diff(np.r_[start, len(j)])) < depth
+                taken = [bool(x) and forests.add(int(label[i]), int(label[k])) for k, x in zip(j, near)]
+                held |= not all(taken)
+                j = j[taken]
+            out += [(int(node[i]), int(x)) for x in node[j]]
+        return out + [(None, None)] if held else out
+
+    def thinned(label: dict[int, int], pairs: list[tuple]) -> list[tuple]:
+        forests = Forests(depth)
+        kept = [p for p in pairs if forests.add(label[p[0]], label[p[1]])]
+        return kept if len(kept) == len(pairs) else kept + [(None, None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -330,7 +375,7 @@ def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pair_batch(pairs: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -403,8 +448,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     component is what links reach, named by its smallest doc_id. Equal sets are one node. Only a shingle
     among a set's rarest can bring it a partner. First each node is compared with two likely partners,
     which joins most groups, then with two of other groups in its tiles. For shingles whose sets are not all
-    in one group yet, the tiles of :func:`_banded_pairs` then find every other candidate. All are compared
-    exactly.
+    in one group yet, the tiles of :func:`_banded_pairs` then find the other candidates: each tile sends forests
+    over its groups, the candidates are compared exactly, groups that link become one, and tiles that held candidates back
+    are searched again with more forests, until none does. So every candidate between two groups is compared in the end, and
+    a tile that joins its sets to one group needs only as many comparisons as it has sets.
 
     Null and empty texts have no shingles and link with nothing; a null id is kept, has a null component
     when alone, and takes its group's otherwise; repeated rows are equal sets; other columns are left out;
@@ -426,16 +473,24 @@ def grouped(docs: DataFrame) -> DataFrame:
         ends = marked.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
         return staged(marked.join(ends, "shingle", "left_semi").select("shingle", "node", "n", "core", "band", "label"))
 
-    first = likely(tiles.select("node", F.explode(F.array_distinct(F.array("leader", "prior"))).alias("to")))
-    links = _verified(_within_bound(first, sets), docs, known)
+    first = staged(_within_bound(likely(tiles.select("node", F.explode(F.array_distinct(F.array("leader", "prior"))).alias("to"))), sets))
+    links = _verified(first, docs, known)
     # a second time across the groups so far, which often meet at the edge of a size band: the first set of
     # another group that has the shingle
     left = open_tiles(links)
     ends = left.groupBy("shingle").agg(F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).where("lo.label <> hi.label")
     across = left.join(ends, "shingle").select("node", F.when(F.col("label") == F.col("lo.label"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("to"))
-    links = staged(links.union(_verified(_within_bound(likely(across), sets), docs, known)))
-    more = _verified(_banded_pairs(open_tiles(links), sets, parts), docs, known)
-    joined = components(links.union(more))
+    second = staged(_within_bound(likely(across), sets))
+    links = staged(links.union(_verified(second, docs, known)))
+    tried, depth, held = first.union(second), 1, True
+    while held:
+        found = staged(_banded_pairs(open_tiles(links), sets, parts, depth))
+        held = not found.where("a is null").isEmpty()
+        new = staged(found.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links, tried = staged(links.union(_verified(new, docs, known))), tried.union(new)
+        depth *= 4
+    joined = components(links)
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
     least = (members.where("node is not null").groupBy("node").agg(F.min(row).alias("least"))
              .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
