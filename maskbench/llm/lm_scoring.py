@@ -8,17 +8,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import parts_for, staged, word_codes
+from .base import bytes_of, parts_for, staged, word_codes
 
 ORDER = 4
-BLOCK = 24 << 20                 # bytes of text that one task holds
+BLOCK = 16 << 20                 # bytes of text that one task holds
 SLICE = 2 << 20                  # positions that are worked on at once
 SYMBOLS = 255                    # the bytes of UTF-8 and the end of the text; 0xFE stands before a text
 BEFORE, END = b"\xfe", b"\xff"
 
 
 def grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes of (context of ``order`` bytes, next symbol) of all texts, with the number of the text, in slices."""
+    """Codes of (context of ``order`` bytes, next symbol) of all texts, with the number of the text, in slices.
+
+    Texts are joined a slice at a time; only a longer text is joined, and then cut, by itself.
+    """
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) < SLICE):
+            size, last = size + len(texts[last]) + order + 1, last + 1
+        for code, of in _joined_grams(texts[first:last], order):
+            yield code, of + first
+        first = last
+
+
+def _joined_grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ends = np.cumsum([len(t) + order + 1 for t in texts])
     buf = np.frombuffer(b"".join([BEFORE * order + t + END for t in texts]), np.uint8)
     for lo in range(0, len(buf), SLICE):
@@ -34,13 +48,9 @@ def grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield code[real], np.searchsorted(ends, at, side="right")
 
 
-def _bytes(column: pa.ChunkedArray) -> list[bytes]:
-    return [(x or "").encode() for x in column.to_pylist()]
-
-
 def _counted(t: pa.Table, order: int) -> pa.Table:
     """Distinct words and grams of a block with their counts in its training texts."""
-    block, texts, held = t.column("block")[0].as_py(), _bytes(t.column("text")), t.column("held_out").to_pylist()
+    block, texts, held = t.column("block")[0].as_py(), bytes_of(t.column("text")), t.column("held_out").to_pylist()
     out = []
     for kind in (0, 1):
         found: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
@@ -146,7 +156,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, block: int = BL
     """Score whole texts by models learnt from the rows that are not held out.
 
     ``score`` is log10 of the probability that the byte model gives to the text and its end; ``base_score``
-    the same of a model of single words with add-one smoothing. Texts are dealt into blocks of about
+    the same of a model of single words with add-one smoothing. Texts are dealt by id and text into blocks of about
     ``block`` bytes. A block sends each of its distinct words and grams once, with its counts; counts are summed
     over all blocks and the probabilities are worked out per gram; each block gets back the rows it asked for
     and scores its texts. So no task holds the model, only what its block needs, and nothing is broadcast.
@@ -159,7 +169,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, block: int = BL
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     size = d.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.when(~F.col("held_out"), 1)).alias("train")).first()
     blocks = parts_for(size["b"], block)
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     items = staged(d.groupBy("block").applyInArrow(lambda t: _counted(t, order), "block int, kind int, key long, n long"))
     words = staged(items.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")))
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -171,7 +181,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, block: int = BL
               .unionByName(asked.where("kind = 1").join(lp, F.col("key") == F.col("code")).select("block", "kind", "key", F.col("lp").alias("value"))))
 
     def run(t: pa.Table, model: pa.Table) -> pa.Table:
-        texts = _bytes(t.column("text"))
+        texts = bytes_of(t.column("text"))
         kind, key, value = (model.column(k).to_numpy() for k in ("kind", "key", "value"))
         table = []
         for k in (0, 1):
