@@ -48,6 +48,43 @@ def _(spark, sf):
                           F.count_if(F.col("ok") == 0).alias("dropped"), F.avg("v").alias("jf"))
 
 
+def _chunks(spark, sf):
+    """Result CSV by arm: one chunk with its columns in reverse order, one with a column more and one less."""
+    d, path = _csv_rows(spark, sf), scratch(spark, "chunks")
+    for i, m in enumerate(V.MODES):
+        one = d.where(F.col("mode") == m)
+        if i % 3 == 1:
+            one = one.select(*[F.col(f"`{c}`") for c in reversed(d.columns)])
+        if i % 3 == 2:
+            one = one.drop("n_reanchors").withColumn("note", F.lit("x"))
+        one.write.option("header", True).csv(f"{path}/run_{m}")
+    return path, d.columns
+
+
+_CHUNK_NO = "CASE mode " + " ".join(f"WHEN '{m}' THEN {i % 3}" for i, m in enumerate(V.MODES)) + " END"
+
+
+@query("chunk_scan", f"""SELECT mode AS chunk, mode, count(*) AS rows, avg(jf) AS jf, sum(CASE WHEN {_CHUNK_NO} = 2 THEN NULL ELSE n_reanchors END)::DOUBLE AS reanchors,
+sum(n_encoder_calls)::DOUBLE AS calls FROM rc GROUP BY mode""", ["rc"], "jf reanchors calls")
+def _(spark, sf):
+    """Chunks are read by their own headers: columns in another order are mapped by name, a missing one is NULL."""
+    rows, dropped = results.scan_results(spark, _chunks(spark, sf)[0])
+    both = rows.unionByName(dropped)
+    return both.withColumn("chunk", F.regexp_extract("_src", "/run_([^/]+)/", 1)).groupBy("chunk", "mode").agg(
+        F.count("*").alias("rows"), F.avg("`J&F`").alias("jf"), F.sum("n_reanchors").cast("double").alias("reanchors"),
+        F.sum("n_encoder_calls").cast("double").alias("calls"))
+
+
+@query("chunk_headers", f"""SELECT mode AS chunk, CASE WHEN {_CHUNK_NO} = 2 THEN 'n_reanchors' ELSE '' END AS missing,
+CASE WHEN {_CHUNK_NO} = 2 THEN 'note' ELSE '' END AS extra, CASE WHEN {_CHUNK_NO} = 1 THEN 1 ELSE 0 END AS reordered FROM rc GROUP BY mode""", ["rc"])
+def _(spark, sf):
+    """Every chunk's deviation from the expected columns, from one scan of first lines."""
+    path, expected = _chunks(spark, sf)
+    report = results.header_report(results.file_headers(spark, path, "*.csv"), expected)
+    return report.select(F.regexp_extract("path", "/run_([^/]+)/", 1).alias("chunk"), F.array_join("missing", ",").alias("missing"),
+                         F.array_join("extra", ",").alias("extra"), "reordered").distinct()
+
+
 @query("result_sink", "SELECT mode, count(*) AS n, avg(jf) AS jf FROM cl WHERE degradation = 'fog' AND level = 2 GROUP BY mode", ["cl"], "jf")
 def _(spark, sf):
     path = scratch(spark, "sink")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from typing import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -20,6 +21,30 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return [x.strip().strip('"') for x in first[0][0].lstrip("﻿").split(",")] if first else []
 
 
+def file_headers(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+    """(path, header) of every CSV file under the paths, from one scan: the first line of each file's first split.
+
+    Files without any line give no row. Names are stripped of blanks and quotes.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    lines = reader.text([paths] if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row")).where("_start = 0")
+    first = lines.groupBy("path").agg(F.min_by("value", "_row").alias("_line"))
+    names = F.split(F.regexp_replace("_line", "^\ufeff", ""), ",")
+    return first.select("path", F.transform(names, lambda x: F.btrim(F.btrim(x), F.lit('"'))).alias("header"))
+
+
+def header_report(headers: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """(path, missing, extra, reordered) of files against the expected names; the order alone is no deviation."""
+    want = F.array(*[F.lit(x) for x in expected])
+    return headers.select("path", F.array_sort(F.array_except(want, F.col("header"))).alias("missing"),
+                          F.array_sort(F.array_except(F.col("header"), want)).alias("extra"),
+                          (F.array_intersect(F.col("header"), want) != F.array_intersect(want, F.col("header"))).cast("int").alias("reordered"))
+
+
 def is_per_frame(header: Sequence[str]) -> bool:
     return "frame" in header
 
@@ -38,21 +63,22 @@ def scan_results(spark: SparkSession, paths: str | Sequence[str],
                  required: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, dropped) of result CSVs of one format.
 
-    Files are read as text columns by their own header and typed afterwards, so one torn line
-    costs itself only: rows without a required value are returned apart. Mixing per-frame and
+    Files are read as text columns, each by its own header, and typed afterwards, so columns may come in any
+    order and one torn line costs itself only: rows without a required value are returned apart. Mixing per-frame and
     per-cell files is refused.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    headers = {p: csv_header(spark, p) for p in paths}
-    kinds = {is_per_frame(h) for h in headers.values() if h}
+    # one row per file; files of one header are read together, so the columns of each are taken by name
+    variants: dict[tuple[str, ...], list[str]] = {}
+    for r in file_headers(spark, paths).collect():
+        variants.setdefault(tuple(r.header), []).append(unquote(r.path))
+    kinds = {is_per_frame(h) for h in variants}
     if len(kinds) > 1:
         raise ValueError("per-frame and per-cell results cannot be mixed")
     per_frame = kinds == {True}
     schema = RESULTS_FRAME if per_frame else RESULTS_CELL
     need = list(required or REQUIRED_CELL + (("frame",) if per_frame else ("n_frames", "J&F")))
     parts = []
-    for header in {tuple(h) for h in headers.values() if h}:
-        mine = [p for p in paths if tuple(headers[p]) == header]
+    for header, mine in sorted(variants.items()):
         text = StructType([StructField(x, StringType()) for x in header])
         df = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option("escape", "\"").option(
             "enforceSchema", True).csv(mine)
@@ -83,10 +109,10 @@ def discover_chunks(spark: SparkSession, folder: str, base: str, exclude: Sequen
 
 
 def check_headers(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Common header of the chunks; any deviation fails and names the file."""
-    headers = {p: csv_header(spark, p) for p in paths}
-    want = headers[paths[0]]
-    bad = {p: sorted(set(h) ^ set(want)) for p, h in headers.items() if h != want}
+    """Common column names of the chunks, in the first one's order; a chunk with other names fails and is named."""
+    want = csv_header(spark, paths[0])
+    bad = {r.path: [*r.missing, *r.extra] for r in header_report(file_headers(spark, paths), want).where(
+        "size(missing) + size(extra) > 0").collect()}
     if bad:
         raise ValueError(f"chunk headers differ from {paths[0]}: {bad}")
     return want

@@ -178,3 +178,20 @@ def test_checkpoint_dir_is_read_from_the_session(spark, tmp_path):
                               sparkContext=SimpleNamespace(master="yarn", applicationId="x"))
     with pytest.raises(RuntimeError):
         shared_dir(cluster)
+
+
+def test_chunks_are_read_by_their_own_headers(spark, tmp_path):
+    """Columns in another order are mapped by name; a chunk with other names is reported and, if asked, refused."""
+    cols = HEADER.split(",")
+    values = {c: "1" for c in cols} | {"seq": "s", "mode": "base", "degradation": "fog"}
+    for name, order in (("run_a", cols), ("run b", cols[::-1]), ("run_c", cols[1:] + ["odd"])):
+        (tmp_path / f"{name}.csv").write_text("\ufeff" * (name == "run_a") + ",".join(order) + "\n" + ",".join(values.get(c, "9") for c in order) + "\n")
+    (tmp_path / "run_empty.csv").write_text("")
+    heads = {r.path.rsplit("/", 1)[-1]: r for r in results.header_report(results.file_headers(spark, str(tmp_path), "run*.csv"), cols).collect()}
+    assert len(heads) == 3 and heads["run_c.csv"].missing == [cols[0]] and heads["run_c.csv"].extra == ["odd"]
+    assert [heads[k].reordered for k in ("run_a.csv", "run%20b.csv")] == [0, 1]
+    rows, dropped = results.scan_results(spark, str(tmp_path))
+    got = [r.asDict() for r in rows.drop("_src").collect()]
+    assert len(got) == 2 and got[0] == got[1] and got[0]["mode"] == "base" and dropped.count() == 1
+    with pytest.raises(ValueError, match="run_c"):
+        results.check_headers(spark, [str(tmp_path / "run_a.csv"), str(tmp_path / "run_c.csv")])
