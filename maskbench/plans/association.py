@@ -245,28 +245,25 @@ def _(spark, sf):
     return stats.holm(d, ["mode"], "p")
 
 
-@query("level_trend", "SELECT degradation, count(*) AS n_units, avg(rho) AS mean_rho, avg(dp) AS mean_drop FROM (SELECT * FROM ("
-       + sql_rho("(SELECT * FROM rows_raw WHERE mode = 'base')", ["degradation", "seq"], "level", "jf_frame")
-       + ") JOIN (SELECT degradation, seq, avg(jf_frame) FILTER (level = mx) - avg(jf_frame) FILTER (level = mn) AS dp FROM (SELECT *, "
-         "max(level) OVER (PARTITION BY degradation, seq) AS mx, min(level) OVER (PARTITION BY degradation, seq) AS mn FROM rows_raw WHERE mode = 'base') "
-         "GROUP BY ALL) USING (degradation, seq)) WHERE rho IS NOT NULL GROUP BY degradation", ["rows_raw"], "mean_rho mean_drop")
+@query("level_trend", "SELECT mode, degradation, count(*) AS n_units, avg(rho) AS mean_rho, avg(dp) AS mean_drop FROM (SELECT * FROM ("
+       + sql_rho("rows_raw", ["mode", "degradation", "seq"], "level", "jf_frame")
+       + ") JOIN (SELECT mode, degradation, seq, avg(jf_frame) FILTER (level = mx) - avg(jf_frame) FILTER (level = mn) AS dp FROM (SELECT *, "
+         "max(level) OVER (PARTITION BY mode, degradation, seq) AS mx, min(level) OVER (PARTITION BY mode, degradation, seq) AS mn FROM rows_raw) "
+         "GROUP BY ALL) USING (mode, degradation, seq)) WHERE rho IS NOT NULL GROUP BY mode, degradation", ["rows_raw"], "mean_rho mean_drop")
 def _(spark, sf):
-    d = V.rows_raw(spark, sf).where(F.col("mode") == "base")
-    rho = bootstrap.rank_correlation(d, ["degradation", "seq"], "level", "jf_frame")
-    by_level = d.groupBy("degradation", "seq", "level").agg(F.avg("jf_frame").alias("jf"))
-    trend = stats.level_trend(by_level, ["seq"], "level", "jf", ["degradation"]).drop("rho", "n")
-    j = rho.join(trend, ["degradation", "seq"]).where(F.col("rho").isNotNull())
-    return j.groupBy("degradation").agg(F.count("*").alias("n_units"), F.avg("rho").alias("mean_rho"),
-                                        F.avg("drop").alias("mean_drop"))
+    d, keys = V.rows_raw(spark, sf), ["mode", "degradation", "seq"]
+    rho = bootstrap.rank_correlation(d, keys, "level", "jf_frame")
+    by_level = d.groupBy(*keys, "level").agg(F.avg("jf_frame").alias("jf"))
+    trend = stats.level_trend(by_level, ["seq"], "level", "jf", ["mode", "degradation"]).drop("rho", "n")
+    j = rho.join(trend, keys).where(F.col("rho").isNotNull())
+    return j.groupBy("mode", "degradation").agg(F.count("*").alias("n_units"), F.avg("rho").alias("mean_rho"), F.avg("drop").alias("mean_drop"))
 
 
 @query("level_trend_p")
 def _(spark, sf):
-    d = V.rows_raw(spark, sf).where(F.col("mode") == "base")
-    t = bootstrap.rank_correlation(d, ["degradation", "seq"], "level", "jf_frame")
+    t = bootstrap.rank_correlation(V.rows_raw(spark, sf), ["mode", "degradation", "seq"], "level", "jf_frame")
     t = t.where(F.col("rho").isNotNull()).withColumn("d", F.round("rho", 12))
-    w = stats.with_signed_rank_p(stats.signed_rank(t, ["degradation"]))
-    return stats.holm(w.withColumn("family", F.lit("trend")), ["family"], "wilcoxon_p")
+    return stats.holm(stats.with_signed_rank_p(stats.signed_rank(t, ["mode", "degradation"])), ["mode"], "wilcoxon_p")
 
 
 @query("between_association", "SELECT * FROM (WITH um AS (SELECT inst, round(avg(vacuity), 9) AS x, round(avg(err), 9) AS y FROM " + _DEC
@@ -364,14 +361,13 @@ def _(spark, sf):
     return gate.trajectory_parts(V.gate_frames(spark, sf), ["inst"], "jf")
 
 
-@query("area_summary", """SELECT mode, degradation, seq, count(*) AS n_frames, avg(jf_frame) AS jf, avg(jf_frame) FILTER (frame > 0) AS jf_later,
+@query("area_summary", """SELECT seq, obj_id, mode, degradation, level, count(*) AS n_frames, avg(jf_frame) AS jf, avg(jf_frame) FILTER (frame > 0) AS jf_later,
   arg_min(area_ratio, frame) FILTER (frame > 0) AS area_first, arg_max(area_ratio, frame) FILTER (frame > 0) AS area_last,
   max(area_ratio) FILTER (frame > 0) AS area_max, avg(area_ratio) FILTER (frame > 0) AS area_mean,
-  coalesce(CAST(max(area_ratio) FILTER (frame > 0) > 3 AS INTEGER), 0) AS runaway FROM rf WHERE obj_id = 1 AND level = 1 GROUP BY ALL""",
+  coalesce(CAST(max(area_ratio) FILTER (frame > 0) > 3 AS INTEGER), 0) AS runaway FROM rf GROUP BY ALL""",
        ["rf"], "jf jf_later area_first area_last area_max area_mean")
 def _(spark, sf):
-    d = V.frame_rows(spark, sf).where("obj_id = 1 AND level = 1")
-    return gate.area_summary(d, ["mode", "degradation", "seq"])
+    return gate.area_summary(V.frame_rows(spark, sf), INST)
 
 
 @query("decision_schedule", """SELECT frame, m AS mode, CASE WHEN m = 'greedy' THEN 0 WHEN m = 'equal_tta' THEN CAST(frame > 0 AS INTEGER)

@@ -184,12 +184,12 @@ def _(spark, sf):
     return rs.latest(spark, f"{out}/rows", ["mode", "degradation", "level"])
 
 
-@query("stream_complete_cells", """SELECT seq, obj_id, mode, degradation, level, count(*) AS n_rows, avg(jf_frame) AS jf FROM rf WHERE seq % 4 = 1 GROUP BY ALL
+@query("stream_complete_cells", """SELECT seq, obj_id, mode, degradation, level, count(*) AS n_rows, avg(jf_frame) AS jf FROM rf GROUP BY ALL
 HAVING NOT (seq % 3 = 0 AND count(*) >= 2)""", ["rf"], "jf")
 def _(spark, sf):
     """Instance cells are emitted once all declared frames came; some clips miss a frame."""
     inst = ["seq", "obj_id", "mode", "degradation", "level"]
-    d = V.frame_rows(spark, sf).where("seq % 4 = 1")
+    d = V.frame_rows(spark, sf)
     n = d.groupBy(*inst).agg(F.count("*").alias("n_frames"))
     d = d.join(n, inst).select(*inst, "frame", F.col("jf_frame").alias("score"), "n_frames")
     d = d.where("NOT (seq % 3 = 0 AND n_frames >= 2 AND frame = 0)")

@@ -255,14 +255,16 @@ def _(spark, sf):
     return evidence.pick_three(c, ["degradation"])
 
 
-@query("frame_of_disagreement", """SELECT seq, obj_id, -b.nf AS frame, b.gap AS gap FROM (SELECT seq, obj_id, max(struct_pack(gap := round(abs(y - x), 12), nf := -frame)) AS b FROM (
-  SELECT seq, obj_id, frame, max(jf_frame) FILTER (mode = 'base') AS x, max(jf_frame) FILTER (mode = 'memory') AS y FROM rf WHERE degradation = 'fog' AND level = 1 GROUP BY ALL)
+@query("frame_of_disagreement", """SELECT seq, obj_id, degradation, level, -b.nf AS frame, b.gap AS gap FROM (
+  SELECT seq, obj_id, degradation, level, max(struct_pack(gap := round(abs(y - x), 12), nf := -frame)) AS b FROM (
+  SELECT seq, obj_id, degradation, level, frame, max(jf_frame) FILTER (mode = 'base') AS x, max(jf_frame) FILTER (mode = 'memory') AS y FROM rf GROUP BY ALL)
   WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)""", ["rf"], "gap")
 def _(spark, sf):
-    d = V.frame_rows(spark, sf).where("degradation = 'fog' AND level = 1").groupBy("seq", "obj_id", "frame").agg(
+    keys = ["seq", "obj_id", "degradation", "level"]
+    d = V.frame_rows(spark, sf).groupBy(*keys, "frame").agg(
         (F.max(F.when(F.col("mode") == "memory", F.col("jf_frame")))
          - F.max(F.when(F.col("mode") == "base", F.col("jf_frame")))).alias("d")).where(F.col("d").isNotNull())
-    return evidence.frame_of_disagreement(d, ["seq", "obj_id"])
+    return evidence.frame_of_disagreement(d, keys)
 
 
 @query("trajectory_choice", """SELECT degradation, b.seq AS seq, b.obj_id AS obj_id, b.n AS n_decisions FROM (SELECT degradation, max(struct_pack(n := n, seq := seq, obj_id := obj_id)) AS b FROM (

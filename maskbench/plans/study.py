@@ -550,13 +550,12 @@ def _(spark, sf):
 
 
 @query("same_frame_restriction", """
-SELECT seq, obj_id, restricted, interior, n_frames, reference, restricted - reference AS delta FROM (
-  SELECT seq, obj_id, avg(jf_frame) FILTER (frame % 2 = 0) AS restricted, avg(jf_frame) FILTER (frame % 2 <> 0) AS interior,
-    count(*) FILTER (frame % 2 = 0) AS n_frames FROM rf WHERE mode = 'base' AND degradation = 'fog' AND level = 3 GROUP BY ALL) JOIN
-  (SELECT seq, obj_id, jf AS reference FROM rc WHERE mode = 'method' AND degradation = 'fog' AND level = 3) USING (seq, obj_id)
+SELECT seq, obj_id, degradation, level, restricted, interior, n_frames, reference, restricted - reference AS delta FROM (
+  SELECT seq, obj_id, degradation, level, avg(jf_frame) FILTER (frame % 2 = 0) AS restricted, avg(jf_frame) FILTER (frame % 2 <> 0) AS interior,
+    count(*) FILTER (frame % 2 = 0) AS n_frames FROM rf WHERE mode = 'base' GROUP BY ALL) JOIN
+  (SELECT seq, obj_id, degradation, level, jf AS reference FROM rc WHERE mode = 'method') USING (seq, obj_id, degradation, level)
 WHERE n_frames > 0""", ["rf", "rc"], "restricted interior reference delta")
 def _(spark, sf):
-    at = (F.col("degradation") == "fog") & (F.col("level") == 3)
-    t = V.frame_rows(spark, sf).where(at & (F.col("mode") == "base"))
-    ref = V.cell_rows(spark, sf).where(at & (F.col("mode") == "method"))
-    return merge.same_frame_restriction(t, ref, 2)
+    t = V.frame_rows(spark, sf).where("mode = 'base'")
+    ref = V.cell_rows(spark, sf).where("mode = 'method'")
+    return merge.same_frame_restriction(t, ref, 2, ["seq", "obj_id", "degradation", "level"])
