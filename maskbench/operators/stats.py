@@ -217,13 +217,14 @@ def unit_means(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str,
 
 
 def between_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,
-                        n_perm: int = 1000, seed: int = 0) -> DataFrame:
+                        n_perm: int = 1000, seed: int = 0, min_units: int = 5) -> DataFrame:
     """Rho of unit means with a permutation p: (draws at least as extreme + 1) / (N + 1).
 
-    A permutation pairs the y at position i with the x whose keyed hash is the i-th smallest.
+    A permutation pairs the y at position i with the x whose keyed hash is the i-th smallest. Keys with
+    fewer than ``min_units`` units are refused: they give no row.
     """
     um = unit_means(df, keys, unit, x, y).withColumn("_h", hash32(*unit))
-    um = ordinal(um, keys, ["_h", *unit], hash_chunk("_h"), "pos", "n_units")
+    um = materialise(ordinal(um, keys, ["_h", *unit], hash_chunk("_h"), "pos", "n_units").where(F.col("n_units") >= min_units))
     obs = rank_correlation(um, keys, "x", "y")
     shuffled = spread(um, [*keys, *unit]).select(*keys, *unit, "x", F.explode(
         F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))

@@ -269,7 +269,7 @@ def _(spark, sf):
 @query("between_association", "SELECT * FROM (WITH um AS (SELECT inst, round(avg(vacuity), 9) AS x, round(avg(err), 9) AS y FROM " + _DEC
        + " GROUP BY inst), un AS (SELECT *, row_number() OVER (ORDER BY " + sql_hash("inst") + ", inst) - 1 AS pos FROM um), "
        "sh AS (SELECT perm, x, row_number() OVER (PARTITION BY perm ORDER BY " + sql_hash("3", "perm", "inst") + ", inst) - 1 AS pos "
-       "FROM um, range(40) t(perm)), sp AS (SELECT perm, sh.x AS x, un.y AS y FROM sh JOIN un USING (pos)), nl AS ("
+       "FROM um, range(1000) t(perm)), sp AS (SELECT perm, sh.x AS x, un.y AS y FROM sh JOIN un USING (pos)), nl AS ("
        + sql_rho("sp", ["perm"], "x", "y") + "), ob AS (" + sql_rho("um", [], "x", "y") + ") "
        "SELECT ob.n AS n_units, ob.rho AS rho, (count(*) FILTER (abs(nl.rho) >= abs(ob.rho) - 1e-12) + 1) / (count(*) + 1) AS perm_p "
        "FROM ob, nl GROUP BY ob.n, ob.rho)", ["gf"], "rho perm_p")
@@ -277,7 +277,7 @@ def _(spark, sf):
     d = decisions(spark, sf).groupBy("inst").agg(
         F.round(F.avg("vacuity"), 9).alias("vacuity"), F.round(F.avg("err"), 9).alias("err")
     ).withColumn("k", F.lit("all"))
-    return stats.between_association(d, ["k"], ["inst"], "vacuity", "err", n_perm=40, seed=3).drop("k")
+    return stats.between_association(d, ["k"], ["inst"], "vacuity", "err", n_perm=1000, seed=3).drop("k")
 
 
 @query("within_association", "SELECT count(*) AS n_units, avg(rho) AS within_rho, avg((round(rho, 12) > 0)::INTEGER::DOUBLE) AS share_positive FROM ("

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from maskbench.operators import bootstrap
+from maskbench.operators import bootstrap, stats
 
 
 def weight(seed, b, unit):
@@ -60,3 +60,10 @@ def test_intervals_leave_out_missing_values_and_few_units(spark):
     assert [r.k for r in found] == ["many"]
     rho = [v[1] for (_, _), v in plain([r for r in rows if r[0] == "many"][:20], 300, 0).items() if v[1] is not None]
     assert np.allclose([found[0].ci_lo, found[0].ci_hi], np.percentile(rho, [2.5, 97.5]))
+
+
+def test_between_units_refuses_few_units(spark):
+    rows = [(k, u, float(u), float(u * u + i)) for k, n in (("five", 5), ("four", 4)) for u in range(n) for i in range(3)]
+    d = spark.createDataFrame(rows, "k string, unit long, x double, y double")
+    found = stats.between_association(d, ["k"], ["unit"], "x", "y", n_perm=50).collect()
+    assert [(r.k, r.n_units, round(r.rho, 9)) for r in found] == [("five", 5, 1.0)] and 0 < found[0].perm_p <= 1
