@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-EXACT_MAX_N = 50  # fixed value: above it the signed-rank null is taken as normal
+EXACT_MAX_N = 50  # default: above it the signed-rank null is taken as normal
 
 
 def signed_rank_p(n: int, w: float, tie_sum: float, exact: bool) -> float:

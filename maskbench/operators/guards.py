@@ -114,27 +114,28 @@ def collapse_disagreement(a: DataFrame, b: DataFrame, keys: Sequence[str],
 
 
 def series_digest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk: Column,
-                  value: str, block: int = 4096, levels: int = 4) -> DataFrame:
-    """SHA-1 of a numeric series printed as ``%.9g`` lines in the given order.
+                  value: str, start: int = 0) -> DataFrame:
+    """Digest of a numeric series printed as ``%.9g``, one definition at every size.
 
-    Up to ``block`` values the digest is that of the lines themselves. A longer series is
-    digested by blocks, the block digests by blocks again, and so on, so a task never needs
-    more than ``block`` entries; ``levels`` of 4096 reach beyond 10^14 values.
+    Each value is hashed with its position (md5 of ``position|text``); the four 32-bit words of the hashes are added
+    up modulo 2^32. Tasks add up their own rows, and digests of parts whose positions follow each other
+    (``start`` is the position of a part's first value) merge into that of the whole: see ``merge_digests``.
     """
-    d = ordinal(df, keys, order, chunk, "_i", "n")
-    d = d.select(*keys, "n", "_i", F.concat(format_9g(F.col(value)), F.lit("\n")).alias("_text"))
-
-    def joined(entries: Column) -> Column:
-        return F.array_join(F.transform(F.sort_array(entries), lambda x: x["_text"]), "")
-
-    for level in range(levels):
-        d = d.groupBy(*keys, "n", F.floor(F.col("_i") / block).alias("_b")).agg(
-            F.collect_list(F.struct("_i", "_text")).alias("_e"))
-        text = F.sha1(joined(F.col("_e")).cast("binary"))
-        if level:  # a lone digest passes through
-            text = F.when(F.size("_e") == 1, F.col("_e")[0]["_text"]).otherwise(text)
-        d = d.select(*keys, "n", F.col("_b").alias("_i"), text.alias("_text"))
-    return d.select(*keys, "n", F.col("_text").alias("digest"))
+    d = ordinal(df, keys, order, chunk, "_i")
+    text = F.concat_ws("|", (F.col("_i") + F.lit(start)).cast("string"), F.coalesce(format_9g(F.col(value)), F.lit("NULL")))
+    return _added_words(d.withColumn("_n", F.lit(1)).withColumn("_h", F.md5(text.cast("binary"))), keys)
+
+
+def merge_digests(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Digest of series whose parts' digests (keys, n, digest) are given, in any order."""
+    return _added_words(parts.withColumnRenamed("n", "_n").withColumnRenamed("digest", "_h"), keys)
+
+
+def _added_words(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    word = [F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("decimal(20,0)") for j in range(4)]
+    sums = df.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias("n"), *[F.sum(w).alias(f"_w{j}") for j, w in enumerate(word)])
+    hexed = [F.lpad(F.lower(F.hex((F.col(f"_w{j}") % F.lit(1 << 32)).cast("bigint"))), 8, "0") for j in range(4)]
+    return sums.select(*keys, "n", F.concat(*hexed).alias("digest"))
 
 
 def format_9g(v: Column) -> Column:

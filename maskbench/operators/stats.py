@@ -12,6 +12,7 @@ from ..functions.ordered import (average_rank, hash_chunk, median, ordinal, rank
 from ..functions.tails import EXACT_MAX_N, rank_correlation_p_udf, signed_rank_p_udf
 from ..session import materialise
 from .bootstrap import bootstrap_ci, rank_correlation, unit_bootstrap_rho
+from .sign_flip import sign_flip_test  # noqa: F401
 
 USABLE_RHO = 0.6  # fixed value: |rho| from which a metric could drive a choice
 NEGLIGIBLE_DELTA = 0.147  # fixed value: |Cliff's delta| below it is negligible
@@ -76,10 +77,16 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], diff: str = "d") -> DataF
     )
 
 
-def with_signed_rank_p(df: DataFrame, name: str = "wilcoxon_p") -> DataFrame:
-    """Add the p value to signed-rank sums: exact without ties or zeros up to 50 pairs."""
-    exact = (F.col("n") <= EXACT_MAX_N) & (F.col("tie_sum") == 0) & (F.col("n_zero") == 0)
-    return df.withColumn(name, signed_rank_p_udf("n", "w_stat", "tie_sum", exact))
+def with_signed_rank_p(df: DataFrame, name: str = "wilcoxon_p", exact_max_n: int = EXACT_MAX_N
+                       ) -> DataFrame:
+    """Add the p value to signed-rank sums, and in ``p_method`` how it was found.
+
+    ``exact`` counts the null distribution: up to ``exact_max_n`` pairs without ties or zeros.
+    ``normal`` is the tie-corrected approximation, ``none`` has no non-zero difference (p is 1).
+    """
+    exact = (F.col("n") <= exact_max_n) & (F.col("tie_sum") == 0) & (F.col("n_zero") == 0)
+    return df.withColumn(name, signed_rank_p_udf("n", "w_stat", "tie_sum", exact)).withColumn(
+        "p_method", F.when(F.col("n") == 0, "none").when(exact, "exact").otherwise("normal"))
 
 
 def cliffs_delta(df: DataFrame, keys: Sequence[str], side: str, value: str, base: str,
@@ -264,15 +271,24 @@ def threshold_sweep(df: DataFrame, score: str, error: str, taus: Sequence[float]
                     min_side: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """Mean error at or above and below every threshold, both sides large enough.
 
-    The thresholds are a constant list, so the rows meet them as an array and not in a join.
+    A row is counted once, in the bucket of the thresholds that it reaches; the few buckets are then
+    added up per threshold.
     """
-    d = df.select(*keys, F.col(score).alias("_s"), F.col(error).alias("_e"),
-                  F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau"))
-    hi, lo = F.col("_s") >= F.col("tau"), F.col("_s") < F.col("tau")
+    ts = sorted(set(float(t) for t in taus))
+    reached = sum([(F.col(score) >= F.lit(t)).cast("int") for t in ts], F.lit(0))
+    d = df.where(F.col(score).isNotNull()).groupBy(*keys, reached.alias("_r")).agg(
+        F.sum(error).alias("_s"), F.count(error).alias("_k"), F.count("*").alias("_n"))
+    d = d.select(*keys, "_r", "_s", "_k", "_n", F.posexplode(F.array(*[F.lit(t) for t in ts])).alias("_i", "tau"))
+    hi = F.col("_r") > F.col("_i")
+
+    def mean(side: Column) -> Column:
+        k = F.sum(F.when(side, F.col("_k")))
+        return F.sum(F.when(side, F.col("_s"))) / F.nullif(k, F.lit(0))
+
     out = d.groupBy(*keys, "tau").agg(
-        F.avg(F.when(hi, F.col("_e"))).alias("mean_err_high"),
-        F.avg(F.when(lo, F.col("_e"))).alias("mean_err_low"),
-        F.count_if(hi).alias("n_high"), F.count_if(lo).alias("n_low"))
+        mean(hi).alias("mean_err_high"), mean(~hi).alias("mean_err_low"),
+        F.sum(F.when(hi, F.col("_n")).otherwise(0)).alias("n_high"),
+        F.sum(F.when(~hi, F.col("_n")).otherwise(0)).alias("n_low"))
     return out.where((F.col("n_high") >= min_side) & (F.col("n_low") >= min_side)).withColumn(
         "gap", F.col("mean_err_high") - F.col("mean_err_low"))
 
@@ -304,25 +320,6 @@ def product_moment(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows:
     return a.select(*keys, "n", F.when(ok, F.col("_r")).alias("r"))
 
 
-def sign_flip_test(df: DataFrame, keys: Sequence[str], unit: Sequence[str], diff: str,
-                   n_perm: int = 1000, seed: int = 0) -> DataFrame:
-    """Two-sided sign-flip test of a zero mean: |sum of randomly signed differences|.
-
-    Signs are hash bits of (seed, permutation, unit), so each row adds itself to every
-    permutation sum and the sums combine map-side.
-    """
-    d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0))
-    e = spread(d, [*keys, *unit]).select(*keys, F.col(diff).alias("_d"), hash32(*unit).alias("_u"),
-                 F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    sign = F.when(hash32(F.lit(seed), "perm", "_u") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = e.groupBy(*keys, "perm").agg(F.abs(F.sum(sign * F.col("_d"))).alias("_null"),
-                                        F.abs(F.sum("_d")).alias("_obs"),
-                                        F.count("*").alias("n"))
-    return sums.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("_obs").alias("stat"),
-        F.avg((F.col("_null") >= F.col("_obs") - F.lit(1e-9)).cast("double")).alias("p"))
-
-
 def null_calibration(df: DataFrame, unit: Sequence[str], y: str, row_id: Sequence[str],
                      kind: str = "null", replicates: int = 20, n_boot: int = 50,
                      seed: int = 0) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.ordered import average_rank, quantiles, rank_table
 from ..operators import bootstrap, collapse, gate, grid, stats, tables
 from . import views as V
-from .registry import (query, sql_boot, sql_hash, sql_rank, sql_rho, sql_weights)
+from .registry import (query, sql_boot, sql_hash, sql_holm, sql_rank, sql_rho, sql_signed_p, sql_weights)
 
 N_BOOT = 2000  # replicates of bootstrapped means
 N_RHO = 2000  # replicates of bootstrapped rank correlations
+N_FLIPS = 20000  # permutations of the sign-flip test
 
 METRIC_SQL = ("SELECT {cols}, 'iqa_a' AS metric, iqa_a AS x FROM {src} UNION ALL "
               "SELECT {cols}, 'iqa_b', iqa_b FROM {src} UNION ALL SELECT {cols}, 'iqa_c', iqa_c FROM {src}")
@@ -215,6 +216,9 @@ def _pairs(spark, sf):
                                "base", "method")
 
 
+SIGNED_FLOATS = "w_plus w_minus w_stat tie_sum wilcoxon_p"
+
+
 @query("wilcoxon_signed_rank", "SELECT degradation, count(*) FILTER (d <> 0) AS n, count(*) FILTER (d = 0) AS n_zero, "
        "sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, "
        "least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w_stat FROM (WITH " + _PAIR_CTE
@@ -224,7 +228,7 @@ def _(spark, sf):
     return stats.signed_rank(_pairs(spark, sf), ["degradation"]).drop("tie_sum")
 
 
-@query("wilcoxon_p")
+@query("wilcoxon_p", "SELECT * FROM (WITH " + _PAIR_CTE + " " + sql_signed_p("p", ["degradation"]) + ")", ["cl"], SIGNED_FLOATS)
 def _(spark, sf):
     return stats.with_signed_rank_p(stats.signed_rank(_pairs(spark, sf), ["degradation"]))
 
@@ -259,7 +263,11 @@ def _(spark, sf):
     return j.groupBy("mode", "degradation").agg(F.count("*").alias("n_units"), F.avg("rho").alias("mean_rho"), F.avg("drop").alias("mean_drop"))
 
 
-@query("level_trend_p")
+_TREND_D = ("(SELECT mode, degradation, round(rho, 12) AS d FROM (" + sql_rho("rows_raw", ["mode", "degradation", "seq"], "level", "jf_frame")
+            + ") WHERE rho IS NOT NULL)")
+
+
+@query("level_trend_p", sql_holm("(" + sql_signed_p(_TREND_D, ["mode", "degradation"]) + ")", ["mode"]), ["rows_raw"], SIGNED_FLOATS + " holm_p")
 def _(spark, sf):
     t = bootstrap.rank_correlation(V.rows_raw(spark, sf), ["mode", "degradation", "seq"], "level", "jf_frame")
     t = t.where(F.col("rho").isNotNull()).withColumn("d", F.round("rho", 12))
@@ -288,7 +296,12 @@ def _(spark, sf):
         "n_units", "within_rho", "share_positive")
 
 
-@query("within_association_p")
+_WITHIN = "(SELECT 1 AS k, rho, round(rho, 12) AS d FROM (" + sql_rho(_DEC, ["inst"], "vacuity", "err") + ") WHERE n >= 10 AND rho IS NOT NULL)"
+
+
+@query("within_association_p", "SELECT k, n_units, within_rho, share_positive, w_plus, w_minus, w_stat, wilcoxon_p, p_method FROM (SELECT k, count(*) AS n_units, "
+       "avg(rho) AS within_rho, avg((d > 0)::INTEGER::DOUBLE) AS share_positive FROM " + _WITHIN + " GROUP BY k) JOIN (" + sql_signed_p(_WITHIN, ["k"])
+       + ") USING (k)", ["gf"], "within_rho share_positive w_plus w_minus w_stat wilcoxon_p")
 def _(spark, sf):
     return stats.within_association(decisions(spark, sf), ["k"], ["inst"], "vacuity", "err")
 
@@ -325,10 +338,12 @@ def _(spark, sf):
 
 
 @query("sign_flip_test", "SELECT degradation, max(n) AS n, max(o) AS stat, avg((s >= o - 1e-9)::INTEGER::DOUBLE) AS p FROM (WITH " + _PAIR_CTE
-       + " SELECT degradation, perm, count(*) AS n, abs(sum(d)) AS o, abs(sum(CASE WHEN " + sql_hash("5", "perm", sql_hash("seq", "level"))
-       + " % 2 = 0 THEN d ELSE -d END)) AS s FROM p, range(50) t(perm) WHERE d <> 0 GROUP BY ALL) GROUP BY degradation", ["cl"], "stat p")
+       + ", h AS (SELECT degradation, d, blk, j AS digit, instr('0123456789abcdef', substr(md5(concat_ws('|', 5, blk, seq, level)), j + 1, 1)) - 1 AS v "
+       f"FROM p, range({-(-N_FLIPS // 128)}) t(blk), range(32) u(j) WHERE d <> 0) "
+       "SELECT degradation, blk * 128 + digit * 4 + i AS perm, count(*) AS n, abs(sum(d)) AS o, abs(sum(CASE WHEN (v >> (3 - i)) & 1 = 0 THEN d ELSE -d END)) AS s "
+       f"FROM h, (VALUES (0), (1), (2), (3)) w(i) WHERE blk * 128 + digit * 4 + i < {N_FLIPS} GROUP BY ALL) GROUP BY degradation", ["cl"], "stat p")
 def _(spark, sf):
-    return stats.sign_flip_test(_pairs(spark, sf), ["degradation"], ["seq", "level"], "d", n_perm=50, seed=5)
+    return stats.sign_flip_test(_pairs(spark, sf), ["degradation"], ["seq", "level"], "d", n_perm=N_FLIPS, seed=5)
 
 
 @query("null_calibration")

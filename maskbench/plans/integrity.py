@@ -212,17 +212,25 @@ def _(spark, sf):
     return gaps.gap_blocks_identical(g.withColumn("gap", F.round("gap", 12)))
 
 
-@query("series_digest", "SELECT o_orderstatus AS status, o_custkey, count(*) AS n, sha1(string_agg(printf('%.9g', o_totalprice) || chr(10), '' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY ALL")
+def _digest_sql(keys: str, part: str, order: str, value: str, table: str) -> str:
+    word = lambda j: f"printf('%08x', (sum(CAST('0x' || substr(h, {8 * j + 1}, 8) AS BIGINT)) % 4294967296)::BIGINT)"
+    return (f"SELECT {keys}, count(*) AS n, {' || '.join(word(j) for j in range(4))} AS digest FROM (SELECT *, md5(concat_ws('|', row_number() OVER "
+            f"(PARTITION BY {part} ORDER BY {order}) - 1, printf('%.9g', {value}))) AS h FROM {table}) GROUP BY {part}")
+
+
+@query("series_digest", _digest_sql("o_orderstatus AS status, o_custkey", "o_orderstatus, o_custkey", "o_orderkey", "o_totalprice", "orders"))
 def _(spark, sf):
     d = V.table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status")
     return guards.series_digest(d, ["status", "o_custkey"], ["o_orderkey"], number_chunk("o_orderkey"), "o_totalprice")
 
 
-@query("series_digest_blocks")
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+@query("series_digest_blocks", _digest_sql("l_returnflag AS flag", "l_returnflag", ", ".join(_LINE_ORDER), "l_quantity", "lineitem"))
 def _(spark, sf):
     d = V.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    return guards.series_digest(d, ["flag"], order, number_chunk("l_orderkey"), "l_quantity")
+    return guards.series_digest(d, ["flag"], _LINE_ORDER, number_chunk("l_orderkey"), "l_quantity")
 
 
 @query("profile_checks", """SELECT "check", subject, value FROM (

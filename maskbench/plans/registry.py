@@ -7,6 +7,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.tails import EXACT_MAX_N
 from ..operators.bootstrap import STEPS
 from .views import with_views
 
@@ -114,5 +115,40 @@ def sql_paired(name: str, pairs: str, keys: Sequence[str], unit: Sequence[str],
         f"FROM {name}_w) USING ({k}) JOIN {name}_c USING ({k}))")
 
 
+def sql_signed(src: str, keys: Sequence[str]) -> str:
+    """Subquery: signed-rank sums of the differences ``d`` with the tie term."""
+    k = ", ".join(keys)
+    side = lambda sign: f"sum(CASE WHEN d {sign} 0 THEN r ELSE 0 END) FILTER (d <> 0)"
+    return (f"SELECT *, least(w_plus, w_minus) AS w_stat FROM (SELECT {k}, count(*) FILTER (d <> 0) AS n, count(*) FILTER (d = 0) AS n_zero, "
+            f"{side('>')} AS w_plus, {side('<')} AS w_minus, coalesce(sum(t * t - 1) FILTER (d <> 0), 0)::DOUBLE AS tie_sum FROM (SELECT *, "
+            f"{sql_rank('ad', [*keys, 'z'])} AS r, count(*) OVER (PARTITION BY {k}, z, ad) AS t FROM (SELECT *, abs(d) AS ad, d = 0 AS z "
+            f"FROM {src} WHERE d IS NOT NULL)) GROUP BY {k})")
+
+
+def sql_signed_p(src: str, keys: Sequence[str], exact_max_n: int = EXACT_MAX_N) -> str:
+    """Subquery: ``sql_signed`` with the p value and its method.
+
+    The null counts grow by one rank a step; the normal tail is the power series of erf.
+    """
+    ways = ("(WITH RECURSIVE nw(n, ways) AS (SELECT 0::BIGINT, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(CAST(len(ways) + n + 1 AS BIGINT)), "
+            "lambda i: coalesce(ways[i + 1], 0) + CASE WHEN i > n THEN coalesce(ways[i - n], 0) ELSE 0 END) "
+            f"FROM nw WHERE n < {exact_max_n}) SELECT * FROM nw)")
+    exact = f"(n <= {exact_max_n} AND tie_sum = 0 AND n_zero = 0)"
+    var = "(n * (n + 1.0::DOUBLE) * (2.0 * n + 1) / 24 - tie_sum / 48)"
+    erf = "list_sum(list_transform(range(600), lambda i: exp((2 * i + 1) * ln(z) - z * z - lgamma(i + 1.5))))"
+    tail = f"CASE WHEN z <= 0 THEN 1 WHEN z > 15 THEN 0 ELSE least(1, greatest(0, 1 - {erf})) END"
+    return (f"SELECT * EXCLUDE (z, ways), CASE WHEN n = 0 THEN 1 WHEN {exact} THEN least(1, 2 * list_sum(ways[1:CAST(floor(w_stat) AS BIGINT) + 1]) / pow(2, n)) "
+            f"WHEN z IS NULL THEN 1 ELSE {tail} END::DOUBLE AS wilcoxon_p, CASE WHEN n = 0 THEN 'none' WHEN {exact} THEN 'exact' ELSE 'normal' END AS p_method "
+            f"FROM (SELECT *, CASE WHEN {var} > 0 THEN abs(w_stat - n * (n + 1.0::DOUBLE) / 4) / sqrt({var}) / sqrt(2.0::DOUBLE) END AS z "
+            f"FROM ({sql_signed(src, keys)})) LEFT JOIN {ways} USING (n)")
+
+
+def sql_holm(src: str, family: Sequence[str], p: str = "wilcoxon_p") -> str:
+    """Subquery: rows of ``src`` with the Holm-adjusted p of their family."""
+    f = ", ".join(family)
+    return (f"SELECT * EXCLUDE (r, m), least(1.0::DOUBLE, max((m - r + 1) * {p}) OVER (PARTITION BY {f} ORDER BY r)) AS holm_p FROM (SELECT *, "
+            f"row_number() OVER (PARTITION BY {f} ORDER BY {p}) AS r, count(*) OVER (PARTITION BY {f}) AS m FROM {src} WHERE {p} IS NOT NULL)")
+
+
 PAIRED_FLOATS = ("mean_base mean_method mean_delta min_delta max_delta median_delta ci_lo ci_hi "
                  "w_plus w_minus w_stat cliffs_delta")

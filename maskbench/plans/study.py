@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import is_main, level_label, to_number
 from ..operators import collapse, gaps, grid, merge, stats, tables
 from . import views as V
-from .registry import PAIRED_FLOATS, query, sql_boot, sql_paired
+from .registry import PAIRED_FLOATS, query, sql_boot, sql_holm, sql_paired, sql_signed_p
 
 N_BOOT = 2000  # replicates of every bootstrapped mean
 
@@ -276,10 +276,14 @@ def _(spark, sf):
                                   n_boot=N_BOOT, p_value=False)
 
 
-@query("ablation_report_p")
+@query("ablation_report_p", "SELECT degradation, arm, mean_delta, wilcoxon_p, p_method, holm_p, CASE WHEN abs(cliffs_delta) < 0.147 THEN 'no material contribution' "
+       "WHEN holm_p < 0.05 AND mean_delta < 0 THEN 'worse' WHEN holm_p < 0.05 THEN 'better' ELSE 'non-negligible, not significant' END AS reading FROM (WITH "
+       + _ABL_PAIRS + ", " + sql_paired("rep", "p", ["degradation", "arm"], ["seq"], N_BOOT) + ", w AS (" + sql_signed_p("p", ["degradation", "arm"])
+       + ") SELECT * FROM rep_sum JOIN rep_c USING (degradation, arm) JOIN (" + sql_holm("w", ["degradation"]) + ") USING (degradation, arm))",
+       ["abl"], "mean_delta wilcoxon_p holm_p")
 def _(spark, sf):
     r = tables.ablation_report(V.ablation_clips(spark, sf), ABL_ARMS, ["degradation"], n_boot=N_BOOT)
-    return r.select("degradation", "arm", "mean_delta", "wilcoxon_p", "holm_p", "reading")
+    return r.select("degradation", "arm", "mean_delta", "wilcoxon_p", "p_method", "holm_p", "reading")
 
 
 @query("cost_summary", """
@@ -392,10 +396,13 @@ def _(spark, sf):
     return tables.sweep_report(V.sweep_clips(spark, sf), SWEEP_DEFAULTS, n_boot=N_BOOT, p_value=False)
 
 
-@query("sweep_report_p")
+@query("sweep_report_p", "SELECT sweep, variant, mean_delta, p_method, holm_p, CAST(holm_p < 0.05 AND abs(cliffs_delta) >= 0.147 AS INTEGER) AS decidable FROM (WITH "
+       + _SWEEP_PAIRS + ", " + sql_paired("rep", "p", ["sweep", "variant"], ["seq"], N_BOOT) + ", w AS (" + sql_signed_p("p", ["sweep", "variant"])
+       + ") SELECT * FROM rep_sum JOIN rep_c USING (sweep, variant) JOIN (" + sql_holm("w", ["sweep"]) + ") USING (sweep, variant))",
+       ["swp"], "mean_delta holm_p")
 def _(spark, sf):
     r = tables.sweep_report(V.sweep_clips(spark, sf), SWEEP_DEFAULTS, n_boot=N_BOOT)
-    return r.select("sweep", "variant", "mean_delta", "holm_p", "decidable")
+    return r.select("sweep", "variant", "mean_delta", "p_method", "holm_p", "decidable")
 
 
 @query("sweep_default_spread", """

@@ -190,6 +190,25 @@ def test_sign_flip_uses_a_real_statistic(spark):
     assert r["a"] < 0.02 and r["z"] > 0.5
 
 
+def test_sign_flip_sums_do_not_depend_on_the_partitions(spark):
+    """Partial sums of several tasks and batches equal a plain loop; NULL, NaN and zero differences are left out."""
+    import hashlib
+
+    rows = [("ab"[i % 2], i, (0.1 * (i % 7) - 0.2)) for i in range(150)]
+    odd = [("a", 900, None), ("a", 901, float("nan")), ("b", 902, 0.0), ("c", 903, None)]
+    want = {}
+    for k in "ab":
+        mine = [(i, v) for a, i, v in rows if a == k and v != 0]
+        stat, hits = abs(sum(v for _, v in mine)), 0
+        bits = {i: [int(b) for blk in range(11) for b in format(int(hashlib.md5(f"3|{blk}|{i}".encode()).hexdigest(), 16), "0128b")] for i, _ in mine}
+        for perm in range(1300):
+            hits += abs(sum(-v if bits[i][perm] else v for i, v in mine)) >= stat - 1e-9
+        want[k] = (len(mine), hits / 1300)
+    d = spark.createDataFrame(rows + odd, "k string, i int, d double").repartition(5)
+    got = {r.k: (r.n, r.p) for r in stats.sign_flip_test(d, ["k"], ["i"], "d", 1300, seed=3).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
 def test_duplicates_and_conflicts(spark):
     d = spark.createDataFrame([("a", 1, 0.5), ("a", 1, 0.5), ("b", 1, 0.5), ("b", 1, 0.6), ("c", 1, None),
                                ("c", 1, None), ("e", 1, None), ("e", 1, 0.1)], "s string, f int, v double")
@@ -231,17 +250,48 @@ def test_grid_guard(spark):
     assert {r.level for r in v} == {2.0, 3.0}
 
 
-def test_series_digest(spark):
+@pytest.mark.parametrize("size", [1, 300, 9000])
+def test_series_digest(spark, size):
+    """One definition at every size, and parts merge into the whole."""
     import hashlib
 
-    vals = [0.1, 1 / 3, 12345.678901234, 1e-7, 1.5e12, 0.0, -2.5e-5, 100.0]
-    d = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(vals)], "k string, i long, v double")
     from maskbench.functions.ordered import number_chunk
-    got = guards.series_digest(d, ["k"], ["i"], number_chunk("i"), "v").first().digest
-    assert got == hashlib.sha1("".join("%.9g\n" % v for v in vals).encode()).hexdigest()
-    by3 = guards.series_digest(d, ["k"], ["i"], number_chunk("i", 2), "v", block=3).first().digest
-    parts = [hashlib.sha1("".join("%.9g\n" % v for v in vals[k:k + 3]).encode()).hexdigest() for k in (0, 3, 6)]
-    assert by3 == hashlib.sha1("".join(parts).encode()).hexdigest()
+
+    some = [0.1, 1 / 3, 12345.678901234, 1e-7, 1.5e12, 0.0, -2.5e-5, 100.0]
+    vals = [some[i % 8] * (1 + i // 8) for i in range(size)]
+    words = [0] * 4
+    for i, v in enumerate(vals):
+        h = hashlib.md5(f"{i}|{v:.9g}".encode()).hexdigest()
+        words = [(w + int(h[8 * j:8 * j + 8], 16)) % 2**32 for j, w in enumerate(words)]
+    d = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(vals)], "k string, i long, v double")
+    got = guards.series_digest(d, ["k"], ["i"], number_chunk("i", 100), "v").first()
+    assert got.n == size and got.digest == "".join(f"{w:08x}" for w in words)
+    cut = size // 3
+    parts = [guards.series_digest(d.where(c), ["k"], ["i"], number_chunk("i"), "v", start=s) for c, s in ((f"i >= {cut}", cut), (f"i < {cut}", 0))]
+    assert guards.merge_digests(parts[0].unionByName(parts[1]), ["k"]).first() == got
+
+
+def test_exact_signed_rank_p(spark):
+    """The counted null equals all sign patterns, in Spark and in the SQL that the queries are checked by."""
+    import itertools
+
+    import duckdb
+
+    from maskbench.plans.registry import sql_signed_p
+
+    vals = {"a": [0.3, -0.1, 0.2, 0.55, -0.4, 0.7, 0.05], "t": [0.1, 0.1, -0.2, 0.3], "z": [0.0, 0.0], "o": [1.5]}
+    rows = [(k, float(v)) for k, vs in vals.items() for v in vs]
+    got = {r.k: r for r in stats.with_signed_rank_p(stats.signed_rank(spark.createDataFrame(rows, "k string, d double"), ["k"])).collect()}
+    r = [sorted(abs(x) for x in vals["a"]).index(abs(v)) + 1 for v in vals["a"]]
+    w = min(sum(x for x, v in zip(r, vals["a"]) if v > 0), sum(x for x, v in zip(r, vals["a"]) if v < 0))
+    below = sum(sum(x for x, s in zip(r, pattern) if s) <= w for pattern in itertools.product((0, 1), repeat=len(r)))
+    assert got["a"].wilcoxon_p == pytest.approx(2 * below / 2 ** len(r)) and got["a"].p_method == "exact"
+    assert (got["t"].p_method, got["z"].p_method, got["z"].wilcoxon_p, got["o"].wilcoxon_p) == ("normal", "none", 1.0, 1.0)
+    table = "(VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in rows) + ") x(k, d)"
+    for k, p, m in duckdb.sql(f"SELECT k, wilcoxon_p, p_method FROM ({sql_signed_p(table, ['k'])})").fetchall():
+        assert got[k].wilcoxon_p == pytest.approx(p, abs=1e-12) and got[k].p_method == m
+    few = stats.with_signed_rank_p(stats.signed_rank(spark.createDataFrame(rows, "k string, d double"), ["k"]), exact_max_n=3)
+    assert {x.k: x.p_method for x in few.collect()} == {"a": "normal", "t": "normal", "z": "none", "o": "exact"}
 
 
 def test_pick_three_ties(spark):
