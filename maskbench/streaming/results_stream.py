@@ -51,7 +51,8 @@ def _landed(batch: DataFrame, path: str, schema: StructType, epoch: int,
         for col in partition:
             seen = batch.select(col).distinct().limit(MAX_PRUNED + 1).collect()
             if len(seen) <= MAX_PRUNED:
-                old = old.where(F.col(col).isin([r[0] for r in seen]))
+                named = F.col(col).isin([r[0] for r in seen if r[0] is not None])
+                old = old.where(named | F.col(col).isNull() if any(r[0] is None for r in seen) else named)
         return old
     except AnalysisException:  # the folder appears with the first epoch
         return spark.createDataFrame([], full)
@@ -93,46 +94,136 @@ def live_means(stream: DataFrame, keys: Sequence[str] = ("mode", "degradation",
     return stream.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
-def upsert_latest(updates: DataFrame, path: str, checkpoint: str) -> None:
-    """Write each epoch's changed rows to its own partition; ``latest`` reads the newest."""
+def upsert_latest(updates: DataFrame, path: str, checkpoint: str, keys: Sequence[str],
+                  every: int = 4) -> None:
+    """Keep a table of the newest row per key from a stream of changed rows; ``latest`` reads it."""
 
     def land(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        land_epoch(batch, path, epoch, keys, every)
 
     run_available(updates.writeStream.outputMode("update").foreachBatch(land), checkpoint)
 
 
+def land_epoch(batch: DataFrame, path: str, epoch: int, keys: Sequence[str], every: int = 4) -> None:
+    """Add an epoch's changed rows as a run; more than ``every`` runs are merged into one.
+
+    The manifest of an epoch names the runs that make up the table. It is written last, from the manifest of
+    an earlier epoch, so an epoch that is repeated after a lost driver gives the same table. Runs that neither of the two
+    newest manifests names are deleted: a reader that holds on to an older state has to read again.
+    """
+    spark, folder = batch.sparkSession, _Folder(batch.sparkSession, path)
+    runs = [*folder.runs(epoch - 1), f"delta-{epoch}"]
+    batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{path}/{runs[-1]}")
+    if len(runs) > every:
+        merged = _newest(spark.read.parquet(*[f"{path}/{r}" for r in runs]), keys)
+        runs = [f"base-{epoch}"]
+        merged.write.mode("overwrite").parquet(f"{path}/{runs[0]}")
+    folder.commit(epoch, runs)
+
+
+def _newest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in (*keys, "epoch")]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("v"), F.max("epoch").alias("epoch")).select(
+        *keys, *[f"v.{c}" for c in rest], "epoch")
+
+
 def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Most recent version of every key of an upserted table."""
-    df = spark.read.parquet(path)
-    rest = [c for c in df.columns if c not in (*keys, "epoch")]
-    newest = F.max_by(F.struct(*rest), "epoch")
-    return df.groupBy(*keys).agg(newest.alias("v")).select(*keys, *[f"v.{c}" for c in rest])
+    runs = _Folder(spark, path).runs()
+    if not runs:
+        raise FileNotFoundError(f"no epoch has landed in {path}")
+    return _newest(spark.read.parquet(*[f"{path}/{r}" for r in runs]), keys).drop("epoch")
+
+
+class _Folder:
+    """Manifests of an upserted table: one small text file per epoch, the last two of them kept."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        jvm = spark.sparkContext._jvm
+        self.at = lambda name="": jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+        self.fs = self.at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.path = spark, path
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.at())] if self.fs.exists(self.at()) else []
+
+    def epochs(self) -> list[int]:
+        return sorted(int(n[9:]) for n in self.names() if n.startswith("manifest-"))
+
+    def runs(self, upto: int | None = None) -> list[str]:
+        """Runs of the newest manifest, or of the newest up to an epoch."""
+        found = [e for e in self.epochs() if upto is None or e <= upto]
+        return self._read(found[-1]) if found else []
+
+    def _read(self, epoch: int) -> list[str]:
+        stream = self.fs.open(self.at(f"manifest-{epoch}"))
+        try:
+            return bytes(stream.readAllBytes()).decode().split()
+        finally:
+            stream.close()
+
+    def commit(self, epoch: int, runs: Sequence[str]) -> None:
+        draft, final = self.at(f".draft-{epoch}"), self.at(f"manifest-{epoch}")
+        out = self.fs.create(draft, True)
+        out.write(bytearray("\n".join(runs).encode()))
+        out.close()
+        self.fs.delete(final, False)
+        if not self.fs.rename(draft, final):
+            raise OSError(f"cannot write the manifest of epoch {epoch} in {self.path}")
+        kept = self.epochs()[-2:]
+        alive = {r for e in kept for r in self._read(e)} | {f"manifest-{e}" for e in kept}
+        for name in self.names():
+            if name not in alive and name.startswith(("delta-", "base-", "manifest-")):
+                self.fs.delete(self.at(name), True)
 
 
 class CompleteCells(StatefulProcessor):
-    """Emit an instance cell once as many distinct frames arrived as it declares."""
+    """Emit an instance cell once as many distinct frames arrived as it declares, or when it is given up.
+
+    An open cell has a timer ``wait`` after its last row: then what is there is emitted with ``complete`` 0 and
+    forgotten. A finished cell ignores further rows and is forgotten ``keep`` after its last row. A row that comes after its
+    cell was forgotten starts it anew. Times are milliseconds of event time.
+    """
+
+    wait = keep = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", "frame long", "score double")
-        self.total = handle.getValueState("total", "n long, s double, done boolean")
+        self.total = handle.getValueState("total", "n long, s double, last long, timer long, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        n, s, done = self.total.get() if self.total.exists() else (0, 0.0, False)
+        n, s, last, timer, done = self.total.get() if self.total.exists() else (0, 0.0, 0, -1, False)
+        if done:
+            return
         declared = 0
         for pdf in rows:
+            at = pd.to_datetime(pdf["at"])
+            last = max(last, int(at.max().timestamp() * 1000))
             for frame, score, want in zip(pdf.frame, pdf.score, pdf.n_frames):
-                declared = int(want)
-                if done or self.seen.containsKey((int(frame),)):
+                declared = max(declared, int(want))
+                if self.seen.containsKey((int(frame),)):
                     continue
                 self.seen.updateValue((int(frame),), (float(score),))
                 n, s = n + 1, s + float(score)
-        finish = not done and declared > 0 and n >= declared
-        if finish:
+        done = declared > 0 and n >= declared
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = last + (self.keep if done else self.wait)
+        self.handle.registerTimer(timer)
+        self.total.update((n, s, last, timer, done))
+        if done:
             self.seen.clear()
-        self.total.update((n, s, done or finish))
-        if finish:
-            yield pd.DataFrame([[*key, n, s / n]], columns=self.names)
+            yield pd.DataFrame([[*key, n, s / n, 1]], columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.total.exists():
+            return
+        n, s, _, _, done = self.total.get()
+        self.seen.clear()
+        self.total.clear()
+        if not done:
+            yield pd.DataFrame([[*key, n, s / n, 0]], columns=self.names)
 
     def close(self) -> None:
         pass
@@ -211,16 +302,23 @@ class ProfileState(StatefulProcessor):
 
 
 def _stateful(stream: DataFrame, keys: Sequence[str], proc: StatefulProcessor, extra: str,
-              mode: str) -> DataFrame:
+              mode: str, time: str = "None") -> DataFrame:
     keyed = StructType([stream.schema[k] for k in keys])
     out = StructType([*keyed.fields, *StructType.fromDDL(extra).fields])
     proc.names = out.names
-    return stream.groupBy(*keys).transformWithStateInPandas(proc, out, mode, "None")
+    return stream.groupBy(*keys).transformWithStateInPandas(proc, out, mode, time)
+
 
+def complete_cells(stream: DataFrame, keys: Sequence[str], wait_ms: int, keep_ms: int,
+                   delay: str = "10 minutes") -> DataFrame:
+    """Stream of instance cells (keys, n_rows, jf, complete) from rows (keys, frame, score, n_frames, at).
 
-def complete_cells(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stream of finished instance cells from rows (keys, frame, score, n_frames)."""
-    return _stateful(stream, keys, CompleteCells(), "n_rows bigint, jf double", "Append")
+    ``at`` is the event time and ``delay`` how late a row may come. A cell without all its frames ``wait_ms`` after its last row is
+    emitted as incomplete; a finished one is remembered for ``keep_ms``, so state does not grow with the past.
+    """
+    proc = CompleteCells()
+    proc.wait, proc.keep = wait_ms, keep_ms
+    return _stateful(stream.withWatermark("at", delay), keys, proc, "n_rows bigint, jf double, complete int", "Append", "EventTime")
 
 
 def live_gate(stream: DataFrame, keys: Sequence[str], tau: float, max_consecutive: int) -> DataFrame:

@@ -195,3 +195,23 @@ def test_chunks_are_read_by_their_own_headers(spark, tmp_path):
     assert len(got) == 2 and got[0] == got[1] and got[0]["mode"] == "base" and dropped.count() == 1
     with pytest.raises(ValueError, match="run_c"):
         results.check_headers(spark, [str(tmp_path / "run_a.csv"), str(tmp_path / "run_c.csv")])
+
+
+def test_live_table_is_compacted(spark, tmp_path):
+    """After 50 epochs as many files are read as after 6; a repeated epoch and an old one change nothing."""
+    from maskbench.streaming import results_stream as rs
+
+    path, want, files_at = str(tmp_path / "t"), {}, {}
+    for epoch in range(50):
+        rows = [(k, epoch * 10 + k) for k in (epoch % 7, (epoch + 3) % 7)]
+        want.update(rows)
+        rs.land_epoch(spark.createDataFrame(rows, "k int, v int").coalesce(1), path, epoch, ["k"])
+        if epoch in (5, 24, 49):
+            t = rs.latest(spark, path, ["k"])
+            files_at[epoch] = len(t.inputFiles())
+            assert t.columns == ["k", "v"] and {r.k: r.v for r in t.collect()} == want
+    assert files_at[49] <= files_at[5] <= 4 and len(list((tmp_path / "t").glob("*-*"))) < 12
+    rs.land_epoch(spark.createDataFrame(rows, "k int, v int").coalesce(1), path, 49, ["k"])
+    assert {r.k: r.v for r in rs.latest(spark, path, ["k"]).collect()} == want
+    with pytest.raises(FileNotFoundError):
+        rs.latest(spark, str(tmp_path / "none"), ["k"])
