@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ordered import average_rank, quantiles, rank_table
 from ..operators import bootstrap, collapse, gate, grid, stats, tables
 from . import views as V
-from .registry import (query, sql_boot, sql_hash, sql_holm, sql_rank, sql_rho, sql_signed_p, sql_weights)
+from .registry import (query, sql_boot, sql_hash, sql_holm, sql_rank, sql_rho, sql_rho_p, sql_signed_p, sql_weights)
 
 N_BOOT = 2000  # replicates of bootstrapped means
 N_RHO = 2000  # replicates of bootstrapped rank correlations
@@ -71,6 +71,14 @@ def _(spark, sf):
                                    ["seq", "degradation", "level", "frame"], n_boot=N_RHO)
 
 
+@query("rank_correlation_p", "SELECT mode, degradation, metric, n, rho, rho * rho AS r2, CAST(abs(rho) >= 0.6 AS INTEGER) AS usable, " + sql_rho_p()
+       + " AS p FROM (WITH c AS (" + CELL_SQL + "), m AS (" + METRIC_SQL.format(cols="mode, degradation, jf", src="c") + ") SELECT * FROM ("
+       + sql_rho("m", ["mode", "degradation", "metric"], "x", "jf") + ")) WHERE n >= 10", ["rows_raw", "cl"], "rho r2 p")
+def _(spark, sf):
+    rows = stats.metric_rows(cell_observations(spark, sf), V.METRICS, ["mode", "degradation", "jf"])
+    return stats.correlation_table(rows, ["mode", "degradation", "metric"], "x", "jf", [])
+
+
 @query("iqa_correlation_by_mode", "SELECT mode, metric, n, rho, rho * rho AS r2, CAST(abs(rho) >= 0.6 AS INTEGER) AS usable FROM (WITH o AS ("
        + OBS_SQL + "), m AS (" + METRIC_SQL.format(cols="mode, jf_frame", src="o") + ") SELECT * FROM ("
        + sql_rho("m", ["mode", "metric"], "x", "jf_frame") + ")) WHERE n >= 10", ["rf"], "rho r2")

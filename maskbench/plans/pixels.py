@@ -93,7 +93,16 @@ def _(spark, sf):
     return m.select("vec_id", e.alias("e")).select("vec_id", "e.x0", "e.y0", "e.x1", "e.y1")
 
 
-@query("mask_components")
+# every pixel's component is the smallest pixel that it reaches over its eight neighbours of the same kind
+_REACH = """(WITH RECURSIVE reach(vec_id, is_on, seed, y, x) AS (SELECT vec_id, is_on, y * 8 + x, y, x FROM px UNION
+  SELECT r.vec_id, r.is_on, r.seed, p.y, p.x FROM reach r JOIN px p ON p.vec_id = r.vec_id AND p.is_on = r.is_on AND p.y BETWEEN r.y - 1 AND r.y + 1
+  AND p.x BETWEEN r.x - 1 AND r.x + 1 AND r.seed < p.y * 8 + p.x)
+ SELECT vec_id, is_on, c, count(*) AS size FROM (SELECT vec_id, is_on, y, x, min(seed) AS c FROM reach GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("mask_components", "SELECT vec_id, count(*) FILTER (is_on) AS n_components, coalesce(max(size) FILTER (is_on), 0) AS largest, "
+       "coalesce(min(size) FILTER (is_on), 0) AS smallest, coalesce(sum(size) FILTER (is_on), 0)::BIGINT AS area, "
+       "coalesce(sum(size) FILTER (is_on OR size <= 8), 0)::BIGINT AS area_filled FROM " + _REACH + " GROUP BY vec_id", ["px"])
 def _(spark, sf):
     m = V.masks8(spark, sf).withColumn("c", mk.component_stats("bits", "h", "w")).withColumn(
         "filled", mk.fill_holes("bits", "h", "w", F.lit(8)))

@@ -143,6 +143,15 @@ def sql_signed_p(src: str, keys: Sequence[str], exact_max_n: int = EXACT_MAX_N)
             f"FROM ({sql_signed(src, keys)})) LEFT JOIN {ways} USING (n)")
 
 
+def sql_rho_p(rho: str = "rho", n: str = "n") -> str:
+    """Two-sided p of a rank correlation by Student's t: the finite sums over powers of the cosine, for even and odd degrees of freedom."""
+    df, cos = f"({n} - 2)", "greatest(1e-300::DOUBLE, sqrt(1 - r2))"
+    even = f"list_sum(list_transform(range({df} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) + 2 * k * ln({cos})))) / sqrt(pi())"
+    odd = f"coalesce(list_sum(list_transform(range(({df} - 1) // 2), lambda k: exp(lgamma(k + 1.0) - lgamma(k + 1.5) + (2 * k + 1) * ln({cos})))), 0) * sqrt(pi()) / 2"
+    inside = f"CASE WHEN {df} % 2 = 0 THEN sqrt(r2) * {even} ELSE 2 / pi() * (asin(sqrt(r2)) + sqrt(r2) * {odd}) END"
+    return f"CASE WHEN {n} >= 3 AND {rho} IS NOT NULL THEN greatest(0, 1 - ({inside})) END".replace("r2", f"least(1, {rho} * {rho})")
+
+
 def sql_holm(src: str, family: Sequence[str], p: str = "wilcoxon_p") -> str:
     """Subquery: rows of ``src`` with the Holm-adjusted p of their family."""
     f = ", ".join(family)
