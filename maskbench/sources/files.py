@@ -1,20 +1,17 @@
-"""Frame trees, palette and colour-coded label maps, split lists and video shards."""
+"""Decoded frames, split lists and video shards."""
 
 from __future__ import annotations
 
-import struct
-import zlib
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.ordered import ordinal
 from ..functions.text import text_chunk
-from ..schemas import row_type
 
 # Where the frame folders of the known layouts lie below a dataset root.
 LAYOUTS = {
@@ -111,123 +108,6 @@ def filter_split(df: DataFrame, spark: SparkSession, split_file: str,
     return kept
 
 
-def png_indices(data: bytes) -> np.ndarray:
-    """Raw sample values of a grey or palette PNG (1 to 8 bits, not interlaced)."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG file")
-    pos, body = 8, []
-    while pos < len(data):
-        size, kind = struct.unpack(">I4s", data[pos:pos + 8])
-        chunk = data[pos + 8:pos + 8 + size]
-        if kind == b"IHDR":
-            w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", chunk)
-        elif kind == b"IDAT":
-            body.append(chunk)
-        pos += size + 12
-    if colour not in (0, 3) or depth > 8 or interlace:
-        raise ValueError("expected a grey or palette PNG without interlacing")
-    stride = (w * depth + 7) // 8
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, stride + 1)
-    out = np.zeros((h, stride), np.uint8)
-    above = np.zeros(stride, np.uint8)
-    for y in range(h):
-        above = out[y] = _unfilter(int(rows[y, 0]), rows[y, 1:], above)
-    if depth == 8:
-        return out
-    bits = np.unpackbits(out, axis=1)[:, : w * depth].reshape(h, w, depth)
-    return (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
-
-
-def _unfilter(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
-    if kind == 0:
-        return row
-    if kind == 1:
-        return np.cumsum(row, dtype=np.uint8)
-    if kind == 2:
-        return row + above
-    cur, left, diag = bytearray(row.tobytes()), 0, 0
-    for i, up in enumerate(above.tolist()):
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            da, db, dc = abs(up - diag), abs(left - diag), abs(left + up - 2 * diag)
-            guess = left if da <= db and da <= dc else up if db <= dc else diag
-        left, diag = (cur[i] + guess) & 255, up
-        cur[i] = left
-    return np.frombuffer(bytes(cur), np.uint8)
-
-
-@F.pandas_udf(row_type("h:i w:i ids:b"))
-def decode_label(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for raw in content:
-        m = png_indices(bytes(raw))
-        if m.max(initial=0) == 255 and not np.isin(m, (0, 255), invert=True).any():
-            m = (m == 255).astype(np.uint8)
-        rows.append((*m.shape, m.tobytes()))
-    return pd.DataFrame(rows, columns=["h", "w", "ids"]).astype({"h": "int32", "w": "int32"})
-
-
-def read_palette_labels(spark: SparkSession, labels_dir: str, pattern: str = "*.png") -> DataFrame:
-    """Object-id maps: the palette index is the id, a 0/255 map is a single object.
-
-    Labels are addressed by the number in the file name.
-    """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
-        "recursiveFileLookup", True).load(labels_dir)
-    d = _named(raw.select("path", "content"), "path").withColumn("_l", decode_label("content"))
-    return d.select("seq", F.col("name").cast("bigint").alias("frame"), "_l.h", "_l.w", "_l.ids")
-
-
-@F.pandas_udf(BinaryType())
-def _colour_ids(data: pd.Series, ch: pd.Series, lut: pd.Series) -> pd.Series:
-    out = []
-    for px, k, table in zip(data, ch, lut):
-        c = np.frombuffer(bytes(px), np.uint8).reshape(-1, k).astype(np.int64)
-        key = c[:, 0] * 65793 if k == 1 else (c[:, 2] << 16) + (c[:, 1] << 8) + c[:, 0]
-        colours, at = np.unique(key, return_inverse=True)
-        if table is None or not len(table):
-            ids = np.where(colours == 0, 0, np.arange(len(colours)) + 1)
-        else:
-            known = {int(a["key"]): int(a["obj_id"]) for a in table}
-            ids = np.array([known.get(int(v), 0) for v in colours])
-        out.append(ids[at].astype(np.uint8).tobytes())
-    return pd.Series(out, dtype=object)
-
-
-def colour_tables(spark: SparkSession, meta_file: str) -> DataFrame:
-    """(category, lut) from a meta file: 24-bit colour key to object id, per category."""
-    kind = "struct<objects: map<string, map<string, struct<palette: array<int>>>>>"
-    m = spark.read.text(meta_file, wholetext=True).select(F.from_json("value", kind).alias("m"))
-    cats = m.select(F.explode("m.objects").alias("category", "objs"))
-    objs = cats.select("category", F.explode("objs").alias("oid", "info"))
-    rgb = [F.coalesce(F.col("info.palette")[i], F.lit(0)) for i in range(3)]
-    return objs.groupBy("category").agg(F.collect_list(F.struct(
-        (rgb[0] * 65536 + rgb[1] * 256 + rgb[2]).alias("key"),
-        F.col("oid").cast("int").alias("obj_id"))).alias("lut"))
-
-
-def read_colour_labels(spark: SparkSession, labels_dir: str, meta_file: str | None = None,
-                       category: Column | None = None, pattern: str = "*.png") -> DataFrame:
-    """Object-id maps from 24-bit colours, by the meta table of the clip's category.
-
-    Without a table the distinct colours of a map are numbered in ascending order; black is 0
-    but uses up the first number.
-    """
-    raw = spark.read.format("image").option("pathGlobFilter", pattern).option(
-        "recursiveFileLookup", True).load(labels_dir)
-    d = _named(raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"),
-                          F.col("image.width").alias("w"), F.col("image.nChannels").alias("_c"),
-                          F.col("image.data").alias("_d")), "path")
-    if meta_file:
-        d = d.withColumn("category", F.lit("") if category is None else category)
-        d = d.join(colour_tables(spark, meta_file), "category", "left")
-    else:
-        d = d.withColumn("lut", F.lit(None).cast("array<struct<key:int,obj_id:int>>"))
-    return d.select("seq", F.col("name").cast("bigint").alias("frame"), "h", "w",
-                    _colour_ids("_d", "_c", "lut").alias("ids"))
-
-
 def shard_inventory(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Frame ids per video of Parquet shards; the image columns are never read."""
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maskbench.sources import files, results
+from maskbench.kernels.png import read_png, write_png
+from maskbench.sources import files, frame_tree as ft, labels, results
 
 
 def png(a: np.ndarray, colour: int, depth: int = 8, palette: bool = False, kind: int = 0) -> bytes:
@@ -56,8 +57,21 @@ def tree(tmp_path):
 
 @pytest.mark.parametrize("kind", range(5))
 def test_png_filters(kind):
-    a = np.random.default_rng(kind).integers(0, 255, (9, 13)).astype(np.uint8)
-    assert (files.png_indices(png(a, 0, kind=kind)) == a).all()
+    """Images of one stack have their own predictions; other shapes and colours form other stacks."""
+    rng = np.random.default_rng(kind)
+    grey = [rng.integers(0, 255, (9, 13)).astype(np.uint8) for _ in range(5)]
+    flat, wide = rng.integers(0, 255, (1, 1)).astype(np.uint8), rng.integers(0, 255, (3, 40)).astype(np.uint8)
+    back = read_png([png(a, 0, kind=(kind + i) % 5) for i, a in enumerate(grey)] + [png(flat, 0, kind=kind), png(wide, 3, kind=kind)])
+    assert all((a == b).all() for a, b in zip([*grey, flat, wide], back))
+
+
+@pytest.mark.parametrize("kind", range(3))
+def test_png_round_trip(kind):
+    rng = np.random.default_rng(kind)
+    for a in (rng.integers(0, 255, (7, 5)).astype(np.uint8), rng.integers(0, 255, (4, 6, 3)).astype(np.uint8)):
+        assert (read_png([write_png(a, kind)])[0] == a).all()
+    with pytest.raises(ValueError):
+        write_png(a, 3)
 
 
 def test_png_low_depth():
@@ -65,9 +79,11 @@ def test_png_low_depth():
     packed = np.packbits(bits, axis=1)
     data = png(packed, 3, depth=1)
     data = data.replace(struct.pack(">II", 2, 1), struct.pack(">II", 9, 1), 1)
-    assert (files.png_indices(data) == bits).all()
+    assert (read_png([data])[0] == bits).all()
+    with pytest.raises(ValueError):
+        read_png([png(np.zeros((2, 2), np.uint8), 0, depth=16)])
     with pytest.raises(ValueError):
-        files.png_indices(png(np.zeros((2, 2, 3), np.uint8), 2))
+        read_png([b"GIF89a"])
 
 
 def test_frame_tree(spark, tree):
@@ -78,7 +94,8 @@ def test_frame_tree(spark, tree):
     f = files.read_frames(spark, frames_dir).orderBy("seq", "frame").collect()
     first = np.random.default_rng(0).integers(0, 255, (6, 8, 3)).astype(np.uint8)
     assert len(f) == 5 and (f[0].h, f[0].w) == (6, 8) and bytes(f[0].rgb) == first.tobytes()
-    lab = files.read_palette_labels(spark, labels_dir)
+    assert labels_dir.endswith("Annotations/480p")
+    lab = labels.palette_labels(ft.read_tree(spark, "davis", str(tree), what="labels", split="any", allow_missing_split=True))
     ids = np.frombuffer(bytes(lab.where("seq = 'bear' AND frame = 1").first().ids), np.uint8)
     assert set(ids) == {0, 1, 2, 4}
     with pytest.raises(FileNotFoundError):
@@ -97,25 +114,65 @@ def test_split_filter(spark, tree):
         assert files.filter_split(d, spark, str(lists / bad), allow_missing_split=True).count() == 5
 
 
-def test_binary_label_is_one_object(spark, tmp_path):
-    (tmp_path / "s").mkdir()
-    (tmp_path / "s/00000.png").write_bytes(png(np.array([[0, 255], [255, 0]], np.uint8), 0))
-    r = files.read_palette_labels(spark, str(tmp_path)).first()
-    assert list(bytes(r.ids)) == [0, 1, 1, 0]
+def test_tree_source(spark, tree):
+    """Split list, missing list, chosen clips and frames, labels without frames, and errors before any job."""
+    read = lambda *a, **k: sorted((r.seq, r.frame, r.number) for r in ft.read_tree(spark, "davis", *a, **k).collect())
+    every = [("bear", 0, 0), ("bear", 1, 5), ("bear", 2, 10), ("cows", 0, 0), ("cows", 1, 5)]
+    assert read([str(tree / "absent"), str(tree)]) == every[3:]
+    assert read(str(tree), "nowhere", allow_missing_split=True) == every
+    assert read(str(tree), "none", allow_missing_split=True) == every
+    assert read(str(tree), clips=["bear"], split_list="false") == every[:3]
+    assert read(str(tree), clips=["zebra"], split_list="false") == []
+    assert read(str(tree), frames=(1, 3), split_list="false") == [every[1], every[2], every[4]]
+    for bad in ("none", "nowhere"):
+        with pytest.raises(Exception, match="split list"):
+            read(str(tree), bad)
+    with pytest.raises(FileNotFoundError):
+        ft.read_tree(spark, "davis", str(tree / "absent"))
+    with pytest.raises(KeyError):
+        ft.read_tree(spark, "nope", str(tree))
+    with pytest.raises(ValueError):
+        ft.read_tree(spark, "davis", str(tree), what="masks")
+
+
+def test_tree_source_reads_large_and_odd_files(spark, tmp_path, monkeypatch):
+    """Batches are cut by bytes; names without a number, other extensions and an empty clip do no harm."""
+    rows = [(f"v/JPEGImages/a/{i:05d}.jpg", bytes([i]) * 1000) for i in range(150)] + [
+        ("v/JPEGImages/a/note.txt", b"x"), ("v/JPEGImages/a/z1.PNG", b""), ("v/JPEGImages/b/.keep", b""), ("v/JPEGImages/a/00000.jpg", bytes([0]) * 1000)]
+    ft.write_tree(spark.createDataFrame(rows, "file string, content binary"), str(tmp_path))
+    got = ft.read_tree(spark, "mose", str(tmp_path), "v").orderBy("frame").collect()
+    assert [(r.frame, r.number, bytes(r.content)) for r in got] == [(i, i, bytes([i]) * 1000) for i in range(150)] + [(150, None, b"")]
+    monkeypatch.setattr(ft, "BATCH_BYTES", 2500)
+    reader = ft.FrameTreeReader({"kind": "mose", "path": str(tmp_path), "split": "v"})
+    sizes = [b.num_rows for p in reader.partitions() for b in reader.read(p)]
+    assert max(sizes) <= 3 and sum(sizes) == 151
+    assert not list(tmp_path.rglob("*.part"))
+
+
+def _label_rows(spark, *maps):
+    return spark.createDataFrame([(f"s{i}", i, m) for i, m in enumerate(maps)], "seq string, number long, content binary")
+
+
+def test_binary_label_is_one_object(spark):
+    rows = _label_rows(spark, png(np.array([[0, 255], [255, 0]], np.uint8), 0), png(np.array([[0, 7], [255, 0]], np.uint8), 0))
+    got = [list(bytes(r.ids)) for r in labels.palette_labels(rows).orderBy("seq").collect()]
+    assert got == [[0, 1, 1, 0], [0, 7, 255, 0]]
 
 
-def test_colour_labels(spark, tmp_path):
-    (tmp_path / "ann/cat").mkdir(parents=True)
+def test_colour_labels(spark):
     a = np.zeros((2, 3, 3), np.uint8)
     a[0, 1], a[1, 2] = (10, 0, 0), (0, 0, 7)
-    (tmp_path / "ann/cat/00003.png").write_bytes(png(a, 2))
-    r = files.read_colour_labels(spark, str(tmp_path / "ann")).first()
+    rows = _label_rows(spark, png(a, 2), png(np.full((1, 2, 3), 9, np.uint8), 2), png(np.array([[0, 3]], np.uint8), 0))
+    ids = lambda d: [list(bytes(r.ids)) for r in d.orderBy("seq").collect()]
     # sorted keys: black, blue (7), red (655360); black uses up number 1
-    assert r.frame == 3 and list(bytes(r.ids)) == [0, 3, 0, 0, 0, 2]
-    meta = tmp_path / "meta.json"
-    meta.write_text(json.dumps({"objects": {"": {"5": {"palette": [10, 0, 0]}, "6": {"palette": [1, 1, 1]}}}}))
-    r = files.read_colour_labels(spark, str(tmp_path / "ann"), str(meta)).first()
-    assert list(bytes(r.ids)) == [0, 5, 0, 0, 0, 0]
+    assert ids(labels.colour_labels(rows)) == [[0, 3, 0, 0, 0, 2], [1, 1], [0, 2]]
+    meta = json.dumps({"objects": {"": {"5": {"palette": [10, 0, 0]}, "6": {"palette": [1, 1, 1]}}}})
+    named = labels.meta_colours(spark.createDataFrame([(meta,)], "value string"))
+    assert ids(labels.colour_labels(rows, named)) == [[0, 5, 0, 0, 0, 0], [0, 0], [0, 0]]
+    # a category without colours falls back to ranks
+    other = F.when(F.col("seq") == "s0", "").otherwise("cat")
+    assert ids(labels.colour_labels(rows, named, other)) == [[0, 5, 0, 0, 0, 0], [1, 1], [0, 2]]
+    assert labels.colour_labels(rows.limit(0), named).count() == 0
 
 
 HEADER = "seq,obj_id,mode,degradation,level,n_frames,J&F"
