@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .base import components, parts_for, staged
 
@@ -65,13 +65,15 @@ def cover_tree(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """One side of a traversal: nodes by level, their children, the vectors below them."""
+    """One side of a traversal: nodes by level, their children, the vectors below them and their weights."""
 
-    def __init__(self, x: np.ndarray, node: np.ndarray, radius: np.ndarray):
+    def __init__(self, x: np.ndarray, node: np.ndarray, radius: np.ndarray, weight: np.ndarray | None = None):
         self.u, n = _units(x), len(x)
         path = np.column_stack([node, np.arange(n)])          # the last level: the vectors themselves
         order = np.lexsort(path.T[::-1])
         self.order, path = order, path[order]
+        self.weight = (np.ones(n, np.int64) if weight is None else weight)[order]
+        self.mass = np.r_[0, np.cumsum(self.weight)]
         rad = np.column_stack([radius[order], np.zeros(n)])
         self.first, self.last, self.centre, self.radius, self.kids = [], [], [], [], []
         for level in range(path.shape[1]):
@@ -92,7 +94,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def traverse(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Links of each vector of ``a`` and of ``b``, and pairs that connect what is linked.
+    """Weight of what each vector of ``a`` and of ``b`` links with, itself left out, and pairs that connect what is linked.
 
     Two nodes further apart than their radii and the threshold's distance have no link and are dropped;
     two nodes that lie wholly within it link in all their pairs and are counted at once; the others' children
@@ -100,17 +102,22 @@ def traverse(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> tupl
     """
     reach = math.sqrt(2.0 - 2.0 * threshold)
     links = [np.zeros(len(a.u) + 1, np.int64), np.zeros(len(b.u) + 1, np.int64)]   # differences over each order
+    itself = np.zeros(len(a.u) + 1, np.int64)                                      # vectors counted with their own node
     edges: list[np.ndarray] = []
     depth = len(RADII)
 
     def all_pairs(level: int, p: np.ndarray, q: np.ndarray) -> None:
         for side, t, x, other, y in ((0, a, p, b, q), (1, b, q, a, p)):
-            size = other.last[level][y] - other.first[level][y]
-            mine = same and side == 0
-            inside = (p == q) if same else np.zeros(len(p), bool)
-            add = np.where(inside, (size - 1) if mine or not same else 0, size)
-            np.add.at(links[side], t.first[level][x], add)
-            np.add.at(links[side], t.last[level][x], -add)
+            size = other.mass[other.last[level][y]] - other.mass[other.first[level][y]]
+            if same:
+                inside = p == q
+                if side == 0:
+                    np.add.at(itself, t.first[level][x[inside]], 1)
+                    np.add.at(itself, t.last[level][x[inside]], -1)
+                else:
+                    size = np.where(inside, 0, size)
+            np.add.at(links[side], t.first[level][x], size)
+            np.add.at(links[side], t.last[level][x], -size)
             owner, at = _expand(t.first[level][x], t.last[level][x])
             mate = other.centre[level][y][owner]
             edges.append(np.column_stack([t.order[at], mate] if side == 0 else [mate, t.order[at]]))
@@ -166,7 +173,7 @@ def traverse(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> tupl
     out = []
     for side, t in ((0, a), (1, b)):
         n = np.zeros(len(t.u), np.int64)
-        n[t.order] = np.cumsum(links[side])[:-1]
+        n[t.order] = np.cumsum(links[side])[:-1] - (np.cumsum(itself)[:-1] * t.weight if same and side == 0 else 0)
         out.append(n)
     return out[0], out[1], edges
 
@@ -191,55 +198,60 @@ def _spanning(n: int, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
 
-    Two vectors link when their cosine, in double precision, is at least ``threshold``. The root's children
-    are up to CELLS vectors, those with the smallest hash; every vector goes to the nearest one. A cell's
-    vectors form trees of about ``block`` vectors, a hot cell many. Pairs of cells, then of trees, are dropped
-    by their radii; each pair of trees that is left is one task's group, a bounded one. In many dimensions,
-    where most vectors lie far apart and yet within the bound, few pairs of trees can be dropped: comparisons
-    then grow with the square of the number of distinct clusters, though they stay exact.
-
-    Vectors that are null, zero, hold null or non-finite components, or have another length than most, link
-    with nothing. Equal vectors and repeated rows are others to each other. ``label`` and other columns are not
-    read. A null vec_id is kept. An empty table gives an empty result.
+    Two vectors link when they have one length and their cosine, in double precision, is at least ``threshold``.
+    Equal vectors are merged first and weigh as many as they are. Vectors of each length have a forest of their
+    own: the root's children are up to CELLS vectors, those with the smallest hash; every vector goes to the
+    nearest one. A cell's vectors form trees of about ``block`` vectors, a full cell many. Pairs of cells, then
+    of trees, are dropped by their radii; each pair of trees that is left is one task's group, a bounded one.
+    In many dimensions, where most vectors lie far apart and yet within the bound, few pairs of trees can be
+    dropped: comparisons then grow with the square of the number of distinct clusters, though they stay exact.
+
+    Vectors that are null, zero, or hold null or non-finite components link with nothing. Equal vectors and
+    repeated rows are others to each other. ``label`` and other columns are not read. A null vec_id is kept,
+    and never is the smallest of its group. An empty table gives an empty result.
     """
+    spark, kind = vectors.sparkSession, vectors.schema["vec_id"].dataType.simpleString()
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).withColumn("ok", valid(F.col("x")))
-    size = v.where("ok").groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, n = (size["dim"], size["n"]) if size else (0, 0)
-    spark = vectors.sparkSession
-    rows = v.withColumn("ok", F.col("ok") & (F.size("x") == dim)).withColumn("x", F.when(F.col("ok"), F.col("x")))
-    top = [r["x"] for r in rows.where("ok").orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(min(CELLS, parts_for(n, block, 1))).collect()]
-    centres = spark.sparkContext.broadcast(_units(np.array(top)) if top else np.zeros((1, max(1, dim))))
+    equal = staged(v.where("ok").groupBy("x").agg(F.count("*").alias("w"), F.min("vec_id").alias("least")).withColumn("dim", F.size("x")))
+    # only lengths of more than one tree need centres; there are at most 1 / block as many as vectors
+    full = {r["dim"]: r["n"] for r in equal.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
+    is_full = F.col("dim").isin(list(full)) if full else F.lit(False)
+    by_hash = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("x"), "x"))
+    first: dict[int, list] = {}
+    for r in equal.where(is_full).select("dim", "x", by_hash.alias("place")).where(F.col("place") <= CELLS).collect() if full else []:
+        if r["place"] <= parts_for(full[r["dim"]], block):
+            first.setdefault(r["dim"], []).append(r["x"])
+    centres = spark.sparkContext.broadcast({dim: _units(np.array(x)) for dim, x in first.items()})
 
     def place(batches):
         for b in batches:
-            ok = b.column("ok").to_numpy(zero_copy_only=False)
-            cell, far = np.full(len(ok), -1, np.int32), np.zeros(len(ok))
-            if ok.any():
-                d = _gap(_units(_matrix(b.column("x").filter(pa.array(ok)))), centres.value)
-                cell[ok], far[ok] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("x"), b.column("ok"), pa.array(cell), pa.array(far)], ["vec_id", "x", "ok", "cell", "far"])
-
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    placed = staged(rows.mapInArrow(place, f"vec_id {kind}, x array<double>, ok boolean, cell int, far double")
+            x, dims = b.column("x"), b.column("dim").to_numpy()
+            cell, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for dim in np.unique(dims):
+                if int(dim) in centres.value:
+                    at = np.flatnonzero(dims == dim)
+                    d = _gap(_units(_matrix(x.take(pa.array(at)))), centres.value[int(dim)])
+                    cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], [*b.schema.names, "cell", "far"])
+
+    placed = staged(equal.mapInArrow(place, f"x array<double>, w long, least {kind}, dim int, cell int, far double")
                     .withColumn("row", F.monotonically_increasing_id()))
-    good = placed.where("ok")
-    cells = good.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
-    cuts = {r["cell"]: parts_for(r["n"], block) for r in cells}
-    c, reach, near = centres.value, math.sqrt(2.0 - 2.0 * threshold), []
-    for r in cells:                                            # at most CELLS * CELLS / 2 pairs
-        for s in cells:
-            if r["cell"] <= s["cell"] and _gap(c[r["cell"]][None], c[s["cell"]][None])[0, 0] <= r["far"] + s["far"] + reach + SLACK:
-                near.append((r["cell"], s["cell"]))
-    trees = [(k, i) for k, m in cuts.items() for i in range(m)] if sum(cuts.values()) <= 65_536 else None
-    cut = spark.createDataFrame(list(cuts.items()), "cell int, cuts int")
-    blocks = (spark.createDataFrame(trees, "cell int, part int") if trees is not None
-              else cut.select("cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part")))
-    pairs = (spark.createDataFrame(near, "a_cell int, b_cell int")
-             .join(blocks.select(F.col("cell").alias("a_cell"), F.col("part").alias("a_part")), "a_cell")
-             .join(blocks.select(F.col("cell").alias("b_cell"), F.col("part").alias("b_part")), "b_cell")
-             .where("a_cell < b_cell or a_part <= b_part"))
-    part = F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")
-    dealt = good.join(F.broadcast(cut), "cell").select("cell", part.alias("part"), "row", "x")
+    cells = placed.where(is_full).groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect() if full else []
+    reach, near = math.sqrt(2.0 - 2.0 * threshold), []
+    for dim, c in centres.value.items():                       # at most CELLS * CELLS / 2 pairs of one length
+        own = sorted((r["cell"], r["far"]) for r in cells if r["dim"] == dim)
+        at, far = np.array([k for k, _ in own]), np.array([f for _, f in own])
+        for i, j in zip(*np.nonzero(np.triu(_gap(c[at], c[at]) <= far[:, None] + far[None, :] + reach + SLACK))):
+            near.append((dim, int(at[i]), int(at[j])))
+    cut = spark.createDataFrame([(r["dim"], r["cell"], parts_for(r["n"], block)) for r in cells], "dim int, cell int, cuts int")
+    blocks = cut.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
+    single = placed.where(~is_full).select("dim", *[F.lit(0).alias(k) for k in ("a_cell", "b_cell", "a_part", "b_part")]).distinct()
+    pairs = (spark.createDataFrame(near, "dim int, a_cell int, b_cell int")
+             .join(blocks.select("dim", F.col("cell").alias("a_cell"), F.col("part").alias("a_part")), ["dim", "a_cell"])
+             .join(blocks.select("dim", F.col("cell").alias("b_cell"), F.col("part").alias("b_part")), ["dim", "b_cell"])
+             .where("a_cell < b_cell or a_part <= b_part").unionByName(single))
+    part = F.pmod(F.xxhash64("row"), F.coalesce("cuts", F.lit(1))).cast("int")
+    dealt = placed.join(F.broadcast(cut), ["dim", "cell"], "left").select("dim", "cell", part.alias("part"), "row", "w", "x")
 
     def grow(t: pa.Table) -> pa.Table:
         node, radius = cover_tree(_units(_matrix(t.column("x"))))
@@ -247,19 +259,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         return t.append_column("at", at).append_column("node", pa.array(node.tolist(), pa.list_(pa.int32()))).append_column(
             "radius", pa.array(radius.tolist(), pa.list_(pa.float64())))
 
-    shape = "cell int, part int, row long, x array<double>, at int, node array<int>, radius array<double>"
-    grown = staged(dealt.groupBy("cell", "part").applyInArrow(grow, shape))
+    shape = "dim int, cell int, part int, row long, w long, x array<double>, at int, node array<int>, radius array<double>"
+    grown = staged(dealt.groupBy("dim", "cell", "part").applyInArrow(grow, shape)).withColumnRenamed("dim", "own_dim")
+    keys = ["dim", "a_cell", "a_part", "b_cell", "b_part"]
     sides = []
     for side, (k, p) in enumerate((("a_cell", "a_part"), ("b_cell", "b_part"))):
         own = pairs if side == 0 else pairs.where("a_cell <> b_cell or a_part <> b_part")
-        sides.append(own.join(grown, (F.col(k) == F.col("cell")) & (F.col(p) == F.col("part")))
-                     .select("a_cell", "a_part", "b_cell", "b_part", F.lit(side).alias("side"), "row", "x", "at", "node", "radius"))
+        sides.append(own.join(grown, (F.col("dim") == F.col("own_dim")) & (F.col(k) == F.col("cell")) & (F.col(p) == F.col("part")))
+                     .select(*keys, F.lit(side).alias("side"), "row", "w", "x", "at", "node", "radius"))
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("at", "ascending")])
-        side, row = t.column("side").to_numpy(), t.column("row").to_numpy()
+        side, row, w = (t.column(k).to_numpy() for k in ("side", "row", "w"))
         x, node, radius = _matrix(t.column("x")), _matrix(t.column("node")).astype(np.int32), _matrix(t.column("radius"))
-        forest = [Tree(x[side == i], node[side == i], radius[side == i]) for i in (0, 1) if (side == i).any()]
+        forest = [Tree(x[side == i], node[side == i], radius[side == i], w[side == i]) for i in (0, 1) if (side == i).any()]
         same = len(forest) == 1
         n, m, edges = traverse(forest[0], forest[-1], same, threshold)
         k = len(n)
@@ -269,12 +282,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         return pa.table({"row": pa.array(np.concatenate([row[some], row[u]])), "n": pa.array(np.concatenate([total[some], np.zeros(len(u), np.int64)])),
                          "to": pa.array(np.concatenate([row[some], row[v]]))})
 
-    keys = ["a_cell", "a_part", "b_cell", "b_part"]
     found = staged(sides[0].union(sides[1]).groupBy(*keys).applyInArrow(compare, "row long, n long, to long"))
-    links = found.where("n > 0").groupBy("row").agg(F.sum("n").alias("n_links"))
+    links = found.where("n > 0").groupBy("row").agg(F.sum("n").alias("n"))
     group = components(found.where("row <> to").select(F.col("row").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "row")
-    all_rows = placed.select("vec_id", "row").join(links, "row", "left").join(group, "row", "left").withColumn("group", F.coalesce("component", "row"))
-    least = all_rows.groupBy("group").agg(F.min("vec_id").alias("least"))
-    return all_rows.join(least, "group", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("least", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    merged = placed.select("x", "w", "least", "row").join(links, "row", "left").join(group, "row", "left").withColumn("group", F.coalesce("component", "row"))
+    least = merged.groupBy("group").agg(F.min("least").alias("component_id"))
+    known = merged.join(least, "group").select("x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
+    good = v.where("ok").join(known, "x").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = v.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -6,10 +6,13 @@ from maskbench.llm import neardup_vectors as nv
 
 
 def plain(ids, x, threshold=0.9):
-    good = [i for i, v in enumerate(x) if v is not None and len(v) == 8 and all(c is not None and np.isfinite(c) for c in v) and any(v)]
-    a = np.array([x[i] for i in good], float)
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    s = a @ a.T >= threshold
+    good = [i for i, v in enumerate(x) if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    s = np.zeros((len(good), len(good)), bool)
+    for dim in {len(x[i]) for i in good}:
+        at = np.array([k for k, i in enumerate(good) if len(x[i]) == dim])
+        a = np.array([x[good[k]] for k in at], float)
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        s[np.ix_(at, at)] = a @ a.T >= threshold
     np.fill_diagonal(s, False)
     label = list(range(len(x)))
     for _ in range(len(good)):
@@ -45,6 +48,36 @@ def test_against_all_pairs(spark):
         assert got == plain(ids, x)
 
 
+def test_lengths_and_a_hot_vector(spark):
+    """Vectors of every length link with their like; copies by the hundred count each other and cost one node."""
+    rng = np.random.default_rng(9)
+    x = [[1.0, 1.0], [1.0, 1.0], [1.0, 1.0, 1.0], [2.0, 2.0, 2.1], [-1.0, 0.0, 0.0], [], [0.0, -0.0], [3.0]] + [[0.0, 1.0, 2.0]] * 300
+    x += [(np.array([0.0, 1.0, 2.0]) + rng.normal(size=3) * 0.6).tolist() for _ in range(60)] + [rng.normal(size=2).tolist() for _ in range(30)]
+    x += [[-0.0, 1.0, 2.0]] * 5
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame(list(zip(ids, x)), "vec_id long, embedding array<double>")
+    for block in (4096, 7):
+        assert sorted(map(tuple, nv.near_duplicates(df, block=block).collect())) == plain(ids, x)
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.1]), (4, [1.0, 0.1]), (None, [0.0, 1.0]), (None, None)], "vec_id int, embedding array<double>")
+    got = sorted(map(tuple, nv.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 2, 4, False), (None, 2, 4, False), (4, 2, 4, True), (None, 0, None, False), (None, 0, None, False)], key=repr)
+
+
+def test_weights():
+    """Links count the copies that a vector stands for, but not its own."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(1, 6)) + rng.normal(size=(40, 6)) * e for e in (0.02, 0.2, 1.0)])
+    w = rng.integers(1, 9, len(x))
+    s = nv._units(x) @ nv._units(x).T >= 0.9
+    np.fill_diagonal(s, False)
+    one = nv.Tree(x, *nv.cover_tree(nv._units(x)), w)
+    n, m, _ = nv.traverse(one, one, True)
+    assert (n + m == s @ w).all()
+
+
 def test_traversal_alone(monkeypatch):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(6, 16))
