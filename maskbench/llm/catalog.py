@@ -53,9 +53,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op9_source_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (CAST('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+         (CAST('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS most FROM d GROUP BY source),
+s AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS most FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
 l AS (
   SELECT *, most / weight AS ratio,
@@ -64,13 +64,15 @@ l AS (
     row_number() OVER o AS place
   FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
 f AS (SELECT *, min(CASE WHEN level * weight <= most THEN place END) OVER () AS free FROM l),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, n,
         CASE WHEN place < free OR free IS NULL THEN most::DOUBLE
              ELSE weight * max(CASE WHEN place = free THEN level END) OVER () END AS target FROM f),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS rate FROM t),
-k AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, floor(r.rate) AS whole, r.rate - floor(r.rate) AS part, d.u
+k AS (SELECT d.doc_id, d.source, d.size, r.n, r.source_size, r.target, floor(r.rate) AS whole, r.rate - floor(r.rate) AS part, d.u
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-q AS (SELECT *, CASE WHEN part > 0 AND part < 1 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM k),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(1e6::DOUBLE * (size::DOUBLE * n) / (size::DOUBLE * n + source_size)) ELSE 0 END::BIGINT AS h FROM k),
+i AS (SELECT *, part + (h - sum(size * h) OVER (PARTITION BY source)::DOUBLE / source_size) / 1e6::DOUBLE * least(part, 1 - part) AS p FROM h),
+q AS (SELECT *, CASE WHEN part > 0 AND p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM i),
 m AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM q)
 SELECT doc_id, size, source_size, target,
        ((whole + CASE WHEN odds IS NOT NULL AND middle <= part * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken

@@ -39,8 +39,28 @@ def test_targets_and_words(spark):
 def test_edges(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     rows = [(None, None, None), (1, "a", ""), (1, "a", "x y"), (1, "a", "x y"), (2, "b", " \t\n"), (3, "b", "é z q")]
-    got = mixing.mix(docs_of(spark, rows).selectExpr("*", "5 as size", "6 as copies", "1 as `a.b`"))
-    assert got.columns == ["doc_id", "source", "text", "a.b", "size", "source_size", "target", "copies"]
+    got = mixing.mix(docs_of(spark, rows).selectExpr("*", "5 as size", "6 as copies", "1 as `a.b`", "7 as odds", "8 as rate", "9 as u"))
+    assert got.columns == ["doc_id", "source", "text", "a.b", "odds", "rate", "u", "size", "source_size", "target", "copies"]
     out = got.toPandas()
     assert len(out) == 6 and out["size"].sum() == 6
+    assert set(out["a.b"]) == {1} and set(out.odds) == {7} and set(out.rate) == {8} and set(out.u) == {9}
     assert mixing.repeated(got).count() == int(out.copies.sum())
+
+
+def test_inclusion_is_unequal_and_calibrated(spark):
+    """Over many seeds a document enters as often as its probability says; without ids every text has its own draw."""
+    sizes = [(i * 37) % 50 + 1 for i in range(120)]
+    docs = docs_of(spark, [(None, "a", f"t{i} " + "w " * (n - 1)) for i, n in enumerate(sizes)]).cache()
+    seeds, taken = 12, [0] * 120
+    for seed in range(seeds):
+        for r in mixing.mix(docs, total=0.3, seed=str(seed)).select("text", "copies").collect():
+            taken[int(r.text.split()[0][1:])] += r.copies
+    mean = sum(sizes) / 120
+    h = [n / (n + mean) for n in sizes]
+    top = sum(a * b for a, b in zip(h, sizes)) / sum(sizes)
+    want = [0.3 + (x - top) * 0.3 for x in h]
+    short, long = ([i for i, n in enumerate(sizes) if keep(n)] for keep in (lambda n: n <= 12, lambda n: n >= 38))
+    for group in (short, long):
+        got, p = sum(taken[i] for i in group) / seeds / len(group), sum(want[i] for i in group) / len(group)
+        assert abs(got - p) < 4 * (p * (1 - p) / seeds / len(group)) ** 0.5
+    assert sum(taken[i] for i in long) / len(long) > 1.3 * sum(taken[i] for i in short) / len(short)
