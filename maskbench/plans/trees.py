@@ -144,9 +144,9 @@ def _(spark, sf):
 
 @query("colour_labels", f"""WITH d AS (SELECT *, CAST(doc_id // 16 AS VARCHAR) AS seq, 5 * (doc_id % 16) AS frame, (e + a + s < px)::INT AS k, (s > 0)::INT AS ks, (a > 0)::INT AS ka FROM {_DOCS}
 WHERE (doc_id // 16) % 3 = 2)
-SELECT 'named' AS part, seq, frame, px - e - a AS background, [e, a] AS areas FROM d UNION ALL
-SELECT 'ranked', seq, frame, px - e - a - s, list_transform([1, 2, 3, 4], lambda i: CASE WHEN s > 0 AND i = k + 1 THEN s WHEN a > 0 AND i = k + ks + 1 THEN a
-WHEN e > 0 AND i = k + ks + ka + 1 THEN e ELSE 0 END) FROM d""")
+SELECT 'named' AS part, seq, frame, px - e - a AS background, array_to_string([e, a], ',') AS areas FROM d UNION ALL
+SELECT 'ranked', seq, frame, px - e - a - s, array_to_string(list_transform([1, 2, 3, 4], lambda i: CASE WHEN s > 0 AND i = k + 1 THEN s WHEN a > 0 AND i = k + ks + 1 THEN a
+WHEN e > 0 AND i = k + ks + ka + 1 THEN e ELSE 0 END), ',') FROM d""")
 def _(spark, sf):
     """24-bit maps: ids by the colours of a meta file, where an unnamed colour is background, and by rank where there is none."""
     root = _label_tree(spark, _documents(spark, sf).where("kind = 'ytvos'"), _colour_file)
@@ -155,7 +155,7 @@ def _(spark, sf):
     named = lb.colour_labels(tree, lb.meta_colours(spark.range(1).select(F.lit(meta).alias("value"))))
     out = None
     for part, rows, ids in (("named", named, (1, 2)), ("ranked", lb.colour_labels(tree), (1, 2, 3, 4))):
-        areas = F.array(*[_pixels("ids", k) for k in ids])
+        areas = F.array_join(F.array(*[_pixels("ids", k).cast("string") for k in ids]), ",")
         one = rows.select(F.lit(part).alias("part"), "seq", "frame", _pixels("ids", 0).alias("background"), areas.alias("areas"))
         out = one if out is None else out.unionByName(one)
     return out
