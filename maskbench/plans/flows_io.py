@@ -238,5 +238,5 @@ def _(spark, sf):
     src, out = _landed(spark, d, "in"), scratch(spark, "out")
     live = rs.live_profile(rs.result_stream(spark, src, d.schema, files_per_trigger=2), ["inst"], 5)
     rs.upsert_latest(live, f"{out}/rows", f"{out}/ck", ["inst"])
-    t = rs.latest(spark, f"{out}/rows", ["inst"])
+    t = rs.latest(spark, f"{out}/rows", ["inst"]).where("n_updates > 0")
     return t.select("inst", F.col("n_updates"), F.posexplode("w").alias("op", "w"))

@@ -270,7 +270,8 @@ class ProfileState(StatefulProcessor):
     """Operator profile as live state: an exponential average over decisions in frame order.
 
     A decision arrives as one row with the list of its operators' evidence; early decisions
-    wait for the ones before them (``k`` counts decisions from 0).
+    wait for the ones before them (``k`` counts decisions from 0). A decision without evidence
+    is passed over: it neither moves the weights nor counts as an update.
     """
 
     lam = 0.45
@@ -278,24 +279,26 @@ class ProfileState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.early = handle.getMapState("early", "k long", "mass array<double>")
-        self.profile = handle.getValueState("profile", "upcoming long, w array<double>")
+        self.profile = handle.getValueState("profile", "upcoming long, updates long, w array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        nxt, w = self.profile.get() if self.profile.exists() else (
-            0, [1.0 / self.n_ops] * self.n_ops)
+        nxt, n, w = self.profile.get() if self.profile.exists() else (
+            0, 0, [1.0 / self.n_ops] * self.n_ops)
         for pdf in rows:
             for k, mass in zip(pdf.k, pdf.mass):
                 if int(k) >= nxt:
-                    self.early.updateValue((int(k),), ([float(x) for x in mass],))
+                    # evidence that is missing is none
+                    self.early.updateValue((int(k),), ([0.0 if pd.isna(x) else float(x) for x in mass],))
         while self.early.containsKey((nxt,)):
             mass = self.early.getValue((nxt,))[0]
             self.early.removeKey((nxt,))
             nxt += 1
             s = sum(mass)
             if s > 0:
+                n += 1
                 w = [(1 - self.lam) * a + self.lam * b / s for a, b in zip(w, mass)]
-        self.profile.update((nxt, list(w)))
-        yield pd.DataFrame([[*key, nxt, list(w)]], columns=self.names)
+        self.profile.update((nxt, n, list(w)))
+        yield pd.DataFrame([[*key, n, list(w)]], columns=self.names)
 
     def close(self) -> None:
         pass
