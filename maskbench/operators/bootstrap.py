@@ -7,7 +7,6 @@ any size: every task adds up its own rows, and one row per key and replicate is
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from typing import Sequence
 
@@ -125,166 +124,158 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
                                      "_one")
 
 
-#: Replicates that one task works out together (a multiple of PER_HASH), and rows of a chunk of an order.
-REPLICATES = 256
-CHUNK_ROWS = 16384
+#: Rows of a slab of an order (a value tied more often gets slabs of its own), and tasks to have at the least.
+CHUNK_ROWS = 1 << 21
+MIN_TASKS = 32
 
 # how often a unit counts, by the number that its four hex digits spell
 _TIMES = np.searchsorted([int(t, 16) for t in STEPS], np.arange(1 << 16), side="right").astype(np.uint8)
 
 
-@functools.lru_cache(maxsize=16)
-def weight_vectors(units: tuple[str, ...], block: int, seed: int) -> np.ndarray:
-    """Weights of units in the replicates of a block, one row each; the same draws as ``multiplicities``.
-
-    Chunks often share their clusters, so a worker keeps the last results.
-    """
-    per = REPLICATES // PER_HASH
-    raw = b"".join(hashlib.md5(f"{seed}|{k}|{u}".encode()).digest() for u in units for k in range(block * per, (block + 1) * per))
-    return _TIMES[np.frombuffer(raw, ">u2").reshape(len(units), REPLICATES)]
-
-
-def _unit_weights(t: pa.Table, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weight vectors of a chunk's units, and the unit of every row."""
-    coded = t.column("_u").combine_chunks().dictionary_encode()
-    units = coded.dictionary.to_pylist()
-    order = sorted(range(len(units)), key=units.__getitem__)
-    at = np.empty(len(units), np.int64)
-    at[order] = np.arange(len(units))
-    return weight_vectors(tuple(units[i] for i in order), t.column("_k")[0].as_py(), seed), at[coded.indices.to_numpy()]
-
-
-def _row_weights(t: pa.Table, seed: int) -> np.ndarray:
-    w, at = _unit_weights(t, seed)
-    return w[at]
-
-
-def _summed(t: pa.Table, seed: int) -> np.ndarray:
-    w, at = _unit_weights(t, seed)
-    return np.bincount(at, minlength=len(w)).astype(np.int64) @ w.astype(np.int64)
-
-
-def _packed(v: np.ndarray) -> list[bytes]:
-    """Vectors of whole numbers as bytes, four to a number where they fit."""
-    small = not v.size or max(abs(int(v.max())), abs(int(v.min()))) < 1 << 31
-    return [x.tobytes() for x in v.astype(np.int32 if small else np.int64, copy=False)]
-
-
-def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array([np.frombuffer(x, np.int32 if len(x) == 4 * REPLICATES else np.int64) for x in column.to_pylist()], float).reshape(-1, REPLICATES)
-
-
-def _twice_ranks(t: pa.Table, value: str, w: np.ndarray, place: dict) -> np.ndarray:
-    """Twice the centred weighted rank of every row of a chunk, in every replicate: twice what lies
-    below, plus what is tied, less the whole. A chunk of one hot value knows all that is tied from ``place``."""
-    below, tied, whole = (np.frombuffer(place[n], np.int64) for n in ("below", "tied", "whole"))
-    if place["hot"]:
-        return np.broadcast_to(2 * below + tied - whole, w.shape)
-    kind = np.int32 if whole.max() < 1 << 29 else np.int64
-    v = t.column(value).to_numpy()
-    order = np.argsort(v, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], v[order][1:] != v[order][:-1])))
-    upto = np.cumsum(w[order], axis=0, dtype=kind)[np.append(start[1:], len(v)) - 1]
-    ranks = 2 * upto
-    ranks += (2 * below - whole).astype(kind)
-    ranks -= np.diff(upto, axis=0, prepend=np.zeros((1, w.shape[1]), kind))
-    out = np.empty(w.shape, kind)
-    out[order] = ranks if len(start) == len(v) else np.repeat(ranks, np.diff(np.append(start, len(v))), axis=0)
-    return out
+def weight_vectors(units: Sequence[str], k: int, seed: int) -> np.ndarray:
+    """Weights of units in the PER_HASH replicates of block ``k``, one row a replicate; the same draws as ``multiplicities``."""
+    head = f"{seed}|{k}|".encode()
+    raw = b"".join([hashlib.md5(head + u).digest() for u in units])
+    return np.ascontiguousarray(_TIMES[np.frombuffer(raw, ">u2").reshape(len(units), PER_HASH)].T)
 
 
 def _placed(d: DataFrame, keys: Sequence[str], value: str, side: str) -> DataFrame:
-    """Add the chunk of a row's value in its key's order: column ``_at<side>`` (chunk, hot, part).
+    """Add the slab of a row's value in its key's order: column ``_at<side>``, a number made of chunk, hot and part.
 
-    Tied values share a chunk; a value tied more than CHUNK_ROWS times has chunks of its own, its rows dealt over parts.
+    Tied values share a slab; a value tied more than CHUNK_ROWS times has slabs of its own, its rows dealt over parts.
     """
     size = F.lit(CHUNK_ROWS)
     t = rank_table(d, keys, value)
     parts = F.ceil(F.col("n") / size)
     t = t.select(*keys, value, F.floor(F.col("n_before") / size).alias("_c"), F.when(F.col("n") > size, parts).otherwise(0).alias("_parts"))
     part = F.when(F.col("_parts") > 0, F.pmod(F.xxhash64("_u", "_x", "_y"), F.greatest("_parts", F.lit(1)))).otherwise(0)
-    at = F.struct(F.col("_c").cast("bigint").alias("chunk"), (F.col("_parts") > 0).cast("int").alias("hot"), part.cast("bigint").alias("part"))
+    at = F.shiftleft(F.col("_c").cast("bigint") * 2 + (F.col("_parts") > 0).cast("bigint"), 32) + part.cast("bigint")
     return d.join(t, [*keys, value]).withColumn(f"_at{side}", at).drop("_c", "_parts")
 
 
+class _Slab:
+    """Members of a slab in the order of their values, to be ranked in one replicate after another."""
+
+    def __init__(self, values: pa.ChunkedArray, units: np.ndarray, hot: bool) -> None:
+        v = values.to_numpy()
+        self.rows = np.flatnonzero(~np.isnan(v))
+        self.rows = self.rows[np.argsort(v[self.rows], kind="stable")]
+        v = v[self.rows]
+        self.units, self.hot = units[self.rows], hot
+        start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        self.last = np.append(start[1:], len(v)) - 1
+        self.times = None if len(start) == len(v) else np.diff(np.append(start, len(v)))
+
+    def ranked(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Weights of the members, twice their ranks centred within the slab, and the slab's weight.
+
+        Twice what lies below, plus what is tied, less the whole: 0 where all are tied.
+        """
+        w = w[self.units]
+        upto = np.cumsum(w, dtype=np.int64)
+        whole = int(upto[-1])
+        if self.hot:
+            return w, np.zeros(len(w)), whole
+        if self.times is None:
+            return w, (2 * upto - w - whole).astype(float), whole
+        upto = upto[self.last]
+        ranks = (2 * upto - np.diff(upto, prepend=0) - whole).astype(float)
+        return w, np.repeat(ranks, self.times), whole
+
+
 def replicate_correlations(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,
                            n_boot: int, seed: int = 0) -> DataFrame:
-    """(keys, b, n, rho): Spearman's rho of every replicate, without a sort per replicate.
+    """(keys, b, n, rho): Spearman's rho of every replicate, without a sort per replicate and without shuffling
+    anything per replicate.
 
-    Each value's place in its key's order is found once. Rows then go to chunks of the x order, where one
-    cumulated sum of weight vectors ranks them in REPLICATES replicates at a time, and with that vector to chunks of the y order, where
-    the products are added up. What lies in earlier chunks comes from the chunks' totals, one vector a chunk. A key's rows are
-    spread over all its chunks, ties of one value over parts. Tasks hold about CHUNK_ROWS * REPLICATES numbers.
+    The x order and the y order of a key are cut into slabs of CHUNK_ROWS rows. A task gets one slab of either order, as
+    units and values, and works out replicate after replicate: the ranks within both slabs, and the products of the rows that lie in both.
+    What lies in other slabs shifts all ranks of a slab alike, so it is added at the end from the slabs' weights. A row is sent
+    once per slab of the other order, and per group of replicates where a key has few slabs: a few hundred bytes in all. Memory is a slab's.
     """
     keys = list(keys)
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.select(*keys, F.concat_ws("|", *[c(u).cast("string") for u in unit]).alias("_u"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     d = _placed(_placed(d, keys, "_x", "x"), keys, "_y", "y")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // REPLICATES)))
-    d = d.withColumn("_k", blocks)
+    n_blocks = (n_boot - 1) // PER_HASH + 1
     of_keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    at_type = "struct<chunk: bigint, hot: int, part: bigint>"
-
-    def dealt(t: DataFrame, *by: str) -> DataFrame:
-        return t.repartition(n, *by)
-
-    def head(t: pa.Table, *names: str, rows: int = 1) -> dict:
-        return {m: t.column(m).slice(0, rows) for m in names}
-
-    def totals(t: pa.Table) -> pa.Table:
-        at = next(m for m in ("_atx", "_aty") if m in t.column_names)
-        return pa.table({**head(t, *keys, "_k"), "_at": t.column(at).slice(0, 1), "_sum": [_summed(t, seed).tobytes()]})
-
-    def below(t: pa.Table) -> pa.Table:
-        at = t.column("_at").to_pylist()
-        order = sorted(range(len(at)), key=lambda i: (at[i]["chunk"], at[i]["hot"], at[i]["part"]))
-        sums = np.array([np.frombuffer(v, np.int64) for v in t.column("_sum").to_pylist()])
-        whole, before, rows = sums.sum(0), np.zeros(REPLICATES, np.int64), {}
-        for i in order:
-            group = (at[i]["chunk"], at[i]["hot"])
-            if group not in rows:
-                rows[group] = (before.copy(), np.zeros(REPLICATES, np.int64))
-            rows[group][1][:] += sums[i]
-            before = before + sums[i]
-        found = [rows[(a["chunk"], a["hot"])] for a in at]
-        return pa.table({**{m: t.column(m) for m in (*keys, "_k", "_at")}, "hot": pa.array([a["hot"] for a in at], pa.int32()),
-                         "below": [f[0].tobytes() for f in found], "tied": [f[1].tobytes() for f in found], "whole": [whole.tobytes()] * len(at)})
-
-    def places(side: str) -> DataFrame:
-        by = [*keys, "_k", f"_at{side}"]
-        sums = dealt(d.select(*by, "_u"), *by).groupBy(*by).applyInArrow(totals, f"{of_keys}, _k int, _at {at_type}, _sum binary")
-        out = sums.groupBy(*keys, "_k").applyInArrow(below, f"{of_keys}, _k int, _at {at_type}, hot int, below binary, tied binary, whole binary")
-        return dealt(out.withColumnRenamed("_at", f"_at{side}"), *by)
-
-    def place_of(t: pa.Table) -> dict:
-        return {m: t.column(m)[0].as_py() for m in ("hot", "below", "tied", "whole")}
-
-    def by_x(rows: pa.Table, place: pa.Table) -> pa.Table:
-        return pa.table({**{m: rows.column(m) for m in (*keys, "_k", "_aty", "_u", "_y")},
-                         "_rx": pa.array(_packed(_twice_ranks(rows, "_x", _row_weights(rows, seed), place_of(place))), pa.binary())})
-
-    def by_y(rows: pa.Table, place: pa.Table) -> pa.Table:
-        w = _row_weights(rows, seed)
-        rx, ry = _unpacked(rows.column("_rx")), _twice_ranks(rows, "_y", w, place_of(place)).astype(float)
-        wx, wy = w * rx, w * ry
-        sums = [np.einsum("ij,ij->j", a, b) for a, b in ((wx, ry), (wx, rx), (wy, ry))]
-        return pa.table({**head(rows, *keys, "_k"), "_sums": [np.concatenate([*sums, w.sum(0, dtype=float)]).tobytes()]})
+
+    n_keys = d.select(*keys).distinct().count()
+    slabs = d.groupBy(*keys).agg(F.sort_array(F.collect_set("_atx")).alias("_p"), F.sort_array(F.collect_set("_aty")).alias("_q"))
+    # groups of blocks of replicates: the fewer slabs, the more
+    groups = F.least(F.lit(n_blocks), F.ceil(F.lit(MIN_TASKS) / (F.size("_p") * F.size("_q") * max(n_keys, 1))))
+    cuts = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(
+        F.floor(g * n_blocks / groups).cast("int").alias("lo"), F.floor((g + 1) * n_blocks / groups).cast("int").alias("hi")))
+    slabs = slabs.select(*keys, "_p", "_q", cuts.alias("_cuts"))
+    none = F.lit(None).cast("double")
+    tiles = F.concat(
+        F.transform("_q", lambda q: F.struct(F.col("_atx").alias("p"), q.alias("q"), F.col("_x").alias("x"), F.when(q == F.col("_aty"), F.col("_y")).alias("y"))),
+        F.transform(F.filter("_p", lambda p: p != F.col("_atx")), lambda p: F.struct(p.alias("p"), F.col("_aty").alias("q"), none.alias("x"), F.col("_y").alias("y"))))
+    heads = F.struct(F.element_at("_p", 1).alias("p"), F.element_at("_q", 1).alias("q"))
+    sent = d.join(slabs, keys).select(*keys, "_u", "_cuts", heads.alias("_head"), F.explode(tiles).alias("_t"))
+    sent = sent.select(*keys, "_u", F.inline("_cuts").alias("_lo", "_hi"), F.col("_t.p").alias("_p"), F.col("_t.q").alias("_q"),
+                       (F.col("_t.q") == F.col("_head.q")).alias("_of_x"), (F.col("_t.p") == F.col("_head.p")).alias("_of_y"),
+                       F.col("_t.x").alias("_x"), F.col("_t.y").alias("_y"))
+
+    def dot(a: np.ndarray, b: np.ndarray) -> float:
+        return np.einsum("i,i->", a, b)  # a matrix product would start threads in every task
+
+    def tile(t: pa.Table) -> pa.Table:
+        coded = t.column("_u").combine_chunks().dictionary_encode()
+        units, at = [u.encode() for u in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+        head = {m: t.column(m)[0].as_py() for m in ("_lo", "_hi", "_p", "_q", "_of_x", "_of_y")}
+        sx, sy = _Slab(t.column("_x"), at, head["_p"] >> 32 & 1), _Slab(t.column("_y"), at, head["_q"] >> 32 & 1)
+        place = np.full(len(at), -1)
+        place[sy.rows] = np.arange(len(sy.rows))
+        of_y = place[sx.rows]
+        of_x = np.flatnonzero(of_y >= 0)
+        of_y = of_y[of_x]
+        blocks = range(head["_lo"], head["_hi"])
+        found = np.zeros((8, len(blocks) * PER_HASH))
+        for i, k in enumerate(blocks):
+            for j, w in enumerate(weight_vectors(units, k, seed), i * PER_HASH):
+                wx, rx, n_x = sx.ranked(w)
+                wy, ry, n_y = sy.ranked(w)
+                wt, tx, ty = wx[of_x], rx[of_x], ry[of_y]
+                wtx = wt * tx
+                found[:4, j] = wt.sum(dtype=np.int64), wtx.sum(), wt @ ty, wtx @ ty
+                if head["_of_x"]:
+                    found[4:6, j] = n_x, dot(wx * rx, rx)
+                if head["_of_y"]:
+                    found[6:, j] = n_y, dot(wy * ry, ry)
+        return pa.table({**{m: t.column(m).slice(0, 1) for m in (*keys, "_lo", "_p", "_q", "_of_x", "_of_y")}, "_sums": [found.tobytes()]})
+
+    def shifts(at: list[int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What all ranks of a slab are shifted by, from the weights of all slabs, and the whole weight. Parts of a hot value are one."""
+        order, index = np.unique(np.array(at) >> 32, return_inverse=True)
+        sums = np.zeros((len(order), weight.shape[1]))
+        np.add.at(sums, index, weight)
+        whole = sums.sum(0)
+        return (2 * np.cumsum(sums, axis=0) - sums - whole)[index], whole
 
     def added(t: pa.Table) -> pa.Table:
-        xy, xx, yy, count = np.sum([np.frombuffer(v) for v in t.column("_sums").to_pylist()], axis=0).reshape(4, REPLICATES)
-        ok = (count >= 4) & (xx > 0) & (yy > 0)
-        rho = np.divide(xy, np.sqrt(xx) * np.sqrt(yy), out=np.zeros(REPLICATES), where=ok)
-        b = t.column("_k")[0].as_py() * REPLICATES + np.arange(REPLICATES)
+        rows = t.select(["_p", "_q", "_of_x", "_of_y"]).to_pylist()
+        sums = np.array([np.frombuffer(v) for v in t.column("_sums").to_pylist()]).reshape(len(rows), 8, -1)
+        squares, move = [], []
+        for side, of, first in (("_p", "_of_x", 4), ("_q", "_of_y", 6)):
+            own = [i for i, r in enumerate(rows) if r[of]]
+            shift, whole = shifts([rows[i][side] for i in own], sums[own, first])
+            squares.append((sums[own, first + 1] + shift * shift * sums[own, first]).sum(0))
+            at = {rows[i][side]: s for i, s in zip(own, shift)}
+            move.append(np.array([at[r[side]] for r in rows]))
+        (xx, yy), (cx, cy) = squares, move
+        xy = (sums[:, 3] + cx * sums[:, 2] + cy * sums[:, 1] + cx * cy * sums[:, 0]).sum(0)
+        ok = (whole >= 4) & (xx > 0) & (yy > 0)
+        rho = np.divide(xy, np.sqrt(xx) * np.sqrt(yy), out=np.zeros(len(xy)), where=ok)
+        b = t.column("_lo")[0].as_py() * PER_HASH + np.arange(len(xy))
         kept = b < n_boot
         same = {m: pa.array([t.column(m)[0].as_py()] * int(kept.sum()), t.schema.field(m).type) for m in keys}
-        return pa.table({**same, "b": pa.array(b[kept], pa.int32()), "n": pa.array(count[kept].astype(np.int64)), "rho": pa.array(rho[kept], mask=~ok[kept])})
+        return pa.table({**same, "b": pa.array(b[kept], pa.int32()), "n": pa.array(whole[kept].astype(np.int64)), "rho": pa.array(rho[kept], mask=~ok[kept])})
 
-    bx, by_ = [*keys, "_k", "_atx"], [*keys, "_k", "_aty"]
-    ranked = dealt(d.select(*keys, "_k", "_atx", "_aty", "_u", "_x", "_y"), *bx).groupBy(*bx).cogroup(places("x").groupBy(*bx)).applyInArrow(
-        by_x, f"{of_keys}, _k int, _aty {at_type}, _u string, _y double, _rx binary")
-    sums = dealt(ranked, *by_).groupBy(*by_).cogroup(places("y").groupBy(*by_)).applyInArrow(by_y, f"{of_keys}, _k int, _sums binary")
-    return sums.groupBy(*keys, "_k").applyInArrow(added, f"{of_keys}, b int, n bigint, rho double")
+    by = [*keys, "_lo", "_p", "_q"]
+    sums = sent.repartition(n, *by).groupBy(*by).applyInArrow(
+        tile, f"{of_keys}, _lo int, _p bigint, _q bigint, _of_x boolean, _of_y boolean, _sums binary")
+    return sums.groupBy(*keys, "_lo").applyInArrow(added, f"{of_keys}, b int, n bigint, rho double")
 
 
 def _clustered_rho(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,

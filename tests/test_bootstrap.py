@@ -67,3 +67,11 @@ def test_between_units_refuses_few_units(spark):
     d = spark.createDataFrame(rows, "k string, unit long, x double, y double")
     found = stats.between_association(d, ["k"], ["unit"], "x", "y", n_perm=50).collect()
     assert [(r.k, r.n_units, round(r.rho, 9)) for r in found] == [("five", 5, 1.0)] and 0 < found[0].perm_p <= 1
+
+
+def test_no_vectors_of_replicates_are_shuffled_between_rows(spark):
+    """Rows meet as units and values: what a task sends on is one row per pair of slabs."""
+    d = spark.createDataFrame(rows_of(1), "k string, unit string, x double, y double")
+    sent = bootstrap.replicate_correlations(d, ["k"], ["unit"], "x", "y", 2000)
+    assert "CoGroups" not in sent._jdf.queryExecution().executedPlan().toString()
+    assert sent.count() == 3 * 2000
