@@ -189,31 +189,37 @@ class CompleteCells(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "frame long", "score double")
+        self.seen = handle.getListState("seen", "frame long")
         self.total = handle.getValueState("total", "n long, s double, last long, timer long, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         n, s, last, timer, done = self.total.get() if self.total.exists() else (0, 0.0, 0, -1, False)
         if done:
             return
-        declared = 0
+        declared, before, old = 0, n, timer
+        # frames of earlier batches are read and written as one list: a call per frame took most of the time
+        seen = {f for (f,) in self.seen.get()} if n else set()
         for pdf in rows:
-            at = pd.to_datetime(pdf["at"])
-            last = max(last, int(at.max().timestamp() * 1000))
-            for frame, score, want in zip(pdf.frame, pdf.score, pdf.n_frames):
+            last = max(last, int(pdf["at"].max().timestamp() * 1000))
+            for frame, score, want in zip(pdf.frame.tolist(), pdf.score.tolist(), pdf.n_frames.tolist()):
                 declared = max(declared, int(want))
-                if self.seen.containsKey((int(frame),)):
+                if frame in seen:
                     continue
-                self.seen.updateValue((int(frame),), (float(score),))
-                n, s = n + 1, s + float(score)
+                seen.add(frame)
+                n, s = n + 1, s + score
         done = declared > 0 and n >= declared
-        if timer >= 0:
-            self.handle.deleteTimer(timer)
         timer = last + (self.keep if done else self.wait)
-        self.handle.registerTimer(timer)
+        if timer != old:
+            if old >= 0:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
         self.total.update((n, s, last, timer, done))
-        if done:
-            self.seen.clear()
+        if not done:
+            if n > before:
+                self.seen.put([(f,) for f in seen])
+        else:
+            if before:
+                self.seen.clear()
             yield pd.DataFrame([[*key, n, s / n, 1]], columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -236,21 +242,20 @@ class GateState(StatefulProcessor):
     max_consecutive = 2
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.early = handle.getMapState("early", "frame long", "flag int")
+        self.early = handle.getListState("early", "frame long, flag int")
         self.gate = handle.getValueState(
-            "gate", "upcoming long, consec long, events long, rejections long, longest long")
+            "gate", "upcoming long, consec long, events long, rejections long, longest long, waiting long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        nxt, consec, events, rejected, longest = (
-            self.gate.get() if self.gate.exists() else (0, 0, 0, 0, 0))
+        nxt, consec, events, rejected, longest, waiting = (
+            self.gate.get() if self.gate.exists() else (0, 0, 0, 0, 0, 0))
+        early = dict(self.early.get()) if waiting else {}
         for pdf in rows:
-            for frame, kf, score in zip(pdf.frame, pdf.is_keyframe, pdf.vacuity):
-                flag = 2 if not kf else int(score >= self.tau)
-                if int(frame) >= nxt:
-                    self.early.updateValue((int(frame),), (flag,))
-        while self.early.containsKey((nxt,)):
-            flag = self.early.getValue((nxt,))[0]
-            self.early.removeKey((nxt,))
+            for frame, kf, score in zip(pdf.frame.tolist(), pdf.is_keyframe.tolist(), pdf.vacuity.tolist()):
+                if frame >= nxt:
+                    early[frame] = 2 if not kf else int(score >= self.tau)
+        while nxt in early:
+            flag = early.pop(nxt)
             nxt += 1
             if flag == 2:
                 continue
@@ -259,7 +264,11 @@ class GateState(StatefulProcessor):
             longest = max(longest, consec)
             if consec >= self.max_consecutive:
                 events, consec = events + 1, 0
-        self.gate.update((nxt, consec, events, rejected, longest))
+        if early:
+            self.early.put(list(early.items()))
+        elif waiting:
+            self.early.clear()
+        self.gate.update((nxt, consec, events, rejected, longest, len(early)))
         yield pd.DataFrame([[*key, nxt, events, rejected, longest]], columns=self.names)
 
     def close(self) -> None:

@@ -1,5 +1,7 @@
 """Live operators on small streams against what a plain loop gives."""
 
+import pandas as pd
+
 from maskbench.streaming import results_stream as rs
 
 
@@ -15,3 +17,68 @@ def test_profile_counts_decisions_with_evidence_only(spark, tmp_path):
     w = [0.5 * 0.55 + 0.45, 0.5 * 0.55]
     w = [w[0] * 0.55, w[1] * 0.55 + 0.45]
     assert found == {1: (2, [round(x, 12) for x in w]), 2: (0, [0.5, 0.5])}
+
+
+class _Value:
+    """A value or a list kept between batches, counting the calls."""
+
+    def __init__(self, calls):
+        self.v, self.calls = None, calls
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.v is not None
+
+    def get(self):
+        self.calls.append("get")
+        return [] if self.v is None else self.v
+
+    def update(self, v):
+        self.calls.append("update")
+        self.v = v
+
+    put = update
+
+    def clear(self):
+        self.calls.append("clear")
+        self.v = None
+
+
+class _Handle:
+    def __init__(self):
+        self.calls = []
+        self.timers = set()
+
+    def getValueState(self, *_):
+        return _Value(self.calls)
+
+    getListState = getValueState
+
+    def registerTimer(self, t):
+        self.calls.append("timer")
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.calls.append("timer")
+        self.timers.discard(t)
+
+
+def test_cells_and_gate_take_few_calls_whatever_the_frames(spark):
+    """Three batches in shuffled order, with repeats: a handful of state calls a batch, and the plain results."""
+    order = [(i * 37) % 100 for i in range(100)]
+    parts = [order[:40], order[20:70], order[60:]]
+    h, cells = _Handle(), rs.CompleteCells()
+    cells.wait, cells.keep, cells.names = 10, 20, ["inst", "n", "jf", "complete"]
+    cells.init(h)
+    out = []
+    for part in parts:
+        pdf = pd.DataFrame({"frame": part, "score": [f / 2 for f in part], "n_frames": 100, "at": pd.Timestamp("2024-01-01")})
+        out += [r for f in cells.handleInputRows((1,), iter([pdf]), None) for r in f.values.tolist()]
+    assert out == [[1, 100, sum(order) / 200, 1]] and len(h.calls) < 25 and len(h.timers) == 1
+    h, gate = _Handle(), rs.GateState()
+    gate.names = ["inst", "frames", "events", "rejections", "longest"]
+    gate.init(h)
+    for part in parts:
+        pdf = pd.DataFrame({"frame": part, "is_keyframe": 1, "vacuity": [float(f % 5 > 1) for f in part]})
+        last = [r for f in gate.handleInputRows((1,), iter([pdf]), None) for r in f.values.tolist()]
+    assert last == [[1, 100, 20, 60, 2]] and len(h.calls) < 25
