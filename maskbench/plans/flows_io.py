@@ -164,12 +164,12 @@ def _(spark, sf):
     keys = ["seq", "obj_id", "mode", "degradation", "level"]
     d = V.cell_rows(spark, sf).select(*keys, "n_frames")
     src, out = scratch(spark, "in"), scratch(spark, "out")
-    d.coalesce(1).write.parquet(src)
+    d.write.parquet(src)
     rs.ingest_results(rs.result_stream(spark, src, d.schema), f"{out}/rows", f"{out}/conflicts", keys,
                       ["n_frames"], f"{out}/ck")
     late = d.where("seq % 10 IN (4, 5)").withColumn(
         "n_frames", F.col("n_frames") + F.when(F.col("seq") % 10 == 4, 1).otherwise(0))
-    late.coalesce(1).write.mode("append").parquet(src)
+    late.write.mode("append").parquet(src)
     rs.ingest_results(rs.result_stream(spark, src, d.schema), f"{out}/rows", f"{out}/conflicts", keys,
                       ["n_frames"], f"{out}/ck")
     return spark.read.parquet(f"{out}/conflicts").groupBy("mode").agg(F.count("*").alias("n"))
