@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskbench.operators import bootstrap, stats
@@ -75,3 +76,39 @@ def test_no_vectors_of_replicates_are_shuffled_between_rows(spark):
     sent = bootstrap.replicate_correlations(d, ["k"], ["unit"], "x", "y", 2000)
     assert "CoGroups" not in sent._jdf.queryExecution().executedPlan().toString()
     assert sent.count() == 3 * 2000
+
+
+@pytest.mark.parametrize("few", [0, 512])
+@pytest.mark.parametrize("rows_of_a_slab", [8, 1 << 18])
+def test_every_path_and_slab_size_equals_the_plain_one(spark, monkeypatch, few, rows_of_a_slab):
+    """Told value by value or tile by tile, with one slab or many, a hot value and a key whose narrow side is x."""
+    for name, value in (("FEW_VALUES", few), ("FEW_ROWS", rows_of_a_slab), ("CHUNK_ROWS", rows_of_a_slab)):
+        monkeypatch.setattr(bootstrap, name, value)
+    rows, n_boot = rows_of(7), 30
+    rows += [("x", f"u{i % 40}", float(i % 4), (i * 37 % 101) / 7) for i in range(90)]
+    d = spark.createDataFrame(rows + [("x", "none", None, 1.0), ("x", "none", 1.0, float("nan"))], "k string, unit string, x double, y double")
+    got = {(r.k, r.b): (r.n, r.rho) for r in bootstrap.replicate_correlations(d, ["k"], ["unit"], "x", "y", n_boot, 5).collect() if r.n}
+    want = plain(rows, n_boot, 5)
+    assert got.keys() == want.keys()
+    for at, (n, rho) in want.items():
+        assert got[at][0] == n and (got[at][1] is None) == (rho is None) and (rho is None or abs(got[at][1] - rho) < 1e-9)
+
+
+def test_a_narrow_order_is_not_cut_into_tiles(spark, monkeypatch):
+    """What is sent grows with the rows, not with rows times slabs of the other order."""
+    def refused(*_):
+        raise AssertionError("a key with few values in one order goes tile by tile")
+    monkeypatch.setattr(bootstrap, "_correlations_by_slabs", refused)
+    monkeypatch.setattr(bootstrap, "FEW_ROWS", 64)
+    d = spark.range(2048).selectExpr("'k' AS k", "id AS unit", "double(id * 37 % 2039) AS x", "double(id % 5) AS y")
+    assert bootstrap.replicate_correlations(d, ["k"], ["unit"], "x", "y", 16).count() == 16
+
+
+def test_draws_are_those_of_hashlib():
+    from maskbench.kernels.draws import Draws
+
+    units = ["", "é|1", *["x" * n for n in range(0, 130, 3)], *[f"{i}|fog" for i in range(9000)]]
+    for seed, k in ((0, 0), (7, 99), (-5, 249), (0, 1000)):
+        digests = [hashlib.md5(f"{seed}|{k}|{u}".encode()).hexdigest() for u in units]
+        want = [[sum(h[4 * j:4 * j + 4] >= t for t in bootstrap.STEPS) for h in digests] for j in range(8)]
+        assert (Draws(pa.array(units), seed).block(k) == np.array(want)).all()
