@@ -216,3 +216,41 @@ def test_empty_frames_are_not_scored(spark):
     assert mk.sequence_scores(s, ["seq"]).first().asDict() == {"seq": "s", "j": 0.5, "f": 0.5, "jf": 0.5, "n_frames": 2}
     r = mk.score_frames(p, g, ["seq", "frame"], convention="released")
     assert mk.sequence_scores(r, ["seq"], skip_empty=False).first().j == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("columns", [[(0, 32), (0, 7), None, None], [(0, 32), (0, 7), (1, 3), None], [(0, 32), (0, 1), (1, 2), None],
+                                     [(0, 3_000_000_000), None], [(0, 1)], [None]])
+def test_draws_of_rows_are_those_one_by_one(columns):
+    for seed in range(20):
+        one, all_at_once = np.random.default_rng(seed), np.random.default_rng(seed)
+        one.random(5), all_at_once.random(5)
+        want = [[one.random() if c is None else one.integers(*c) for c in columns] for _ in range(51)]
+        assert (D.draw_rows(all_at_once, 51, columns) == np.array(want, float)).all()
+
+
+def test_corruptions_draw_no_row_by_itself(monkeypatch):
+    """One call per flake took most of a small frame's time."""
+    class Counted(np.random.Generator):
+        calls = 0
+
+        def integers(self, *args, **kw):
+            Counted.calls += 1
+            return super().integers(*args, **kw)
+    rng = Counted(np.random.PCG64(3))
+    for f in (D.rain, D.snow):
+        f(IMG / np.float32(255), 0.5, rng)
+    assert Counted.calls == 0
+
+
+@pytest.mark.parametrize("rule", ["edge", "mirror", "mirror101"])
+@pytest.mark.parametrize("size", [3, 4, 11, 301])
+def test_long_axes_keep_no_matrix_of_their_own(rule, size):
+    from maskbench.kernels import image as I
+
+    taps = tuple(np.arange(1.0, size + 1) / size)
+    x = np.random.default_rng(0).random((517, 6, 3))
+    dense = I.axis_filter.__wrapped__
+    want = np.einsum("ij,jkc,lk->ilc", dense(517, taps, rule), x, dense(6, taps, rule))
+    before = I.axis_filter.cache_info().currsize
+    np.testing.assert_allclose(I.separable(x, taps, rule), want, rtol=1e-12)
+    assert I.axis_filter.cache_info().currsize <= before + 1  # the short axis; a long one grew with its square
