@@ -7,11 +7,12 @@ any size: every task adds up its own rows, and one row per key and replicate is
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.keys import c
 from ..functions.ordered import rank_table
@@ -128,19 +129,46 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: Sequence[str], value:
     return points.join(percentile_bounds(boots, keys, "_m", alpha), list(keys))
 
 
+#: Cells (distinct pairs of values) of a key up to which one task sorts them; larger keys are ranked in chunks.
+WHOLE_KEY = 1 << 18
+
+
+def _centred_ranks_of_whole_keys(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_rx`` and ``_ry``: ranks less their mean, by one shuffle of the cells by key and one sort a side."""
+    whole = F.sum("_w").over(W.partitionBy(*keys))
+
+    def centred(v: str) -> Column:
+        upto = F.sum("_w").over(W.partitionBy(*keys).orderBy(v).rangeBetween(W.unboundedPreceding, W.currentRow))
+        tied = F.sum("_w").over(W.partitionBy(*keys, v))
+        return upto - tied + (tied - whole) / F.lit(2.0)
+    return cells.withColumn("_rx", centred("_x")).withColumn("_ry", centred("_y"))
+
+
+def _centred_ranks_in_chunks(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for keys of any size: no task holds a key."""
+    out = cells
+    for v, r in (("_x", "_rx"), ("_y", "_ry")):
+        t = rank_table(cells, keys, v, {"_n": F.col("_w")})
+        out = out.join(t.select(*keys, v, (F.col("_n_before") + (F.col("_n") - F.col("_n_total")) / F.lit(2.0)).alias(r)), [*keys, v])
+    return out
+
+
 def weighted_rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str,
                               weight: str = "w") -> DataFrame:
     """Spearman's rho per key over rows repeated ``weight`` times: average-tie ranks, then
     the product moment. NULL below four observations or without spread."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()
-                     & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    cells = cells.groupBy(*keys, x, y).agg(F.sum(weight).alias("_w"))
-    ranks = []
-    for v, r in ((x, "_rx"), (y, "_ry")):
-        t = rank_table(cells, keys, v, {"_n": F.col("_w")})
-        centred = F.col("_n_before") + (F.col("_n") - F.col("_n_total")) / F.lit(2.0)
-        ranks.append(t.select(*keys, v, centred.alias(r)))
-    j = cells.join(ranks[0], [*keys, x]).join(ranks[1], [*keys, y])
+    keys = list(keys)
+    named = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+    cells = df.where(finite(x, y) & named)
+    cells = cells.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.sum(weight).alias("_w"))
+    large = cells.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE_KEY).select(*keys)
+    if not keys:
+        j = _centred_ranks_in_chunks(cells, keys)
+    elif large.limit(1).count() == 0:
+        j = _centred_ranks_of_whole_keys(cells, keys)
+    else:
+        j = _centred_ranks_of_whole_keys(cells.join(large, keys, "left_anti"), keys).unionByName(
+            _centred_ranks_in_chunks(cells.join(large, keys, "left_semi"), keys))
     a = j.groupBy(*keys).agg(
         F.sum("_w").cast("bigint").alias("n"),
         F.sum(F.col("_w") * F.col("_rx") * F.col("_ry")).alias("_xy"),

@@ -112,3 +112,24 @@ def test_draws_are_those_of_hashlib():
         digests = [hashlib.md5(f"{seed}|{k}|{u}".encode()).hexdigest() for u in units]
         want = [[sum(h[4 * j:4 * j + 4] >= t for t in bootstrap.STEPS) for h in digests] for j in range(8)]
         assert (Draws(pa.array(units), seed).block(k) == np.array(want)).all()
+
+
+@pytest.mark.parametrize("whole", [0, 30, 1 << 18])
+def test_rank_correlation_of_small_and_large_keys(spark, monkeypatch, whole):
+    """Keys ranked by one task, in chunks, or some this way and some that; a NULL key has no row."""
+    monkeypatch.setattr(bootstrap, "WHOLE_KEY", whole)
+    rows = rows_of(3) + [(None, "u", 1.0, 2.0)] * 5 + [("b", "u", float("nan"), 1.0), ("b", "u", None, 1.0)]
+    d = spark.createDataFrame(rows, "k string, unit string, x double, y double")
+    got = {r.k: (r.n, r.rho) for r in bootstrap.rank_correlation(d, ["k"], "x", "y").collect()}
+    for k in "abc":
+        own = [(x, y) for key, _, x, y in rows_of(3) if key == k]
+        x, y = (ranks(np.array(v)) for v in zip(*own))
+        assert got[k][0] == len(own)
+        assert got[k][1] is None if k != "a" else abs(got[k][1] - np.corrcoef(x, y)[0, 1]) < 1e-9
+    assert got.keys() == set("abc")
+
+
+def test_small_keys_are_shuffled_twice(spark):
+    d = spark.range(100).selectExpr("id % 9 AS k", "double(id % 7) AS x", "double(id % 11) AS y")
+    plan = bootstrap.rank_correlation(d, ["k"], "x", "y")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 2
