@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key).orderBy(x)`` sends all rows of a key to one task. Here the
 order is cut into chunks by a monotone expression; rows are windowed per (key, chunk), the
 chunk totals are windowed per key (one row per chunk) and the two are joined. A key that holds
-a third of the table is thus spread over as many tasks as it has chunks.
+a third of the table is thus spread over as many tasks as it has chunks. Where most keys are small, their
+chunk totals would be as many as the rows; with ``small_keys`` only large keys are cut.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from .keys import c
 
 UNB = W.unboundedPreceding
 
+#: Keys are counted by hash, in this many buckets; those of a bucket of up to SMALL_ROWS rows are small.
+KEY_BUCKETS, SMALL_ROWS = 1 << 16, 1 << 18
+
 
 def value_chunk(v: Column | str, per_octave: int = 4096) -> Column:
     """Monotone chunk number of a DOUBLE: ``per_octave`` chunks for every doubling of |v|."""
@@ -45,6 +49,14 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def with_large(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_large``: true, or NULL for keys that certainly have no more than SMALL_ROWS rows."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int")
+    large = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_k")).where(
+        F.col("_k") > SMALL_ROWS).select("_bucket", F.lit(True).alias("_large"))
+    return df.withColumn("_bucket", bucket).join(F.broadcast(large), "_bucket", "left").drop("_bucket")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -53,15 +65,20 @@ def running(
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     totals: Sequence[str] = (),
+    small_keys: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums / maxima per key; ``totals`` adds ``<name>_total`` as well.
 
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``. With ``small_keys`` only keys that may be large are cut into
+    chunks, at the cost of one more pass over ``df`` that counts rows; for input that is cheap to read twice.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     keys, new = list(keys), {**sums, **maxes}
-    d = df.withColumns({"_chunk": chunk, **{f"_in_{n}": e for n, e in new.items()}})
-    per_chunk = d.groupBy(*keys, "_chunk").agg(
+    small_keys = small_keys and bool(keys)
+    d = with_large(df, keys) if small_keys else df
+    d = d.withColumns({"_chunk": F.when(F.col("_large"), F.coalesce(chunk, F.lit(-(1 << 62)))) if small_keys else chunk,
+                       **{f"_in_{n}": e for n, e in new.items()}})
+    per_chunk = (d.where(F.col("_chunk").isNotNull()) if small_keys else d).groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max(f"_in_{n}").alias(f"_t_{n}") for n in maxes],
     )
@@ -75,14 +92,16 @@ def running(
         *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in totals],
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(*[c(o) for o in order]).rowsBetween(UNB, 0)
+    own = W.partitionBy(*keys, "_chunk")
     d = d.withColumns({**{f"_in_{n}": F.sum(f"_in_{n}").over(inside) for n in sums},
-                       **{f"_in_{n}": F.max(f"_in_{n}").over(inside) for n in maxes}})
+                       **{f"_in_{n}": F.max(f"_in_{n}").over(inside) for n in maxes},
+                       **({f"_all_{n}": F.sum(f"_in_{n}").over(own) for n in totals} if small_keys else {})})
     kept = [x for x in df.columns if x not in new]
-    return d.join(offsets, [*keys, "_chunk"]).select(
+    return d.join(offsets, [*keys, "_chunk"], "left" if small_keys else "inner").select(
         *[F.col(f"`{x}`") for x in kept],
         *[(F.col(f"_in_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums],
         *[F.greatest(F.col(f"_in_{n}"), F.col(f"_o_{n}")).alias(n) for n in maxes],
-        *[f"{n}_total" for n in totals],
+        *[F.coalesce(f"{n}_total", f"_all_{n}").alias(f"{n}_total") if small_keys else F.col(f"{n}_total") for n in totals],
     )
 
 
@@ -93,10 +112,11 @@ def ordinal(
     chunk: Column,
     name: str = "pos",
     count: str | None = None,
+    small_keys: bool = False,
 ) -> DataFrame:
     """Add a 0-based position per key, and the group size when ``count`` is named."""
     out = running(df, keys, order, chunk, {name: F.lit(1).cast("bigint")},
-                  totals=[name] if count else [])
+                  totals=[name] if count else [], small_keys=small_keys)
     out = out.withColumn(name, F.col(name) - 1)
     return out.withColumnRenamed(f"{name}_total", count) if count else out
 

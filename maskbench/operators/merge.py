@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import all_of
 from ..schemas import CELL_KEY
+from ..session import materialise
 
 
 def union_chunks(chunks: Sequence[DataFrame], source: Sequence[str] | None = None) -> DataFrame:
@@ -23,14 +24,20 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str], values: Sequence[str])
     Minimum and maximum per value combine map-side, so a key repeated in millions of rows
     costs a few bytes per task.
     """
+    g = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *_bounds(values))
+    return g.select(*keys, "n_rows", (~_agree(values)).cast("int").alias("conflict"))
+
+
+def _bounds(values: Sequence[str]) -> list[Column]:
     null = [F.count_if(F.col(v).isNull()).alias(f"_z{i}") for i, v in enumerate(values)]
-    g = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *null, *[
-        e for i, v in enumerate(values)
-        for e in (F.min(v).alias(f"_a{i}"), F.max(v).alias(f"_b{i}"))])
-    same = all_of([F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))
+    return null + [e for i, v in enumerate(values)
+                   for e in (F.min(v).alias(f"_a{i}"), F.max(v).alias(f"_b{i}"))]
+
+
+def _agree(values: Sequence[str]) -> Column:
+    return all_of([F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))
                    & F.col(f"_z{i}").isin(0) | (F.col(f"_z{i}") == F.col("n_rows"))
                    for i in range(len(values))])
-    return g.select(*keys, "n_rows", (~same).cast("int").alias("conflict"))
 
 
 def duplicate_report(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -47,12 +54,21 @@ def conflicts(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Data
 
 def merge_chunks(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                  check: bool = True) -> DataFrame:
-    """One row per key. With ``check`` conflicting duplicates fail the job first."""
-    if check:
-        bad = conflicts(df, keys, values).limit(5).collect()
-        if bad:
-            raise ValueError(f"conflicting duplicates, for example {bad}")
-    return df.dropDuplicates(list(keys))
+    """One row per key. With ``check`` conflicting duplicates fail the job first.
+
+    The checked rows are written once, so that what lies before is not worked out again for the result.
+    """
+    if not check:
+        return df.dropDuplicates(list(keys))
+    rest = [x for x in df.columns if x not in keys]
+    g = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *_bounds(values), *[F.first(F.col(f"`{x}`")).alias(f"_f{i}") for i, x in enumerate(rest)])
+    place = {x: f"_f{i}" for i, x in enumerate(rest)}
+    g = materialise(g.select(*[F.col(f"`{x}`") if x in keys else F.col(place[x]).alias(x) for x in df.columns],
+                             F.when(~_agree(values), F.col("n_rows")).alias("_conflict")))
+    bad = g.where(F.col("_conflict").isNotNull()).select(*keys, F.col("_conflict").alias("n_rows")).limit(5).collect()
+    if bad:
+        raise ValueError(f"conflicting duplicates, for example {bad}")
+    return g.drop("_conflict")
 
 
 def partial_cells(df: DataFrame, keys: Sequence[str], declared: str = "n_frames",

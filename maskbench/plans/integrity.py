@@ -47,7 +47,7 @@ def _(spark, sf):
 @query("merged_chunks", "SELECT mode, count(*) AS n, avg(jf_frame) AS jf FROM (WITH " + _CHUNK_SQL
        + " SELECT DISTINCT seq, obj_id, mode, degradation, level, frame, jf_frame FROM ch WHERE src <> 'c') GROUP BY mode", ["rf"], "jf")
 def _(spark, sf):
-    d = chunks(spark, sf).where(F.col("src") != "c")
+    d = chunks(spark, sf).where(F.col("src") != "c").drop("src")
     m = merge.merge_chunks(d, KEY, ["jf_frame"])
     return m.groupBy("mode").agg(F.count("*").alias("n"), F.avg("jf_frame").alias("jf"))
 

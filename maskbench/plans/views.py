@@ -112,7 +112,7 @@ def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored frames, numbered per instance cell by the chunked ordinal."""
     d = ordinal(rows_raw(spark, sf_dir), ["seq", "obj_id", "mode", "degradation", "level"],
                 ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate",
-                 "jf_frame", "iqa_b"], number_chunk("l_orderkey"), "frame")
+                 "jf_frame", "iqa_b"], number_chunk("l_orderkey"), "frame", small_keys=True)
     return d.withColumn("is_keyframe", decision_frame("frame", 5).cast("int"))
 
 
@@ -205,7 +205,7 @@ def gate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("event_id") * 37 % 101) / 100.0).alias("jf"),
         (F.col("event_id") % 5).cast("int").alias("op"))
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    d = ordinal(d, ["inst"], ["ts", "event_id"], hour, "frame")
+    d = ordinal(d, ["inst"], ["ts", "event_id"], hour, "frame", small_keys=True)
     return d.select("inst", "frame", "vacuity", "jf", "op",
                     decision_frame("frame", 5).cast("int").alias("is_keyframe"))
 
