@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import is_main
-from ..functions.ordered import median, quantiles
+from ..functions.ordered import median, quantiles, with_large
 from ..session import materialise
 from . import stats
 from .bootstrap import bootstrap_ci
@@ -160,11 +160,35 @@ def probe_summary(pairs: DataFrame, keys: Sequence[str], delta: str = "d",
 
 def iqa_cell_summary(frames: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Mean, population std, p10 and p90 of every image metric per cell, in long form."""
+    probs = {"p10": 0.1, "p90": 0.9}
+    if not keys:
+        return _long_cell_summary(frames, metrics, keys, probs)
+    d = with_large(frames.select(*keys, *[F.col(m).cast("double").alias(f"_x{i}") for i, m in enumerate(metrics)]), keys)
+    large = d.where(F.col("_large")).select(*keys, *[F.col(f"_x{i}").alias(m) for i, m in enumerate(metrics)])
+    xs = [F.col(f"_x{i}") for i in range(len(metrics))]
+    # small cells meet once for all metrics, each as one sorted list of values
+    g = d.where(F.col("_large").isNull()).groupBy(*keys).agg(*[e for i, x in enumerate(xs) for e in (
+        F.avg(x).alias(f"_m{i}"), F.stddev_pop(x).alias(f"_s{i}"), F.count(x).alias(f"_n{i}"),
+        F.sort_array(F.collect_list(F.when(~F.isnan(x), x))).alias(f"_l{i}"))])
+
+    def at(values: Column, q: float) -> Column:
+        pos = F.lit(q) * (F.size(values) - 1)
+        a, b = (F.get(values, f(pos).cast("int")) for f in (F.floor, F.ceil))
+        return a + (b - a) * (pos - F.floor(pos))
+
+    out = g.select(*keys, F.inline(F.array(*[F.struct(
+        F.lit(m).alias("metric"), F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std"), F.col(f"_n{i}").alias("n"),
+        *[at(F.col(f"_l{i}"), q).alias(p) for p, q in probs.items()]) for i, m in enumerate(metrics)]))).where(F.col("p10").isNotNull())
+    return out.unionByName(_long_cell_summary(large, metrics, keys, probs))
+
+
+def _long_cell_summary(frames: DataFrame, metrics: Sequence[str], keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """The same for cells of any size: no task holds a cell."""
     rows = stats.metric_rows(frames, metrics, keys)
     k = [*keys, "metric"]
     m = rows.groupBy(*k).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
                              F.count("*").alias("n"))
-    return m.join(quantiles(rows, k, "x", {"p10": 0.1, "p90": 0.9}), k)
+    return m.join(quantiles(rows, k, "x", probs), k)
 
 
 def vacuity_summary(frames: DataFrame, score: str, taus: Sequence[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskbench.functions import ordered
 from maskbench.functions.ordered import number_chunk, ordinal
-from maskbench.operators import merge
+from maskbench.operators import merge, tables
 
 
 @pytest.fixture
@@ -47,3 +47,16 @@ def test_merged_rows_are_worked_out_once(spark):
     m = merge.merge_chunks(d, ["s", "f"], ["v"])
     assert m.columns == ["s", "f", "v", "src"] and sorted(map(tuple, m.select("s", "f", "v").collect())) == [("a", 1, 0.5), ("b", 2, None)]
     assert m.count() == 2 and seen.value == 3
+
+
+@pytest.mark.parametrize("limit", [10, 100, 1 << 18])
+def test_cell_summary_of_small_and_large_cells(rows, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "SMALL_ROWS", limit)
+    pdf, df = rows
+    got = tables.iqa_cell_summary(df, ["x", "y"], ["k"]).toPandas().set_index(["k", "metric"]).sort_index()
+    long = pdf.melt(["k"], ["x", "y"], "metric", "v").dropna()
+    long["v"] = long.v.astype(float)
+    g = long.groupby(["k", "metric"]).v
+    want = pd.DataFrame({"mean": g.mean(), "std": g.std(ddof=0), "n": g.size(), "p10": g.quantile(0.1), "p90": g.quantile(0.9)})
+    assert (got.index == want.index).all()
+    np.testing.assert_allclose(got[want.columns].astype(float), want.astype(float), atol=1e-12)
