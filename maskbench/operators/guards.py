@@ -3,8 +3,12 @@ failure that names some of them."""
 
 from __future__ import annotations
 
-from typing import Sequence
+import hashlib
+import math
+from typing import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import hash32
@@ -118,12 +122,36 @@ def series_digest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     """Digest of a numeric series printed as ``%.9g``, one definition at every size.
 
     Each value is hashed with its position (md5 of ``position|text``); the four 32-bit words of the hashes are added
-    up modulo 2^32. Tasks add up their own rows, and digests of parts whose positions follow each other
+    up modulo 2^32. Tasks print, hash and add up their own rows, and digests of parts whose positions follow each other
     (``start`` is the position of a part's first value) merge into that of the whole: see ``merge_digests``.
     """
     d = ordinal(df, keys, order, chunk, "_i")
-    text = F.concat_ws("|", (F.col("_i") + F.lit(start)).cast("string"), F.coalesce(format_9g(F.col(value)), F.lit("NULL")))
-    return _added_words(d.withColumn("_n", F.lit(1)).withColumn("_h", F.md5(text.cast("binary"))), keys)
+    keys = list(keys)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            texts = ["NULL" if v is None else _printed(v) for v in b.column(len(keys) + 1).to_pylist()]
+            h = b"".join([hashlib.md5(b"%d|%s" % (i + start, t.encode())).digest()
+                          for i, t in zip(b.column(len(keys)).to_pylist(), texts)])
+            words = np.frombuffer(h, ">u4").reshape(n, 4).astype(np.int64)
+            t = pa.table([*b.columns[:len(keys)], pa.array(np.zeros(n, np.int8)), pa.array(np.ones(n, np.int64)), *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(4)]],
+                         names=[*[f"k{i}" for i in range(len(keys))], "all", "n", "w0", "w1", "w2", "w3"])
+            sums = t.group_by([*[f"k{i}" for i in range(len(keys))], "all"], use_threads=False).aggregate([(x, "sum") for x in ("n", "w0", "w1", "w2", "w3")])
+            out = [*[sums.column(f"k{i}") for i in range(len(keys))], *[sums.column(f"{x}_sum") for x in ("n", "w0", "w1", "w2", "w3")]]
+            yield from pa.table(out, names=[*keys, "_n", "_w0", "_w1", "_w2", "_w3"]).to_batches()
+
+    of_keys = "".join(f"`{k}` {d.schema[k].dataType.simpleString()}, " for k in keys)
+    sums = d.select(*keys, "_i", F.col(value).cast("double").alias("_v")).mapInArrow(
+        added, of_keys + "_n long, _w0 long, _w1 long, _w2 long, _w3 long")
+    return _summed_words(sums, keys, [F.col(f"_w{j}").cast("decimal(20,0)") for j in range(4)])
+
+
+def _printed(v: float) -> str:
+    """``%.9g``; zero has no sign, what is no finite number is empty, as in :func:`format_9g`."""
+    return "0" if v == 0 else "%.9g" % v if math.isfinite(v) else ""
 
 
 def merge_digests(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,7 +160,10 @@ def merge_digests(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _added_words(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    word = [F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("decimal(20,0)") for j in range(4)]
+    return _summed_words(df, keys, [F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("decimal(20,0)") for j in range(4)])
+
+
+def _summed_words(df: DataFrame, keys: Sequence[str], word: Sequence[Column]) -> DataFrame:
     sums = df.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias("n"), *[F.sum(w).alias(f"_w{j}") for j, w in enumerate(word)])
     hexed = [F.lpad(F.lower(F.hex((F.col(f"_w{j}") % F.lit(1 << 32)).cast("bigint"))), 8, "0") for j in range(4)]
     return sums.select(*keys, "n", F.concat(*hexed).alias("digest"))

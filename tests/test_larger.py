@@ -1,5 +1,7 @@
 """Steps that were mended for size: results stay those of the plain definitions."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskbench.functions import ordered
 from maskbench.functions.ordered import number_chunk, ordinal
-from maskbench.operators import merge, tables
+from maskbench.operators import guards, merge, tables
 
 
 @pytest.fixture
@@ -49,6 +51,17 @@ def test_merged_rows_are_worked_out_once(spark):
     assert m.count() == 2 and seen.value == 3
 
 
+def test_digest_of_rows_by_key(spark):
+    values = [0.1, -0.0, 1234567.891, 1e-7, 3e12, None, float("nan"), 1 / 3]
+    d = spark.createDataFrame([(k, i, v) for k in ("a", None) for i, v in enumerate(values)], "k string, i long, v double").repartition(3)
+    text = lambda v: "NULL" if v is None else "0" if v == 0 else "" if v != v else "%.9g" % v
+    word = np.sum([np.frombuffer(hashlib.md5(f"{i}|{text(v)}".encode()).digest(), ">u4").astype(np.int64) for i, v in enumerate(values)], axis=0) % (1 << 32)
+    want = "".join(f"{w:08x}" for w in word)
+    got = guards.series_digest(d.where("k = 'a'"), ["k"], ["i"], number_chunk("i", 3), "v")
+    assert [tuple(r) for r in got.collect()] == [("a", len(values), want)]
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("limit", [10, 100, 1 << 18])
 def test_cell_summary_of_small_and_large_cells(rows, monkeypatch, limit):
     monkeypatch.setattr(ordered, "SMALL_ROWS", limit)
