@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -94,24 +94,42 @@ class Draws:
             w[15] = 0
             self.words.append([v if v.any() else None for v in w])
 
-    def block(self, k: int) -> np.ndarray:
-        """Weights in the PER_HASH replicates of block ``k``, one row a replicate."""
-        head = f"{self.seed}|{k}|".encode()
+    def _digests(self, head: bytes) -> Iterator[tuple[slice, list[np.ndarray]]]:
+        """Places of units and the four words of the md5 of ``head`` and their texts; wrong for texts beyond one block."""
         if len(head) > 24:
             raise ValueError("a seed of at most ten digits is expected")
         if len(head) != self.head:
             self._moved(len(head))
         first = np.frombuffer(head.ljust(24, b"\x00"), "<u4")
-        out = np.empty((PER_HASH, self.n), np.uint8)
         for i, words in enumerate(self.words):
             n = len(self.parts[i])
             own = list(words)
             for j in range(-(-len(head) // 4)):
                 own[j] = np.full(n, first[j], np.uint32) if own[j] is None else own[j] | np.uint32(first[j])
-            at = slice(i * _AT_ONCE, i * _AT_ONCE + n)
-            for j, v in enumerate(_md5_words(own, n)):
-                out[2 * j:2 * j + 2, at] = _TIMES_SWAPPED[v.view(np.uint16)].reshape(n, 2).T
+            yield slice(i * _AT_ONCE, i * _AT_ONCE + n), _md5_words(own, n)
+
+    def _long(self, head: bytes) -> Iterator[tuple[int, bytes]]:
+        """Places and digests of the texts beyond one block."""
         for i in np.flatnonzero(self.sizes + len(head) > _ONE_BLOCK):
-            digest = hashlib.md5(head + self.units[int(i)].as_py()).digest()
+            yield i, hashlib.md5(head + self.units[int(i)].as_py()).digest()
+
+    def block(self, k: int) -> np.ndarray:
+        """Weights in the PER_HASH replicates of block ``k``, one row a replicate."""
+        head = f"{self.seed}|{k}|".encode()
+        out = np.empty((PER_HASH, self.n), np.uint8)
+        for at, words in self._digests(head):
+            for j, v in enumerate(words):
+                out[2 * j:2 * j + 2, at] = _TIMES_SWAPPED[v.view(np.uint16)].reshape(-1, 2).T
+        for i, digest in self._long(head):
             out[:, i] = _TIMES[np.frombuffer(digest, ">u2")]
         return out
+
+    def first_bits(self, k: int) -> np.ndarray:
+        """First 32 bits of the md5 of (seed|k) and the units' texts, which bring their own bar."""
+        head = f"{self.seed}|{k}".encode()
+        out = np.empty(self.n, np.uint32)
+        for at, words in self._digests(head):
+            out[at] = words[0].byteswap()
+        for i, digest in self._long(head):
+            out[i] = int.from_bytes(digest[:4], "big")
+        return out

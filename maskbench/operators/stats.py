@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.keys import c, hash32
 from ..functions.ordered import (average_rank, hash_chunk, median, ordinal, rank_table, running,
                                  spread, value_chunk)
 from ..functions.tails import EXACT_MAX_N, rank_correlation_p_udf, signed_rank_p_udf
+from ..kernels.draws import Draws
 from ..session import materialise
 from .bootstrap import bootstrap_ci, rank_correlation, unit_bootstrap_rho
 from .sign_flip import sign_flip_test  # noqa: F401
@@ -230,17 +233,15 @@ def between_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str],
     A permutation pairs the y at position i with the x whose keyed hash is the i-th smallest. Keys with
     fewer than ``min_units`` units are refused: they give no row.
     """
+    keys = list(keys)
     um = unit_means(df, keys, unit, x, y).withColumn("_h", hash32(*unit))
-    um = materialise(ordinal(um, keys, ["_h", *unit], hash_chunk("_h"), "pos", "n_units").where(F.col("n_units") >= min_units))
+    um = ordinal(um, keys, ["_h", *unit], hash_chunk("_h"), "pos", "n_units").where(F.col("n_units") >= min_units)
+    um = materialise(um.orderBy(*keys, *unit).withColumn("_u", F.monotonically_increasing_id()))
     obs = rank_correlation(um, keys, "x", "y")
-    shuffled = spread(um, [*keys, *unit]).select(*keys, *unit, "x", F.explode(
-        F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    shuffled = shuffled.withColumn("_g", hash32(F.lit(seed), "perm", *unit))
-    placed = ordinal(shuffled, [*keys, "perm"], ["_g", *unit], hash_chunk("_g"), "pos")
-    null = rank_correlation(
-        placed.select(*keys, "perm", "pos", "x").join(um.select(*keys, "pos", "y"),
-                                                      [*keys, "pos"]),
-        [*keys, "perm"], "x", "y")
+    null = _permuted(um.where(F.col("n_units") <= WHOLE_PERMUTATION), keys, unit, n_perm, seed)
+    large = um.where(F.col("n_units") > WHOLE_PERMUTATION)
+    if large.limit(1).count():
+        null = null.unionByName(_permuted_in_chunks(large, keys, unit, n_perm, seed))
     # the observed rho joins its permutations as number -1: n_perm + 1 rows per key
     both = null.unionByName(obs.select(*keys, F.lit(-1).alias("perm"), "n", "rho"))
     seen = F.max(F.when(F.col("perm") == -1, F.struct("n", "rho"))).over(W.partitionBy(*keys))
@@ -252,6 +253,67 @@ def between_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str],
         "_r", "rho")
 
 
+#: Units of a key up to which one task orders a whole permutation (about 150 bytes a unit), and permutations of a task.
+WHOLE_PERMUTATION, PERMUTATIONS_AT_ONCE = 1 << 21, 25
+
+
+def _permuted(um: DataFrame, keys: Sequence[str], unit: Sequence[str], n_perm: int, seed: int) -> DataFrame:
+    """(keys, perm, n, rho) of all permutations; units meet once for PERMUTATIONS_AT_ONCE of them."""
+    tail = F.concat_ws("|", F.lit(""), *[F.col(u).cast("string") for u in unit])
+    groups = F.sequence(F.lit(0), F.lit((n_perm - 1) // PERMUTATIONS_AT_ONCE))
+    d = um.select(*keys, "pos", "_u", tail.alias("_t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    d = spread(d, [*keys, "_u"]).withColumn("_g", F.explode(groups))
+
+    def centred(v: np.ndarray) -> np.ndarray:
+        """Twice the average-tie ranks less their mean."""
+        _, at, times = np.unique(v, return_inverse=True, return_counts=True)
+        upto = np.cumsum(times)
+        return (2 * upto - times - len(v))[at].astype(float)
+
+    def rho(a: np.ndarray, b: np.ndarray) -> float | None:
+        aa, bb = np.einsum("i,i->", a, a), np.einsum("i,i->", b, b)
+        return float(np.einsum("i,i->", a, b) / np.sqrt(aa) / np.sqrt(bb)) if len(a) >= 4 and aa > 0 and bb > 0 else None
+
+    def group(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column("_u").to_numpy())))
+        x, y_of = (t.column(c).to_numpy() for c in ("x", "y"))
+        y = np.empty(len(x))
+        y[t.column("pos").to_numpy()] = y_of
+        whole = not (np.isnan(x).any() or np.isnan(y).any())
+        if whole:
+            x, y = centred(x), centred(y)
+        draws = Draws(t.column("_t").combine_chunks(), seed)
+        lo = t.column("_g")[0].as_py() * PERMUTATIONS_AT_ONCE
+        perms, n, found = range(lo, min(lo + PERMUTATIONS_AT_ONCE, n_perm)), [], []
+        for k in perms:
+            # units are in their order, which settles equal hashes
+            a, b = x[np.argsort(draws.first_bits(k), kind="stable")], y
+            if not whole:
+                kept = ~(np.isnan(a) | np.isnan(b))
+                a, b = centred(a[kept]), centred(b[kept])
+            n.append(len(a))
+            found.append(rho(a, b))
+        first = pa.array(np.zeros(len(perms), np.int64))
+        return pa.table([*[t.column(k).take(first) for k in keys], pa.array(perms, pa.int32()), pa.array(n, pa.int64()), pa.array(found, pa.float64())],
+                        names=[*keys, "perm", "n", "rho"])
+
+    of_keys = "".join(f"`{k}` {um.schema[k].dataType.simpleString()}, " for k in keys)
+    return d.repartition(int(um.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_g").groupBy(*keys, "_g").applyInArrow(
+        group, of_keys + "perm int, n long, rho double")
+
+
+def _permuted_in_chunks(um: DataFrame, keys: Sequence[str], unit: Sequence[str], n_perm: int, seed: int) -> DataFrame:
+    """The same for keys of any size: no task holds a permutation."""
+    shuffled = spread(um, [*keys, *unit]).select(*keys, *unit, "x", F.explode(
+        F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    shuffled = shuffled.withColumn("_g", hash32(F.lit(seed), "perm", *unit))
+    placed = ordinal(shuffled, [*keys, "perm"], ["_g", *unit], hash_chunk("_g"), "pos")
+    return rank_correlation(
+        placed.select(*keys, "perm", "pos", "x").join(um.select(*keys, "pos", "y"),
+                                                      [*keys, "pos"]),
+        [*keys, "perm"], "x", "y")
+
+
 def within_association(df: DataFrame, keys: Sequence[str], unit: Sequence[str], x: str, y: str,
                        min_rows: int = 10, p_value: bool = True) -> DataFrame:
     """Rho inside every unit; their mean, the positive share, and a signed-rank test of zero."""

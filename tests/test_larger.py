@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskbench.functions import ordered
 from maskbench.functions.ordered import number_chunk, ordinal
-from maskbench.operators import guards, merge, tables
+from maskbench.operators import guards, merge, stats, tables
 
 
 @pytest.fixture
@@ -73,3 +73,17 @@ def test_cell_summary_of_small_and_large_cells(rows, monkeypatch, limit):
     want = pd.DataFrame({"mean": g.mean(), "std": g.std(ddof=0), "n": g.size(), "p10": g.quantile(0.1), "p90": g.quantile(0.9)})
     assert (got.index == want.index).all()
     np.testing.assert_allclose(got[want.columns].astype(float), want.astype(float), atol=1e-12)
+
+
+def test_permutations_between_units_meet_once(spark, monkeypatch):
+    """Whole permutations in a task give what the chunked way gives, also with ties, gaps and long names."""
+    rng = np.random.default_rng(8)
+    rows = [(k, f"{u:03d}" + "z" * (60 if u % 5 == 0 else 0), None if k == "gap" and u % 4 == 0 else float(rng.integers(0, 6)), float(rng.integers(0, 9)))
+            for k in ("all", "gap") for u in range(40)]
+    d = spark.createDataFrame(rows, "k string, unit string, x double, y double")
+    find = lambda: sorted(map(tuple, stats.between_association(d, ["k"], ["unit"], "x", "y", n_perm=60, seed=3).collect()))
+    got = find()
+    monkeypatch.setattr(stats, "WHOLE_PERMUTATION", 0)
+    want = find()
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want] and len(got) == 2
+    assert np.allclose([r[2] for r in got], [r[2] for r in want])
