@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskbench.functions import ordered
+from maskbench.kernels import image, restore
 from maskbench.functions.ordered import number_chunk, ordinal
 from maskbench.operators import guards, merge, stats, tables
 
@@ -87,3 +88,18 @@ def test_permutations_between_units_meet_once(spark, monkeypatch):
     want = find()
     assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want] and len(got) == 2
     assert np.allclose([r[2] for r in got], [r[2] for r in want])
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_kernels_of_small_frames_against_plain_definitions(kind):
+    rng = np.random.default_rng(2)
+    for h, w in ((1, 1), (1, 32), (7, 5), (14, 32), (40, 9)):
+        x = rng.integers(0, 256, (h, w, 3)).astype(kind) / kind(255)
+        flat = x.reshape(-1, 3)
+        assert (image.percentiles(flat, 1.0, 99.0) == np.percentile(flat, [1.0, 99.0], axis=0)).all()
+        for r in (1, 7, 11):
+            p = np.pad(x[..., 0], r, constant_values=np.inf)
+            want = [[p[i:i + 2 * r + 1, j:j + 2 * r + 1].min() for j in range(w)] for i in range(h)]
+            assert (image.local_min(x[..., 0], r) == np.array(want)).all()
+    spare = restore.SPARE_BELOW
+    assert (spare[:, -1] == np.arange(256)).all() and (np.diff(spare, axis=1) >= 0).all()
