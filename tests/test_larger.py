@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskbench.functions import ordered
-from maskbench.kernels import image, restore
+from maskbench.kernels import image, png, restore
 from maskbench.functions.ordered import number_chunk, ordinal
 from maskbench.operators import guards, merge, stats, tables
 
@@ -103,3 +103,13 @@ def test_kernels_of_small_frames_against_plain_definitions(kind):
             assert (image.local_min(x[..., 0], r) == np.array(want)).all()
     spare = restore.SPARE_BELOW
     assert (spare[:, -1] == np.arange(256)).all() and (np.diff(spare, axis=1) >= 0).all()
+
+
+def test_rows_predicted_from_left_or_above_are_sums():
+    rng = np.random.default_rng(3)
+    for fixed in (True, False):
+        kinds = np.repeat(rng.integers(0, 3, (1, 9)), 6, axis=0) if fixed else rng.integers(0, 3, (6, 9))
+        rows = rng.integers(0, 256, (6, 4, 9, 3)).astype(np.uint8)
+        mixed = np.concatenate([kinds, np.full((6, 1), 4)], axis=1)              # one image more that needs anti-diagonals
+        want = png.unpredict(mixed, np.concatenate([rows, rows[:, :, :1]], axis=2))[:, :, :9]
+        assert (png._unpredict_simple(kinds, rows) == want).all()
