@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 
 from ..kernels.png import write_png
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..sources import frame_tree as ft, labels as lb
 from . import views as V
 from .registry import query
@@ -113,11 +113,12 @@ def _pixels(ids: str, k: int):
 
 
 def _label_tree(spark, d: DataFrame, file) -> str:
-    """Labels beside frames; the frames themselves are empty files."""
+    """Labels where they lie beside frames; labels are found by the frame folder of a layout, so one empty frame each is there."""
     root = _root(spark, "labels")
     kind = (F.col("number") / 5 % 3).cast("int")
     ft.write_tree(d.select(_path(LABELS_AT, "png").alias("file"), file("text", kind).alias("content")), root)
-    ft.write_tree(d.select(_path(FRAMES_AT, "jpg").alias("file"), F.lit(b"").alias("content")), root)
+    first = d.groupBy("kind").agg(F.min(F.struct("seq", "number")).alias("f")).select("kind", "f.*")
+    ft.write_tree(first.select(_path(FRAMES_AT, "jpg").alias("file"), F.lit(b"").alias("content")), root)
     return root
 
 
@@ -152,9 +153,10 @@ def _(spark, sf):
     root = _label_tree(spark, _documents(spark, sf).where("kind = 'ytvos'"), _colour_file)
     meta = '{"objects": {"": {"1": {"palette": [10, 0, 0]}, "2": {"palette": [0, 200, 0]}}}}'
     tree = ft.read_tree(spark, "ytvos", f"{root}/ytvos", "valid", "labels")
-    named = lb.colour_labels(tree, lb.meta_colours(spark.range(1).select(F.lit(meta).alias("value"))))
+    maps = materialise(lb.colour_maps(tree).select("seq", "number", "h", "w", "colours", "at"))
+    named = lb.colour_labels(maps, lb.meta_colours(spark.range(1).select(F.lit(meta).alias("value"))))
     out = None
-    for part, rows, ids in (("named", named, (1, 2)), ("ranked", lb.colour_labels(tree), (1, 2, 3, 4))):
+    for part, rows, ids in (("named", named, (1, 2)), ("ranked", lb.colour_labels(maps), (1, 2, 3, 4))):
         areas = F.array_join(F.array(*[_pixels("ids", k).cast("string") for k in ids]), ",")
         one = rows.select(F.lit(part).alias("part"), "seq", "frame", _pixels("ids", 0).alias("background"), areas.alias("areas"))
         out = one if out is None else out.unionByName(one)

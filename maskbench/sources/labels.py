@@ -40,12 +40,12 @@ def _colours(content: pd.Series) -> pd.DataFrame:
     """Distinct 24-bit keys in ascending order, and for each pixel the place of its key among them."""
     rows = []
     for m in read_png(content):
-        m = m.astype(np.int64)
-        key = m * 65793 if m.ndim == 2 else (m[..., 0] << 16) + (m[..., 1] << 8) + m[..., 2]
-        keys, at = np.unique(key, return_inverse=True)
+        m = m.astype(np.int32)
+        key = (m * 65793 if m.ndim == 2 else (m[..., 0] << 16) + (m[..., 1] << 8) + m[..., 2]).ravel()
+        keys = np.unique(key)
         if len(keys) > 65536:
             raise ValueError("more than 65536 colours: not a label map")
-        rows.append((*m.shape[:2], keys.tolist(), at.astype("<u2").tobytes()))
+        rows.append((*m.shape[:2], keys.tolist(), np.searchsorted(keys, key).astype("<u2").tobytes()))
     return pd.DataFrame(rows, columns=["h", "w", "colours", "at"]).astype({"h": "int32", "w": "int32"})
 
 
@@ -60,6 +60,12 @@ def _paint(at: pd.Series, ids: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def colour_maps(tree: DataFrame) -> DataFrame:
+    """The tree with (h, w, colours, at) in place of ``content``: what :func:`colour_labels` makes of it, for use by several of them."""
+    kept = [x for x in tree.columns if x != "content"]
+    return tree.withColumn("_l", _colours("content")).select(*kept, "_l.*")
+
+
 def colour_labels(tree: DataFrame, colours: DataFrame | None = None, category: Column | None = None) -> DataFrame:
     """(seq, frame, h, w, ids) of 24-bit colour maps.
 
@@ -67,10 +73,10 @@ def colour_labels(tree: DataFrame, colours: DataFrame | None = None, category: C
     that the category does not name is background. A clip whose category has no colours at all, or every
     clip without ``colours``, numbers the distinct colours of a map in ascending order from 1; black is 0
     but uses up its number. Ids come from a join on the few colours of a map; pixels are not joined.
-    ``tree`` has one row for each (seq, number).
+    ``tree`` has one row for each (seq, number), or is what :func:`colour_maps` gives.
     """
-    d = tree.withColumn("category", F.lit("") if category is None else category).withColumn("_l", _colours("content")).select(
-        "seq", F.col("number").alias("frame"), "category", "_l.*")
+    d = (colour_maps(tree) if "content" in tree.columns else tree).withColumn("category", F.lit("") if category is None else category).select(
+        "seq", F.col("number").alias("frame"), "category", "h", "w", "colours", "at")
     ranked = F.transform("colours", lambda k, i: F.when(k == 0, 0).otherwise(i + 1))
     if colours is None:
         return d.select("seq", "frame", "h", "w", _paint("at", ranked).alias("ids"))

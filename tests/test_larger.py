@@ -11,6 +11,7 @@ from maskbench.functions import ordered
 from maskbench.kernels import image, png, restore
 from maskbench.functions.ordered import number_chunk, ordinal
 from maskbench.operators import guards, merge, stats, tables
+from maskbench.sources import labels
 
 
 @pytest.fixture
@@ -113,3 +114,20 @@ def test_rows_predicted_from_left_or_above_are_sums():
         mixed = np.concatenate([kinds, np.full((6, 1), 4)], axis=1)              # one image more that needs anti-diagonals
         want = png.unpredict(mixed, np.concatenate([rows, rows[:, :, :1]], axis=2))[:, :, :9]
         assert (png._unpredict_simple(kinds, rows) == want).all()
+
+
+def test_colour_maps_are_read_once_for_several_labels(spark):
+    rng = np.random.default_rng(4)
+    shades = np.array([[0, 0, 0], [10, 0, 0], [0, 200, 0], [255, 255, 255]], np.uint8)
+    frames = [shades[rng.integers(0, 4, (3 + i % 2, 5))] for i in range(6)]
+    tree = spark.createDataFrame([("s", i, png.write_png(a, i % 3)) for i, a in enumerate(frames)], "seq string, number long, content binary")
+    maps = labels.colour_maps(tree)
+    assert "content" not in maps.columns and maps.count() == 6
+    meta = spark.createDataFrame([('{"objects": {"": {"7": {"palette": [0, 200, 0]}}}}',)], "value string")
+    for colours in (None, labels.meta_colours(meta)):
+        a, b = (sorted(map(tuple, labels.colour_labels(d, colours).collect())) for d in (tree, maps))
+        assert a == b and len(a) == 6
+    key = frames[0].astype(int) @ [65536, 256, 1]
+    first = maps.where("number = 0").first()
+    assert first.colours == sorted(set(key.ravel().tolist()))
+    assert np.array_equal(np.array(first.colours)[np.frombuffer(first.at, "<u2")], key.ravel())
