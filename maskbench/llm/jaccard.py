@@ -16,6 +16,8 @@ NEEDED = (75, 100)                # intersection : union
 COUNTERS = 1 << 18
 SEGMENT = 1 << 12
 TILE = 2048
+COLUMNS, CODES = 1 << 12, 1 << 20
+ROUNDS = 2                        # of the most alike sets, before all that is left
 
 
 def _signed(code: int) -> int:
@@ -112,10 +114,10 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """(shingle, node, n, core) for the rarest shingles of each set.
+    """(shingle, node, n, pos) for the rarest shingles of each set; ``pos`` is the place in their order, from 0.
 
     Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of the larger and the first
-    n - ceil(6/7 n) + 1 of the smaller (``core``), in any order that is the same for all sets; here the
+    n - ceil(6/7 n) + 1 of the smaller, in any order that is the same for all sets; here the
     rarest class first. A set that a task has seen already is not written again.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
@@ -123,14 +125,14 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = shared.value, set()
         for b in batches:
-            out, node, size, core = [], [], [], []
+            out, node, size, pos = [], [], [], []
             for t in b.column(0):
                 s = shingles(t.as_py() or "")
                 k, n = set_code(s), len(s)
                 if k is None or k in seen:
                     continue
                 seen.add(k)
-                first, short = n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
+                first = n - (3 * n + 3) // 4 + 1
                 of = often[(s >> np.uint64(46)).astype(np.int64)]
                 if first < n:
                     near = np.argpartition(of, first - 1)[:first]
@@ -142,12 +144,12 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
                 out.append(s[near].view(np.int64))
                 node.append(np.full(len(near), k, np.int64))
                 size.append(np.full(len(near), n, np.int32))
-                core.append(np.arange(len(near)) < short)
+                pos.append(np.arange(len(near), dtype=np.int32))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, node, size, core)],
-                                                 ["shingle", "node", "n", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, node, size, pos)],
+                                                 ["shingle", "node", "n", "pos"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, node long, n int, core boolean")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
 def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
@@ -156,7 +158,7 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
     Rows stream in the order of (shingle, size, node), so a group is never held: ``leader`` is the first
     set of the shingle and size band, ``prior`` the one just before.
     """
-    names = ["shingle", "node", "n", "core", "band", "leader", "prior"]
+    names = ["shingle", "node", "n", "pos", "band", "leader", "prior"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None                                           # the last row, not yet known to have company
@@ -165,10 +167,10 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held[:5], cols)]
-            s, node, n, core, bd = cols
+            s, node, n, pos, bd = cols
             same = (s[1:] == s[:-1]) & (node[1:] == node[:-1])
             keep = np.r_[True, ~same]
-            s, node, n, core, bd = (c[keep] for c in (s, node, n, core, bd))
+            s, node, n, pos, bd = (c[keep] for c in (s, node, n, pos, bd))
             linked = np.r_[held is not None and held[5], s[1:] == s[:-1]]  # has the one before it in its group
             start = np.r_[True, (s[1:] != s[:-1]) | (bd[1:] != bd[:-1])]
             first = node[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
@@ -182,19 +184,19 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
             company = linked | np.r_[s[1:] == s[:-1], False]
             send = company.copy()
             send[-1] = False                                  # decided with the next batch
-            held = ([s[-1:], node[-1:], n[-1:], core[-1:], bd[-1:]] + [bool(linked[-1]), prior[-1]])
+            held = ([s[-1:], node[-1:], n[-1:], pos[-1:], bd[-1:]] + [bool(linked[-1]), prior[-1]])
             lead = (s[-1], bd[-1], first[-1])
             if send.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in (s, node, n, core, bd, first, prior)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in (s, node, n, pos, bd, first, prior)], names)
         if held is not None and held[5]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*held[:5], np.array([lead[2]]), np.array([held[6]]))], names)
 
     rows = prefixes.withColumn("band", band(F.col("n"))).repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "node")
-    return rows.mapInArrow(run, "shingle long, node long, n int, core boolean, band int, leader long, prior long")
+    return rows.mapInArrow(run, "shingle long, node long, n int, pos int, band int, leader long, prior long")
 
 
-def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame, bits: bool) -> DataFrame:
-    """Of one document of each of the nodes: (node, n, bits), or (node, text).
+def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame, what: str) -> DataFrame:
+    """Of one document of each of the nodes: (node, n, kept), which is the set's bits, its codes or the text.
 
     A filter of fixed size over the ids of those documents spares the others' texts; the join that follows
     is exact.
@@ -213,13 +215,13 @@ def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame, bits: bool) ->
                     seen.add(k)
                     node.append(k)
                     size.append(len(s))
-                    kept.append(bitmap(s).tobytes() if bits else t.as_py())
+                    kept.append(t.as_py() if what == "text" else (bitmap(s) if what == "bits" else s).tobytes())
             if node:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.binary() if bits else pa.string())],
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.string() if what == "text" else pa.binary())],
                                                  ["node", "n", "kept"])
 
     few = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids).where("possible")
-    found = few.select("text").mapInArrow(run, f"node long, n int, kept {'binary' if bits else 'string'}")
+    found = few.select("text").mapInArrow(run, f"node long, n int, kept {'string' if what == 'text' else 'binary'}")
     return staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -271,18 +273,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFram
 
     pairs = staged(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return staged(_both(pairs, _fetch(docs, nodes, members, bits=False)).mapInArrow(run, "a long, b long"))
+    return staged(_both(pairs, _fetch(docs, nodes, members, "text")).mapInArrow(run, "a long, b long"))
 
 
-def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Candidates between sets of different labels that share a shingle, by tiles of a shingle and a size band.
+def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int, best: bool = False) -> DataFrame:
+    """Candidates (a, b, like) between sets of different labels that share a shingle, by tiles of a shingle and a size band.
 
     A tile pairs the sets of its band with those of its band and of the next; larger ones are cut into
-    squares of TILE by TILE sets. Inside, sizes, labels and the bitmaps' bound decide.
+    squares of TILE by TILE sets. Inside, sizes, labels, the places of the shingle and the bitmaps' bound decide: two
+    sets that link share no more than what follows the first shingle they share, so a pair is left to the tile where
+    enough follows in both. ``like`` is the similarity that the bound leaves possible. With ``best`` a square gives only the most alike partner of each of its
+    sets, no more pairs than it has sets, and only the rarest shingles and sets of one band count: not all candidates.
     """
-    both = F.explode(F.array(F.struct(F.col("core").alias("small"), F.col("band").alias("tile")),
-                             F.struct(F.lit(False).alias("small"), (F.col("band") - 1).alias("tile"))))
-    r = rows.select("shingle", "node", "n", "label", both.alias("x")).select("shingle", "x.tile", "node", "n", "label", "x.small")
+    core = F.col("pos") < F.col("n") - F.floor((6 * F.col("n") + 6) / 7) + 1
+    if best:
+        r = rows.where(core).select("shingle", F.col("band").alias("tile"), "node", "n", "pos", "label", F.lit(True).alias("small"))
+    else:
+        both = F.explode(F.array(F.struct(core.alias("small"), F.col("band").alias("tile")),
+                                 F.struct(F.lit(False).alias("small"), (F.col("band") - 1).alias("tile"))))
+        r = rows.select("shingle", "node", "n", "pos", "label", both.alias("x")).select("shingle", "x.tile", "node", "n", "pos", "label", "x.small")
     heavy = (r.groupBy("shingle", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"), F.max("small").alias("has"),
                                               (F.min("label") != F.max("label")).alias("differ")).where("has and differ"))
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
@@ -291,28 +300,50 @@ def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     places = F.array_union(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.col("own").alias("i"), x.alias("j"))),
                            F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(x.alias("i"), F.col("own").alias("j"))))
     cut = (r.join(heavy, ["shingle", "tile"]).withColumn("own", own).withColumn("p", F.explode(places))
-           .where("small or p.j = own").select("shingle", "tile", "p.i", "p.j", "node", "n", "label",
+           .where("small or p.j = own").select("shingle", "tile", "p.i", "p.j", "node", "n", "pos", "label",
                                                (F.col("small") & (F.col("p.i") == F.col("own"))).alias("small"),
                                                (F.col("p.j") == F.col("own")).alias("large")))
-    full = cut.join(sets.select("node", F.col("kept").alias("bits")), "node").select(*keys, "node", "n", "label", "small", "large", "bits")
+    full = cut.join(sets.select("node", F.col("kept").alias("bits")), "node").select(*keys, "node", "n", "pos", "label", "small", "large", "bits")
 
-    def square(rows: list[tuple]) -> list[tuple[int, int]]:
-        """Pairs of one square that nothing rules out: (node, n, label, small, large, bits) rows."""
-        width = min(len(r[5]) for r in rows)
+    def square(rows: list[tuple]) -> list[tuple[int, int, float]]:
+        """Pairs of one square that nothing rules out: (node, n, pos, label, small, large, bits) rows."""
+        width = min(len(r[6]) for r in rows)
         if len(rows) <= 24:                                   # whole numbers as bitmaps beat arrays on few rows
-            return _few_pairs(rows, width)
-        node, n, label, small, large = (np.array([r[k] for r in rows]) for k in range(5))
-        bits = np.stack([folded(np.frombuffer(r[5], np.uint64), width // 8) for r in rows])
+            found = _few_pairs(rows, width)
+            return _best_of(found) if best else found
+        node, n, pos, label, small, large = (np.array([r[k] for r in rows]) for k in range(6))
+        bits = np.stack([folded(np.frombuffer(r[6], np.uint64), width // 8) for r in rows])
+        after = n - pos
         big, out = np.flatnonzero(large), []
+        top, by = np.zeros(len(rows)), np.zeros(len(rows), np.int64)  # of each larger set, its best partner so far
         for i in np.flatnonzero(small):
             j = big[(label[big] != label[i]) & ((n[big] > n[i]) | ((n[big] == n[i]) & (node[big] > node[i]))) & (3 * n[big] <= 4 * n[i])]
             if len(j):
-                j = j[enough(overlap_bound(bits[j], n[j], bits[i], int(n[i])), n[j], int(n[i]))]
-                out += [(int(node[i]), int(x)) for x in node[j]]
+                common = np.minimum(overlap_bound(bits[j], n[j], bits[i], int(n[i])), np.minimum(after[j], after[i]))
+                ok = enough(common, n[j], int(n[i]))
+                j, like = j[ok], (common / (n[j] + int(n[i]) - common))[ok]
+                if best and len(j):
+                    more = like > top[j]
+                    top[j[more]], by[j[more]] = like[more], i
+                    j, like = j[[like.argmax()]], [like.max()]
+                out += zip([int(node[i])] * len(j), node[j].tolist(), like)
+        if best:
+            at = np.flatnonzero(top)
+            out = list({*out, *zip(node[by[at]].tolist(), node[at].tolist(), top[at])})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, seen = None, [], set()
+
+        def batch(pairs: list[tuple[int, int, float]]) -> pa.RecordBatch:
+            """A pair that the task has given lately, for another shingle, is left out."""
+            new = {(a, b): x for a, b, x in pairs if (a, b) not in seen}
+            if len(seen) > 1 << 19:
+                seen.clear()
+            seen.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in new], pa.int64()), pa.array([k[1] for k in new], pa.int64()),
+                                               pa.array(list(new.values()), pa.float64())], ["a", "b", "like"])
+
         for b in batches:
             out = []
             for row in zip(*[c.to_pylist() for c in b.columns]):
@@ -322,32 +353,39 @@ def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
                     at, held = row[:4], []
                 held.append(row[4:])
             if out:
-                yield _pair_batch(out)
+                yield batch(out)
         if len(held) > 1:
-            yield _pair_batch(square(held))
+            yield batch(square(held))
 
     dealt = full.repartition(parts, *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
 
 
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _best_of(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """For each set the most alike of its partners."""
+    top: dict[int, tuple[int, int, float]] = {}
+    for p in pairs:
+        for node in p[:2]:
+            if node not in top or p[2] > top[node][2]:
+                top[node] = p
+    return list(set(top.values()))
 
 
-def _few_pairs(rows: list[tuple], width: int) -> list[tuple[int, int]]:
+def _few_pairs(rows: list[tuple], width: int) -> list[tuple[int, int, float]]:
     whole, mask = [], (1 << 8 * width) - 1
-    for _, n, _, _, _, raw in rows:
+    for _, n, _, _, _, _, raw in rows:
         x, y = int.from_bytes(raw, "little"), 0
         while x:
             x, y = x >> 8 * width, y | x & mask
         whole.append((y, n - y.bit_count()))
     out = []
-    for (node, n, label, small, _, _), (u, spare) in zip(rows, whole):
+    for (node, n, pos, label, small, _, _), (u, spare) in zip(rows, whole):
         if small:
-            for (other, m, other_label, _, large, _), (v, more) in zip(rows, whole):
-                if (large and label != other_label and (m, other) > (n, node) and 3 * m <= 4 * n
-                        and enough(min((n + m - (u ^ v).bit_count()) // 2, (u & v).bit_count() + min(spare, more)), n, m)):
-                    out.append((node, other))
+            for (other, m, at, other_label, _, large, _), (v, more) in zip(rows, whole):
+                if large and label != other_label and (m, other) > (n, node) and 3 * m <= 4 * n:
+                    common = min((n + m - (u ^ v).bit_count()) // 2, (u & v).bit_count() + min(spare, more), n - pos, m - at)
+                    if enough(common, n, m):
+                        out.append((node, other, common / (n + m - common)))
     return out
 
 
@@ -360,30 +398,93 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(int(load or 0), 1_000_000))
     tiles = staged(_tiles(_prefixes(docs, frequencies), parts))
-    sets = _fetch(docs, tiles.select("node").distinct(), members.where("node is not null"), bits=True)
+    sets = _fetch(docs, tiles.select("node").distinct(), members.where("node is not null"), "bits")
     return members, tiles, sets, parts
 
 
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets on the left link with which on the right, by their whole sorted codes.
+
+    The shared codes are the columns of two 0/1 matrices, COLUMNS at a time, whose product counts the intersections.
+    """
+    n, m = (np.array([len(s) for s in side]) for side in (left, right))
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    common = np.zeros((len(left), len(right)), np.int64)
+    for k in range(0, len(shared), COLUMNS):
+        part = shared[k:k + COLUMNS]
+        a, b = (np.zeros((len(side), len(part)), np.float32) for side in (left, right))
+        for x, side in ((a, left), (b, right)):
+            for row, s in zip(x, side):
+                row[np.flatnonzero(np.isin(part, s, assume_unique=True))] = 1
+        common += (a @ b.T).astype(np.int64)
+    return enough(common, n[:, None], m[None, :])
+
+
+def _link_counts(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, others): with how many rows of other sets the sets of a component of three or more link.
+
+    Links stay inside a component, so its sets meet there, cut into squares of at most TILE / 4 sets and about CODES
+    codes a side. A square adds up its links by set and gives one row per set, however many links it has.
+    """
+    cuts = F.ceil(F.greatest(F.col("sets") / (TILE // 4), F.col("codes") / CODES)).cast("int")
+    groups = nodes.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("codes")).where("sets > 2").select("component", cuts.alias("cuts"))
+    dealt = staged(nodes.join(groups, "component").select("node", "component", "copies", "cuts", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("own")))
+    whole = _fetch(docs, dealt.select("node"), known, "codes").select("node", "kept")
+    places = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    keys = ["component", "i", "j"]
+    rows = dealt.withColumn("p", F.explode(places)).join(whole, "node").select("component", "p.i", "p.j", "node", "copies", "own", "kept")
+
+    def square(i: int, j: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        sides = [[r for r in rows if r[2] == k] for k in ((i,) if i == j else (i, j))]
+        if not all(sides):
+            return []
+        sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in sides]
+        links = _linked(sets[0], sets[-1])
+        if i == j:
+            np.fill_diagonal(links, False)
+        copies = [np.array([r[1] for r in side], np.int64) for side in sides]
+        out = list(zip([r[0] for r in sides[0]], (links @ copies[-1]).tolist()))
+        return out if i == j else out + list(zip([r[0] for r in sides[1]], (copies[0] @ links).tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["node", "others"])
+
+        for b in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if row[:3] != at:
+                    if held:
+                        out += square(*at[1:], held)
+                    at, held = row[:3], []
+                held.append(row[3:])
+            yield batch(out)
+        if held:
+            yield batch(square(*at[1:], held))
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, others long")
+    return counted.groupBy("node").agg(F.sum("others").alias("others"))
+
+
 def near_links(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every document row, from all links.
+    """(doc_id, n_shingles, component_id, n_links) for every document row.
 
-    ``n_links`` is the number of other rows that the row links with, those of equal sets included. The tiles of
-    all prefix shingles give the candidates, whatever group their sets are in, and all candidates are compared
-    exactly; so the work grows with the number of links, as in a group of near copies with the square of its
-    distinct sets. :func:`near_groups` gives the same components with fewer comparisons, without n_links.
-    Documents without shingles have no links.
+    ``n_links`` is the number of other rows that the row links with, those of equal sets included. The components
+    are those of :func:`near_groups`; all sets of one are then compared exactly with each other, so no link is left
+    out. That work grows with the square of a component's distinct sets, but is dealt in squares, and what they give
+    is a number a set. Documents without shingles have no links.
     """
-    members, tiles, sets, parts = _prepared(docs)
+    members, joined = _joined(docs)
     known = members.where("node is not null")
-    rows = tiles.select("shingle", "node", "n", "core", "band", F.col("node").alias("label"))
-    links = _verified(_banded_pairs(rows, sets, parts), docs, known)
-    nodes = staged(known.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-                   .join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
-    others = ends.join(nodes.select(F.col("node").alias("to"), "copies"), "to").groupBy("node").agg(F.sum("copies").alias("others"))
-    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = staged(nodes.join(names, "component").join(others, "node", "left").select(
-        "node", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    nodes = staged(known.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+                   .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"), F.sum("copies").alias("all"))
+    others = F.when(F.col("sets") == 2, F.col("all") - F.col("copies")).otherwise(F.coalesce("others", F.lit(0)))  # two sets of one component link
+    final = staged(nodes.join(names, "component").join(_link_counts(docs, known, nodes), "node", "left").select(
+        "node", "component_id", (F.col("copies") - 1 + others).alias("n_links")))
     return members.join(final, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -393,23 +494,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, n_shingles, component_id, kept) for every document row.
-
-    ``kept`` is (unnamed, doc_id, hash) of the component's first row by id, null ids last, then by the hash of
-    its text; it is null for a document without shingles.
-
-    Two documents link when the Jaccard similarity of their sets of 5-word shingles is 0.75 or more; a
-    component is what links reach, named by its smallest doc_id. Equal sets are one node. Only a shingle
-    among a set's rarest can bring it a partner. First each node is compared with two likely partners,
-    which joins most groups, then with two of other groups in its tiles. For shingles whose sets are not all
-    in one group yet, the tiles of :func:`_banded_pairs` then find every other candidate. All are compared
-    exactly.
-
-    Null and empty texts have no shingles and link with nothing; a null id is kept, has a null component
-    when alone, and takes its group's otherwise; repeated rows are equal sets; other columns are left out;
-    an empty table gives an empty result.
-    """
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents (doc_id, hash, n, node), and (node, component) of the nodes that links join under another one."""
     members, tiles, sets, parts = _prepared(docs)
     known = members.where("node is not null")
 
@@ -424,18 +510,42 @@ def grouped(docs: DataFrame) -> DataFrame:
         """Tile rows, with their labels, of the shingles whose sets are not all in one group yet."""
         marked = tiles.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node"))
         ends = marked.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-        return staged(marked.join(ends, "shingle", "left_semi").select("shingle", "node", "n", "core", "band", "label"))
+        return staged(marked.join(ends, "shingle", "left_semi").select("shingle", "node", "n", "pos", "band", "label"))
 
     first = likely(tiles.select("node", F.explode(F.array_distinct(F.array("leader", "prior"))).alias("to")))
     links = _verified(_within_bound(first, sets), docs, known)
-    # a second time across the groups so far, which often meet at the edge of a size band: the first set of
-    # another group that has the shingle
-    left = open_tiles(links)
-    ends = left.groupBy("shingle").agg(F.min(F.struct("label", "node")).alias("lo"), F.max(F.struct("label", "node")).alias("hi")).where("lo.label <> hi.label")
-    across = left.join(ends, "shingle").select("node", F.when(F.col("label") == F.col("lo.label"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("to"))
-    links = staged(links.union(_verified(_within_bound(likely(across), sets), docs, known)))
-    more = _verified(_banded_pairs(open_tiles(links), sets, parts), docs, known)
-    joined = components(links.union(more))
+    # then across the groups so far, each set with the most alike one of another group that any of its tiles has:
+    # sets of one group are never compared again, so a large group costs rounds, not pairs
+    for _ in range(ROUNDS):
+        near = staged(_banded_pairs(open_tiles(links), sets, parts, best=True))
+        ways = near.select("a", "b", F.col("a").alias("node"), F.col("b").alias("to"), "like").union(near.select("a", "b", "b", "a", "like"))
+        most = staged(ways.groupBy("node").agg(F.max(F.struct("like", "to", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
+        found = _verified(most, docs, known)
+        links = staged(links.union(found))
+        if 4 * found.count() < most.count():
+            break
+    more = _verified(_banded_pairs(open_tiles(links), sets, parts).select("a", "b"), docs, known)
+    return members, components(links.union(more))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, n_shingles, component_id, kept) for every document row.
+
+    ``kept`` is (unnamed, doc_id, hash) of the component's first row by id, null ids last, then by the hash of
+    its text; it is null for a document without shingles.
+
+    Two documents link when the Jaccard similarity of their sets of 5-word shingles is 0.75 or more; a
+    component is what links reach, named by its smallest doc_id. Equal sets are one node. Only a shingle
+    among a set's rarest can bring it a partner. First each node is compared with two likely partners,
+    which joins most groups, then in rounds with the most alike one of another group in its tiles, as long as
+    that joins many. For shingles whose sets are not all in one group yet, the tiles of :func:`_banded_pairs`
+    then find every other candidate. All are compared exactly.
+
+    Null and empty texts have no shingles and link with nothing; a null id is kept, has a null component
+    when alone, and takes its group's otherwise; repeated rows are equal sets; other columns are left out;
+    an empty table gives an empty result.
+    """
+    members, joined = _joined(docs)
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
     least = (members.where("node is not null").groupBy("node").agg(F.min(row).alias("least"))
              .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -135,3 +135,23 @@ def test_all_links_of_a_large_group(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == dict(zip((d for d, _ in rows), plain_links(rows))) and len(got) == len(rows)
     assert max(r.n_links for r in got) > 40
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows)
+
+
+def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Candidates go with the number of sets, not with its square, and still every link is counted."""
+    rng, rows = random.Random(8), []
+    for i in range(90):
+        t = ["w%d" % k for k in range(80)]
+        t[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    compared, real = [], jaccard._verified
+
+    def verified(pairs, *more):
+        pairs = jaccard.staged(pairs)
+        compared.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", verified)
+    got = jaccard.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.n_links for r in got} == dict(zip((d for d, _ in rows), plain_links(rows)))
+    assert sum(r.n_links for r in got) > 40 * len(rows) and sum(compared) < 8 * len(rows)
