@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import frames as fr
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..sources import files, results
 from ..streaming import results_stream as rs
 from . import views as V
@@ -196,7 +196,8 @@ def _(spark, sf):
     inst = _CELL.split(", ")
     d = V.frame_rows(spark, sf)
     n = d.groupBy(*inst).agg(F.count("*").alias("n_frames"))
-    d = d.join(n, inst).select(*inst, "frame", F.col("jf_frame").alias("score"), "n_frames")
+    # every wave reads the rows: they are numbered once
+    d = materialise(d.join(n, inst).select(*inst, "frame", F.col("jf_frame").alias("score"), "n_frames"))
     gap = "seq % 3 = 0 AND n_frames >= 2 AND frame = 0"
     clock = d.where("seq % 3 = 1").groupBy().agg(F.min(F.struct(*d.columns)).alias("r")).where("r IS NOT NULL").select("r.*")
     waves = [(d.where(f"NOT ({gap})"), "2024-01-01 00:00:00"), (d.where(f"{gap} AND seq % 6 = 0 OR seq % 3 = 1"), "2024-01-01 01:00:00"),

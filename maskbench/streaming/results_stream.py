@@ -5,10 +5,12 @@ from __future__ import annotations
 from typing import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import (ArrayType, BinaryType, DataType, DoubleType, FloatType, LongType, MapType, StructField, StructType,
+                               TimestampType)
 
 from ..operators.merge import duplicate_groups
 
@@ -180,56 +182,92 @@ class _Folder:
 class CompleteCells(StatefulProcessor):
     """Emit an instance cell once as many distinct frames arrived as it declares, or when it is given up.
 
-    An open cell has a timer ``wait`` after its last row: then what is there is emitted with ``complete`` 0 and
+    An open cell is given up ``wait`` after its last row: then what is there is emitted with ``complete`` 0 and
     forgotten. A finished cell ignores further rows and is forgotten ``keep`` after its last row. A row that comes after its
     cell was forgotten starts it anew. Times are milliseconds of event time.
+
+    The column ``cell`` tells the cells of a key apart; without one the key is the cell. All cells of a key are kept as one value with
+    one timer, that of the cell due first, so that calls to the store, which take longer than the rows, come per key and batch.
     """
 
     wait = keep = 0
+    cell: str | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", "frame long")
-        self.total = handle.getValueState("total", "n long, s double, last long, timer long, done boolean")
+        self.state = handle.getValueState("cells", "cells binary, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        n, s, last, timer, done = self.total.get() if self.total.exists() else (0, 0.0, 0, -1, False)
-        if done:
-            return
-        declared, before, old = 0, n, timer
-        # frames of earlier batches are read and written as one list: a call per frame took most of the time
-        seen = {f for (f,) in self.seen.get()} if n else set()
+        cells, timer = self._load()
+        declared: dict = {}
         for pdf in rows:
-            last = max(last, int(pdf["at"].max().timestamp() * 1000))
-            for frame, score, want in zip(pdf.frame.tolist(), pdf.score.tolist(), pdf.n_frames.tolist()):
-                declared = max(declared, int(want))
-                if frame in seen:
+            names = pdf[self.cell].tolist() if self.cell else [None] * len(pdf)
+            ms = pdf["ms"] if "ms" in pdf else pdf["at"].astype("datetime64[ms]").astype("int64")
+            for name, frame, score, want, at in zip(names, pdf.frame.tolist(), pdf.score.tolist(), pdf.n_frames.tolist(), ms.tolist()):
+                c = cells.get(name)
+                if c is None:
+                    c = cells[name] = [0, 0.0, at, set()]
+                seen = c[3]
+                if seen is None:
                     continue
-                seen.add(frame)
-                n, s = n + 1, s + score
-        done = declared > 0 and n >= declared
-        timer = last + (self.keep if done else self.wait)
+                if at > c[2]:
+                    c[2] = at
+                if want > declared.get(name, 0):
+                    declared[name] = want
+                if frame not in seen:
+                    seen.add(frame)
+                    c[0] += 1
+                    c[1] += score
+        full = [name for name, want in declared.items() if cells[name][0] >= want]
+        for name in full:
+            cells[name][3] = None
+        self._store(cells, timer)
+        if full:
+            yield self._emitted(key, [(name, cells[name]) for name in full], 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        cells, timer = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        due = [(name, c) for name, c in cells.items() if self._due(c) <= now]
+        for name, _ in due:
+            del cells[name]
+        self._store(cells, timer)
+        given_up = [(name, c) for name, c in due if c[3] is not None]
+        if given_up:
+            yield self._emitted(key, given_up, 0)
+
+    def _due(self, c) -> int:
+        return c[2] + (self.keep if c[3] is None else self.wait)
+
+    def _emitted(self, key, cells, complete: int) -> pd.DataFrame:
+        return pd.DataFrame([[*([name] if self.cell else key), n, s / n, complete] for name, (n, s, *_) in cells], columns=self.names)
+
+    def _load(self) -> tuple[dict, int]:
+        """Count, sum, last row's time and frames seen of every cell, None for the frames of a finished one; and the timer set."""
+        if not self.state.exists():
+            return {}, -1
+        data, timer = self.state.get()
+        with pa.ipc.open_stream(data) as r:
+            names, n, s, last, seen = [x.to_pylist() for x in r.read_all().columns]
+        return {name: [*c, None if f is None else set(f)] for name, *c, f in zip(names, n, s, last, seen)}, timer
+
+    def _store(self, cells: dict, old: int) -> None:
+        timer = min(map(self._due, cells.values()), default=-1)
         if timer != old:
             if old >= 0:
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(timer)
-        self.total.update((n, s, last, timer, done))
-        if not done:
-            if n > before:
-                self.seen.put([(f,) for f in seen])
-        else:
-            if before:
-                self.seen.clear()
-            yield pd.DataFrame([[*key, n, s / n, 1]], columns=self.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.total.exists():
+            if timer >= 0:
+                self.handle.registerTimer(timer)
+        if not cells:
+            self.state.clear()
             return
-        n, s, _, _, done = self.total.get()
-        self.seen.clear()
-        self.total.clear()
-        if not done:
-            yield pd.DataFrame([[*key, n, s / n, 0]], columns=self.names)
+        n, s, last, seen = zip(*cells.values())
+        table = pa.table([pa.array(list(cells)), pa.array(n), pa.array(s), pa.array(last), pa.array(
+            [None if f is None else list(f) for f in seen], pa.list_(pa.int64()))], names=["cell", "n", "s", "last", "seen"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(), timer))
 
     def close(self) -> None:
         pass
@@ -314,11 +352,32 @@ class ProfileState(StatefulProcessor):
 
 
 def _stateful(stream: DataFrame, keys: Sequence[str], proc: StatefulProcessor, extra: str,
-              mode: str, time: str = "None") -> DataFrame:
+              mode: str) -> DataFrame:
     keyed = StructType([stream.schema[k] for k in keys])
     out = StructType([*keyed.fields, *StructType.fromDDL(extra).fields])
     proc.names = out.names
-    return stream.groupBy(*keys).transformWithStateInPandas(proc, out, mode, time)
+    return stream.groupBy(*keys).transformWithStateInPandas(proc, out, mode, "None")
+
+
+def _as_text(col: Column, kind: DataType) -> Column:
+    """A key column as text that ``_from_text`` turns back into the same value; equal keys give equal texts."""
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        raise TypeError(f"a key of type {kind.simpleString()} is not supported")
+    if isinstance(kind, BinaryType):
+        return F.base64(col)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(col).cast("string")
+    # adding zero turns -0.0 into 0.0
+    return (col + F.lit(0).cast(kind) if isinstance(kind, (DoubleType, FloatType)) else col).cast("string")
+
+
+def _from_text(text: Column, kind: DataType) -> Column:
+    if isinstance(kind, BinaryType):
+        return F.unbase64(text)
+    return F.timestamp_micros(text.cast("bigint")) if isinstance(kind, TimestampType) else text.cast(kind)
+
+
+CELL_GROUPS = 512  # cells that share a hash share their state: fewer groups save calls, more keep the state of each small
 
 
 def complete_cells(stream: DataFrame, keys: Sequence[str], wait_ms: int, keep_ms: int,
@@ -328,9 +387,17 @@ def complete_cells(stream: DataFrame, keys: Sequence[str], wait_ms: int, keep_ms
     ``at`` is the event time and ``delay`` how late a row may come. A cell without all its frames ``wait_ms`` after its last row is
     emitted as incomplete; a finished one is remembered for ``keep_ms``, so state does not grow with the past.
     """
+    kinds = {k: stream.schema[k].dataType for k in keys}
     proc = CompleteCells()
-    proc.wait, proc.keep = wait_ms, keep_ms
-    return _stateful(stream.withWatermark("at", delay), keys, proc, "n_rows bigint, jf double, complete int", "Append", "EventTime")
+    proc.wait, proc.keep, proc.cell = wait_ms, keep_ms, "cell"
+    out = StructType.fromDDL("cell string, n_rows bigint, jf double, complete int")
+    proc.names = out.names
+    named = stream.withWatermark("at", delay).withColumn("cell", F.to_json(F.array(*[_as_text(F.col(k), t) for k, t in kinds.items()])))
+    d = named.select(F.pmod(F.xxhash64("cell"), F.lit(CELL_GROUPS)).cast("int").alias("part"), "cell", "frame", "score", "n_frames", "at",
+                     F.unix_millis("at").alias("ms"))
+    d = d.groupBy("part").transformWithStateInPandas(proc, out, "Append", "EventTime")
+    d = d.withColumn("cell", F.from_json("cell", "array<string>"))
+    return d.select(*[_from_text(F.col("cell")[i], t).alias(k) for i, (k, t) in enumerate(kinds.items())], *out.names[1:])
 
 
 def live_gate(stream: DataFrame, keys: Sequence[str], tau: float, max_consecutive: int) -> DataFrame:
