@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+import hashlib
+from typing import Iterator, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
@@ -122,8 +126,86 @@ def shard_images(spark: SparkSession, path: str | Sequence[str], videos: DataFra
         F.col("annotation.bytes").alias("annotation"))
 
 
+HASH_WHOLE = 64 << 20  # bytes up to which a file is hashed as one value
+# names from which the text source infers that it has to decompress
+CODED = ("bz2", "deflate", "gz", "lz4", "snappy", "zst")
+MARK = b"\xef\xbb\xbf"
+
+
+class _Digest:
+    """SHA-256 of a file from its pieces between line feeds. The text source drops a leading byte-order mark and does not
+    tell of a last line feed; the length of the file tells both."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.n = length, 0
+        self.hashes = hashlib.sha256(), hashlib.sha256(MARK)
+
+    def add(self, pieces: list[bytes], first: bool) -> None:
+        self._update(b"\n".join(pieces if first else [b"", *pieces]))
+
+    def _update(self, data: bytes) -> None:
+        self.n += len(data)
+        for h in self.hashes:
+            h.update(data)
+
+    def result(self) -> str:
+        marked, feed = divmod(self.length - self.n, len(MARK))
+        if marked not in (0, 1) or feed not in (0, 1):
+            raise ValueError(f"{self.n} of {self.length} bytes came")
+        if feed:
+            self._update(b"\n")
+        return self.hashes[marked].hexdigest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per file of a partition, which holds its files one after the other and whole."""
+    path, digest = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": [unquote(path)], "length": pa.array([digest.length], pa.int64()),
+                                           "sha256": [digest.result()]})
+
+    for batch in batches:
+        for p in batch.column(0).unique().to_pylist():
+            rows = batch.filter(pc.equal(batch.column(0), p))
+            if p != path:
+                if path is not None:
+                    yield done()
+                path, digest = p, _Digest(rows.column(1)[0].as_py())
+                digest.add(rows.column(2).to_pylist(), True)
+            else:
+                digest.add(rows.column(2).to_pylist(), False)
+    if path is not None:
+        yield done()
+
+
+def _whole_files(spark: SparkSession) -> SparkSession:
+    """A session whose scans give every file a task of its own and never split one."""
+    s = spark.newSession()
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        s.conf.set(k, 1 << 40)
+    return s
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of every file below a folder."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
-        "recursiveFileLookup", True).load(path)
-    return raw.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 and size of every file below a folder; empty files, which no source of Spark lists, are not among them.
+
+    SHA-256 is a chain, so one task reads a whole file; a file larger than ``HASH_WHOLE`` or than the binary source takes passes
+    through it in pieces, cut at line feeds, and is never held as one value.
+    """
+    def below(s: SparkSession, kind: str, **options: str) -> DataFrame:
+        return s.read.format(kind).options(pathGlobFilter=pattern, recursiveFileLookup=True, **options).load(path)
+
+    raw = below(spark, "binaryFile")
+    most = min(HASH_WHOLE, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    hashes = raw.where(F.col("length") <= most).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    coded = F.regexp_extract("path", rf"\.({'|'.join(CODED)})$", 1)
+    for (code,) in raw.where(F.col("length") > most).select(coded).distinct().collect():
+        # the bytes as they are; Hadoop's shaded client looks for the second key under its own name
+        options = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", **dict.fromkeys(
+            ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension"), f".{code}")} if code else {}
+        lines = below(_whole_files(spark), "text", lineSep="\n", **options).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("value").cast("binary"))
+        lines = lines.where((F.col("length") > most) & (coded == code))
+        hashes = hashes.unionByName(lines.mapInArrow(_digests, "path string, length bigint, sha256 string"))
+    return hashes

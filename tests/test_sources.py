@@ -212,6 +212,27 @@ def test_file_hashes(spark, tmp_path):
     assert r.sha256 == hashlib.sha256(b"abc").hexdigest() and r.length == 3
 
 
+def test_files_beyond_the_binary_source_are_hashed_in_pieces(spark, tmp_path):
+    """A low limit stands for the 2 GiB of a value: any bytes, names and last lines give the digest of the whole file."""
+    import hashlib
+    import os
+
+    mark, noise, key = b"\xef\xbb\xbf", os.urandom(200_000), "spark.sql.sources.binaryFile.maxLength"
+    held = {"a b%20+.bin": noise, "s/ü#x.bin": mark + noise + b"\n", "s/marked": mark + mark + noise, "feeds": b"\n" * 5000, "crlf": b"\r\n" * 3000,
+            "one": b"\0" * 9000, "n.gz": noise, "n.bz2": noise[::-1], "x.snappy": mark + noise + b"\n\n", "z.zst": noise, "d.deflate": noise, "l.lz4": noise, "small.gz": b"\n1", "limit": b"x" * 4096}
+    os.mkdir(tmp_path / "s")
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get(key)
+    spark.conf.set(key, 4096)
+    try:
+        rows = files.file_hashes(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    found = {os.path.relpath(r.path.removeprefix("file:"), tmp_path): (r.length, r.sha256) for r in rows}
+    assert len(rows) == len(held) and found == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in held.items()}
+
+
 def test_shard_inventory_reads_ids_only(spark, tmp_path):
     d = spark.range(20).select((F.col("id") % 4).alias("video_id"), F.col("id").alias("frame_id"),
                                F.struct(F.lit(b"x").alias("bytes")).alias("image"),
