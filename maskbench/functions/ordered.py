@@ -50,11 +50,17 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_large(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``_large``: true, or NULL for keys that certainly have no more than SMALL_ROWS rows."""
+    """Add ``_large``: true, or NULL for keys that certainly have no more than SMALL_ROWS rows.
+
+    The buckets that hold more are one value of KEY_BUCKETS bits, so nothing is joined and no bucket's rows meet in a task.
+    """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int")
-    large = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_k")).where(
-        F.col("_k") > SMALL_ROWS).select("_bucket", F.lit(True).alias("_large"))
-    return df.withColumn("_bucket", bucket).join(F.broadcast(large), "_bucket", "left").drop("_bucket")
+    large = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_k")).where(F.col("_k") > SMALL_ROWS)
+    none = df.sparkSession.range(KEY_BUCKETS // 64).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("bigint").alias("_bits"))
+    words = large.select(F.shiftright("_bucket", 6).alias("_word"), F.expr("shiftleft(1L, _bucket & 63)").alias("_bits")).unionByName(none)
+    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    bits = words.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits")))["_bits"].alias("_b")).scalar()
+    return df.withColumn("_large", F.when(F.getbit(bits[F.shiftright(bucket, 6)], bucket.bitwiseAND(63)) == 1, True))
 
 
 def running(
