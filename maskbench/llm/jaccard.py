@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import components, parts_for, shingles, split_by_ids, staged
+from .base import components, mapped, parts_for, shingles, split_by_ids, staged
 
 NEEDED = (75, 100)                # intersection : union
 COUNTERS = 1 << 18
@@ -93,8 +93,8 @@ def _sets(docs: DataFrame) -> DataFrame:
                 pa.array([TaskContext.get().partitionId() // 256] * k, pa.int32()),
                 pa.array([x.tobytes() for x in counts.reshape(k, -1)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("hash")).mapInArrow(
-        run, "doc_id long, hash long, n long, node long, segment int, salt int, counts binary")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("hash")),
+                  run, "doc_id long, hash long, n long, node long, segment int, salt int, counts binary")
 
 
 def _added(key: tuple, t: pa.Table) -> pa.Table:
@@ -149,7 +149,7 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, node, size, pos)],
                                                  ["shingle", "node", "n", "pos"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, node long, n int, pos int")
+    return mapped(docs.select(F.col("text").cast("string")), run, "shingle long, node long, n int, pos int")
 
 
 def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _tiles(prefixes: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*held[:5], np.array([lead[2]]), np.array([held[6]]))], names)
 
     rows = prefixes.withColumn("band", band(F.col("n"))).repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "node")
-    return rows.mapInArrow(run, "shingle long, node long, n int, pos int, band int, leader long, prior long")
+    return mapped(rows, run, "shingle long, node long, n int, pos int, band int, leader long, prior long")
 
 
 def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame, what: str) -> DataFrame:
@@ -221,7 +221,7 @@ def _fetch(docs: DataFrame, nodes: DataFrame, members: DataFrame, what: str) ->
                                                  ["node", "n", "kept"])
 
     few = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids).where("possible")
-    found = few.select("text").mapInArrow(run, f"node long, n int, kept {'string' if what == 'text' else 'binary'}")
+    found = mapped(few.select("text"), run, f"node long, n int, kept {'string' if what == 'text' else 'binary'}")
     return staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -246,7 +246,7 @@ def _within_bound(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return _both(pairs, bits).mapInArrow(run, "a long, b long")
+    return mapped(_both(pairs, bits), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFram
 
     pairs = staged(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return staged(_both(pairs, _fetch(docs, nodes, members, "text")).mapInArrow(run, "a long, b long"))
+    return staged(mapped(_both(pairs, _fetch(docs, nodes, members, "text")), run, "a long, b long"))
 
 
 def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int, best: bool = False) -> DataFrame:
@@ -358,7 +358,7 @@ def _banded_pairs(rows: DataFrame, sets: DataFrame, parts: int, best: bool = Fal
             yield batch(square(held))
 
     dealt = full.repartition(parts, *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
+    return mapped(dealt, run, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
 
 
 def _best_of(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -465,7 +465,7 @@ def _link_counts(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFra
             yield batch(square(*at[1:], held))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, others long")
+    counted = mapped(rows.repartition(parts, *keys).sortWithinPartitions(*keys), run, "node long, others long")
     return counted.groupBy("node").agg(F.sum("others").alias("others"))
 
 

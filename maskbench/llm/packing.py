@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import bisect
+import functools
 import json
 import zlib
 from typing import Iterator
@@ -11,7 +12,7 @@ from typing import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .base import parts_for, staged
+from .base import mapped, parts_for, staged
 
 CAPACITY = 1024
 END_ID = 2
@@ -29,15 +30,14 @@ class ByteTokens:
     special token, take the whole-text path.
     """
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         # the file writes each byte as one printable character: printable ones as they are, the rest from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,6 +47,13 @@ class ByteTokens:
                                       pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
         self.known: dict[str, bytes | None] = {}
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer as such, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _plain(self, text: str) -> bytes:
         return array.array("I", self.fast.encode_ordinary(text)).tobytes()
 
@@ -103,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECE)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .base import remainder, staged
+from .base import mapped, remainder, staged
 
 BITS = 18
 PER_CLASS = 10_000
@@ -168,10 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: in
                                           pa.array([m.bias]), pa.array([m.slope]), pa.array([m.shift])],
                                          ["weights", "dims", "bias", "slope", "shift"])
 
-    rows = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, F.col("doc_id") == F.col("l_doc"))
-            .select("text", "quality", "share", "doc_id")
-            .mapInArrow(features, "codes binary, quality int, share double, doc_id long"))
-    got = (rows.repartition(1).mapInArrow(train, "weights binary, dims long, bias double, slope double, shift double").first())
+    rows = mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, F.col("doc_id") == F.col("l_doc"))
+                  .select("text", "quality", "share", "doc_id"), features, "codes binary, quality int, share double, doc_id long")
+    got = mapped(rows.repartition(1), train, "weights binary, dims long, bias double, slope double, shift double").first()
     w = np.frombuffer(got["weights"])
     return Model(w.reshape(2, -1) if got["dims"] == 2 else w, got["bias"], got["slope"], got["shift"])
 
@@ -191,7 +190,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, bits: int = BITS)
             yield pa.RecordBatch.from_arrays([*b.columns, s], [*plain, "score"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema).toDF(*names, "score")
+    return mapped(kept, run, schema).toDF(*names, "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, keep_above: float = KEEP_ABOVE,

@@ -88,3 +88,12 @@ def test_pack_whole(spark, whole):
 
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_a_worker_loads_the_whole_tokenizer_only_for_special_tokens(whole):
+    """What every worker keeps counts against its executor."""
+    t = packing.ByteTokens(tokenizer_path())
+    t("plain text")
+    assert "whole" not in vars(t)
+    text = f"a {t.special[0]} b"
+    assert np.frombuffer(t(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids and "whole" in vars(t)
